@@ -1,7 +1,8 @@
 """Hashed sparse linear models, trained with follow-the-regularised-leader updates on a bounded sample.
 
-A sample's rows are dealt to a fixed number of shards; each shard runs the updates in hash order in its own task, and the
-shards' weights are averaged in Spark. What reaches the driver is one weight per hash bucket, whatever the input's size.
+A bounded sample's rows are dealt to a fixed number of shards (one by default: the updates are sequential, and the sample
+is small enough for one task); each shard runs the updates in hash order in its own task, and the shards' weights are
+averaged in Spark. What reaches the driver is one weight per hash bucket, whatever the input's size.
 """
 
 from __future__ import annotations

@@ -15,28 +15,31 @@ from .linear import Ftrl, fit_shards, sigmoid, sparse
 
 #: Runs of word characters, or of other characters that aren't white space: punctuation is evidence too.
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
+_SAME = crc32(b" = ")
 BITS = 18
 MAX_TRAIN_ROWS = 16_000
-SHARDS = 4
+SHARDS = 1
 
 
 def features(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's word 1-grams and 2-grams, each once, and their values: log counts scaled to length 1, and a bias.
+    """Buckets of the text's word 1-grams and 2-grams, each once, and their values: log counts scaled to length 10, and a bias.
 
-    The last bucket is the bias; an empty text has the bias alone.
+    A word that repeats the one before counts as the same token whichever word it is. The last bucket is the bias; an empty
+    text has the bias alone.
     """
     words = _TOKEN.findall(text.lower())
     h = np.fromiter(map(crc32, words), np.uint32, len(words))
+    h[1:][h[1:] == h[:-1]] = _SAME
     pairs = h[:-1] * np.uint32(0x9E3779B1) ^ h[1:] * np.uint32(0x85EBCA6B)
     upper = np.uint32(32 - bits)
     at, counts = np.unique(np.concatenate([h, pairs]) * np.uint32(2654435761) >> upper, return_counts=True)
     at, counts = at[at != (1 << bits) - 1], counts[at != (1 << bits) - 1]
     x = np.log1p(counts)
     x /= max(1e-9, np.sqrt(x @ x))
-    return np.append(at.astype(np.int64), (1 << bits) - 1), np.append(4 * x, 1.0)
+    return np.append(at.astype(np.int64), (1 << bits) - 1), np.append(10 * x, 1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, shards: int = SHARDS, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, shards: int = SHARDS, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.1, l2: float = 0.0) -> np.ndarray:
     """Weights of the 2**bits buckets, learnt from about `max_rows` labelled rows at most (a documented bound).
 
     Rows of the held-out fifth are never used. Without labelled rows all weights are 0, so every score is 0.5.

@@ -21,7 +21,7 @@ _SENTENCE = re.compile(rb"[^.!?\n]*[.!?\n]*")
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 BITS = 18
 MAX_TRAIN_ROWS = 24_000
-SHARDS = 4
+SHARDS = 1
 _PREFIX = 6  # bytes
 
 
@@ -51,7 +51,7 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, shards: int = SHARDS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 0.02, start: float = -6.0) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, shards: int = SHARDS, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.01, start: float = -7.0) -> np.ndarray:
     """Weights of the 2**bits buckets, the last being the bias, learnt from about `max_rows` labelled rows at most.
 
     The gradient of a sentence's logit is p for a clean document, and -p (1 - P) / P for a toxic one, P being the noisy-or.
@@ -64,7 +64,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
         for t in texts:
             owner, at, n = instances(t, bits)
             used, inverse = np.unique(at, return_inverse=True)
-            rows.append((owner, used, inverse, n))
+            rows.append((owner.astype(np.int32), used.astype(np.int32), inverse.astype(np.int32), n))
         bias, squares = start, 1.0
         for _ in range(epochs):
             for (owner, used, inverse, n), y in zip(rows, ys, strict=True):
@@ -75,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
                 model.update(used, w, np.clip(np.bincount(inverse, g[owner], len(used)), -3, 3))
                 step = float(np.clip(g.sum(), -3, 3))
                 squares += step * step
-                bias -= 0.3 * step / np.sqrt(squares)
+                bias -= 0.1 * step / np.sqrt(squares)
         out = model.weights(np.arange(1 << bits))
         out[last] = bias
         return sparse(out)
