@@ -1,10 +1,11 @@
 """SimHash near-duplicate detection.
 
-Fingerprints are embedded into vectors of per-segment bit counts (segments of two bits, so 32 coordinates of 0..2).
-The Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints, so a grid range-join
-over the vectors finds every link: the coordinates are cut into `d + 3` blocks, and vectors at distance `d` or less agree
-on at least three whole blocks. Each choice of three blocks is one family of grid cells. Candidates that share a cell pass
-the Manhattan bound and are then verified on the fingerprints themselves.
+Fingerprints are embedded into vectors of per-segment bit counts: the 63 overlapping segments of two neighbouring bits, so
+coordinates of 0..2. A bit that differs changes two counts by one at most, so half the Manhattan distance of two vectors is
+a lower bound of the Hamming distance of the fingerprints, and a grid range-join over the vectors finds every link: the 64
+bits are cut into `d + 3` runs, and fingerprints within distance `d` agree on the segments of at least three whole runs.
+Each choice of three runs is one family of grid cells. Candidates that share a cell pass the Manhattan bound and are then
+verified on the fingerprints themselves.
 
 Cells of a dense group are never expanded into all pairs: each member is first linked to a few representatives of its
 cell, and only members whose components still differ are compared afterwards, so that no link between components is lost.
@@ -22,12 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import written
 
-_EVEN = 0x5555555555555555
-_SEGMENTS = 32
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+_SEGMENTS = (1 << 63) - 1
 
 
 def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -58,24 +54,25 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def segment_counts(fp: Column) -> Column:
-    """The 32 bit counts in unary code (1 -> 01, 2 -> 11): the Manhattan distance of two vectors is `bit_count(a ^ b)`."""
-    low, high = fp.bitwiseAND(F.lit(_EVEN)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_EVEN))
-    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+def segment_counts(fp: Column) -> tuple[Column, Column]:
+    """The 63 counts in unary code, bit i of the two words being `count >= 1` and `count >= 2` of the segment at bit i."""
+    shifted = F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseOR(shifted).bitwiseAND(F.lit(_SEGMENTS)), fp.bitwiseAND(shifted)
 
 
 def _cells(nodes: DataFrame, distance: int) -> DataFrame:
-    """(cell, fp): a row for each family of grid cells, that is for each choice of three of the `distance + 3` blocks."""
-    blocks = distance + 3
-    cuts = [round(k * _SEGMENTS / blocks) for k in range(blocks + 1)]
-    masks = [((1 << 2 * cuts[k + 1]) - 1) ^ ((1 << 2 * cuts[k]) - 1) for k in range(blocks)]
-    families = [_signed(masks[a] | masks[b] | masks[c]) for a, b, c in combinations(range(blocks), 3)]
-    v = segment_counts(F.col("fp"))
-    return nodes.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), v.bitwiseAND(F.lit(m))) for k, m in enumerate(families)])).alias("cell"))
+    """(fp, cell): a row for each family of grid cells, that is for each choice of three of the `distance + 3` runs."""
+    runs = distance + 3
+    cuts = [round(k * 64 / runs) for k in range(runs + 1)]
+    masks = [((1 << cuts[k + 1] - 1) - 1) ^ ((1 << cuts[k]) - 1) for k in range(runs)]
+    families = [F.lit(masks[a] | masks[b] | masks[c]) for a, b, c in combinations(range(runs), 3)]
+    some, both = segment_counts(F.col("fp"))
+    return nodes.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), some.bitwiseAND(m), both.bitwiseAND(m)) for k, m in enumerate(families)])).alias("cell"))
 
 
 def _near(a: Column, b: Column, distance: int) -> Column:
-    return (F.bit_count(segment_counts(a).bitwiseXOR(segment_counts(b))) <= distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
+    bound = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(segment_counts(a), segment_counts(b), strict=True)), F.lit(0))
+    return (bound <= 2 * distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
