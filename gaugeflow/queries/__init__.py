@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "op3_exact_dedup"
+from . import aggregates, audits, evaluation, files, learning, policies, profiles, risks, splitting, streams, trending, windows  # noqa: F401
+from ._registry import QUERIES, SQL
+
+FLAGSHIP = "combined_risk"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
