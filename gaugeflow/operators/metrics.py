@@ -75,7 +75,7 @@ def mean_max_probability(rows: DataFrame, by: Sequence[str] = ("model",)) -> Dat
 def metrics_long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, metric, value) of a table with a column a metric."""
     rest = [c for c in wide.columns if c not in keys]
-    return wide.unpivot(list(keys), [F.col(c).cast("double").alias(c) for c in rest] if False else rest, "metric", "value")
+    return wide.select(*keys, *[F.col(c).cast("double").alias(c) for c in rest]).unpivot(list(keys), rest, "metric", "value")
 
 
 def metrics_by_group(long: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:

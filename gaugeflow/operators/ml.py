@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import argmax_name, content_hash, finite, fixed, normalized_entropy, or_null
+from ..functions.columns import argmax_name, content_hash, fixed, normalized_entropy, or_null
 
 TRAIN = "train"
 
@@ -190,6 +190,3 @@ def fit_predict(df: DataFrame, columns: Sequence[str], classes: Sequence[str], k
     out = out.withColumn("_s", scores).withColumn("p", padded).select(*keys, "p")
     return predict_records(out, classes)
 
-
-def usable(c: str) -> Column:
-    return finite(c)

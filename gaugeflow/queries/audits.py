@@ -1 +1,165 @@
-"""Queries."""
+"""Audit logs and event analytics (M)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import audit as au, policy as po
+from ..plans import adapters as ad
+from ._registry import query
+from .policies import ROUTE, routed
+
+_CHAIN = {
+    "chained": "SELECT run_id, event_index, payload, list_reduce(list_prepend('', list(event_index || '|' || payload) OVER w), lambda a, x: sha256(a || '|' || x)) AS event_hash FROM audit_log WINDOW w AS (PARTITION BY run_id ORDER BY event_index ROWS UNBOUNDED PRECEDING)",
+    "linked": "SELECT *, coalesce(lag(event_hash) OVER (PARTITION BY run_id ORDER BY event_index), '') AS previous_event_hash FROM chained",
+    # every seventh conversation's third event altered, every eleventh one's second lost
+    "damaged": "SELECT run_id, event_index, CASE WHEN run_id % 7 = 0 AND event_index = 3 THEN 'x' ELSE payload END AS payload, previous_event_hash, event_hash FROM linked WHERE NOT (run_id % 11 = 0 AND event_index = 2)",
+    "lengths": "SELECT run_id, count(*) AS n FROM damaged GROUP BY run_id",
+}
+
+
+def _chain(spark, d) -> DataFrame:
+    return au.build_chain(ad.audit_log(spark, d))
+
+
+def _damaged(spark, d) -> DataFrame:
+    c = _chain(spark, d).where("NOT (run_id % 11 = 0 AND event_index = 2)")
+    return c.withColumn("payload", F.when((F.col("run_id") % 7 == 0) & (F.col("event_index") == 3), "x").otherwise(F.col("payload")))
+
+
+@query("SELECT run_id, event_index, run_id || ':' || lpad(event_index::VARCHAR, 6, '0') AS event_id FROM audit_log")
+def audit_events(spark, d):
+    return au.audit_events(ad.audit_log(spark, d)).select("run_id", "event_index", "event_id")
+
+
+@query("SELECT run_id, event_index, payload, previous_event_hash, event_hash FROM linked", views=_CHAIN)
+def build_chain(spark, d):
+    return _chain(spark, d)
+
+
+@query("SELECT run_id, first_bad IS NULL AS valid, n AS events, first_bad, CASE WHEN first_bad IS NOT NULL THEN CASE WHEN run_id % 11 = 0 THEN 'INDEX_NOT_SEQUENTIAL' ELSE 'EVENT_HASH_MISMATCH' END END AS reason FROM (SELECT run_id, n, CASE WHEN run_id % 11 = 0 AND m > 2 THEN 3 WHEN run_id % 7 = 0 AND run_id % 11 <> 0 AND m >= 3 THEN 3 END::BIGINT AS first_bad FROM (SELECT run_id, n, m FROM lengths JOIN (SELECT run_id, max(event_index) AS m FROM damaged GROUP BY run_id) USING (run_id))) UNION ALL SELECT -1, false, 0, NULL, 'EMPTY_LOG'", views=_CHAIN)
+def verify_chain(spark, d):
+    runs = ad.audit_log(spark, d).select("run_id")
+    return au.verify_chain(_damaged(spark, d), runs.union(runs.limit(1).select(F.lit(-1).cast("long"))))
+
+
+@query("SELECT run_id, bool_and(event_index = 1 OR previous_event_hash = coalesce(p, '')) AS linked FROM (SELECT *, lag(event_hash) OVER (PARTITION BY run_id ORDER BY event_index) AS p FROM damaged) GROUP BY run_id", views=_CHAIN)
+def chain_linkage(spark, d):
+    return au.chain_linkage(_damaged(spark, d))
+
+
+@query("SELECT run_id, NOT (bool_or(run_id % 7 = 0 AND event_index = 3) OR bool_or(run_id % 11 = 0 AND event_index = 2)) AS same FROM audit_log GROUP BY run_id")
+def replay_signature(spark, d):
+    return au.replay_signature(_chain(spark, d), _damaged(spark, d), ["payload", "event_hash"])
+
+
+_STEPS = ROUTE | {
+    "steps_t": "SELECT r.*, o_orderpriority AS scenario, CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS policy FROM routed r JOIN orders ON o_orderkey = case_id",
+    "reports_t": "SELECT case_id, any_value(scenario) AS scenario, any_value(policy) AS policy, string_agg(final_state, ' > ' ORDER BY step) AS path, coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT DISTINCT unnest(list(dominant_rule)) AS x) WHERE x IS NOT NULL), '') AS rules, arg_max(final_state, step) AS outcome, count(dominant_rule) AS overrides, count(*) AS length FROM steps_t GROUP BY case_id".replace("coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT DISTINCT unnest(list(dominant_rule)) AS x) WHERE x IS NOT NULL), '')", "array_to_string(list_sort(list_distinct(list(dominant_rule) FILTER (dominant_rule IS NOT NULL))), ';')"),
+    "clean_t": "SELECT * REPLACE (coalesce(rules, '') AS rules) FROM reports_t",
+}
+
+
+def _steps(spark, d) -> DataFrame:
+    o = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("scenario"), F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd").alias("policy"))
+    return routed(spark, d).join(o, "case_id")
+
+
+def _reports(spark, d) -> DataFrame:
+    s = _steps(spark, d)
+    return au.case_reports(s).join(s.select("case_id", "scenario", "policy").distinct(), "case_id")
+
+
+@query("SELECT case_id, path, rules, outcome, overrides, length FROM clean_t", views=_STEPS)
+def case_reports(spark, d):
+    return au.case_reports(_steps(spark, d))
+
+
+_PROBS = "(VALUES " + ", ".join(f"('{s}', '{t}', {p})" for s, row in po.STATIC_MATRIX.items() for t, p in row.items()) + ") m(source, target, probability)"
+
+
+@query(f"SELECT policy, e.source, e.target, n, n::DOUBLE / sum(n) OVER (PARTITION BY policy, e.source) AS rate, coalesce(probability, 0)::DOUBLE AS probability, overrides, overrides::DOUBLE / n AS override_rate FROM (SELECT policy, current_state AS source, final_state AS target, count(*) AS n, count(dominant_rule) AS overrides FROM steps_t GROUP BY ALL) e LEFT JOIN {_PROBS} USING (source, target)", "rate probability override_rate", _STEPS)
+def transition_edges(spark, d):
+    return au.transition_edges(_steps(spark, d), ["policy"], po.matrix_table(spark))
+
+
+_SHARE = "avg((outcome = '{}')::INTEGER)"
+
+
+@query(f"SELECT policy, count(*) AS cases, {_SHARE.format('RECOMMENDATION')} AS recommendation_rate, {_SHARE.format('ESCALATION')} AS escalation_rate, {_SHARE.format('NO_DECISION')} AS no_decision_rate, sum(overrides)::BIGINT AS overrides, avg(length) AS mean_length, list_sort(list(length))[count(*) // 2 + 1] AS median_length, avg(contains(rules, 'CONFLICT')::INTEGER) AS conflict_rate FROM clean_t GROUP BY policy", "recommendation_rate escalation_rate no_decision_rate mean_length conflict_rate", _STEPS)
+def policy_metrics(spark, d):
+    return au.policy_metrics(_reports(spark, d), ["policy"])
+
+
+_COMPARE = f"SELECT policy, scenario, count(*) AS cases, count(*) FILTER (outcome = 'RECOMMENDATION') AS recommendations, count(*) FILTER (outcome = 'ESCALATION') AS escalations, count(*) FILTER (outcome = 'NO_DECISION') AS no_decisions, {_SHARE.format('ESCALATION')} AS escalation_rate FROM clean_t GROUP BY GROUPING SETS ((policy), (policy, scenario))"
+
+
+@query(_COMPARE, "escalation_rate", _STEPS)
+def policy_comparison(spark, d):
+    return au.policy_comparison(_reports(spark, d), "policy", "scenario")
+
+
+@query(f"SELECT policy, scenario, CASE WHEN scenario IS NULL THEN 'OUTCOMES_DONT_SUM' END AS code FROM ({_COMPARE})", views=_STEPS)
+def check_comparison(spark, d):
+    c = au.policy_comparison(_reports(spark, d), "policy", "scenario")
+    return au.check_comparison(c.withColumn("cases", F.when(F.col("scenario").isNull(), F.col("cases") + 1).otherwise(F.col("cases")))).select("policy", "scenario", "code")
+
+
+@query("SELECT case_id, outcome, length AS evaluations, overrides FROM clean_t", views=_STEPS)
+def run_summary(spark, d):
+    return au.run_summary(_steps(spark, d))
+
+
+@query("SELECT case_id, step, final_state AS state FROM steps_t", views=_STEPS)
+def explode_paths(spark, d):
+    return au.explode_paths(_reports(spark, d))
+
+
+@query("SELECT path, count(*) AS runs, any_value(length)::INTEGER AS length, any_value(outcome) AS terminal FROM clean_t GROUP BY path", views=_STEPS)
+def distinct_paths(spark, d):
+    return au.distinct_paths(_reports(spark, d))
+
+
+@query(f"SELECT scenario, {_SHARE.format('ESCALATION')} FILTER (policy = 'even') AS even, {_SHARE.format('ESCALATION')} FILTER (policy = 'odd') AS odd FROM clean_t GROUP BY scenario", "even odd", _STEPS)
+def outcome_matrix(spark, d):
+    return au.outcome_matrix(_reports(spark, d), "scenario", "policy", ["even", "odd"])
+
+
+@query("SELECT path_hash, 'EB' || dense_rank() OVER (ORDER BY path_hash) AS tag FROM (SELECT DISTINCT sha256(path) AS path_hash FROM clean_t)", views=_STEPS)
+def hash_tags(spark, d):
+    return au.hash_tags(au.distinct_paths(_reports(spark, d)).select(F.sha2("path", 256).alias("path_hash")), "path_hash")
+
+
+@query("SELECT 'linkage' AS \"check\", count(*) FILTER (NOT (run_id % 11 = 0 AND m > 2)) AS verified, count(*) AS total FROM (SELECT run_id, max(event_index) AS m FROM damaged GROUP BY run_id) UNION ALL SELECT 'replay', count(*) FILTER (NOT ((run_id % 7 = 0 AND m > 2) OR (run_id % 11 = 0 AND m > 1))), count(*) FROM (SELECT run_id, max(event_index) AS m FROM audit_log GROUP BY run_id)", views=_CHAIN)
+def integrity_summary(spark, d):
+    bad = _damaged(spark, d)
+    return au.integrity_summary([("linkage", au.chain_linkage(bad), "linked"), ("replay", au.replay_signature(_chain(spark, d), bad, ["payload"]), "same")])
+
+
+@query("SELECT scenario, string_agg(DISTINCT current_state, ',' ORDER BY current_state) AS states FROM steps_t GROUP BY scenario", views=_STEPS)
+def scenario_coverage(spark, d):
+    return au.scenario_coverage(_steps(spark, d), "scenario")
+
+
+@query("SELECT count(*) AS cases, avg((outcome = CASE WHEN case_id % 2 = 0 THEN 'ESCALATION' ELSE 'NO_DECISION' END)::INTEGER) AS met FROM clean_t", "met", _STEPS)
+def expected_action_check(spark, d):
+    r = au.case_reports(_steps(spark, d)).select("case_id", F.col("outcome").alias("terminal_action"))
+    expected = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderkey") % 2 == 0, "ESCALATION").otherwise("NO_DECISION").alias("expected_action"))
+    return au.expected_action_check(r, expected, "case_id")
+
+
+_ALLOWED = "(VALUES " + ", ".join(f"('{s}', '{';'.join(row)}')" for s, row in po.STATIC_MATRIX.items()) + ") a(source, allowed_next_states)"
+_FLAT = _STEPS | {"flat_t": f"SELECT case_id, step, current_state, allowed_next_states, proposed_state, coalesce(probability, 0)::DOUBLE AS selected_probability, final_state, coalesce(dominant_rule, '') AS safety_override, sha256(case_id || '|' || step || '|' || current_state || '|' || final_state) AS event_hash FROM routed LEFT JOIN {_ALLOWED} ON a.source = current_state LEFT JOIN {_PROBS} ON m.source = current_state AND m.target = proposed_state"}
+
+
+@query("SELECT *, coalesce(lag(event_hash) OVER (PARTITION BY case_id ORDER BY step), '') AS previous_event_hash FROM flat_t", "selected_probability", _FLAT)
+def flatten_transition_events(spark, d):
+    return au.flatten_transitions(routed(spark, d), "case_id", po.matrix_table(spark))
+
+
+_ORD = "CASE state " + " ".join(f"WHEN '{s}' THEN {k}" for k, s in enumerate(po.STATES)) + " ELSE -1 END"
+
+
+@query(f"SELECT state, {_ORD} AS ordinal, sum(n)::BIGINT AS visits FROM (SELECT unnest([current_state, final_state]) AS state, count(*) AS n FROM routed GROUP BY current_state, final_state) GROUP BY state", views=ROUTE)
+def policy_edge_graph(spark, d):
+    return au.edge_graph(routed(spark, d), {s: k for k, s in enumerate(po.STATES)})[0]

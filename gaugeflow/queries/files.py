@@ -1 +1,129 @@
-"""Queries."""
+"""Sources and sinks (A): the given tables are written in a format of the library's and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F, types as T
+
+from ..plans import adapters as ad
+from ..plans.storage import shared_folder
+from ..sources import readers as rd, writers as wr
+from ._registry import query
+
+
+def _signal_files(spark, d) -> str:
+    """Samples as text files, a folder an acquisition, with a preamble of six lines and the header."""
+    s = ad.samples(spark, d)
+    fixed = lambda c: F.round(c, 6).cast("decimal(20,6)").cast("string")
+    line = s.select("acquisition_id", F.col("sample").alias("at"), F.concat_ws(";", F.col("sample").cast("string"), fixed(F.col("sample") / 50000), fixed("ch_a"), fixed("ch_b")).alias("value"))
+    head = s.select("acquisition_id").distinct().select("acquisition_id", F.posexplode(F.array(*[F.lit(f"# line {k}") for k in range(6)], F.lit(rd.SIGNAL_HEADER))).alias("k", "value")).select("acquisition_id", (F.col("k") - 100).alias("at"), "value")
+    path = shared_folder(spark, "signals")
+    both = line.unionByName(head).repartition("acquisition_id").sortWithinPartitions("acquisition_id", "at")
+    both.select("acquisition_id", "value").write.partitionBy("acquisition_id").text(path)
+    return path
+
+
+@query("SELECT acquisition_id, sample, round(sample / 50000, 6) AS t, ch_a, ch_b FROM samples", "t ch_a ch_b")
+def scan_signal_text(spark, d):
+    out = rd.scan_signal_text(spark, _signal_files(spark, d))
+    return out.withColumn("acquisition_id", F.col("acquisition_id").cast("long"))
+
+
+@query("SELECT c_custkey, c_acctbal, CASE c_mktsegment WHEN 'BUILDING' THEN 'Healthy' WHEN 'MACHINERY' THEN 'Mech_Damage' END AS canonical_class, c_mktsegment || ':' || c_custkey AS case_id FROM customer", "c_acctbal")
+def scan_class_files(spark, d):
+    path = shared_folder(spark, "classes")
+    ad.table(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("part")).write.partitionBy("part").option("header", True).csv(path)
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_acctbal", T.DoubleType())])
+    return rd.scan_class_files(spark, path, schema, {"BUILDING": "Healthy", "MACHINERY": "Mech_Damage"}, r"part=([^/]+)/", "c_custkey").drop("part")
+
+
+@query("SELECT custkey, flag AS label, 'custkey,nationkey' AS groups FROM raw_strings")
+def scan_csv_table(spark, d):
+    path = shared_folder(spark, "table")
+    wr.write_csv(ad.raw_strings(spark, d).select("custkey", "nationkey", F.col("flag").alias("label")), path, ["custkey", "nationkey", "label"])
+    df, label, groups = rd.scan_csv_table(spark, path)
+    return df.select("custkey", F.col(label).alias("label"), F.lit(",".join(groups)).alias("groups"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def scan_parquet(spark, d):
+    return rd.scan_parquet(spark, [f"{d}/orders.parquet"]).select("o_orderkey", "o_orderstatus")
+
+
+_DOC = T.StructType([T.StructField("acquisition_id", T.LongType()), T.StructField("trend_evidence", T.StructType([T.StructField("trend_value", T.DoubleType()), T.StructField("window_count", T.LongType())]))])
+
+
+@query("SELECT acquisition_id, max(ch_a_mean) AS trend_value, count(*) AS window_count FROM features GROUP BY acquisition_id", "trend_value")
+def scan_json_docs(spark, d):
+    path = shared_folder(spark, "docs")
+    g = ad.features(spark, d).groupBy("acquisition_id").agg(F.max("ch_a_mean").alias("v"), F.count("*").alias("n"))
+    doc = g.select(F.struct(F.col("v").alias("trend_value"), F.col("n").alias("window_count")).alias("trend_evidence"), "acquisition_id", F.col("acquisition_id").alias("doc"))
+    doc.repartition("doc").write.partitionBy("doc").json(path)  # a file a document
+    return rd.scan_json_docs(spark, path, _DOC, "trend_evidence").drop("doc")
+
+
+_EVENT = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("event_index", T.LongType()), T.StructField("payload", T.StringType())])
+
+
+@query("SELECT run_id % 4 AS kind, count(*) AS accepted, 0::BIGINT AS rejected FROM audit_log WHERE run_id % 4 <> 3 GROUP BY ALL UNION ALL SELECT -1, 0, count(*) FROM audit_log WHERE run_id % 4 = 3")
+def scan_audit_jsonl(spark, d):
+    """A quarter of the events is written as text that isn't JSON, with blank lines between."""
+    path = shared_folder(spark, "jsonl")
+    a = ad.audit_log(spark, d)
+    line = F.when(F.col("run_id") % 4 == 3, F.concat(F.lit("not json "), F.col("event_index").cast("string"))).otherwise(F.to_json(F.struct("run_id", "event_index", "payload")))
+    a.select(F.explode(F.array(line, F.lit("  "))).alias("value")).write.text(path)
+    rows, bad = rd.scan_jsonl(spark, path, _EVENT)
+    good = rows.groupBy((F.col("run_id") % 4).alias("kind")).agg(F.count("*").alias("accepted")).withColumn("rejected", F.lit(0).cast("long"))
+    return good.union(bad.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long"), F.lit(0).cast("long"), "n"))
+
+
+@query("SELECT event_id, user_id, (props->>'k')::BIGINT AS k FROM events")
+def explode_json_payload(spark, d):
+    return rd.explode_json_payload(ad.table(spark, d, "events").select("event_id", "user_id", "props"), "props", "k long")
+
+
+@query("SELECT o_orderstatus, count(*) AS rows, (SELECT count(*) FROM orders) AS written FROM orders GROUP BY o_orderstatus")
+def write_parquet_partitioned(spark, d):
+    path = shared_folder(spark, "partitioned")
+    n = wr.write_parquet_partitioned(ad.table(spark, d, "orders"), path, ["o_orderstatus"])
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("rows")).withColumn("written", F.lit(n).cast("long"))
+
+
+@query("SELECT n_name, n_regionkey, NULL::VARCHAR AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_name FROM region")
+def write_csv_json(spark, d):
+    path = shared_folder(spark, "fields")
+    n, r = ad.table(spark, d, "nation"), ad.table(spark, d, "region")
+    wr.write_csv(n, f"{path}/n", ["n_name", "n_regionkey"])
+    wr.write_json(r, f"{path}/r", ["r_name"])
+    a = spark.read.schema("n_name string, n_regionkey int").option("header", True).csv(f"{path}/n")
+    return wr.union_of_keys([a, spark.read.schema("r_name string").json(f"{path}/r")])
+
+
+@query("SELECT o_orderkey, 'append' AS outcome FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'conflict' FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 = 0")
+def idempotent_append(spark, d):
+    o = ad.table(spark, d, "orders").select("o_orderkey", F.sha2(F.col("o_orderstatus"), 256).alias("h"))
+    stored = o.where("o_orderkey % 3 <> 0").withColumn("h", F.when((F.col("o_orderkey") % 3 == 1) & (F.col("o_orderkey") % 5 == 0), "x").otherwise(F.col("h")))
+    fresh, conflicts = wr.idempotent_append(stored, o, ["o_orderkey"], "h")
+    return fresh.select("o_orderkey", F.lit("append").alias("outcome")).union(conflicts.select("o_orderkey", F.lit("conflict")))
+
+
+@query()
+def checksum_manifest(spark, d):
+    return rd.checksum_manifest(spark, d, "{region,nation,supplier,customer,part}.parquet")
+
+
+def _registry_sql(name: str, columns: str) -> str:
+    row = " || '|' || ".join(f"coalesce({c}::VARCHAR, '')" for c in columns.split())
+    return f"SELECT '{name}' AS \"table\", count(*) AS records, sha256(count(*) || '|' || sum(('0x' || substr(sha256({row}), 1, 13))::BIGINT)) AS digest FROM {name}"
+
+
+@query(_registry_sql("nation", "n_nationkey n_name n_regionkey") + " UNION ALL " + _registry_sql("part", "p_partkey p_name p_brand p_type p_size"))
+def attach_table_registry(spark, d):
+    return wr.table_registry({"nation": ad.table(spark, d, "nation"), "part": ad.table(spark, d, "part").drop("p_retailprice")})
+
+
+@query("SELECT p_name || p_partkey AS path, CASE p_partkey % 4 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'NEW' ELSE 'CHANGED' END AS status FROM part WHERE p_partkey % 4 < 3")
+def compare_checksums(spark, d):
+    p = ad.table(spark, d, "part").select("p_partkey", F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"), F.sha2(F.col("p_brand"), 256).alias("sha256"))
+    k = F.col("p_partkey") % 4
+    after = p.where(k != 0).withColumn("sha256", F.when(k == 2, "x").otherwise(F.col("sha256")))
+    return wr.compare_checksums(p.where(k != 1), after)

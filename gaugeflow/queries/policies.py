@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import argmax_name  # noqa: F401
 from ..operators import policy as po
 from ..plans import adapters as ad
 from ._registry import query

@@ -1 +1,51 @@
-"""Queries."""
+"""Streaming operators (N), run over all their input; each has a batch twin that the SQL says again."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import adapters as ad
+from ..plans.storage import shared_folder
+from ..streaming import online as on
+from ._registry import query
+from .audits import _CHAIN
+from .trending import _EXP
+
+
+@query(f"SELECT acquisition_id, window_order, {ad.WIDTH} AS n, ch_a_mean AS mean FROM features", "mean")
+def stream_windows(spark, d):
+    e = ad.table(spark, d, "events")
+    s = on.read_stream(spark, e, d, "events.parquet").select(F.col("user_id").alias("acquisition_id"), "ts", "event_id", "value")
+    return on.run_available(on.stream_windows(s, ad.WIDTH), "stream-windows")
+
+
+def _window_stream(spark, d, boundary, arrival):
+    """The windows as a stream of files."""
+    path = shared_folder(spark, "windows")
+    w = ad.features(spark, d).select("acquisition_id", "window_order", F.col("ch_a_mean").alias("y")).withColumn("boundary", boundary).withColumn("arrival", arrival)
+    w.write.parquet(path)
+    return on.read_stream(spark, w, path)
+
+
+_ONLINE = _EXP | {"online": "SELECT acquisition_id, window_order, CASE WHEN window_order < 3 THEN 'INSUFFICIENT_HISTORY' ELSE 'FIT_OK' END AS status FROM features"}
+
+
+@query("SELECT o.acquisition_id, window_order, status, trend_value, first_derivative, fit_rmse FROM online o LEFT JOIN evidence e ON e.acquisition_id = o.acquisition_id || '@' || window_order", "trend_value first_derivative fit_rmse", _ONLINE)
+def online_trend(spark, d):
+    return on.run_available(on.online_trend(_window_stream(spark, d, F.lit(1000).cast("long"), F.col("window_order"))), "online-trend")
+
+
+@query("SELECT acquisition_id, window_order, CASE WHEN window_order > 4 THEN 'FUTURE_WINDOW_FORBIDDEN' WHEN window_order IN (1, 3) THEN 'UNORDERED_WINDOWS' ELSE 'INSUFFICIENT_HISTORY' END AS status FROM features")
+def order_guard(spark, d):
+    """Windows 1 and 3 arrive late, those after 4 are beyond the boundary."""
+    late = F.when(F.col("window_order").isin(1, 3), F.col("window_order") + 100).otherwise(F.col("window_order"))
+    out = on.run_available(on.online_trend(_window_stream(spark, d, F.lit(4).cast("long"), late)), "order-guard")
+    return out.select("acquisition_id", "window_order", "status")
+
+
+@query("SELECT run_id, event_index, payload, previous_event_hash, event_hash FROM linked", views=_CHAIN)
+def append_audit(spark, d):
+    c = ad.table(spark, d, "conversations")
+    s = on.read_stream(spark, c, d, "conversations.parquet")
+    e = s.select(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("event_index"), F.concat_ws(":", "role", "text").alias("payload"))
+    return on.run_available(on.append_audit(e), "append-audit")

@@ -60,6 +60,12 @@ def window_spectral_features(spark, d):
     return fe.spectral_features(ad.samples(spark, d), CHANNELS, W8, 50.0)
 
 
+@query("SELECT acquisition_id, window_order, ch_a_dominant_frequency, ch_b_dominant_frequency, 6.25::DOUBLE AS resolution, 25.0::DOUBLE AS nyquist FROM (" + _dft_sql() + ")", "ch_a_dominant_frequency ch_b_dominant_frequency")
+def dominant_frequency(spark, d):
+    f = fe.spectral_features(ad.samples(spark, d), CHANNELS, W8, 50.0)
+    return f.select("acquisition_id", "window_order", "ch_a_dominant_frequency", "ch_b_dominant_frequency", F.lit(50.0 / W8).alias("resolution"), F.lit(25.0).alias("nyquist"))
+
+
 @query(f"SELECT acquisition_id, window_order, canonical_class, len([{', '.join(NAMES)}])::INTEGER AS n, list_sum([{', '.join(NAMES)}]) AS total, '{{\"n\":22,\"first\":\"ch_a_mean\",\"last\":\"ch_b_crest\"}}' AS provenance FROM labelled_features", "total")
 def assemble_feature_row(spark, d):
     rows = fe.assemble_features(ad.features(spark, d), NAMES, ad.acquisitions(spark, d))
