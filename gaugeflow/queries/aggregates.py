@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as ag, deviation as de, reference as rf
 from ..plans import adapters as ad
+from ..plans.storage import stored
 from ..schemas import BASELINE, CLASSES
 from ._registry import query
 
@@ -93,7 +94,7 @@ _DEV = {
 
 
 def _scored(spark, d):
-    r = _rows(spark, d)
+    r = stored(_rows(spark, d), "rows")
     scorer = de.invert_precision(de.fit_covariance(r, ["view_id"]), ["view_id"])
     m = de.mahalanobis(r, scorer, ["view_id"]).withColumn("d2", F.round("d2", 9))
     return de.deviation_score(m, ["view_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import saturate as saturated
 from ..operators import aggregate as ag, reference as rf, risk as rk, trends as tr
 from ..plans import adapters as ad
+from ..plans.storage import stored
 from ..schemas import BASELINE, CLASSES
 from ._registry import query
 from .aggregates import _DEV, _ENT, _EVIDENCE, _REF, _rows, _scored
@@ -38,16 +39,16 @@ _K = (
 
 def _evidence(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(acquisitions with their distance, trends, windows with deviation)."""
-    p = ad.predictions(spark, d)
-    windows = p.join(_scored(spark, d).select("view_id", "acquisition_id", "window_order", "deviation"), ["view_id", "acquisition_id", "window_order"])
+    p = stored(ad.predictions(spark, d), "predictions")
+    windows = stored(p.join(_scored(spark, d).select("view_id", "acquisition_id", "window_order", "deviation"), ["view_id", "acquisition_id", "window_order"]), "windows")
     r = _rows(spark, d)
     dist = rf.reference_distance(r, rf.fit_reference(r, ["view_id"], BASELINE), ["view_id"]).groupBy(*KEYS).agg(F.avg("healthy_distance").alias("healthy_distance"))
-    acq = ag.aggregate_evidence(p, KEYS, CLASSES).join(dist, KEYS)
+    acq = stored(ag.aggregate_evidence(p, KEYS, CLASSES).join(dist, KEYS), "acquisitions")
     s = ad.features(spark, d).select("acquisition_id", "window_order", F.col("ch_a_mean").alias("y"))
     trends = tr.with_status(s, tr.descriptors(tr.linear_fit(s)))
     model = F.explode(F.array(F.struct(F.lit("bspline").alias("trend_model"), F.lit(0.02).alias("f")), F.struct(F.lit("half").alias("trend_model"), F.lit(0.01).alias("f"))))
     trends = trends.select("acquisition_id", "fit_status", "uncertainty", model.alias("m")).select("acquisition_id", "fit_status", "m.trend_model", (F.col("uncertainty") * F.col("m.f")).alias("uncertainty"))
-    return acq, trends, windows
+    return acq, stored(trends, "trends"), windows
 
 
 def _risk(spark, d) -> tuple[DataFrame, DataFrame]:
