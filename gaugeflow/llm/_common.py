@@ -36,12 +36,11 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, shards: int) -> DataFrame:
     """(shard, y, text) of labelled rows outside the held-out fifth, at most about `max_rows` of them.
 
-    Rows are picked and dealt to shards by the hash of their text, so neither the row order nor the partitioning matters.
-    Only ids and labels are counted before the cut, and only the picked texts are shuffled.
+    Ids are picked from the labels by their hash, so the result doesn't depend on order or partitioning. The picked ids are
+    bounded by `max_rows`, so they are broadcast; of the documents only the picked texts are shuffled.
     """
-    ids = docs.select("doc_id", "text")
     marks = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
     total = max(1, marks.count())
-    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), "doc_id"), F.lit(1_000_000))
-    picked = ids.where(part < int(1_000_000 * min(1.0, max_rows / total)))
-    return picked.join(marks, "doc_id").select(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), "y", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / total)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.select(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), "y", F.coalesce("text", F.lit("")).cast("binary").alias("text"))

@@ -60,8 +60,11 @@ def test_simhash(docs):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6)} <= got
     assert simhash.near_duplicates(docs).count() == len(ROWS)
-    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()]
-    assert len(kept) == len(set(kept)) and 1 in kept and 2 not in kept
+    wide = {(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(docs).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (4, 4), (5, 5)} <= wide
+    for drop in (simhash.drop_near_duplicates, simhash.drop_similar):
+        kept = [r["doc_id"] for r in drop(docs).collect()]
+        assert len(kept) == len(set(kept)) and 1 in kept and 2 not in kept
 
 
 def test_mixing(docs):
@@ -203,5 +206,5 @@ def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     turns = spark.createDataFrame([], "pair_id long, side string, turn long, role string, text string")
-    tables = [exact_dedup.exact_classes(none), simhash.near_duplicates(none), mixing.mix(none), secrets.scan(none), decontaminate.contamination(none, bench), url_filter.judge(pages, {"com/": "allow"}), preference.preference_pairs(turns), warc.derivatives(warc.responses(pages, "x"))]
+    tables = [exact_dedup.exact_classes(none), simhash.near_duplicates(none), simhash.similar_documents(none), mixing.mix(none), secrets.scan(none), decontaminate.contamination(none, bench), url_filter.judge(pages, {"com/": "allow"}), preference.preference_pairs(turns), warc.derivatives(warc.responses(pages, "x"))]
     assert [t.count() for t in tables] == [0] * len(tables)

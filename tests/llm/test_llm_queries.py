@@ -79,6 +79,29 @@ def test_links_of_a_dense_group(spark, monkeypatch):
     assert got == plain_components(list(range(len(fps))), fps, 4)
 
 
+def test_similar_documents_against_all_pairs(spark):
+    """Classes at a shingle similarity of 0.8: recall of links, and hardly anything joined that all pairs keep apart."""
+    docs = spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet")).select("doc_id", "text")
+    base = [r for r in docs.collect() if len(r["text"].split()) > 150][:150]
+    changed = []
+    for n, r in enumerate(base):
+        words = r["text"].split()
+        for k in range(5, len(words), max(60, len(words) // 3)):
+            words[k] = f"changed{n}"
+        changed.append((10_000 + r["doc_id"], " ".join(words)))
+    table = docs.unionByName(spark.createDataFrame(changed, "doc_id long, text string")).withColumn("node", F.lit("clash"))
+    texts = {r["doc_id"]: r["text"].lower().split() for r in table.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(table).collect()}
+    assert set(got) == set(texts)
+    near = [(i - 10_000, i) for i in texts if i >= 10_000]
+    alike = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 100 and sum(got[a] == got[b] for a, b in alike) >= 0.95 * len(alike)
+    joined = {i: c for i, c in got.items() if i != c}
+    best = [max(len(sets[i] & sets[k]) / len(sets[i] | sets[k]) for k in texts if k != i and got[k] == c) for i, c in joined.items()]
+    assert sum(x < 0.7 for x in best) <= 0.02 * len(best)
+
+
 @pytest.mark.parametrize(("name", "label"), [("op1_quality", "quality"), ("op8_toxicity", "toxic")])
 def test_held_out_labels(spark, name, label):
     folder = str(DATA / "sf0.1")
