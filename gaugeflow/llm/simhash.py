@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import written
 
@@ -126,135 +126,160 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
 
 
 WORDS = 4
-FAMILIES = 64
-RUNS = 5
-NEIGHBOURS = 6
+FAMILIES = 20
+ANCHORS = 4
+RUN = 4
+#: Odd multipliers that turn one hash of a shingle into the orders whose smallest shingles are the anchors.
+_ORDERS = np.random.default_rng(5).integers(0, 1 << 63, FAMILIES * ANCHORS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_simhash(text: bytes, shingle: int = 5) -> bytes:
-    """256-bit fingerprint: majority of the bits of two seeded 128-bit XXH3 hashes of the different word shingles."""
+def _shingles(text: bytes, shingle: int) -> set[bytes]:
+    """The different word shingles of a UTF-8 text; the whole sequence where it has fewer words."""
     words = text.lower().split()
-    join, digest = b" ".join, xxhash.xxh3_128_digest
-    shingles = {join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    raw = np.frombuffer(b"".join([digest(x, 1) + digest(x, 2) for x in shingles]), np.uint8).reshape(-1, 8 * WORDS)
-    counts = np.zeros(64 * WORDS, np.int64)
-    for k in range(0, len(raw), 1 << 13):
-        counts += np.unpackbits(raw[k : k + (1 << 13)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > len(raw), bitorder="little").tobytes()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
+def wide_simhash(text: bytes, shingle: int = 5) -> tuple[bytes, np.ndarray]:
+    """256-bit fingerprint, and the anchors that go into each family's cell.
+
+    The fingerprint is the majority of the bits of two seeded 128-bit XXH3 hashes of the different shingles; an anchor is
+    the smallest hash of a shingle in one of the fixed orders, so two texts share it as often as their sets are similar.
+    """
+    digest = xxhash.xxh3_128_digest
+    raw = np.frombuffer(b"".join([digest(x, 1) + digest(x, 2) for x in _shingles(text, shingle)]), np.uint8).reshape(-1, 8 * WORDS)
+    counts, least = np.zeros(64 * WORDS, np.int64), np.full(len(_ORDERS), np.iinfo(np.uint64).max)
+    for k in range(0, len(raw), 1 << 12):
+        part = raw[k : k + (1 << 12)]
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        first = np.ascontiguousarray(part[:, :8]).view("<u8")
+        least = np.minimum(least, (first * _ORDERS).min(0))
+    return np.packbits(2 * counts > len(raw), bitorder="little").tobytes(), least
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, w0 .. w3) for every row; a null text counts as empty."""
-    names = [f"w{k}" for k in range(WORDS)]
+    """(doc_id, w0 .. w3, anchors) for every row, anchors holding one hash of each family's; a null text counts as empty."""
+    names = [*[f"w{k}" for k in range(WORDS)], "anchors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = np.frombuffer(b"".join(wide_simhash(t, shingle) for t in b.column("text").to_pylist()), "<i8").reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(raw[:, k])) for k in range(WORDS)]], ["doc_id", *names])
+            found = [wide_simhash(t, shingle) for t in b.column("text").to_pylist()]
+            bits = np.frombuffer(b"".join(x for x, _ in found), "<i8").reshape(-1, WORDS)
+            anchors = [[xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in least.reshape(FAMILIES, ANCHORS)] for _, least in found]
+            columns = [*[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)], pa.array(anchors, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *names])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    kinds = ", ".join(f"{n} long" for n in names[:-1])
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}, anchors array<long>")
 
 
-def _wide_cells(nodes: DataFrame, families: int) -> DataFrame:
-    """(cell, node): the segment counts of a few runs of four bits each, drawn once and for all for every family."""
-    rng = np.random.default_rng(64)
-    words = [F.col(f"w{k}") for k in range(WORDS)]
+def _wide_cells(nodes: DataFrame) -> DataFrame:
+    """(cell, node): in each family a node's anchors and the segment counts of one run of bits are its grid cell."""
     keys = []
-    for f in range(families):
-        masks = [0] * WORDS
-        for r in rng.choice(16 * WORDS, RUNS, replace=False):
-            masks[r // 16] |= 0b111 << 4 * int(r % 16)  # the three segments inside the run
-        parts = [x.bitwiseAND(F.lit(m)) for w, m in zip(words, masks, strict=True) if m for x in segment_counts(w)]
-        keys.append(F.xxhash64(F.lit(f), *parts))
+    for f in range(FAMILIES):
+        mask = F.lit((1 << RUN - 1) - 1 << RUN * (f // WORDS))
+        some, both = segment_counts(F.col(f"w{f % WORDS}"))
+        keys.append(F.xxhash64(F.lit(f), F.get("anchors", F.lit(f)), some.bitwiseAND(mask), both.bitwiseAND(mask)))
     return nodes.select("node", F.explode(F.array(*keys)).alias("cell"))
 
 
-def _wide_distance(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with d, after the Manhattan bound; the fingerprints come by two joins."""
+def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of at most `most` differing bits as (a, b, d): the Manhattan bound first, then the bits themselves."""
     side = lambda n: nodes.select(F.col("node").alias(n), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(WORDS)])
     j = pairs.join(side("a"), "a").join(side("b"), "b")
-    return j.select("a", "b", sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0)).alias("d"))
-
+    counts = [xy for k in range(WORDS) for xy in zip(segment_counts(F.col(f"a{k}")), segment_counts(F.col(f"b{k}")), strict=True)]
+    bound = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in counts), F.lit(0))
+    d = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
+    return j.where(bound <= 2 * most).select("a", "b", d.alias("d")).where(F.col("d") <= most)
 
-def _jaccard(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, similarity): exact similarity of the word-shingle sets of two documents, read whole."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["doc_id"])
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = written(text.join(needed, "doc_id", "left_semi"), "texts")
-    j = pairs.join(text.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(text.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
 
-    def shingles(t: bytes) -> set:
-        w = t.lower().split()
-        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets of word shingles have at least this Jaccard similarity, by the whole texts."""
+    j = pairs.select("a", "b").join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            sound = []
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                p, q = shingles(x), shingles(y)
-                out.append(len(p & q) / len(p | q))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+                p, q = _shingles(x, shingle), _shingles(y, shingle)
+                sound.append(len(p & q) >= similarity * len(p | q) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(sound, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return j.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return j.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, families: int = FAMILIES) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(doc_id, component_id): classes of documents linked by a Jaccard similarity of `similarity` or more of their word shingles.
 
-    256-bit fingerprints differ in a share t / pi of their bits, t being the angle of the sets; candidates share the segment
-    counts of five runs of four bits in one of `families` families of grid cells, and are at most three standard deviations
-    beyond the share that the similarity gives. Links so near that the estimate leaves no doubt are taken; of the others
-    those between different components are verified on the whole texts. A pair at exactly 0.8 shares a cell with
-    probability 0.92, one at 0.9 with 0.999. In a cell each member meets its neighbours in order; cells with more members
-    are gone through again for members of different components, against all of the cell.
+    256-bit fingerprints differ in a share t / pi of their bits, t being the angle of the sets. At a similarity of 0.8 that
+    is 15 of 100 bits: cells of fingerprint bits alone are then so wide that chance pairs grow with the square of the
+    documents, so a grid cell is four anchors (smallest shingles) with the segment counts of a run of four bits, in one of
+    20 families. A pair at exactly 0.8 shares a cell with probability 0.99, one at 0.9 with 0.9999. Candidates pass the Manhattan bound and the distance, up to
+    three standard deviations beyond the share that the similarity gives, and every link is verified on the whole texts.
+
+    A cell's members meet three representatives; the members of different components meet afterwards, so no link between
+    components is lost in a cell. Each document is first verified against its nearest candidate, and then only where
+    components differ.
 
-    Null and empty texts are one class; a repeated doc_id counts as one document; an empty table gives an empty result.
+    Null and empty texts are one class; rows of a repeated doc_id share a class, the least of theirs; a null doc_id is no
+    row of the result; an empty table gives an empty result; other columns of `docs` are not read.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    spread = 3 * np.sqrt(angle * (1 - angle) * 64 * WORDS)
-    far, sure = int(angle * 64 * WORDS + spread), int(angle * 64 * WORDS - 2 * spread / 3)
-    fps = written(wide_fingerprints(docs, shingle), "fingerprints")
+    most = int(64 * WORDS * angle + 3 * np.sqrt(64 * WORDS * angle * (1 - angle)))
     names = [f"w{k}" for k in range(WORDS)]
-    nodes = written(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
-    cells = _wide_cells(nodes, families)
-    order = W.partitionBy("cell").orderBy("node")
-    near = cells.withColumn("_b", F.array_compact(F.array(*[F.lag("node", k).over(order) for k in range(1, NEIGHBOURS + 1)])))
-    pairs = near.select(F.col("node").alias("a"), F.explode("_b").alias("b")).distinct()
-    close = written(_wide_distance(pairs, nodes).where(F.col("d") <= far), "close")
-
-    def linked(close: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """(node, root) after the links of `close`, on top of the components so far."""
-        known = close.where(F.col("d") <= sure).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    docs = docs.where("doc_id IS NOT NULL")
+    fps = written(wide_fingerprints(docs, shingle), "fingerprints")
+    nodes = written(fps.groupBy(*names).agg(F.min("doc_id").alias("node"), F.min_by("anchors", "doc_id").alias("anchors")), "nodes")
+    cells = _wide_cells(nodes)
+    heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"), F.min_by("node", F.xxhash64("node", "cell")).alias("z")).where("n > 1")
+    # The members of cells that hold several nodes; all that follows reads these only.
+    shared = written(cells.join(heads, "cell").select("cell", "node", F.array_distinct(F.array("x", "y", "z")).alias("heads")), "cells")
+    stars = shared.select("node", F.explode("heads").alias("head")).where("node <> head")
+    pairs = stars.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+    close = written(_close(pairs, nodes, most), "close")
+    wanted = written(shared.select("node").distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components."""
+        at = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+        return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+    def joined(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """(node, root) after the links among `pairs`, on top of the components so far."""
+        edges = _similar(pairs, texts, similarity, shingle).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if roots is not None:
-            known = known.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        first = written(components(known), "components")
-        at = lambda n: first.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
-        doubt = close.where(F.col("d") > sure).join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-        sound = _jaccard(written(doubt, "doubt"), docs, shingle).where(F.col("similarity") >= similarity)
-        return written(components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(sound.select("a", "b"))), "components")
-
-    roots = linked(close, None)
-    # Cells with more members than neighbours meet: those beyond the main component against all.
-    crowded = cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("cell"), "cell", "left_semi")
-    crowded = crowded.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
-    sizes = crowded.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("cell").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1").select("cell", "main")
-    inside = crowded.join(mixed, "cell")
+            edges = edges.union(roots.select("node", "root"))
+        return components(edges)
+
+    roots = joined(close.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")), None)
+    rest = written(apart(close, roots), "rest")
+    if not rest.isEmpty():
+        roots = joined(rest, roots)
+    # Members of one cell in different components: those beyond the largest component against all of the cell.
+    placed = shared.select("cell", "node").join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("cell").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1 AND n > 3").select("cell", "main")
+    inside = placed.join(mixed, "cell")
     left = inside.where("root <> main").select("cell", F.col("node").alias("a"), F.col("root").alias("ra"))
-    rest = left.join(inside.select("cell", F.col("node").alias("b"), F.col("root").alias("rb")), "cell").where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = written(_wide_distance(rest, nodes).where(F.col("d") <= far), "more")
+    right = inside.select("cell", F.col("node").alias("b"), F.col("root").alias("rb"))
+    more = left.join(right, "cell").where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = written(_close(more.join(close, ["a", "b"], "left_anti"), nodes, most), "more")
     if not more.isEmpty():
-        roots = linked(more, roots)
+        roots = joined(more, roots)
     classes = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return fps.join(classes, names).select("doc_id", "component_id")
+    return fps.join(classes, names).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, **params) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its class of similar documents; one row where that id is repeated."""
-    keep = similar_documents(docs, **params).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of `docs` whose doc_id is the smallest of its class of similar documents; one row where that id is repeated.
+
+    Only the ids that go are joined with the rows; of rows without an id one stays.
+    """
+    gone = written(similar_documents(docs, **params).where("doc_id <> component_id").select("doc_id"), "gone")
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
