@@ -137,7 +137,23 @@ def locate(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, bits: i
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, end long, sentence string, score double")
 
 
-def drop_toxic(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that score under `threshold`."""
-    bad = score(docs, weights).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def drop_toxic(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, bits: int = BITS) -> DataFrame:
+    """The rows of `docs` that score under `threshold`, each judged on its own text where it stands: nothing is shuffled.
+
+    A null text counts as empty; rows of a repeated doc_id are judged apart; all columns stay. A model that has learnt
+    nothing, for want of labelled rows, rejects nothing.
+    """
+    if not weights.any():
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for b in batches:
+            clean = []
+            for text in b.column("text").cast(pa.binary()).to_pylist():
+                owner, at, n = instances(text or b"", bits)
+                clean.append(noisy_or(_sentence_scores(w, owner, at, n, w[-1])) < threshold)
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -62,6 +62,8 @@ def test_simhash(docs):
     assert simhash.near_duplicates(docs).count() == len(ROWS)
     wide = {(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(docs).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (4, 4), (5, 5)} <= wide
+    nameless = docs.unionByName(docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    assert simhash.drop_similar(nameless).where("doc_id IS NULL").count() == 1
     for drop in (simhash.drop_near_duplicates, simhash.drop_similar):
         kept = [r["doc_id"] for r in drop(docs).collect()]
         assert len(kept) == len(set(kept)) and 1 in kept and 2 not in kept
@@ -127,7 +129,10 @@ def test_decontamination(spark, docs):
     blocks = decontaminate.contamination(text, bench, block_bytes=1)
     assert rows(blocks.withColumn("n", decontaminate.words_hit(F.col("spans"))), "doc_id", "n", "items") == rows(decontaminate.contamination(text, bench).withColumn("n", decontaminate.words_hit(F.col("spans"))), "doc_id", "n", "items")
     assert decontaminate.contamination(docs, bench.limit(0)).where(F.size("spans") > 0).count() == 0
-    assert rows(decontaminate.drop_contaminated(text, bench), "doc_id") == [(4,), (5,)]
+    wide = text.withColumn("item_id", F.lit("clash")).withColumn("tags", F.array(F.lit("a")))
+    for kept in (decontaminate.drop_contaminated(wide, bench), decontaminate.drop_contaminated(wide, bench, block_bytes=1)):
+        assert kept.columns == wide.columns and rows(kept, "doc_id", "text") == [(4, None), (5, "one two three")]
+    assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(ROWS)
 
 
 def test_classifiers(docs, labels):
@@ -147,7 +152,12 @@ def test_toxicity_locates_the_sentence(spark):
     found = toxicity.locate(df, w).collect()
     assert {r["doc_id"] for r in found} == {k for k, _, t in texts if t}
     assert all(r["sentence"].strip() == "you idiot." and texts[r["doc_id"]][1][r["start"] : r["end"]] == r["sentence"] for r in found)
-    assert {r["doc_id"] for r in toxicity.drop_toxic(df, w).collect()} == {k for k, _, t in texts if not t}
+    more = df.unionByName(spark.createDataFrame([(500, None, 0), (0, "you idiot.", 1)], df.schema)).withColumn("score", F.lit("clash"))
+    kept = toxicity.drop_toxic(more, w)
+    assert kept.columns == more.columns and {r["doc_id"] for r in kept.collect()} == {k for k, _, t in texts if not t} | {500}
+    assert kept.count() == 101 and toxicity.drop_toxic(df.limit(0), w).count() == 0
+    untaught = toxicity.train(df, df.select("doc_id", "toxic").limit(0))
+    assert toxicity.drop_toxic(df, untaught).count() == 200
 
 
 def test_urls(spark):
