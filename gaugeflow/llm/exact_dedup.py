@@ -54,7 +54,19 @@ def exact_classes(docs: DataFrame, digest: Callable[[Column], Column] = content_
     return judged(single).unionByName(judged(exact))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, one of each text."""
-    keep = exact_classes(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def drop_copies(docs: DataFrame, digest: Callable[[Column], Column] = content_hash) -> DataFrame:
+    """The rows of `docs` that stay, one of each text, whatever the ids: the row that exact_classes marks kept.
+
+    Rows are judged one by one by (doc_id, text, size), a null doc_id equal to itself; of rows that agree in all three, one
+    stays. The texts are shuffled by these, so rows of a large group are dealt over all tasks.
+    """
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), normalised(F.col("text")).alias("norm"))
+    rows = rows.withColumn("hash", digest(F.col("norm")))
+    best = F.min(F.struct((-F.col("size")).alias("size"), "doc_id")).alias("best")
+    classes = written(rows.groupBy("hash", "norm").agg(best).select("hash", F.sha2("norm", 256).alias("sha"), "best"), "classes")
+    # The text's SHA-256 goes into the name only where some hash stands for several texts.
+    collided = not classes.groupBy("hash").count().where("count > 1").isEmpty()
+    sha = lambda c: F.col(c) if c == "sha" else F.sha2(c, 256)
+    name = lambda doc_id, size, c: F.struct(doc_id.alias("doc_id"), size.alias("size"), "hash", *([sha(c).alias("sha")] if collided else [])).alias("name")
+    keep = classes.select(name(F.col("best.doc_id"), -F.col("best.size"), "sha"))
+    return rows.select(name(F.col("doc_id"), F.col("size"), "norm"), "row").join(keep, "name", "left_semi").dropDuplicates(["name"]).select("row.*")

@@ -156,8 +156,13 @@ def wide_simhash(text: bytes, shingle: int = 5) -> tuple[bytes, np.ndarray]:
     return np.packbits(2 * counts > len(raw), bitorder="little").tobytes(), least
 
 
+def row_name() -> Column:
+    """(doc_id, MD5 of the text): what tells rows apart, so that texts without an id or with a repeated one aren't taken for each other."""
+    return F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, w0 .. w3, anchors) for every row, anchors holding one hash of each family's; a null text counts as empty."""
+    """(name, w0 .. w3, anchors) for every row, anchors holding one hash of each family's; a null text counts as empty."""
     names = [*[f"w{k}" for k in range(WORDS)], "anchors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +171,11 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
             bits = np.frombuffer(b"".join(x for x, _ in found), "<i8").reshape(-1, WORDS)
             anchors = [[xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in least.reshape(FAMILIES, ANCHORS)] for _, least in found]
             columns = [*[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)], pa.array(anchors, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column("name"), *columns], ["name", *names])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(row_name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     kinds = ", ".join(f"{n} long" for n in names[:-1])
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}, anchors array<long>")
+    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, {kinds}, anchors array<long>")
 
 
 def _wide_cells(nodes: DataFrame) -> DataFrame:
@@ -209,8 +214,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return j.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id): classes of documents linked by a Jaccard similarity of `similarity` or more of their word shingles.
+def similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(name, least): classes of rows, named by row_name, linked by a Jaccard similarity of `similarity` or more of their word shingles.
 
     256-bit fingerprints differ in a share t / pi of their bits, t being the angle of the sets. At a similarity of 0.8 that
     is 15 of 100 bits: cells of fingerprint bits alone are then so wide that chance pairs grow with the square of the
@@ -222,15 +227,16 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     components is lost in a cell. Each document is first verified against its nearest candidate, and then only where
     components differ.
 
-    Null and empty texts are one class; rows of a repeated doc_id share a class, the least of theirs; a null doc_id is no
-    row of the result; an empty table gives an empty result; other columns of `docs` are not read.
+    least is the smallest name of the class, a null doc_id being the smallest. Null and empty texts are one class;
+    repeated rows keep their own output rows; an empty table gives an empty result; other columns of `docs` are not read.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(64 * WORDS * angle + 3 * np.sqrt(64 * WORDS * angle * (1 - angle)))
     names = [f"w{k}" for k in range(WORDS)]
-    docs = docs.where("doc_id IS NOT NULL")
     fps = written(wide_fingerprints(docs, shingle), "fingerprints")
-    nodes = written(fps.groupBy(*names).agg(F.min("doc_id").alias("node"), F.min_by("anchors", "doc_id").alias("anchors")), "nodes")
+    # Nodes are numbered as they are written, so that a number stays the same from here on.
+    nodes = fps.groupBy(*names).agg(F.min("name").alias("name"), F.min_by("anchors", "name").alias("anchors"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     cells = _wide_cells(nodes)
     heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"), F.min_by("node", F.xxhash64("node", "cell")).alias("z")).where("n > 1")
     # The members of cells that hold several nodes; all that follows reads these only.
@@ -238,9 +244,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     stars = shared.select("node", F.explode("heads").alias("head")).where("node <> head")
     pairs = stars.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
     close = written(_close(pairs, nodes, most), "close")
-    wanted = written(shared.select("node").distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    texts = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    wanted = written(nodes.select("name", "node").join(shared.select("node").distinct(), "node"), "wanted")
+    texts = docs.select(row_name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = written(texts.join(wanted, "name").dropDuplicates(["name"]).select("node", "text"), "texts")
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components."""
@@ -269,17 +275,28 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     more = written(_close(more.join(close, ["a", "b"], "left_anti"), nodes, most), "more")
     if not more.isEmpty():
         roots = joined(more, roots)
-    classes = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return fps.join(classes, names).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    classes = written(nodes.join(roots, "node", "left").select(*names, "name", F.coalesce("root", "node").alias("root")), "classes")
+    least = classes.groupBy("root").agg(F.min("name").alias("least"))
+    return fps.select("name", *names).join(classes.select(*names, "root"), names).join(least, "root").select("name", "least")
+
+
+def similar_documents(docs: DataFrame, **params) -> DataFrame:
+    """(doc_id, component_id): the classes of similar_rows by the smallest doc_id of each.
+
+    Rows of a repeated doc_id share a class, the least of theirs; a null doc_id is no row of the result.
+    """
+    rows = similar_rows(docs.where("doc_id IS NOT NULL"), **params)
+    return rows.groupBy("name.doc_id").agg(F.min("least.doc_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, **params) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its class of similar documents; one row where that id is repeated.
+    """The rows of `docs` that are the smallest of their class of similar documents by doc_id, a null one being the smallest, then by text; one of equal rows.
 
-    Only the ids that go are joined with the rows; of rows without an id one stays.
+    Only the names that go are joined with the rows. Rows with one doc_id, or none, and texts that aren't similar all stay.
     """
-    gone = written(similar_documents(docs, **params).where("doc_id <> component_id").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    gone = written(similar_rows(docs, **params).where("name <> least").select("name"), "gone")
+    named = docs.select(row_name().alias("name"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return named.join(gone, "name", "left_anti").dropDuplicates(["name"]).select("row.*")
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:

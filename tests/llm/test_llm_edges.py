@@ -218,3 +218,15 @@ def test_empty_tables(spark, docs):
     turns = spark.createDataFrame([], "pair_id long, side string, turn long, role string, text string")
     tables = [exact_dedup.exact_classes(none), simhash.near_duplicates(none), simhash.similar_documents(none), mixing.mix(none), secrets.scan(none), decontaminate.contamination(none, bench), url_filter.judge(pages, {"com/": "allow"}), preference.preference_pairs(turns), warc.derivatives(warc.responses(pages, "x"))]
     assert [t.count() for t in tables] == [0] * len(tables)
+
+
+def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
+    """Null and repeated ids: one row of each text stays after exact dedup, one of each class after near dedup."""
+    long = " ".join(f"w{k}" for k in range(60))
+    texts = [(None, "only here"), (None, "nor is this one"), (1, "copy of"), (None, "copy  of"), (2, "copy of"), (3, "one text"), (3, "another text"), (3, "another text"), (None, long), (4, long + " more"), (5, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("name", F.lit("clash")).withColumn("row", F.lit("clash"))
+    for digest in (exact_dedup.content_hash, lambda c: F.substring(F.md5(c.cast("binary")), 1, 0)):
+        kept = exact_dedup.drop_copies(df, digest)
+        assert kept.columns == df.columns
+        assert rows(kept, "doc_id", "text") == sorted([texts[0], texts[1], texts[3], texts[5], texts[6], texts[8], texts[9], texts[10]], key=str)
+    assert rows(simhash.drop_similar(df), "doc_id", "text") == sorted([texts[0], texts[1], texts[3], texts[5], texts[6], texts[8], texts[10]], key=str)
