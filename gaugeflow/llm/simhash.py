@@ -126,11 +126,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
 
 
 WORDS = 4
-FAMILIES = 20
-ANCHORS = 4
-RUN = 4
-#: Odd multipliers that turn one hash of a shingle into the orders whose smallest shingles are the anchors.
-_ORDERS = np.random.default_rng(5).integers(0, 1 << 63, FAMILIES * ANCHORS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles found so often within one batch of rows are counted, and so many of the most frequent ones are told to the tasks.
+OFTEN = 4
+COMMON = 1 << 16
 
 
 def _shingles(text: bytes, shingle: int) -> set[bytes]:
@@ -140,20 +138,46 @@ def _shingles(text: bytes, shingle: int) -> set[bytes]:
 
 
 def wide_simhash(text: bytes, shingle: int = 5) -> tuple[bytes, np.ndarray]:
-    """256-bit fingerprint, and the anchors that go into each family's cell.
+    """256-bit fingerprint, and the sorted 64-bit hashes of the different shingles.
 
-    The fingerprint is the majority of the bits of two seeded 128-bit XXH3 hashes of the different shingles; an anchor is
-    the smallest hash of a shingle in one of the fixed orders, so two texts share it as often as their sets are similar.
+    The fingerprint is the majority of the bits of two seeded 128-bit XXH3 hashes of the different shingles.
     """
     digest = xxhash.xxh3_128_digest
     raw = np.frombuffer(b"".join([digest(x, 1) + digest(x, 2) for x in _shingles(text, shingle)]), np.uint8).reshape(-1, 8 * WORDS)
-    counts, least = np.zeros(64 * WORDS, np.int64), np.full(len(_ORDERS), np.iinfo(np.uint64).max)
+    counts = np.zeros(64 * WORDS, np.int64)
     for k in range(0, len(raw), 1 << 12):
-        part = raw[k : k + (1 << 12)]
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        first = np.ascontiguousarray(part[:, :8]).view("<u8")
-        least = np.minimum(least, (first * _ORDERS).min(0))
-    return np.packbits(2 * counts > len(raw), bitorder="little").tobytes(), least
+        counts += np.unpackbits(raw[k : k + (1 << 12)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(raw), bitorder="little").tobytes(), np.unique(np.ascontiguousarray(raw[:, :8]).view("<i8"))
+
+
+def common_shingles(docs: DataFrame, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), sorted by hash, of the most frequent shingles: repeated lines, passages and licenses.
+
+    A task counts within its batches and tells what occurs in several texts of one; the order of prefixes follows from the
+    result, never which links are found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, 1)[:8] for x in _shingles(t, shingle)]), "<i8") for t in b.column("text").to_pylist()]
+            found, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, "<i8"),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(found[n >= OFTEN]), pa.array(n[n >= OFTEN].astype("<i8"))], ["hash", "n"])
+
+    counts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    rows = sorted((r["hash"], r["n"]) for r in counts.orderBy(F.desc("n"), "hash").limit(COMMON).collect())
+    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in the order of rarity, as many as any set of this similarity must share one of."""
+    known, n = common
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, n[at], 0)
+    # Links hold at least similarity times the larger set in common, so all but so many shingles of either and one more.
+    most = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    return hashes[np.argsort(rank, kind="stable")[:most]]
 
 
 def row_name() -> Column:
@@ -161,41 +185,30 @@ def row_name() -> Column:
     return F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(name, w0 .. w3, anchors) for every row, anchors holding one hash of each family's; a null text counts as empty."""
-    names = [*[f"w{k}" for k in range(WORDS)], "anchors"]
+def wide_fingerprints(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(name, w0 .. w3, size, prefix) for every row: the number of different shingles and the prefix; a null text counts as empty."""
+    names = [*[f"w{k}" for k in range(WORDS)], "size", "prefix"]
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [wide_simhash(t, shingle) for t in b.column("text").to_pylist()]
             bits = np.frombuffer(b"".join(x for x, _ in found), "<i8").reshape(-1, WORDS)
-            anchors = [[xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in least.reshape(FAMILIES, ANCHORS)] for _, least in found]
-            columns = [*[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)], pa.array(anchors, pa.list_(pa.int64()))]
+            first = [prefix(x, sent.value, similarity) for _, x in found]
+            columns = [*[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)], pa.array([len(x) for _, x in found], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("name"), *columns], ["name", *names])
 
     rows = docs.select(row_name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     kinds = ", ".join(f"{n} long" for n in names[:-1])
-    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, {kinds}, anchors array<long>")
-
-
-def _wide_cells(nodes: DataFrame) -> DataFrame:
-    """(cell, node): in each family a node's anchors and the segment counts of one run of bits are its grid cell."""
-    keys = []
-    for f in range(FAMILIES):
-        mask = F.lit((1 << RUN - 1) - 1 << RUN * (f // WORDS))
-        some, both = segment_counts(F.col(f"w{f % WORDS}"))
-        keys.append(F.xxhash64(F.lit(f), F.get("anchors", F.lit(f)), some.bitwiseAND(mask), both.bitwiseAND(mask)))
-    return nodes.select("node", F.explode(F.array(*keys)).alias("cell"))
+    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, {kinds}, prefix array<long>")
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of at most `most` differing bits as (a, b, d): the Manhattan bound first, then the bits themselves."""
-    side = lambda n: nodes.select(F.col("node").alias(n), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(WORDS)])
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose numbers of shingles allow the similarity, as (a, b, d), d being the differing bits."""
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}n"), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(WORDS)])
     j = pairs.join(side("a"), "a").join(side("b"), "b")
-    counts = [xy for k in range(WORDS) for xy in zip(segment_counts(F.col(f"a{k}")), segment_counts(F.col(f"b{k}")), strict=True)]
-    bound = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in counts), F.lit(0))
     d = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
-    return j.where(bound <= 2 * most).select("a", "b", d.alias("d")).where(F.col("d") <= most)
+    return j.where(F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-6).select("a", "b", d.alias("d"))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -217,11 +230,10 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 def similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(name, least): classes of rows, named by row_name, linked by a Jaccard similarity of `similarity` or more of their word shingles.
 
-    256-bit fingerprints differ in a share t / pi of their bits, t being the angle of the sets. At a similarity of 0.8 that
-    is 15 of 100 bits: cells of fingerprint bits alone are then so wide that chance pairs grow with the square of the
-    documents, so a grid cell is four anchors (smallest shingles) with the segment counts of a run of four bits, in one of
-    20 families. A pair at exactly 0.8 shares a cell with probability 0.99, one at 0.9 with 0.9999. Candidates pass the Manhattan bound and the distance, up to
-    three standard deviations beyond the share that the similarity gives, and every link is verified on the whole texts.
+    Sets of that similarity share a shingle of their prefixes, in any order that all texts have in common; it goes by
+    rarity, so that what many texts repeat makes cells only where little else is in a text. A prefix's shingles are the
+    grid cells, so every link's ends share one whatever their length. Numbers of shingles bound the similarity; the
+    distance of 256-bit fingerprints says only which candidate is nearest. Every link is verified on the whole texts.
 
     A cell's members meet three representatives; the members of different components meet afterwards, so no link between
     components is lost in a cell. Each document is first verified against its nearest candidate, and then only where
@@ -230,20 +242,20 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
     least is the smallest name of the class, a null doc_id being the smallest. Null and empty texts are one class;
     repeated rows keep their own output rows; an empty table gives an empty result; other columns of `docs` are not read.
     """
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = int(64 * WORDS * angle + 3 * np.sqrt(64 * WORDS * angle * (1 - angle)))
     names = [f"w{k}" for k in range(WORDS)]
-    fps = written(wide_fingerprints(docs, shingle), "fingerprints")
+    fps = written(wide_fingerprints(docs, similarity, shingle), "fingerprints")
     # Nodes are numbered as they are written, so that a number stays the same from here on.
-    nodes = fps.groupBy(*names).agg(F.min("name").alias("name"), F.min_by("anchors", "name").alias("anchors"))
+    nodes = fps.groupBy(*names, "size").agg(F.min("name").alias("name"), F.min_by("prefix", "name").alias("prefix"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    cells = _wide_cells(nodes)
-    heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"), F.min_by("node", F.xxhash64("node", "cell")).alias("z")).where("n > 1")
+    cells = nodes.select("node", F.explode("prefix").alias("cell"))
     # The members of cells that hold several nodes; all that follows reads these only.
-    shared = written(cells.join(heads, "cell").select("cell", "node", F.array_distinct(F.array("x", "y", "z")).alias("heads")), "cells")
+    several = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    members = written(cells.join(several, "cell"), "members")
+    heads = members.groupBy("cell").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min_by("node", F.xxhash64("node", "cell")).alias("z"))
+    shared = written(members.join(heads, "cell").select("cell", "node", F.array_distinct(F.array("x", "y", "z")).alias("heads")), "cells")
     stars = shared.select("node", F.explode("heads").alias("head")).where("node <> head")
     pairs = stars.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    close = written(_close(pairs, nodes, most), "close")
+    close = written(_close(pairs, nodes, similarity), "close")
     wanted = written(nodes.select("name", "node").join(shared.select("node").distinct(), "node"), "wanted")
     texts = docs.select(row_name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     texts = written(texts.join(wanted, "name").dropDuplicates(["name"]).select("node", "text"), "texts")
@@ -272,12 +284,12 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
     left = inside.where("root <> main").select("cell", F.col("node").alias("a"), F.col("root").alias("ra"))
     right = inside.select("cell", F.col("node").alias("b"), F.col("root").alias("rb"))
     more = left.join(right, "cell").where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = written(_close(more.join(close, ["a", "b"], "left_anti"), nodes, most), "more")
+    more = written(_close(more.join(close, ["a", "b"], "left_anti"), nodes, similarity), "more")
     if not more.isEmpty():
         roots = joined(more, roots)
-    classes = written(nodes.join(roots, "node", "left").select(*names, "name", F.coalesce("root", "node").alias("root")), "classes")
+    classes = written(nodes.join(roots, "node", "left").select(*names, "size", "name", F.coalesce("root", "node").alias("root")), "classes")
     least = classes.groupBy("root").agg(F.min("name").alias("least"))
-    return fps.select("name", *names).join(classes.select(*names, "root"), names).join(least, "root").select("name", "least")
+    return fps.select("name", *names, "size").join(classes.select(*names, "size", "root"), [*names, "size"]).join(least, "root").select("name", "least")
 
 
 def similar_documents(docs: DataFrame, **params) -> DataFrame:

@@ -123,6 +123,17 @@ def test_similar_documents_against_all_pairs(spark):
     assert sum(got[i] != c for i, c in exact.items()) <= 0.01 * len(got)
 
 
+def test_similar_documents_finds_every_short_copy(spark):
+    """Texts of 6 to 30 words and the same with one word more, 20 of each length: the links of all pairs, none lost by chance."""
+    rng = np.random.default_rng(8)
+    texts = [[f"w{x}" for x in rng.integers(0, 50_000, n)] for n in range(6, 31) for _ in range(20)]
+    rows = [(2 * k + more, " ".join(t + ["more"] * more)) for k, t in enumerate(texts) for more in (0, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(table).collect()}
+    exact = plain_classes(shingle_sets(table.collect()))
+    assert sum(i != c for i, c in exact.items()) == 20 * 23 and got == exact
+
+
 def test_similar_documents_around_a_shared_passage(spark):
     """A passage in every document, a large group of near copies and short chains: the crowded cells lose and add nothing."""
     rng = np.random.default_rng(3)
