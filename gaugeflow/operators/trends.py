@@ -1,7 +1,7 @@
 """Trends over ordered windows.
 
-Input rows are (acquisition_id, window_order, y). Linear smoothers are joined as constant matrices (plans/smoothers), so a
-fit is one join and one sum; a failed fit keeps its row, with a status and nulls.
+Input rows are (acquisition_id, window_order, y). A spline has six basis functions at most, so a
+fit is six sums a series, a small matrix for its length, and the basis row by row; a failed fit keeps its row, with a status and nulls.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import finite, first_reason
-from ..plans.smoothers import reinsch, smoother_rows
+from ..plans.smoothers import pieces, reinsch, solver
 
 LEAST = 4
 PENALTY = 10.0
@@ -31,26 +31,48 @@ def validate_order(windows: DataFrame, key: str = "acquisition_id", arrival: str
     return g.select(key, first_reason((F.col("future"), "FUTURE_WINDOW_FORBIDDEN"), ((F.col("n") != F.col("k")) | F.col("back"), "UNORDERED_WINDOWS"), (F.col("bad"), "NON_FINITE_SIGNAL"), (F.col("n") < LEAST, "INSUFFICIENT_HISTORY"), ok="ORDER_OK").alias("status"))
 
 
-def _indexed(windows: DataFrame, key: Sequence[str], most: int) -> DataFrame:
-    """(key, n, i, y): index of each window in its series, and the series' length, for lengths the matrices cover."""
+def _indexed(windows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, n, i, y): index of each window in its series, and the series' length, for series that can be fitted."""
     w = W.partitionBy(*key)
     r = windows.withColumn("i", (F.row_number().over(w.orderBy("window_order")) - 1).cast("int")).withColumn("n", F.count("*").over(w).cast("int")).withColumn("_bad", F.count_if(~finite("y")).over(w))
-    return r.where((F.col("n") >= LEAST) & (F.col("n") <= most) & (F.col("_bad") == 0)).select(*key, "n", "i", "y")
+    return r.where((F.col("n") >= LEAST) & (F.col("_bad") == 0)).select(*key, "n", "i", "y")
 
 
-def linear_fit(windows: DataFrame, penalty: float = 0.0, key: Sequence[str] = ("acquisition_id",), most: int = 64) -> DataFrame:
-    """(key, n, i, y, fitted, d1, d2, edf) of the B-spline (penalty 0) or P-spline fit of every series of 4 to `most` windows.
+#: Cubic basis functions of a series of six windows or more.
+BASES = 6
 
-    The matrices for lengths up to `most` are a small table of fixed size, so they are broadcast; the sum over j combines.
+
+def _basis() -> tuple[Column, Column, Column]:
+    """The basis functions at window i of n as an array, and their first and second derivatives."""
+    m = F.least("n", F.lit(BASES)) - 3
+    x = F.col("i") * m / (F.col("n") - 1)
+    p = F.least(F.floor(x).cast("int"), m - 1)
+    table = F.array(*[F.array(*[F.array(*[F.lit(v) for v in c]) for c in functions]) for functions in pieces(BASES)])
+    u, here = x - p, F.get(table, (p + m * (m - 1) / 2).cast("int"))
+    value = F.transform(here, lambda c: c[0] + u * (c[1] + u * (c[2] + u * c[3])))
+    return value, F.transform(here, lambda c: m * (c[1] + u * (2 * c[2] + u * 3 * c[3]))), F.transform(here, lambda c: m * m * (2 * c[2] + u * 6 * c[3]))
+
+
+def linear_fit(windows: DataFrame, penalty: float = 0.0, key: Sequence[str] = ("acquisition_id",)) -> DataFrame:
+    """(key, n, i, y, fitted, d1, d2, edf) of the B-spline (penalty 0) or P-spline fit of every series of 4 windows or more.
+
+    The sums B'y combine before their shuffle; the inverse of the small normal matrix depends on the length alone and is
+    made once for each length that occurs.
     """
-    s = _indexed(windows, key, most)
-    # one matrix a length; the lengths that occur are a handful
-    sizes = sorted(r["n"] for r in s.select("n").distinct().collect())
-    rows = smoother_rows(sizes, penalty)
-    m = windows.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["n", "i", "j", "h", "h1", "h2", "edf"]) if rows else [], "n int, i int, j int, h double, h1 double, h2 double, edf double")
-    f = s.select(*key, "n", F.col("i").alias("j"), "y").join(F.broadcast(m), ["n", "j"])
-    f = f.groupBy(*key, "n", "i").agg(F.sum(F.col("h") * F.col("y")).alias("fitted"), F.sum(F.col("h1") * F.col("y")).alias("d1"), F.sum(F.col("h2") * F.col("y")).alias("d2"), F.first("edf").alias("edf"))
-    return s.join(f, [*key, "n", "i"])
+    s = _indexed(windows, key)
+    value, d1, d2 = _basis()
+    sums = s.withColumn("_b", value).groupBy(*key, "n").agg(F.array(*[F.sum(F.col("_b")[k] * F.col("y")) for k in range(BASES)]).alias("_by"))
+
+    def run(batches):
+        for b in batches:
+            found = [solver(int(n), penalty, BASES) for n in b["n"]]
+            yield pd.DataFrame({"n": b["n"], "_m": [m.tolist() for m, _ in found], "edf": [e for _, e in found]})
+
+    made = sums.select("n").distinct().mapInPandas(run, "n int, _m array<array<double>>, edf double")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    c = sums.join(made, "n").select(*key, "edf", F.transform("_m", lambda row: dot(row, F.col("_by"))).alias("_c"))
+    j = s.join(c, list(key))
+    return j.select(*key, "n", "i", "y", dot(value, F.col("_c")).alias("fitted"), dot(d1, F.col("_c")).alias("d1"), dot(d2, F.col("_c")).alias("d2"), "edf")
 
 
 def smoothing_fit(windows: DataFrame, budget: float = 0.25, key: Sequence[str] = ("acquisition_id",)) -> DataFrame:
@@ -75,7 +97,7 @@ def smoothing_fit(windows: DataFrame, budget: float = 0.25, key: Sequence[str] =
 
 def finite_difference_fit(windows: DataFrame, key: Sequence[str] = ("acquisition_id",)) -> DataFrame:
     """(key, n, i, y, fitted, d1, d2, edf): the values themselves, central differences at unit spacing, one-sided at the ends."""
-    s = _indexed(windows, key, 1 << 30)
+    s = _indexed(windows, key)
     w = W.partitionBy(*key).orderBy("i")
 
     def slope(c: str) -> Column:
@@ -105,14 +127,16 @@ def with_status(windows: DataFrame, evidence: DataFrame, key: Sequence[str] = ("
     return j.withColumn("fit_status", status).withColumn("reason", reason).drop("_bad")
 
 
-def expanding(windows: DataFrame, key: str = "acquisition_id", most: int = 64) -> DataFrame:
+def expanding(windows: DataFrame, key: str = "acquisition_id") -> DataFrame:
     """(key, boundary, window_order, y): each prefix of each series as a series of its own; what an online model sees.
 
-    Series are limited to `most` windows a prefix here: longer ones belong to the streaming operator.
+    The prefixes of n windows have n * (n + 1) / 2 rows, dealt out by the window that ends them.
     """
-    w = W.partitionBy(key).orderBy("window_order").rowsBetween(0, most - 1)
-    later = windows.withColumn("_b", F.collect_list("window_order").over(w))
-    return later.select(key, F.explode("_b").alias("boundary"), "window_order", "y")
+    w = W.partitionBy(key)
+    s = windows.withColumn("_i", F.row_number().over(w.orderBy("window_order"))).withColumn("_n", F.count("*").over(w).cast("int"))
+    ends = s.select(key, F.col("_i").alias("_j"), F.col("window_order").alias("boundary"))
+    later = s.select(key, "window_order", "y", F.explode(F.sequence("_i", "_n")).alias("_j"))
+    return later.join(ends, [key, "_j"]).select(key, "boundary", "window_order", "y")
 
 
 def status_counts(evidence: DataFrame) -> DataFrame:

@@ -68,6 +68,31 @@ def smoother_rows(sizes, penalty: float = 0.0) -> list[tuple]:
     return out
 
 
+def pieces(most: int = 6) -> list[list[list[float]]]:
+    """The cubic basis functions as powers of the place 0 .. 1 within a knot interval, for 4, 5 .. `most` functions in turn.
+
+    An entry an interval: `most` functions by four coefficients, zero for functions that aren't there.
+    """
+    u = np.linspace(0.1, 0.9, 4)
+    out = []
+    for k in range(4, most + 1):
+        for p in range(k - 3):
+            c = np.linalg.solve(np.vander(u, 4, increasing=True), basis((p + u) / (k - 3), knots(k), 3)).T
+            out.append(np.vstack([c, np.zeros((most - k, 4))]).tolist())
+    return out
+
+
+def solver(n: int, penalty: float = 0.0, most: int = 6) -> tuple[np.ndarray, float]:
+    """(M, effective degrees of freedom): coefficients are M times the sums B'y, whatever the length; zero beyond the basis."""
+    b = basis(np.linspace(0, 1, n), knots(n), 3)
+    k, gram = b.shape[1], b.T @ b
+    p = np.diff(np.eye(k), 2, axis=0)
+    least = np.linalg.pinv(b)
+    m = np.linalg.inv(gram + penalty * p.T @ p) if penalty else least @ least.T
+    edf = float(np.trace(m @ gram)) if penalty else float(np.linalg.matrix_rank(b))
+    return np.pad(m, (0, most - k)), edf
+
+
 def reinsch(y: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
     """Natural cubic smoothing spline (Reinsch 1967) at 0 .. 1 whose squared residuals sum to `budget` at most.
 
