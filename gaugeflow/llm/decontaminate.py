@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._common import written
+
 #: Lower-cases A-Z and blanks every byte that isn't part of a word [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -92,23 +94,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
     """(doc_id, n_words, spans, items) of every row: the spans of words hit, as [start, end), and the sorted ids of items found.
 
     Null texts and items have no words; an item without words has no window; repeated rows and items are kept as they are,
-    a repeated item id counts once. An empty benchmark hits nothing. Where the benchmark takes several blocks, a doc_id's findings are put together in one row.
+    a repeated item id counts once. An empty benchmark hits nothing. Where the benchmark takes several blocks, rows are
+    numbered and written once, and the findings of a number are put together.
     """
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    spark, rows = docs.sparkSession, _rows(docs, "doc_id")
+    found = "n_words long, spans array<array<long>>, items array<string>"
     parts = []
     for block in _blocks(benchmark, block_bytes):
+        if len(parts) == 1:
+            rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
         counts = rarity(docs, {w for _, t in block for w in words(t)})
-        sent = spark.sparkContext.broadcast(_index(block, size, counts))
-        parts.append(_rows(docs, "doc_id").mapInArrow(lambda batches, sent=sent: _search(batches, sent.value), f"doc_id {kind}, n_words long, spans array<array<long>>, items array<string>"))
-    if not parts:
-        return _rows(docs, "doc_id").mapInArrow(lambda batches: _search(batches, {}), f"doc_id {kind}, n_words long, spans array<array<long>>, items array<string>")
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
+        parts.append(spark.sparkContext.broadcast(_index(block, size, counts)))
+    searched = lambda sent: rows.mapInArrow(lambda batches: _search(batches, sent.value if sent else {}), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + f", {found}")
+    if len(parts) < 2:
+        return searched(parts[0] if parts else None)
+    every = searched(parts[0])
     for p in parts[1:]:
-        every = every.unionByName(p)
-    # Rows of one doc_id have the same number of words unless the id repeats with other texts, which then stay apart.
-    return every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        every = every.unionByName(searched(p).where(F.size("items") > 0))
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), together("spans"), together("items")).drop("row")
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: dict) -> Iterator[pa.RecordBatch]:
@@ -120,8 +124,9 @@ def _search(batches: Iterator[pa.RecordBatch], index: dict) -> Iterator[pa.Recor
             n.append(len(tokens))
             spans.append([list(x) for x in sorted(set(where))])
             items.append(sorted(str(x) for x in found))
-        arrays = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "spans", "items"])
+        kept = [c for c in b.schema.names if c != "text"]
+        arrays = [*[b.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(arrays, [*kept, "n_words", "spans", "items"])
 
 
 def words_hit(spans) -> "F.Column":

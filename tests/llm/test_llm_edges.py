@@ -230,3 +230,11 @@ def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
         assert kept.columns == df.columns
         assert rows(kept, "doc_id", "text") == sorted([texts[0], texts[1], texts[3], texts[5], texts[6], texts[8], texts[9], texts[10]], key=str)
     assert rows(simhash.drop_similar(df), "doc_id", "text") == sorted([texts[0], texts[1], texts[3], texts[5], texts[6], texts[8], texts[10]], key=str)
+
+
+def test_decontamination_keeps_rows_apart_whatever_the_blocks(spark):
+    """Repeated rows and rows without an id have their own output rows, with one block and with several."""
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "alpha beta")], "item_id long, text string")
+    text = spark.createDataFrame([(None, "alpha beta here"), (None, "gamma delta here"), (None, "nothing at all"), (7, "alpha beta gamma delta"), (7, "alpha beta gamma delta")], "doc_id long, text string")
+    one, many = (rows(decontaminate.contamination(text, bench, block_bytes=k), "doc_id", "n_words", "spans", "items") for k in (4_000_000, 1))
+    assert len(one) == 5 and one == many
