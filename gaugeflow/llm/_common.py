@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space, as a character class of Java's and DuckDB's regular expressions.
 SPACE = r"\x20\x09-\x0D"
+#: Slices by hash in which a sample of labelled rows is taken.
+SLICES = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or where it is unset a new local one (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, without which no intermediate table can be written."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -28,19 +28,50 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_name() -> Column:
+    """(doc_id, MD5 of the text): what tells rows apart, so that texts without an id or with a repeated one aren't taken for each other."""
+    return F.struct("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("hash"))
+
+
+def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of `docs` whose name is the least of its class, by a table (name, least) with a row for each of `docs`; one of equal rows."""
+    classes = written(classes, "classes")
+    gone = classes.where("name <> least").select("name").distinct()
+    repeated = written(classes.where("name = least").groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "repeated")
+    named = docs.select(row_name().alias("name"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    kept = named.join(gone.union(repeated), "name", "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(named.join(repeated, "name", "left_semi").dropDuplicates(["name"]))
+    return kept.select("row.*")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model learns labels from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, shards: int) -> DataFrame:
-    """(shard, y, text) of labelled rows outside the held-out fifth, at most about `max_rows` of them.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, shards: int) -> DataFrame:
+    """(shard, y, text) of labelled rows outside the held-out fifth, at most about `max_rows` of them and `max_bytes` of text.
 
-    Ids are picked from the labels by their hash, so the result doesn't depend on order or partitioning. The picked ids are
-    bounded by `max_rows`, so they are broadcast; of the documents only the picked texts are shuffled.
+    Ids are picked from the labels by their hash, so the result doesn't depend on order or partitioning; an id with several
+    labels counts as 1 if any is. The ids are cut into slices by hash, and as many whole slices are taken as hold the bytes,
+    one at least. What is picked is bounded, so its ids are broadcast; of the documents only the picked texts are shuffled.
     """
-    marks = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    total = max(1, marks.count())
-    picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / total)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    marks = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
+    most = sample_limit(marks.count(), max_rows)
+    picked = marks.where(place < most).withColumn("slice", F.floor(place / (most / SLICES)).cast("int"))
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    held, taken = 0, 0
+    for r in found.groupBy("slice").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("slice").collect():
+        held += r["bytes"] or 0
+        if taken and held > max_bytes:
+            break
+        taken = r["slice"] + 1
+    rows = found.where(F.col("slice") < taken)
     return rows.select(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), "y", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+def sample_limit(total: int, max_rows: int) -> int:
+    """The bound on 62-bit hashes under which about `max_rows` of `total` rows lie."""
+    return max(SLICES, (1 << 62) * min(max_rows, max(1, total)) // max(1, total))

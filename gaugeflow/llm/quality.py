@@ -18,6 +18,7 @@ _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
 _SAME = crc32(b" = ")
 BITS = 18
 MAX_TRAIN_ROWS = 16_000
+MAX_TRAIN_BYTES = 32_000_000
 SHARDS = 1
 
 
@@ -39,8 +40,8 @@ def features(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at.astype(np.int64), (1 << bits) - 1), np.append(10 * x, 1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, shards: int = SHARDS, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.1, l2: float = 0.0) -> np.ndarray:
-    """Weights of the 2**bits buckets, learnt from about `max_rows` labelled rows at most (a documented bound).
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, shards: int = SHARDS, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.1, l2: float = 0.0) -> np.ndarray:
+    """Weights of the 2**bits buckets, learnt from about `max_rows` labelled rows and `max_bytes` of text at most (a documented bound).
 
     Rows of the held-out fifth are never used. Without labelled rows all weights are 0, so every score is 0.5.
     """
@@ -53,7 +54,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int
                 model.update(at, w, (sigmoid(w @ x) - y) * x)
         return sparse(model.weights(np.arange(1 << bits)))
 
-    return fit_shards(labelled_sample(docs, labels, label, max_rows, shards), fit, 1 << bits, shards)
+    return fit_shards(labelled_sample(docs, labels, label, max_rows, max_bytes, shards), fit, 1 << bits, shards)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
@@ -71,7 +72,17 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that score at least `threshold`."""
-    good = score(docs, weights).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: int = BITS) -> DataFrame:
+    """The rows of `docs` that score at least `threshold`, each judged on its own text where it stands: nothing is shuffled.
+
+    A null text counts as empty; rows of a repeated doc_id, or of none, are judged apart; all columns stay.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for b in batches:
+            found = [features(t or b"", bits) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array([float(sigmoid(w[at] @ x)) >= threshold for at, x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,6 +21,7 @@ _SENTENCE = re.compile(rb"[^.!?\n]*[.!?\n]*")
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 BITS = 18
 MAX_TRAIN_ROWS = 24_000
+MAX_TRAIN_BYTES = 32_000_000
 SHARDS = 1
 _PREFIX = 6  # bytes
 
@@ -51,8 +52,9 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, shards: int = SHARDS, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.01, start: float = -7.0) -> np.ndarray:
-    """Weights of the 2**bits buckets, the last being the bias, learnt from about `max_rows` labelled rows at most.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, shards: int = SHARDS, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.01, start: float = -7.0) -> np.ndarray:
+    """Weights of the 2**bits buckets, the last being the bias, learnt from about `max_rows` labelled rows and
+    `max_bytes` of text at most.
 
     The gradient of a sentence's logit is p for a clean document, and -p (1 - P) / P for a toxic one, P being the noisy-or.
     Rows of the held-out fifth are never used. Without labelled rows every sentence has probability 0.5.
@@ -80,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
         out[last] = bias
         return sparse(out)
 
-    return fit_shards(labelled_sample(docs, labels, label, max_rows, shards), fit, 1 << bits, shards)
+    return fit_shards(labelled_sample(docs, labels, label, max_rows, max_bytes, shards), fit, 1 << bits, shards)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
