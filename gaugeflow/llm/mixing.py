@@ -45,16 +45,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
 
     A row is taken once for each whole epoch of its source, and again in the last epoch up to the budget; the row at the cut
     is taken in part, so that each source meets its target rounded down. Null texts have size 0, a null source is a source,
-    repeated rows count each, ties of the key go by doc_id; an empty table gives an empty result. The key is the MD5 of
-    the doc_id, so reruns agree. `bucket_digits` hexadecimal digits of it are the bucket.
+    repeated rows count each; an empty table gives an empty result. The key is the MD5 of the doc_id and the text's MD5, so
+    that rows of equal keys are equal and reruns agree, and rows without an id are dealt out like others.
+    `bucket_digits` hexadecimal digits of it are the bucket.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.substring(key, 1, bucket_digits).alias("bucket"))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     plan = targets(buckets.groupBy("source").agg(F.sum("held").alias("source_size")), weights, most)
     before = F.coalesce(F.sum("held").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
     starts = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("b"), before)
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bucket").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(starts, rows.source.eqNullSafe(starts.of) & (rows.bucket == starts.b)).drop("of", "b")
     plan = plan.withColumnRenamed("source", "of")

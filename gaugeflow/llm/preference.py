@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegralType
 
 #: Chat markup: what stands before a role, between role and text, and after the text.
 MARKUP = ("<|im_start|>", "\n", "<|im_end|>\n")
@@ -46,16 +47,24 @@ def preference_pairs(turns: DataFrame, markup: tuple[str, str, str] = MARKUP, tr
     return sides.select("pair_id", "n_common", prompt.alias("prompt"), render(rest("chosen")).alias("chosen"), render(rest("rejected")).alias("rejected"), mask("chosen").alias("chosen_mask"), mask("rejected").alias("rejected_mask"))
 
 
-def mismatched_pairs(conversations: DataFrame) -> DataFrame:
+def mismatched_pairs(conversations: DataFrame, buckets: int = 4096) -> DataFrame:
     """Turns of preference pairs made from every conversation: chosen is the conversation, rejected the same with the last
-    turn's text taken from the conversation whose id differs in the lowest bit (without it, the last turn is missing).
+    turn's text taken from another one (without it, the last turn is missing).
+
+    The other is the conversation whose id differs in the lowest bit where ids are whole numbers; else the next one in the
+    order of hashes within one of `buckets` parts of their range. A null id is a conversation of its own without another;
+    repeated rows are repeated turns; of rows that tie for the last turn all are exchanged; an empty table gives an empty result.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = conversations.select("conv_id", turn.alias("t"))
-    ends = rows.groupBy("conv_id").agg(F.max("t").alias("t"))
-    others = ends.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("t.text").alias("other"))
-    ends = ends.select("conv_id", F.col("t").alias("last")).join(others, "conv_id", "left")
-    both = rows.join(ends, "conv_id").select(F.col("conv_id").alias("pair_id"), "t.*", (F.col("t") == F.col("last")).alias("is_last"), "other")
+    rows = conversations.select(F.col("conv_id").alias("id"), turn.alias("t"))
+    ends = rows.groupBy("id").agg(F.max("t").alias("last"))
+    if isinstance(rows.schema["id"].dataType, IntegralType):
+        others = ends.select(F.col("id").bitwiseXOR(F.lit(1)).alias("for"), F.col("last.text").alias("other"))
+    else:
+        near = W.partitionBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).orderBy(F.xxhash64("id", F.lit(1)), "id")
+        others = ends.where("id IS NOT NULL").select(F.col("id").alias("for"), F.lead("last.text").over(near).alias("other"))
+    ends = ends.join(others, ends.id == others["for"], "left").select(F.col("id").alias("of"), "last", "other")
+    both = rows.join(ends, rows.id.eqNullSafe(ends.of)).select(F.col("id").alias("pair_id"), "t.*", (F.col("t") == F.col("last")).alias("is_last"), "other")
     chosen = both.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
     rejected = both.where("NOT is_last OR other IS NOT NULL").select("pair_id", F.lit("rejected").alias("side"), "turn", "role", F.when(F.col("is_last"), F.col("other")).otherwise(F.col("text")).alias("text"))
     return chosen.unionByName(rejected)

@@ -10,6 +10,8 @@ from ._common import held_out
 #: The rules of op2 (host/path and verdict).
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 FETCHED = "2024-01-01T00:00:00Z"
+#: The operator goes down to the longest path; its SQL is written out for so many segments, beyond those of the tables (two).
+SQL_LEVELS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,32 +97,32 @@ p1 AS (SELECT *, CASE {fits} END AS rule FROM p0),
 p AS (SELECT *, CASE rule {given} END AS given, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
   lambda s: regexp_replace(regexp_replace(s, '^[0-9]+(\.[a-z]+)?$', '{{n}}\1'), '^[0-9a-f]{{8,}}(\.[a-z]+)?$', '{{h}}\1')) AS shape FROM p1),
 t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (given = 'allow') AS good, count(*) FILTER (given = 'block') AS bad, '' AS template FROM p GROUP BY host, shape)"""
-    for k in range(url_filter.LEVELS):
+    for k in range(SQL_LEVELS):
         sql += f""",
 k{k} AS (SELECT host, template, shape[{k + 1}] AS child, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM t{k} WHERE len(shape) > {k} GROUP BY ALL),
 w{k} AS (SELECT *, count(*) OVER w AS kinds, sum(n) OVER w AS all_n, (sum(bad) OVER w)::DOUBLE / nullif(sum(good + bad) OVER w, 0) AS mean, bad::DOUBLE / nullif(good + bad, 0) AS own FROM k{k} WINDOW w AS (PARTITION BY host, template)),
 d{k} AS (SELECT host, template, child, template || '/' || CASE WHEN (kinds >= {m} AND kinds * 5 >= all_n) OR (kinds > 1 AND coalesce((own - mean) * (own - mean) * (good + bad) <= {z2} * mean * (1 - mean) AND mean > 0 AND mean < 1, false)) THEN '*' ELSE child END AS nxt FROM w{k}),
 t{k + 1} AS (SELECT t.host, shape, n, good, bad, coalesce(nxt, t.template) AS template FROM t{k} t LEFT JOIN d{k} d ON t.host = d.host AND t.template = d.template AND len(shape) > {k} AND shape[{k + 1}] = d.child)"""
-    e = url_filter.LEVELS
+    e = SQL_LEVELS
     return sql + f""",
-t AS (SELECT host, shape, good, bad, template || CASE WHEN len(shape) > {e} THEN '/**' ELSE '' END AS template FROM t{e}),
+t AS (SELECT host, shape, good, bad, template FROM t{e}),
 u AS (SELECT host, template, (sum(bad) + {url_filter.STRENGTH * url_filter.PRIOR}::DOUBLE) / (sum(good) + sum(bad) + {url_filter.STRENGTH}::DOUBLE) AS purity FROM t GROUP BY host, template)
 SELECT page_id, p.host, path, rule, coalesce(given, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, t.template
 FROM p JOIN t ON p.host = t.host AND p.shape = t.shape JOIN u ON t.host = u.host AND t.template = u.template"""
 
 
 _OP3_SQL = r"""WITH r AS (SELECT doc_id, coalesce(length(text), 0) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
-k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM r WINDOW w AS (PARTITION BY norm ORDER BY size DESC, doc_id))
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k"""
+k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, max(size) OVER w AS most, count(*) OVER (PARTITION BY norm) AS group_size FROM r WINDOW w AS (PARTITION BY norm ORDER BY size DESC, doc_id NULLS FIRST))
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND size = most AS kept, sha256(norm) AS text_sha256 FROM k"""
 
-_OP4_SQL = r"""WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+_OP4_SQL = r"""WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM r GROUP BY source),
 f AS (SELECT *, source_size * 3.0::DOUBLE AS "full", source_size * 3.0::DOUBLE / w AS fill FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum("full") OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY fill, source NULLS LAST) AS place FROM f),
 t AS (SELECT source, source_size, least("full", coalesce(arg_min(level, place) FILTER (fill >= level) OVER (), 0) * w) AS target FROM l),
 x AS (SELECT r.doc_id, r.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
-  coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
 y AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM x)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM y"""
@@ -155,7 +157,7 @@ s AS (SELECT doc_id, kind_no, kind, f[i] AS match, (list_sum(list_transform(g[1:
 b AS (SELECT doc_id, kind_no, kind, start, start + length(match) AS "end" FROM s WHERE kind_no IN (1, 2) OR kind_no = 0 AND length(regexp_extract(match, {_text(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGN_LEAST}),
 c AS (SELECT *, list_filter(range(0, length(match) - {w} + 1), lambda k: list_aggregate(string_split(match[k + 1:k + {w}], ''), 'entropy') >= CASE WHEN regexp_matches(match, '^[0-9A-Fa-f]*$') THEN {secrets.HEX_BITS} ELSE {secrets.MIXED_BITS} END) AS high FROM s WHERE kind_no = 3 AND NOT ({allowed})),
 e AS (SELECT doc_id, kind_no, kind, start + list_min(high) AS start, start + list_max(high) + {w} AS "end" FROM c WHERE len(high) > 0),
-a AS (SELECT * FROM b UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = e.doc_id AND b.start < e."end" AND e.start < b."end"))
+a AS (SELECT * FROM b UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = e.doc_id AND b.start <= e.start AND e."end" <= b."end"))
 SELECT t.doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, kind_no) FILTER (kind_no < 3), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, kind_no), '') AS spans
@@ -170,22 +172,33 @@ d AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM f, (SELECT
 y AS (SELECT doc_id, n, a, array_to_string(w[a:a + n - 1], ' ') AS words FROM d),
 h AS (SELECT doc_id, y.n, a, item_id FROM y JOIN x ON y.n = x.n AND y.words = x.words),
 c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + n)) AS k FROM h) GROUP BY doc_id),
-o AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+o AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT f.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM f LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)"""
 
 
 def _op10_sql() -> str:
     plain = "payload"
-    for pattern, put in warc.HTML_STEPS:
-        plain = f"regexp_replace({plain}, {_text(pattern)}, {_escaped(put)}, 'g')" if pattern[0] != "&" else f"replace({plain}, {_text(pattern)}, {_escaped(put)})"
+    names = "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in warc.NAMES.items()) + "}"
+    number = "CASE WHEN r ~ '#[0-9]+' THEN r[2:]::INTEGER WHEN r[1] = '#' THEN ('0x' || r[3:])::INTEGER END"
+    one = f"coalesce(CASE WHEN ({number}) = 160 THEN ' ' WHEN ({number}) BETWEEN 1 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 THEN chr({number}) END, names[r], '&' || r || ';')"
+    for step in warc.HTML_STEPS:
+        if step:
+            plain = f"regexp_replace({plain}, {_text(step[0])}, {_escaped(step[1])}, 'g')"
+        else:
+            before, plain = plain, "decoded"
+    gaps, refs = f"string_split_regex(t, {_text(warc.REFERENCE)})", f"list_transform(regexp_extract_all(t, {_text(warc.REFERENCE)}, 1), lambda r: {one})"
+    decoded = f"list_reduce(list_transform(list_zip({gaps}, {refs}), lambda z: z[1] || coalesce(z[2], '')), lambda x, y: x || y)"
     urn = lambda s: f"'urn:uuid:' || regexp_replace(md5({s}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\\1-\\2-\\3-\\4-')"
     title = rf"regexp_replace(regexp_extract(payload, {_text(warc.TITLE)}, 1), '[ \t\n\x0B\f\r]+', ' ', 'g')"
     order = [("WARC-Type", "type"), ("WARC-Record-ID", "'<' || record_id || '>'"), ("WARC-Refers-To", "'<' || refers_to || '>'"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", f"'{FETCHED}'"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
     header = " || ".join([r"E'WARC/1.1\r\n'", *(rf"'{name}: ' || {c} || E'\r\n'" for name, c in order)])
     http = r"E'http-header: HTTP/1.1 200 OK\r\nhttp-header: Content-Type: text/html; charset=utf-8\r\n'"
     return rf"""WITH s AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]+', '', 'g') AS target_uri, coalesce(html, '') AS payload FROM pages),
-r AS (SELECT *, {urn("'response|' || page_id || '|' || target_uri")} AS refers_to, 'sha256:' || sha256(payload) AS source_digest, {plain} AS plain FROM s),
+n AS (SELECT {names} AS names),
+h AS (SELECT s.*, {before} AS t, names FROM s, n),
+d AS (SELECT *, {decoded} AS decoded FROM h),
+r AS (SELECT * EXCLUDE (names), {urn("'response|' || coalesce(page_id::VARCHAR, '') || '|' || target_uri || '|' || md5(payload)")} AS refers_to, 'sha256:' || sha256(payload) AS source_digest, {plain} AS plain FROM d),
 k AS (SELECT *, {urn("'conversion|' || refers_to")} AS conversion_id, {urn("'metadata|' || refers_to")} AS metadata_id FROM r),
 u AS (SELECT page_id, 'metadata' AS type, metadata_id AS record_id, refers_to, target_uri, source_digest, 'application/warc-fields' AS content_type,
   'title: ' || {title} || E'\r\nlanguage: ' || regexp_extract(payload, {_text(warc.LANGUAGE)}, 1) || E'\r\nconversion: <' || conversion_id || E'>\r\n' || {http} AS block FROM k

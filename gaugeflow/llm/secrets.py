@@ -21,23 +21,33 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 24
 #: Bits a character within the window, for strings of hexadecimal digits and for others that mix letters and digits.
 HEX_BITS, MIXED_BITS = 3.05, 3.85
-#: Strings that are no secrets: without a digit or without a letter, a UUID, words joined by separators, a web path.
-ALLOWED = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[A-Za-z]+([_/=+-]+[A-Za-z0-9]{1,12})+$")
+#: Strings that are no secrets: without a digit or without a letter, a UUID, words and numbers joined by separators (a web path).
+ALLOWED = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[A-Za-z]+([_/=+-]+([A-Za-z]{1,12}|[0-9]{1,12}))+$")
 _KINDS = ("assign", "access", "hex", "entropy")
 
 
 def _spans(text: Column, found: Column, pattern: str) -> Column:
-    """array of (start, end, match) for `found`, all matches of the pattern in the text, from the lengths between them."""
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    """array of (start, end, match) for `found`, all matches of the pattern in the text, from the lengths between them.
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+    Matches are added up in runs of about the square root of their number, so that no long array is copied for each match.
+    """
+    kind = "array<struct<start:int,end:int,match:string>>"
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
+    run = F.ceil(F.sqrt(F.size(found))).cast("int")
+    runs = F.transform(F.sequence(F.lit(1), F.size(found), run), lambda k: F.slice(pairs, k, run))
+    long = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["match"]))
+    starts = F.aggregate(runs, F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + long(part))))
+
+    def placed(part: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            a = acc["at"] + x["gap"]
+            z = a + F.length(x["match"])
+            return F.struct(z.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), z.alias("end"), x["match"].alias("match")))).alias("out"))
+
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast(kind).alias("out")), step)["out"]
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(zero["out"])
+    parts = F.zip_with(runs, F.slice(starts, 1, F.size(runs)), placed)
+    return F.when(F.size(found) > 0, F.flatten(parts)).otherwise(F.array().cast(kind))
 
 
 def window_entropy(match: Column, limit: Column, window: int = WINDOW) -> Column:
@@ -83,7 +93,7 @@ def scan(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BITS, mixe
 
     Kinds are assign, access, hex and entropy; matches of a kind are leftmost and don't overlap. An entropy span runs from
     the first to the last window at the limit within a candidate, and is left out where the allow-list matches the
-    candidate or a base span overlaps it. Null texts count as empty; texts are read whole; repeated rows count each; an
+    candidate or a base span contains it. Null texts count as empty; texts are read whole; repeated rows count each; an
     empty table gives an empty result; other columns aren't read. No shuffle.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -107,5 +117,5 @@ def scan(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BITS, mixe
         return F.struct((s["start"] + e["first"]).alias("start"), F.lit(3).alias("kind_no"), F.lit("entropy").alias("kind"), (s["start"] + e["last"]).alias("end"))
 
     rows = rows.withColumn("entropy", F.transform(F.filter("entropy", unknown), measured))
-    free = lambda s: s["start"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    free = lambda s: s["start"].isNotNull() & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     return rows.select("doc_id", F.array_sort(F.concat("base", F.filter("entropy", free))).alias("spans"))

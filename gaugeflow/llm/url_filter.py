@@ -8,11 +8,12 @@ their labelled ones. All work is aggregations by (host, template, segment), whic
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import written
 
-LEVELS = 4
 MIN_CHILDREN = 12
 PRIOR = 0.2
 STRENGTH = 4.0
@@ -45,19 +46,24 @@ def segment_type(segment: Column) -> Column:
     return F.regexp_replace(s, r"^[0-9a-f]{8,}(\.[a-z]+)?$", r"{h}$1")
 
 
-def templates(urls: DataFrame, levels: int = LEVELS, min_children: int = MIN_CHILDREN, z: float = Z) -> DataFrame:
-    """(host, shape, template) for a table (host, shape, n, good, bad), shape being the list of typed segments.
+def templates(urls: DataFrame, min_children: int = MIN_CHILDREN, z: float = Z) -> DataFrame:
+    """(host, shape, n, good, bad, template) for a table (host, shape, n, good, bad), shape being the list of typed segments.
 
-    One pass a level, root first. A node is wide if it has at least `min_children` different children and they are over a
-    fifth of its pages. Under a wide node every child is generalised; else a child with labels is merged into the wildcard
-    when its share of rejected pages is within `z` standard errors of all its siblings', and one without labels stays.
+    One pass a level, root first, down to the last segment of the longest path; a pass reads only the paths that reach so
+    deep. A node is wide if it has at least `min_children` different children and they are over a fifth of its pages. Under
+    a wide node every child is generalised; else a child with labels is merged into the wildcard when its share of rejected
+    pages is within `z` standard errors of all its siblings', and one without labels stays. A path without segments has an
+    empty template.
     """
-    urls = written(urls, "places")
-    at = urls.select("host", "shape", "n", "good", "bad", F.lit("").alias("template"))
-    for k in range(levels):
-        child = F.get("shape", F.lit(k))
-        at = at.withColumn("child", child)
-        kids = at.where("child IS NOT NULL").groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
+    names = ["host", "shape", "n", "good", "bad", "template"]
+    at = written(urls.select("host", "shape", "n", "good", "bad", F.lit("").alias("template")), "places")
+    done, k = [], 0
+    while True:
+        done.append(at.where(F.size("shape") <= k))
+        at = at.where(F.size("shape") > k).withColumn("child", F.get("shape", F.lit(k)))
+        if at.isEmpty():
+            break
+        kids = at.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
         tops = kids.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
         kids = kids.join(tops, ["host", "template"])
         labelled, every = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
@@ -66,13 +72,13 @@ def templates(urls: DataFrame, levels: int = LEVELS, min_children: int = MIN_CHI
         alike = (own - mean) * (own - mean) * labelled <= z * z * mean * (1 - mean)
         wide = (F.col("kinds") >= min_children) & (F.col("kinds") * 5 >= F.col("all_n"))
         merged = wide | ((F.col("kinds") > 1) & F.coalesce(alike & (mean > 0) & (mean < 1), F.lit(False)))
-        kids = written(kids.select("host", "template", "child", F.concat("template", F.lit("/"), F.when(merged, F.lit("*")).otherwise(F.col("child"))).alias("next")), f"level{k}")
-        at = at.join(kids, ["host", "template", "child"], "left").select("host", "shape", "n", "good", "bad", F.coalesce("next", "template").alias("template"))
-    deeper = F.when(F.size("shape") > levels, F.lit("/**")).otherwise(F.lit(""))
-    return at.select("host", "shape", "n", "good", "bad", F.concat("template", deeper).alias("template"))
+        kids = kids.select("host", "template", "child", F.concat("template", F.lit("/"), F.when(merged, F.lit("*")).otherwise(F.col("child"))).alias("next"))
+        at = written(at.join(kids, ["host", "template", "child"]).drop("template").withColumnRenamed("next", "template").select(names), f"level{k}")
+        k += 1
+    return reduce(DataFrame.unionByName, done)
 
 
-def judge(pages: DataFrame, rules: dict[str, str], levels: int = LEVELS, min_children: int = MIN_CHILDREN, z: float = Z, prior: float = PRIOR, strength: float = STRENGTH) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], min_children: int = MIN_CHILDREN, z: float = Z, prior: float = PRIOR, strength: float = STRENGTH) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page.
 
     Pages that a rule judges are the labelled ones. Other pages get their template's verdict: block where
@@ -87,7 +93,7 @@ def judge(pages: DataFrame, rules: dict[str, str], levels: int = LEVELS, min_chi
     p = p.withColumn("given", given).withColumn("shape", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), segment_type))
     p = p.withColumn("place", F.array_join("shape", "/"))
     counted = p.groupBy("host", "place").agg(F.first("shape").alias("shape"), F.count("*").alias("n"), F.count_if(F.col("given") == "allow").alias("good"), F.count_if(F.col("given") == "block").alias("bad"))
-    tree = templates(counted, levels, min_children, z)
+    tree = templates(counted, min_children, z)
     pure = tree.groupBy("host", "template").agg(((F.sum("bad") + F.lit(strength * prior)) / (F.sum("good") + F.sum("bad") + F.lit(strength))).alias("purity"))
     known = tree.select("host", F.array_join("shape", "/").alias("place"), "template").join(pure, ["host", "template"])
     out = p.join(known, ["host", "place"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WARC_VERSION = "WARC/1.1"
@@ -19,12 +21,7 @@ HTML_STEPS = (
     *((rf"(?s)<{_either_case(t)}\b.*?</{_either_case(t)}[^>]*>", " ") for t in ("script", "style")),
     (rf"</?({'|'.join(_either_case(b) for b in BLOCKS.split('|'))})\b[^>]*>", "\n"),
     (r"<[A-Za-z!/][^>]*>", ""),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&amp;", "&"),
+    None,  # character references are decoded here
     (r"[ \t\r\f\x0B]+", " "),
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
@@ -33,10 +30,33 @@ TITLE = rf"(?s)<{_either_case('title')}[^>]*>(.*?)</{_either_case('title')}"
 LANGUAGE = rf"""<{_either_case('html')}\b[^>]*\b{_either_case('lang')}="([A-Za-z-]*)\""""
 
 
+#: Character references: names, decimal and hexadecimal numbers.
+REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});"
+#: HTML's names of characters, as Python's library has them; a space that doesn't break is a space.
+NAMES = {name: " " if name == "nbsp" else chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+
+
+def decoded(text: Column) -> Column:
+    """The text with its character references replaced, once; names and numbers that stand for no character stay as they are."""
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+
+    def character(ref: Column) -> Column:
+        digits = F.when(ref.rlike("^#[0-9]"), F.conv(F.substr(ref, F.lit(2)), 10, 16)).when(ref.rlike("^#"), F.substr(ref, F.lit(3)))
+        code = F.conv(digits, 16, 10).cast("int")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        number = F.when(code == 160, F.lit(" ")).when(valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        return F.coalesce(number, F.try_element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";")))
+
+    gaps = F.split(text, REFERENCE, -1)
+    put = F.concat(F.transform(found, character), F.array(F.lit("")))
+    return F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, put, lambda gap, c: F.concat(gap, c)), "")).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     out = F.coalesce(html, F.lit(""))
-    for pattern, put in HTML_STEPS:
-        out = F.regexp_replace(out, pattern, put) if pattern[0] != "&" else F.replace(out, F.lit(pattern), F.lit(put))
+    for step in HTML_STEPS:
+        out = F.regexp_replace(out, *step) if step else decoded(out)
     return out
 
 
@@ -52,11 +72,14 @@ def _digest(block: Column) -> Column:
 
 
 def responses(pages: DataFrame, date: str) -> DataFrame:
-    """Response records for pages (page_id, url, html) that were fetched at `date`: nulls count as empty."""
+    """Response records for pages (page_id, url, html) that were fetched at `date`: nulls count as empty.
+
+    A record's id follows from page_id, url and payload, so only rows that agree in all of them have one id: they are one response.
+    """
     url, html = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", ""), F.coalesce("html", F.lit(""))
     head = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     out = pages.select("page_id", url.alias("target_uri"), F.lit(date).alias("date"), head.alias("http_head"), html.alias("payload"))
-    return out.withColumn("record_id", _urn("response", F.col("page_id").cast("string"), F.col("target_uri")))
+    return out.withColumn("record_id", _urn("response", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("target_uri"), F.md5(F.col("payload").cast("binary"))))
 
 
 def derivatives(source: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import decontaminate, exact_dedup, mixing, preference, quality, secrets, simhash, toxicity, url_filter, warc
+from gaugeflow.llm import _common, decontaminate, exact_dedup, mixing, preference, quality, secrets, simhash, similar, toxicity, url_filter, warc
 
 LONG = "lorem ipsum dolor sit amet " * 8000
 EXTRA = "fp long, hash string, norm string, size long, key string, bucket string, cell long, template string, spans string, k int"
@@ -60,11 +60,11 @@ def test_simhash(docs):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6)} <= got
     assert simhash.near_duplicates(docs).count() == len(ROWS)
-    wide = {(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(docs).collect()}
+    wide = {(r["doc_id"], r["component_id"]) for r in similar.similar_documents(docs).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (4, 4), (5, 5)} <= wide
     nameless = docs.unionByName(docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
-    assert simhash.drop_similar(nameless).where("doc_id IS NULL").count() == 1
-    for drop in (simhash.drop_near_duplicates, simhash.drop_similar):
+    assert similar.drop_similar(nameless).where("doc_id IS NULL").count() == 1
+    for drop in (simhash.drop_near_duplicates, similar.drop_similar):
         kept = [r["doc_id"] for r in drop(docs).collect()]
         assert len(kept) == len(set(kept)) and 1 in kept and 2 not in kept
 
@@ -126,12 +126,10 @@ def test_decontamination(spark, docs):
     assert got[3] == (5, [[1, 3], [3, 5]], ["2"]) and got[4] == (0, [], []) and got[5][1:] == ([], []) and got[6][2] == ["5"]
     hit = decontaminate.contamination(text, bench).select("doc_id", decontaminate.words_hit(F.col("spans")).alias("n"))
     assert rows(hit, "doc_id", "n") == [(1, 12), (2, 10), (3, 4), (4, 0), (5, 0), (6, 40000)]
-    blocks = decontaminate.contamination(text, bench, block_bytes=1)
-    assert rows(blocks.withColumn("n", decontaminate.words_hit(F.col("spans"))), "doc_id", "n", "items") == rows(decontaminate.contamination(text, bench).withColumn("n", decontaminate.words_hit(F.col("spans"))), "doc_id", "n", "items")
     assert decontaminate.contamination(docs, bench.limit(0)).where(F.size("spans") > 0).count() == 0
     wide = text.withColumn("item_id", F.lit("clash")).withColumn("tags", F.array(F.lit("a")))
-    for kept in (decontaminate.drop_contaminated(wide, bench), decontaminate.drop_contaminated(wide, bench, block_bytes=1)):
-        assert kept.columns == wide.columns and rows(kept, "doc_id", "text") == [(4, None), (5, "one two three")]
+    kept = decontaminate.drop_contaminated(wide, bench)
+    assert kept.columns == wide.columns and rows(kept, "doc_id", "text") == [(4, None), (5, "one two three")]
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(ROWS)
 
 
@@ -216,7 +214,7 @@ def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     turns = spark.createDataFrame([], "pair_id long, side string, turn long, role string, text string")
-    tables = [exact_dedup.exact_classes(none), simhash.near_duplicates(none), simhash.similar_documents(none), mixing.mix(none), secrets.scan(none), decontaminate.contamination(none, bench), url_filter.judge(pages, {"com/": "allow"}), preference.preference_pairs(turns), warc.derivatives(warc.responses(pages, "x"))]
+    tables = [exact_dedup.exact_classes(none), simhash.near_duplicates(none), similar.similar_documents(none), mixing.mix(none), secrets.scan(none), decontaminate.contamination(none, bench), url_filter.judge(pages, {"com/": "allow"}), preference.preference_pairs(turns), warc.derivatives(warc.responses(pages, "x"))]
     assert [t.count() for t in tables] == [0] * len(tables)
 
 
@@ -229,12 +227,104 @@ def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
         kept = exact_dedup.drop_copies(df, digest)
         assert kept.columns == df.columns
         assert rows(kept, "doc_id", "text") == sorted([texts[0], texts[1], texts[3], texts[5], texts[6], texts[8], texts[9], texts[10]], key=str)
-    assert rows(simhash.drop_similar(df), "doc_id", "text") == sorted([texts[0], texts[1], texts[3], texts[5], texts[6], texts[8], texts[10]], key=str)
+    assert rows(similar.drop_similar(df), "doc_id", "text") == sorted([texts[0], texts[1], texts[3], texts[5], texts[6], texts[8], texts[10]], key=str)
 
 
-def test_decontamination_keeps_rows_apart_whatever_the_blocks(spark):
-    """Repeated rows and rows without an id have their own output rows, with one block and with several."""
-    bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "alpha beta")], "item_id long, text string")
-    text = spark.createDataFrame([(None, "alpha beta here"), (None, "gamma delta here"), (None, "nothing at all"), (7, "alpha beta gamma delta"), (7, "alpha beta gamma delta")], "doc_id long, text string")
-    one, many = (rows(decontaminate.contamination(text, bench, block_bytes=k), "doc_id", "n_words", "spans", "items") for k in (4_000_000, 1))
-    assert len(one) == 5 and one == many
+def test_decontamination_keeps_rows_apart(spark, monkeypatch):
+    """Repeated rows, rows without an id and items without one; bitmaps so small that every shingle passes change nothing."""
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "alpha beta"), (None, "epsilon")], "item_id long, text string")
+    text = spark.createDataFrame([(None, "alpha beta here"), (None, "gamma delta here"), (None, "nothing at all"), (7, "alpha beta gamma delta"), (7, "alpha beta gamma delta"), (8, "an EPSILON")], "doc_id long, text string")
+    one = rows(decontaminate.contamination(text, bench), "doc_id", "n_words", "spans", "items")
+    monkeypatch.setattr(decontaminate, "BITS", 15)
+    assert len(one) == 6 and one == rows(decontaminate.contamination(text, bench), "doc_id", "n_words", "spans", "items")
+    assert (7, 4, [[0, 2], [2, 4]], ["1", "2", "3"]) in one and (8, 2, [[1, 2]], []) in one and (None, 3, [], []) in one
+    assert rows(decontaminate.drop_contaminated(text, bench), "text") == [("nothing at all",)]
+
+
+def test_character_references(spark):
+    cases = {"&#233;&eacute;&mdash;&#x41;&#X1F600;": "éé—A😀", "&amp;lt; &apos;": "&lt; '", "a&nbsp;b&#160;c": "a b c", "&#0;&#55296;&nosuch;&": "&#0;&#55296;&nosuch;&", "AT&T; &copy": "AT&T; &copy", "": ""}
+    df = spark.createDataFrame(list(cases.items()), "html string, plain string")
+    assert all(r["got"] == r["plain"] for r in df.withColumn("got", warc.decoded(F.col("html"))).collect())
+
+
+def test_record_ids_tell_contents_apart(spark):
+    pages = spark.createDataFrame([(1, "http://a", "x"), (1, "http://a", "y"), (None, "http://a", "x")], "page_id int, url string, html string")
+    ids = [r["record_id"] for r in warc.derivatives(warc.responses(pages, "2024-01-01T00:00:00Z")).collect()]
+    assert len(set(ids)) == len(ids) == 6
+
+
+def test_deep_paths_have_templates_of_their_own(spark):
+    rules = {"a.org/a/b/c/d/x/": "block", "a.org/a/b/c/d/y/": "allow"}
+    urls = [f"http://a.org/a/b/c/d/{s}/{k}" for s in "xy" for k in range(8)] + ["http://a.org/a/b/c/d/z/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r["path"][9]: (r["template"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
+    assert got == {"x": ("/a/b/c/d/x/{n}", "block"), "y": ("/a/b/c/d/y/{n}", "allow"), "z": ("/a/b/c/d/z/{n}", "allow")}
+
+
+@pytest.mark.parametrize("total", [0, 1, 16_000, 10**6, 17 * 10**9, 10**11])
+def test_samples_are_never_empty_however_many_labels(total):
+    share = _common.sample_limit(total, 16_000) / 2**62
+    assert 0 < share <= 1 and abs(share * total - min(total, 16_000)) < 1
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    df = spark.createDataFrame([(k, "x" * 1000, k % 2) for k in range(2000)], "doc_id long, text string, y int")
+    part = _common.labelled_sample(df, df.unionByName(df), "y", 10**6, 200_000, 1)
+    n, other = part.count(), _common.labelled_sample(df.repartition(5), df, "y", 10**6, 200_000, 1)
+    assert 150 < n <= 200 and rows(part, "text", "y") == rows(other, "text", "y")
+    assert _common.labelled_sample(df, df, "y", 10**6, 1, 1).count() > 0
+
+
+def test_many_secrets_in_one_text(spark):
+    """Every match of a text with thousands of them, and keys of dashed groups; words joined by separators are none."""
+    one = "token=abcdefghijkl12 "
+    long = spark.createDataFrame([(1, one * 4000)], "doc_id long, text string")
+    spans = secrets.scan(long).first()["spans"]
+    assert [(s["start"], s["end"]) for s in spans] == [(k * len(one), (k + 1) * len(one) - 1) for k in range(4000)]
+    keys = ["key-Zx9Qw3Er7Ty1-Ui5Op2As8Df4-Gh6Jk8Lz0Xc1", "lin-9fK2x-Qm7Tz-4Lp8W-Rj3Yv-8Hn6B"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*keys, "static/path_to/page-2024/chapter-12/index"])], "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(df).collect()}
+    assert got == {0: ["entropy"], 1: ["entropy"], 2: []}
+
+
+def test_preference_pairs_of_named_conversations(spark):
+    turns = [(f"c{k}", t, r, f"{r} {k}") for k in range(6) for t, r in enumerate(("user", "assistant"))] + [(None, 0, "user", "nobody")]
+    df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string").withColumn("last", F.lit("clash"))
+    got = {r["pair_id"]: r for r in preference.preference_pairs(preference.mismatched_pairs(df, buckets=1)).collect()}
+    assert len(got) == 7 and got[None]["rejected"] == ""
+    assert sum(r["rejected"] == "" for r in got.values()) == 2 and all(r["chosen"] != r["rejected"] for r in got.values())
+
+
+def test_mixing_of_rows_without_an_id_of_their_own(spark):
+    """One id with different texts and rows without an id: reruns over other partitions agree."""
+    texts = [(k % 3 or None, " ".join(["w"] * (k % 17) + [f"x{k}"]), "a" if k % 2 else "b") for k in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    first = rows(mixing.mix(df), "doc_id", "source", "size", "taken")
+    assert all(first == rows(mixing.mix(df.repartition(k, "text").sortWithinPartitions(F.rand(k))), "doc_id", "source", "size", "taken") for k in (2, 5))
+
+
+def test_filters_of_repeated_ids_and_empty_tables(spark, docs, labels):
+    df = spark.createDataFrame([(1, "good words here"), (1, "zz qq 11"), (None, "good words too"), (None, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    w = quality.train(df.where("doc_id = 1"), labels)
+    kept = quality.keep_good(df, w, 0.0)
+    assert kept.columns == df.columns and kept.count() == 4 and quality.keep_good(df, w, 1.1).count() == 0
+    none = docs.limit(0)
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    tables = [quality.score(none, w), quality.keep_good(none, w), toxicity.score(none, w), toxicity.locate(none, w), toxicity.drop_toxic(none, w), exact_dedup.drop_copies(none), similar.drop_similar(none), simhash.drop_near_duplicates(none), decontaminate.drop_contaminated(none, bench)]
+    assert [t.count() for t in tables] == [0] * len(tables)
+
+
+def test_near_duplicates_keep_rows_without_an_id(spark):
+    texts = [(None, "only here at last"), (None, "nor is this one it"), (1, "same words as these"), (None, "same words  as these"), (3, "one text of mine"), (3, "another text of yours"), (3, "another text of yours")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    kept = rows(simhash.drop_near_duplicates(df), "doc_id", "text")
+    assert kept == sorted([texts[0], texts[1], texts[3], texts[4], texts[5]], key=str)
+
+
+def test_a_folder_that_all_share_is_asked_for():
+    class Bare:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        _common.shared_folder(Bare)

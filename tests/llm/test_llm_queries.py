@@ -16,6 +16,7 @@ from oracle import both, connect
 
 from gaugeflow.llm import queries as q
 from gaugeflow.llm import simhash as sh
+from gaugeflow.llm import similar as sm
 
 SMALL = DATA / "sf0.001"
 CON = connect(SMALL)
@@ -114,7 +115,7 @@ def test_similar_documents_against_all_pairs(spark):
         changed.append((10_000 + r["doc_id"], " ".join(words)))
     table = docs.unionByName(spark.createDataFrame(changed, "doc_id long, text string")).withColumn("node", F.lit("clash"))
     sets = shingle_sets(table.collect())
-    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(table).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in sm.similar_documents(table).collect()}
     assert set(got) == set(sets)
     alike = [(i - 10_000, i) for i in sets if i >= 10_000 and len(sets[i] & sets[i - 10_000]) >= 0.8 * len(sets[i] | sets[i - 10_000])]
     assert len(alike) > 100 and sum(got[a] == got[b] for a, b in alike) >= 0.97 * len(alike)
@@ -129,7 +130,7 @@ def test_similar_documents_finds_every_short_copy(spark):
     texts = [[f"w{x}" for x in rng.integers(0, 50_000, n)] for n in range(6, 31) for _ in range(20)]
     rows = [(2 * k + more, " ".join(t + ["more"] * more)) for k, t in enumerate(texts) for more in (0, 1)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(table).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in sm.similar_documents(table).collect()}
     exact = plain_classes(shingle_sets(table.collect()))
     assert sum(i != c for i, c in exact.items()) == 20 * 23 and got == exact
 
@@ -150,9 +151,9 @@ def test_similar_documents_around_a_shared_passage(spark):
         texts.append(" ".join(chain))
     table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7)
     sets = shingle_sets(table.collect())
-    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(table).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in sm.similar_documents(table).collect()}
     assert got == plain_classes(sets)
-    kept = {r["doc_id"] for r in sh.drop_similar(table).collect()}
+    kept = {r["doc_id"] for r in sm.drop_similar(table).collect()}
     assert kept == set(got.values())
 
 
