@@ -7,8 +7,10 @@ bits are cut into `d + 3` runs, and fingerprints within distance `d` agree on th
 Each choice of three runs is one family of grid cells. Candidates that share a cell pass the Manhattan bound and are then
 verified on the fingerprints themselves.
 
-Cells of a dense group are never expanded into all pairs: each member is first linked to a few representatives of its
-cell, and only members whose components still differ are compared afterwards, so that no link between components is lost.
+Cells of a dense group are never expanded into all pairs. Each member is first linked to a few representatives of its cell.
+Where components still differ, members of a small cell are compared, and those of a crowded one are found by the points
+between: fingerprints within distance `d` are both within half of it of some point, so each fingerprint is dealt to all
+points that near, and all that meet at a point are linked. That is a fixed number of rows a fingerprint.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import written
+from ._common import keep_least, row_name, written
+from .components import components
 
 _SEGMENTS = (1 << 63) - 1
+#: Members of a cell that are compared with each other where their components differ.
+SMALL = 8
 
 
 def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -42,16 +47,16 @@ def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for every row; a null text counts as empty, and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """(key, fp) for every row; a null text counts as empty, and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((simhash(t, shingle, seed) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(fps.view(np.int64))], [key, "fp"])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(key, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, fp long")
 
 
 def segment_counts(fp: Column) -> tuple[Column, Column]:
@@ -75,243 +80,62 @@ def _near(a: Column, b: Column, distance: int) -> Column:
     return (bound <= 2 * distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node on an edge (u, v), root being the smallest node reachable.
+def _between(crowd: DataFrame, distance: int) -> DataFrame:
+    """Links (u, v) of a table (fp, root) between different roots: all fingerprints within half the distance of one point."""
+    near = [sum(1 << b for b in bits) for k in range(distance // 2 + 1) for bits in combinations(range(64), k)]
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in near])
+    odd = [1 << b for b in range(64)] if distance % 2 else []  # of an odd distance one end is a bit further
+    points = crowd.select("fp", "root", F.explode(masks).alias("mask")).select("fp", "root", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
+    if odd:
+        step = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in [0, *odd]])
+        points = points.select("fp", "root", "point", F.explode(step).alias("step")).select("fp", "root", F.col("point").bitwiseXOR(F.col("step")).alias("point"))
+    mixed = written(points.groupBy("point").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("point"), "points")
+    meet = written(points.select("point", "fp").join(mixed, "point", "left_semi"), "meet")
+    first = meet.groupBy("point").agg(F.min("fp").alias("v"))
+    return meet.join(first, "point").where((F.col("fp") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= distance)).selectExpr("fp AS u", "v").distinct()
 
-    Large-star and small-star steps (Kiveris et al. 2014) in turn, each one aggregation and one join, until the edges
-    form stars. Hubs are split by the skew join of adaptive execution. Tables of each round go to the shared folder.
-    """
-    e = written(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "edges")
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("u", "v", "m")
-        new = written(small.selectExpr("explode(array(struct(v AS a, m AS b), struct(u AS a, m AS b))) AS p").selectExpr("p.a AS u", "p.b AS v").where("u <> v").distinct(), "edges")
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, new)]
-        e = new
-        if sums[0] == sums[1]:
-            return e.selectExpr("u AS node", "v AS root")
-    raise RuntimeError("components did not settle")
+
+def classes(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, root) of every row of `nodes`, a table of different fingerprints: the smallest fingerprint linked to it."""
+    cells = _cells(nodes, distance)
+    held = written(cells.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1"), "held")
+    members = written(cells.join(held, "cell"), "members")
+    # Each member of a cell against a few representatives of the cell: linear in the size of the cell.
+    heads = members.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.min_by("fp", F.xxhash64("fp")).alias("c"))
+    stars = members.join(heads.select("cell", F.array_distinct(F.array("a", "b", "c")).alias("heads")), "cell").select("fp", F.explode("heads").alias("head"))
+    links = stars.where((F.col("fp") != F.col("head")) & _near(F.col("fp"), F.col("head"), distance)).selectExpr("fp AS u", "head AS v")
+    known = written(components(links), "known")
+    # What is left: members of one cell that are in different components.
+    marked = members.join(known, members.fp == known.node, "left").select("cell", "k", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = marked.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("cell")
+    mixed = written(marked.join(mixed, "cell"), "mixed")
+    few, crowd = mixed.where(F.col("k") <= SMALL), written(mixed.where(F.col("k") > SMALL).select("fp", "root").distinct(), "crowd")
+    side = lambda n: few.select("cell", F.col("fp").alias(f"f{n}"), F.col("root").alias(f"r{n}"))
+    more = side(1).join(side(2), "cell").where((F.col("r1") < F.col("r2")) & _near(F.col("f1"), F.col("f2"), distance)).selectExpr("f1 AS u", "f2 AS v")
+    merged = components(more.union(_between(crowd, distance)).union(known.select("node", "root")))
+    return nodes.join(merged, nodes.fp == merged.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): classes of documents whose fingerprints are linked at `distance` or fewer differing bits.
 
-    component_id is the smallest doc_id reachable. Null and empty texts share fingerprint 0 and are linked like any other;
-    repeated rows keep their own output rows; an empty table gives an empty result; other columns of `docs` are not read.
+    component_id is the smallest doc_id reachable, nulls apart. Null and empty texts share fingerprint 0 and are linked like
+    any other; repeated rows keep their own output rows; an empty table gives an empty result; other columns aren't read.
     """
     fps = written(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    # Each member of a cell against a few representatives of the cell: linear in the size of the cell.
-    cells = _cells(nodes, distance)
-    heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min_by("fp", F.xxhash64("fp")).alias("c")).where("n > 1")
-    stars = cells.join(heads.select("cell", F.array_distinct(F.array("a", "b", "c")).alias("heads")), "cell").select("fp", F.explode("heads").alias("head"))
-    links = stars.where((F.col("fp") != F.col("head")) & _near(F.col("fp"), F.col("head"), distance)).selectExpr("fp AS u", "head AS v")
-    known = written(components(links), "known")
-    marked = nodes.join(known, nodes.fp == known.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    # What is left: members of one cell that are in different components, beyond the component with most members.
-    marked_cells = _cells(nodes, distance).join(marked, "fp")
-    sizes = marked_cells.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("cell").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1").select("cell", "main")
-    inside = marked_cells.join(mixed, "cell")
-    left, right = inside.where("root <> main").select("cell", F.col("fp").alias("f1"), F.col("root").alias("r1")), inside.select("cell", F.col("fp").alias("f2"), F.col("root").alias("r2"))
-    more = left.join(right, "cell").where((F.col("r1") != F.col("r2")) & _near(F.col("f1"), F.col("f2"), distance)).selectExpr("r1 AS u", "r2 AS v")
-    merged = components(more)
-    roots = marked.join(merged, marked.root == merged.node, "left").select("fp", F.coalesce(merged.root, marked.root).alias("root"))
+    roots = written(classes(nodes.select("fp"), distance), "roots")
     ids = roots.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = written(roots.join(ids, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-WORDS = 4
-#: Shingles found so often within one batch of rows are counted, and so many of the most frequent ones are told to the tasks.
-OFTEN = 4
-COMMON = 1 << 16
-
-
-def _shingles(text: bytes, shingle: int) -> set[bytes]:
-    """The different word shingles of a UTF-8 text; the whole sequence where it has fewer words."""
-    words = text.lower().split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    found = written(roots.join(ids, "root").select("fp", "component_id"), "classes")
+    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_simhash(text: bytes, shingle: int = 5) -> tuple[bytes, np.ndarray]:
-    """256-bit fingerprint, and the sorted 64-bit hashes of the different shingles.
+def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of `docs` that are the smallest of their class by doc_id, a null one being the smallest, then by text; one of equal rows.
 
-    The fingerprint is the majority of the bits of two seeded 128-bit XXH3 hashes of the different shingles.
+    Rows with one doc_id, or none, whose texts aren't linked all stay.
     """
-    digest = xxhash.xxh3_128_digest
-    raw = np.frombuffer(b"".join([digest(x, 1) + digest(x, 2) for x in _shingles(text, shingle)]), np.uint8).reshape(-1, 8 * WORDS)
-    counts = np.zeros(64 * WORDS, np.int64)
-    for k in range(0, len(raw), 1 << 12):
-        counts += np.unpackbits(raw[k : k + (1 << 12)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > len(raw), bitorder="little").tobytes(), np.unique(np.ascontiguousarray(raw[:, :8]).view("<i8"))
-
-
-def common_shingles(docs: DataFrame, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts), sorted by hash, of the most frequent shingles: repeated lines, passages and licenses.
-
-    A task counts within its batches and tells what occurs in several texts of one; the order of prefixes follows from the
-    result, never which links are found.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, 1)[:8] for x in _shingles(t, shingle)]), "<i8") for t in b.column("text").to_pylist()]
-            found, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, "<i8"),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(found[n >= OFTEN]), pa.array(n[n >= OFTEN].astype("<i8"))], ["hash", "n"])
-
-    counts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    rows = sorted((r["hash"], r["n"]) for r in counts.orderBy(F.desc("n"), "hash").limit(COMMON).collect())
-    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
-
-
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a sorted set in the order of rarity, as many as any set of this similarity must share one of."""
-    known, n = common
-    rank = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        rank = np.where(known[at] == hashes, n[at], 0)
-    # Links hold at least similarity times the larger set in common, so all but so many shingles of either and one more.
-    most = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
-    return hashes[np.argsort(rank, kind="stable")[:most]]
-
-
-def row_name() -> Column:
-    """(doc_id, MD5 of the text): what tells rows apart, so that texts without an id or with a repeated one aren't taken for each other."""
-    return F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
-
-
-def wide_fingerprints(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(name, w0 .. w3, size, prefix) for every row: the number of different shingles and the prefix; a null text counts as empty."""
-    names = [*[f"w{k}" for k in range(WORDS)], "size", "prefix"]
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [wide_simhash(t, shingle) for t in b.column("text").to_pylist()]
-            bits = np.frombuffer(b"".join(x for x, _ in found), "<i8").reshape(-1, WORDS)
-            first = [prefix(x, sent.value, similarity) for _, x in found]
-            columns = [*[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)], pa.array([len(x) for _, x in found], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("name"), *columns], ["name", *names])
-
-    rows = docs.select(row_name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    kinds = ", ".join(f"{n} long" for n in names[:-1])
-    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, {kinds}, prefix array<long>")
-
-
-def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose numbers of shingles allow the similarity, as (a, b, d), d being the differing bits."""
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}n"), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(WORDS)])
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
-    d = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
-    return j.where(F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-6).select("a", "b", d.alias("d"))
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose sets of word shingles have at least this Jaccard similarity, by the whole texts."""
-    j = pairs.select("a", "b").join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sound = []
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                p, q = _shingles(x, shingle), _shingles(y, shingle)
-                sound.append(len(p & q) >= similarity * len(p | q) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(sound, pa.bool_()))
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return j.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(name, least): classes of rows, named by row_name, linked by a Jaccard similarity of `similarity` or more of their word shingles.
-
-    Sets of that similarity share a shingle of their prefixes, in any order that all texts have in common; it goes by
-    rarity, so that what many texts repeat makes cells only where little else is in a text. A prefix's shingles are the
-    grid cells, so every link's ends share one whatever their length. Numbers of shingles bound the similarity; the
-    distance of 256-bit fingerprints says only which candidate is nearest. Every link is verified on the whole texts.
-
-    A cell's members meet three representatives; the members of different components meet afterwards, so no link between
-    components is lost in a cell. Each document is first verified against its nearest candidate, and then only where
-    components differ.
-
-    least is the smallest name of the class, a null doc_id being the smallest. Null and empty texts are one class;
-    repeated rows keep their own output rows; an empty table gives an empty result; other columns of `docs` are not read.
-    """
-    names = [f"w{k}" for k in range(WORDS)]
-    fps = written(wide_fingerprints(docs, similarity, shingle), "fingerprints")
-    # Nodes are numbered as they are written, so that a number stays the same from here on.
-    nodes = fps.groupBy(*names, "size").agg(F.min("name").alias("name"), F.min_by("prefix", "name").alias("prefix"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    cells = nodes.select("node", F.explode("prefix").alias("cell"))
-    # The members of cells that hold several nodes; all that follows reads these only.
-    several = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    members = written(cells.join(several, "cell"), "members")
-    heads = members.groupBy("cell").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min_by("node", F.xxhash64("node", "cell")).alias("z"))
-    shared = written(members.join(heads, "cell").select("cell", "node", F.array_distinct(F.array("x", "y", "z")).alias("heads")), "cells")
-    stars = shared.select("node", F.explode("heads").alias("head")).where("node <> head")
-    pairs = stars.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    close = written(_close(pairs, nodes, similarity), "close")
-    wanted = written(nodes.select("name", "node").join(shared.select("node").distinct(), "node"), "wanted")
-    texts = docs.select(row_name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    texts = written(texts.join(wanted, "name").dropDuplicates(["name"]).select("node", "text"), "texts")
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components."""
-        at = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
-        return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-
-    def joined(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """(node, root) after the links among `pairs`, on top of the components so far."""
-        edges = _similar(pairs, texts, similarity, shingle).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if roots is not None:
-            edges = edges.union(roots.select("node", "root"))
-        return components(edges)
-
-    roots = joined(close.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")), None)
-    rest = written(apart(close, roots), "rest")
-    if not rest.isEmpty():
-        roots = joined(rest, roots)
-    # Members of one cell in different components: those beyond the largest component against all of the cell.
-    placed = shared.select("cell", "node").join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("cell").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1 AND n > 3").select("cell", "main")
-    inside = placed.join(mixed, "cell")
-    left = inside.where("root <> main").select("cell", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = inside.select("cell", F.col("node").alias("b"), F.col("root").alias("rb"))
-    more = left.join(right, "cell").where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = written(_close(more.join(close, ["a", "b"], "left_anti"), nodes, similarity), "more")
-    if not more.isEmpty():
-        roots = joined(more, roots)
-    classes = written(nodes.join(roots, "node", "left").select(*names, "size", "name", F.coalesce("root", "node").alias("root")), "classes")
-    least = classes.groupBy("root").agg(F.min("name").alias("least"))
-    return fps.select("name", *names, "size").join(classes.select(*names, "size", "root"), [*names, "size"]).join(least, "root").select("name", "least")
-
-
-def similar_documents(docs: DataFrame, **params) -> DataFrame:
-    """(doc_id, component_id): the classes of similar_rows by the smallest doc_id of each.
-
-    Rows of a repeated doc_id share a class, the least of theirs; a null doc_id is no row of the result.
-    """
-    rows = similar_rows(docs.where("doc_id IS NOT NULL"), **params)
-    return rows.groupBy("name.doc_id").agg(F.min("least.doc_id").alias("component_id"))
-
-
-def drop_similar(docs: DataFrame, **params) -> DataFrame:
-    """The rows of `docs` that are the smallest of their class of similar documents by doc_id, a null one being the smallest, then by text; one of equal rows.
-
-    Only the names that go are joined with the rows. Rows with one doc_id, or none, and texts that aren't similar all stay.
-    """
-    gone = written(similar_rows(docs, **params).where("name <> least").select("name"), "gone")
-    named = docs.select(row_name().alias("name"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    return named.join(gone, "name", "left_anti").dropDuplicates(["name"]).select("row.*")
-
-
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its class; one row where that id is repeated."""
-    keep = near_duplicates(docs, **params).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    fps = written(fingerprints(docs.withColumn("name", row_name()), shingle, seed, key="name"), "fingerprints")
+    roots = fps.join(classes(fps.select("fp").distinct(), distance), "fp").select("name", "root")
+    least = roots.groupBy("root").agg(F.min("name").alias("least"))
+    return keep_least(docs, roots.join(least, "root").select("name", "least"))
