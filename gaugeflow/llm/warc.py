@@ -53,11 +53,18 @@ def decoded(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, put, lambda gap, c: F.concat(gap, c)), "")).otherwise(text)
 
 
-def html_to_text(html: Column) -> Column:
-    out = F.coalesce(html, F.lit(""))
-    for step in HTML_STEPS:
-        out = F.regexp_replace(out, *step) if step else decoded(out)
-    return out
+def _steps(html: Column, steps: tuple) -> Column:
+    for step in steps:
+        html = F.regexp_replace(html, *step) if step else decoded(html)
+    return html
+
+
+def with_plain_text(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """`rows` with one more column, the text of the HTML in another; null counts as empty."""
+    cut = HTML_STEPS.index(None)
+    # Tags are gone before references are decoded, in a column of its own, so that no step runs twice.
+    rows = rows.withColumn(name, _steps(F.coalesce(html, F.lit("")), HTML_STEPS[:cut]))
+    return rows.withColumn(name, _steps(F.col(name), HTML_STEPS[cut:]))
 
 
 def _urn(kind: str, *parts: Column) -> Column:
@@ -91,7 +98,8 @@ def derivatives(source: DataFrame) -> DataFrame:
     and the conversion's id. Records of one response share nothing with others, so there is no shuffle; repeated rows
     give repeated records with the same ids; an empty payload gives an empty conversion; other columns aren't read.
     """
-    rows = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "http_head", "payload", _digest(F.col("payload")).alias("source_digest"), html_to_text(F.col("payload")).alias("plain"))
+    rows = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "http_head", "payload", _digest(F.col("payload")).alias("source_digest"))
+    rows = with_plain_text(rows, "payload", "plain")
     for kind in ("metadata", "conversion"):
         rows = rows.withColumn(f"{kind}_id", _urn(kind, F.col("refers_to")))
     title = F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\n\x0B\f\r]+", " ")
