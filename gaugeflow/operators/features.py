@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, content_hash, dot, finite, first_reason, fixed, norm, ratio
@@ -53,38 +53,41 @@ def time_features(samples: DataFrame, channels: Sequence[str], width: int) -> Da
     return out.where(F.col("_n") == width).drop("_n")
 
 
-def spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """One-sided power by frequency of a centred signal under a periodic Hann window, and the window's energy times N."""
-    n = len(x)
+def spectra(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """One-sided power by frequency of centred signals, a row each, under a periodic Hann window, and the window's energy times N."""
+    n = x.shape[1]
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    power = np.abs(np.fft.rfft((x - x.mean()) * hann)) ** 2
-    power[1:-1] *= 2
+    power = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * hann)) ** 2
+    power[:, 1 : (n + 1) // 2] *= 2
     return np.fft.rfftfreq(n, 1 / rate), power, n * float(hann @ hann)
 
 
 def spectral_features(samples: DataFrame, channels: Sequence[str], width: int, rate: float) -> DataFrame:
     """(acquisition_id, window_order, energy, centroid, bandwidth and dominant frequency a channel) of full windows.
 
-    The Fourier transform of a window is numpy's, a window at a time: each group has `width` rows. No power gives zeros;
-    of equal powers the lowest frequency is dominant.
+    A window's samples meet in one row, `width` of them; the windows of a batch are one Fourier transform of numpy's. No
+    power gives zeros; of equal powers the lowest frequency is dominant.
     """
     names = [f"{c}_{f}" for c in channels for f in (*SPECTRAL_FEATURES, "dominant_frequency")]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) != width:
-            return pd.DataFrame(columns=["acquisition_id", "window_order", *names])
-        rows, out = rows.sort_values("sample"), []
-        for c in channels:
-            f, p, scale = spectrum(rows[c].to_numpy(float), rate)
-            total = p.sum()
-            centre = (f * p).sum() / total if total > 0 else 0.0
-            out += [total / scale, centre, float(np.sqrt(((f - centre) ** 2 * p).sum() / total)) if total > 0 else 0.0, float(f[int(np.argmax(np.round(p, 9)))]) if total > 0 else 0.0]
-        return pd.DataFrame([[*key, *out]], columns=["acquisition_id", "window_order", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for c in channels:
+                values = b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                f, p, scale = spectra(values, rate)
+                total = p.sum(1)
+                some = np.where(total > 0, total, 1.0)
+                centre = (p @ f) / some
+                spread = np.sqrt(((f - centre[:, None]) ** 2 * p).sum(1) / some)
+                out += [total / scale, centre, spread, np.where(total > 0, f[np.argmax(np.round(p, 9), axis=1)], 0.0)]
+            yield pa.RecordBatch.from_arrays([b.column("acquisition_id"), b.column("window_order"), *[pa.array(x) for x in out]], ["acquisition_id", "window_order", *names])
 
     kind = samples.schema["acquisition_id"].dataType.simpleString()
     schema = f"acquisition_id {kind}, window_order long, " + ", ".join(f"{n} double" for n in names)
-    rows = samples.select("acquisition_id", window_number(width).alias("window_order"), "sample", *channels)
-    return rows.groupBy("acquisition_id", "window_order").applyInPandas(run, schema)
+    rows = samples.select("acquisition_id", window_number(width).cast("long").alias("window_order"), F.struct("sample", *[F.col(c).cast("double").alias(c) for c in channels]).alias("s"))
+    full = rows.groupBy("acquisition_id", "window_order").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("s")).where(F.col("n") == width)
+    return full.select("acquisition_id", "window_order", *[F.transform("s", lambda x: x[c]).alias(c) for c in channels]).mapInArrow(run, schema)  # noqa: B023
 
 
 def assemble_features(features: DataFrame, names: Sequence[str], classes: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ Rules are data: a table of (rule_id, action, forced state, condition), the condi
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import clamp, normalized_entropy
@@ -198,47 +200,46 @@ def surrogate_samples(spark: SparkSession, base: dict[str, dict[str, float]] = B
     return spark.range(count).crossJoin(F.broadcast(rows)).select(F.col("id").alias("sample_id"), "state", "feature", (F.col("base") + jitter * (1 + F.col("k") / 20)).alias("coef"))  # a table of fixed size
 
 
-def coefficient_lists(samples: DataFrame, features: Sequence[str] = tuple(COVARIATES)) -> DataFrame:
-    """(state, samples): each state's samples as an array of coefficient arrays, the intercept first: a row a state."""
-    order = F.array_position(F.array(F.lit("intercept"), *[F.lit(f) for f in features]), F.col("feature"))
-    s = samples.where(order > 0).groupBy("state", "sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "coef"))).alias("m"))
-    full = F.transform(F.array(F.lit("intercept"), *[F.lit(f) for f in features]), lambda f: F.coalesce(F.try_element_at("m", f), F.lit(0.0)))
-    return s.groupBy("state").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", full.alias("c")))), lambda x: x["c"]).alias("samples"))
+def coefficient_sets(samples: DataFrame, states: Sequence[str] = TERMINAL, features: Sequence[str] = tuple(COVARIATES)) -> np.ndarray:
+    """Coefficients by sample, state and feature, the intercept first, of a table (sample_id, state, feature, coef) of fixed size.
+
+    A feature that a sample lacks has coefficient 0; a state that a sample lacks has the logit MISSING_LOGIT.
+    """
+    names = ["intercept", *features]
+    rows = samples.where(F.col("state").isin(*states) & F.col("feature").isin(*names)).toPandas()  # sets times states times features
+    sets = {k: n for n, k in enumerate(sorted(rows["sample_id"].unique()))}
+    out = np.zeros((max(1, len(sets)), len(states), len(names)))
+    out[:, :, 0] = MISSING_LOGIT
+    at = rows["sample_id"].map(sets).to_numpy(int), rows["state"].map(list(states).index).to_numpy(int)
+    out[at[0], at[1], 0] = 0.0
+    out[at[0], at[1], rows["feature"].map(names.index).to_numpy(int)] = rows["coef"]
+    return out
 
 
-def posterior_samples(covariates: DataFrame, samples: DataFrame, states: Sequence[str] = TERMINAL, features: Sequence[str] = tuple(COVARIATES), key: str = "case_id") -> DataFrame:
-    """(key, state, draws): each sample's softmax probability of the state, as an array by sample.
+def posterior_spread(covariates: DataFrame, samples: DataFrame, states: Sequence[str] = TERMINAL, features: Sequence[str] = tuple(COVARIATES), key: str = "case_id") -> DataFrame:
+    """(key, state, pos, mean, variance, low, high) of each state's softmax probability over the samples of coefficients.
 
-    The samples are a table of fixed size (64 sets by default), so every case meets them in one row; no shuffle of cases.
+    The sample variance, and the values at the floor of 2.5 % and the ceiling of 97.5 % of n - 1. All samples of a batch of
+    cases are one matrix product; the coefficients have a fixed size (64 sets by default), and no case is shuffled.
     """
-    lists = coefficient_lists(samples, features)
-    packed = lists.agg(F.map_from_entries(F.collect_list(F.struct("state", "samples"))).alias("_all"))
-    x = F.array(F.lit(1.0), *[F.col(f) for f in features])
-    c = covariates.select(key, x.alias("_x")).crossJoin(F.broadcast(packed))  # one row
-    logit = lambda s: F.aggregate(F.zip_with(s, "_x", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    count = F.array_max(F.transform(F.map_values("_all"), lambda v: F.size(v)))
-    absent = F.array_repeat(F.lit(MISSING_LOGIT), count)
-    c = c.select(key, *[F.coalesce(F.transform(F.try_element_at("_all", F.lit(s)), logit), absent).alias(f"_{k}") for k, s in enumerate(states)])
-    top = F.array(*[F.col(f"_{k}") for k in range(len(states))])
-    draws = F.transform(F.sequence(F.lit(0), F.size("_0") - 1), lambda i: F.transform(top, lambda l: l[i]))
-    c = c.select(key, F.transform(draws, lambda d: F.transform(d, lambda v: F.exp(v - F.array_max(d)))).alias("_e"))
-    p = F.transform("_e", lambda d: F.transform(d, lambda v: v / F.aggregate(d, F.lit(0.0), lambda a, b: a + b)))
-    c = c.select(key, p.alias("_p"))
-
-    def drawn(k: int) -> Column:
-        return F.transform("_p", lambda d: d[k]).alias("draws")
-
-    return c.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("state"), F.lit(k).alias("pos"), drawn(k)) for k, s in enumerate(states)])).alias("r")).select(key, "r.*")
-
-
-def posterior_spread(draws: DataFrame) -> DataFrame:
-    """(.., mean, variance, low, high): sample variance, and the values at the floor of 2.5 % and the ceiling of 97.5 % of n - 1."""
-    n = F.size("draws")
-    mean = F.aggregate("draws", F.lit(0.0), lambda a, v: a + v) / n
-    d = draws.withColumn("mean", mean).withColumn("_s", F.array_sort("draws"))
-    var = F.aggregate(F.transform("draws", lambda v: (v - F.col("mean")) * (v - F.col("mean"))), F.lit(0.0), lambda a, v: a + v) / F.greatest(n - 1, F.lit(1))
-    low, high = F.get("_s", F.floor((n - 1) * 0.025).cast("int")), F.get("_s", F.ceil((n - 1) * 0.975).cast("int"))
-    return d.withColumn("variance", F.when(n > 1, var).otherwise(0.0)).withColumn("low", low).withColumn("high", high).drop("_s", "draws")
+    sets = coefficient_sets(samples, states, features)
+    n, k = len(sets), len(states)
+    ends = int(np.floor((n - 1) * 0.025)), int(np.ceil((n - 1) * 0.975))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):  # 2048 cases, 64 sets and 3 states are 3 MB
+                x = np.column_stack([np.ones(part.num_rows), *[part.column(f).to_numpy(zero_copy_only=False) for f in features]])
+                logits = (x @ sets.reshape(n * k, -1).T).reshape(-1, n, k)
+                e = np.exp(logits - logits.max(2, keepdims=True))
+                p = np.sort(e / e.sum(2, keepdims=True), axis=1)
+                figures = [p.mean(1), p.var(1, ddof=1) if n > 1 else np.zeros(p[:, 0].shape), p[:, ends[0]], p[:, ends[1]]]
+                keys = part.column(key).take(pa.array(np.repeat(np.arange(part.num_rows), k)))
+                names = pa.array(list(states) * part.num_rows)
+                yield pa.RecordBatch.from_arrays([keys, names, pa.array(np.tile(np.arange(k, dtype=np.int32), part.num_rows)), *[pa.array(f.ravel()) for f in figures]], [key, "state", "pos", "mean", "variance", "low", "high"])
+
+    rows = covariates.select(key, *[F.col(f).cast("double") for f in features])
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, state string, pos int, mean double, variance double, low double, high double")
 
 
 def posterior_scores(spread: DataFrame, key: str = "case_id") -> DataFrame:
@@ -274,10 +275,17 @@ def hybrid_blend(static: Sequence[float], posterior: DataFrame, valid: Column, s
 
 
 def posterior_summary(samples: DataFrame) -> DataFrame:
-    """(state, feature, mean, sd, low, high) of the coefficients; each (state, feature) once."""
-    d = samples.groupBy("state", "feature").agg(F.collect_list("coef").alias("draws"))
-    s = posterior_spread(d)
-    return s.select("state", "feature", "mean", F.sqrt("variance").alias("sd"), "low", "high")
+    """(state, feature, mean, sd, low, high) of the coefficients; each (state, feature) once.
+
+    low and high are the values at the floor of 2.5 % and the ceiling of 97.5 % of n - 1; ranks come of a sort that spills,
+    so that no list of values is held in a row.
+    """
+    keys = ["state", "feature"]
+    stats = samples.groupBy(*keys).agg(F.count("coef").alias("n"), F.avg("coef").alias("mean"), F.coalesce(F.stddev_samp("coef"), F.lit(0.0)).alias("sd"))
+    ranked = samples.where("coef IS NOT NULL").select(*keys, "coef", (F.row_number().over(W.partitionBy(*keys).orderBy("coef")) - 1).alias("r"))
+    low, high = F.floor((F.col("n") - 1) * 0.025), F.ceil((F.col("n") - 1) * 0.975)
+    ends = ranked.join(stats, keys).where((F.col("r") == low) | (F.col("r") == high)).groupBy(*keys).agg(F.min("coef").alias("low"), F.max("coef").alias("high"))
+    return stats.join(ends, keys).select(*keys, "mean", "sd", "low", "high")
 
 
 def posterior_to_long(chains: DataFrame, covariates: Sequence[str], states: Sequence[str], draws: int) -> DataFrame:

@@ -10,33 +10,39 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.columns import content_hash
 
 
+#: What names a view: its block of runs, and its number within the block.
+VIEW = ("block", "view_id")
+
+
 def exhaustive_views(acquisitions: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """(view_id, acquisition_id, canonical_class, split_role): for k classes of two runs each, 2^k views.
+    """(block, view_id, acquisition_id, canonical_class, split_role): for each block of two runs of k classes, 2^k views.
 
-    Bit i of the view says which run of class i (rank 1 or 2) trains; the other one is held out.
+    Runs of a class are paired by rank: 1 and 2 are block 0, 3 and 4 block 1. Bit i of the view says which run of the
+    block's class i trains; the other one is held out. A last run without a partner, or a block that lacks a class, stays in
+    its views, and validate_views finds them incomplete.
     """
-    two = acquisitions.where("run_rank <= 2")
     at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("canonical_class")) - 1
-    v = two.withColumn("view_id", F.explode(F.sequence(F.lit(0), F.lit((1 << len(classes)) - 1))))
+    v = acquisitions.withColumn("view_id", F.explode(F.sequence(F.lit(0), F.lit((1 << len(classes)) - 1))))
     bit = F.floor(F.col("view_id") / F.pow(F.lit(2.0), at)).cast("int") % 2
-    return v.select("view_id", "acquisition_id", "canonical_class", F.when(F.col("run_rank") - 1 == bit, "train").otherwise("held_out").alias("split_role"))
+    block, run = F.floor((F.col("run_rank") - 1) / 2).cast("int").alias("block"), (F.col("run_rank") - 1) % 2
+    return v.select(block, "view_id", "acquisition_id", "canonical_class", F.when(run == bit, "train").otherwise("held_out").alias("split_role"))
 
 
 def materialize_view(views: DataFrame, features: DataFrame) -> DataFrame:
     """Feature rows of every view with their role; views are the small side, which adaptive execution broadcasts if it is."""
-    return features.join(views.select("view_id", "acquisition_id", "split_role"), "acquisition_id")
+    return features.join(views.select(*VIEW, "acquisition_id", "split_role"), "acquisition_id")
 
 
 def validate_views(views: DataFrame, features: DataFrame, per_role: int, classes: int) -> DataFrame:
-    """(view_id, train_n, held_n, overlap, class_complete, unknown, ok)."""
-    both = views.groupBy("view_id", "acquisition_id").agg(F.count_distinct("split_role").alias("roles")).groupBy("view_id").agg(F.count_if(F.col("roles") > 1).alias("overlap"))
+    """(block, view_id, train_n, held_n, overlap, class_complete, unknown, ok)."""
+    both = views.groupBy(*VIEW, "acquisition_id").agg(F.count_distinct("split_role").alias("roles")).groupBy(*VIEW).agg(F.count_if(F.col("roles") > 1).alias("overlap"))
     role = lambda r: F.count_if(F.col("split_role") == r)
-    n = views.groupBy("view_id").agg(role("train").alias("train_n"), role("held_out").alias("held_n"), F.count_distinct(F.when(F.col("split_role") == "train", F.col("canonical_class"))).alias("tc"), F.count_distinct(F.when(F.col("split_role") != "train", F.col("canonical_class"))).alias("hc"))
-    lost = views.join(features.select("acquisition_id").distinct(), "acquisition_id", "left_anti").groupBy("view_id").agg(F.count("*").alias("unknown"))
-    j = n.join(both, "view_id").join(lost, "view_id", "left").withColumn("unknown", F.coalesce("unknown", F.lit(0)))
+    n = views.groupBy(*VIEW).agg(role("train").alias("train_n"), role("held_out").alias("held_n"), F.count_distinct(F.when(F.col("split_role") == "train", F.col("canonical_class"))).alias("tc"), F.count_distinct(F.when(F.col("split_role") != "train", F.col("canonical_class"))).alias("hc"))
+    lost = views.join(features.select("acquisition_id").distinct(), "acquisition_id", "left_anti").groupBy(*VIEW).agg(F.count("*").alias("unknown"))
+    j = n.join(both, list(VIEW)).join(lost, list(VIEW), "left").withColumn("unknown", F.coalesce("unknown", F.lit(0)))
     complete = (F.col("tc") == classes) & (F.col("hc") == classes)
     ok = complete & (F.col("train_n") == per_role) & (F.col("held_n") == per_role) & (F.col("overlap") == 0) & (F.col("unknown") == 0)
-    return j.select("view_id", "train_n", "held_n", "overlap", complete.alias("class_complete"), "unknown", ok.alias("ok"))
+    return j.select(*VIEW, "train_n", "held_n", "overlap", complete.alias("class_complete"), "unknown", ok.alias("ok"))
 
 
 def _shuffled(key: str, seed: str) -> Column:
@@ -102,10 +108,10 @@ def tag_role(df: DataFrame, roles: DataFrame, key: str) -> DataFrame:
 
 
 def reference_catalog(view_features: DataFrame, baseline: str) -> DataFrame:
-    """(view_id, split_role, n, window_ids): the baseline class's windows that train or are held out, ids sorted."""
+    """(block, view_id, split_role, n, window_ids): the baseline class's windows that train or are held out, ids sorted."""
     w = view_features.where(F.col("canonical_class") == baseline)
     name = F.concat_ws(":", F.lpad(F.col("acquisition_id").cast("string"), 8, "0"), F.lpad(F.col("window_order").cast("string"), 6, "0"))
-    return w.groupBy("view_id", "split_role").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(name)), ",").alias("window_ids"))
+    return w.groupBy(*VIEW, "split_role").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(name)), ",").alias("window_ids"))
 
 
 def derive_seed(*parts: Column | str) -> Column:
@@ -126,10 +132,10 @@ def resume_plan(plan: DataFrame, registry: DataFrame, key: str = "unit_id") -> D
 
 
 def assignment_summary(views: DataFrame) -> DataFrame:
-    """(view_id, training, held_out, training_n, held_out_n): ids joined by `|`."""
+    """(block, view_id, training, held_out, training_n, held_out_n): ids joined by `|`."""
     ids = lambda r: F.array_join(F.array_sort(F.collect_list(F.when(F.col("split_role") == r, F.col("acquisition_id")))), "|")
     n = lambda r: F.count_if(F.col("split_role") == r)
-    return views.groupBy("view_id").agg(ids("train").alias("training"), ids("held_out").alias("held_out"), n("train").alias("training_n"), n("held_out").alias("held_out_n"))
+    return views.groupBy(*VIEW).agg(ids("train").alias("training"), ids("held_out").alias("held_out"), n("train").alias("training_n"), n("held_out").alias("held_out_n"))
 
 
 def leakage_safe_split(df: DataFrame, label: str, key: str, groups: Sequence[str], seed: str) -> DataFrame:

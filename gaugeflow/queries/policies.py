@@ -130,7 +130,7 @@ _COV = {
 
 
 def _spread(spark, d) -> DataFrame:
-    return po.posterior_spread(po.posterior_samples(po.policy_covariates(ad.case_facts(spark, d)), po.surrogate_samples(spark)))
+    return po.posterior_spread(po.policy_covariates(ad.case_facts(spark, d)), po.surrogate_samples(spark))
 
 
 @query("SELECT * FROM covs", " ".join(po.COVARIATES), _COV)

@@ -10,8 +10,8 @@ from ..schemas import BASELINE, CLASSES
 from ._registry import query
 
 _VIEWS = {
-    "views": f"SELECT v.i::INTEGER AS view_id, acquisition_id, canonical_class, CASE WHEN run_rank - 1 = (v.i >> (list_position({ad._CLASS_LIST}, canonical_class) - 1)::INTEGER) & 1 THEN 'train' ELSE 'held_out' END AS split_role FROM acquisitions, range(0, 16) v(i) WHERE run_rank <= 2",
-    "view_windows": "SELECT view_id, acquisition_id, window_order, canonical_class, split_role, ch_a_mean FROM views JOIN features USING (acquisition_id)",
+    "views": f"SELECT ((run_rank - 1) // 2)::INTEGER AS block, v.i::INTEGER AS view_id, acquisition_id, canonical_class, CASE WHEN (run_rank - 1) % 2 = (v.i >> (list_position({ad._CLASS_LIST}, canonical_class) - 1)::INTEGER) & 1 THEN 'train' ELSE 'held_out' END AS split_role FROM acquisitions, range(0, 16) v(i)",
+    "view_windows": "SELECT block, view_id, acquisition_id, window_order, canonical_class, split_role, ch_a_mean FROM views JOIN features USING (acquisition_id)",
     "cust_groups": "SELECT c_nationkey, row_number() OVER (ORDER BY sha256('s1|' || c_nationkey), c_nationkey) AS r, count(*) OVER () AS g FROM (SELECT DISTINCT c_nationkey FROM customer)",
     "cust_split": "SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN r <= a THEN 'train' WHEN r <= b AND r < g THEN 'validation' ELSE 'test' END AS split_role FROM customer JOIN (SELECT *, least(greatest(1, round_even(g * 0.6, 0)), g - 1) AS a, least(greatest(least(greatest(1, round_even(g * 0.6, 0)), g - 1) + 1, round_even(g * 0.8, 0)), g - 1) AS b FROM cust_groups) USING (c_nationkey)",
 }
@@ -30,12 +30,12 @@ def exhaustive_views(spark, d):
     return _views(spark, d)
 
 
-@query("SELECT view_id, acquisition_id, window_order, split_role, ch_a_mean FROM view_windows", "ch_a_mean", _VIEWS)
+@query("SELECT block, view_id, acquisition_id, window_order, split_role, ch_a_mean FROM view_windows", "ch_a_mean", _VIEWS)
 def materialize_view(spark, d):
-    return sp.materialize_view(_views(spark, d), ad.features(spark, d)).select("view_id", "acquisition_id", "window_order", "split_role", "ch_a_mean")
+    return sp.materialize_view(_views(spark, d), ad.features(spark, d)).select("block", "view_id", "acquisition_id", "window_order", "split_role", "ch_a_mean")
 
 
-@query("SELECT view_id, count(*) FILTER (split_role = 'train') AS train_n, count(*) FILTER (split_role = 'held_out') AS held_n, 0::BIGINT AS overlap, count(DISTINCT canonical_class) = 4 AS class_complete, count(*) FILTER (acquisition_id NOT IN (SELECT acquisition_id FROM features)) AS unknown, count(*) = 8 AND count(DISTINCT canonical_class) = 4 AND count(*) FILTER (acquisition_id NOT IN (SELECT acquisition_id FROM features)) = 0 AS ok FROM views GROUP BY view_id", views=_VIEWS)
+@query("SELECT block, view_id, count(*) FILTER (split_role = 'train') AS train_n, count(*) FILTER (split_role = 'held_out') AS held_n, 0::BIGINT AS overlap, (count(DISTINCT canonical_class) FILTER (split_role = 'train')) = 4 AND (count(DISTINCT canonical_class) FILTER (split_role = 'held_out')) = 4 AS class_complete, count(*) FILTER (acquisition_id NOT IN (SELECT acquisition_id FROM features)) AS unknown, (count(DISTINCT canonical_class) FILTER (split_role = 'train')) = 4 AND (count(DISTINCT canonical_class) FILTER (split_role = 'held_out')) = 4 AND count(*) = 8 AND count(*) FILTER (acquisition_id NOT IN (SELECT acquisition_id FROM features)) = 0 AS ok FROM views GROUP BY block, view_id", views=_VIEWS)
 def validate_views(spark, d):
     return sp.validate_views(_views(spark, d), ad.features(spark, d), 4, 4)
 
@@ -72,7 +72,7 @@ def split_role(spark, d):
     return sp.tag_role(ad.table(spark, d, "customer"), roles, "c_custkey").select("c_custkey", "split_role")
 
 
-@query(f"SELECT view_id, split_role, count(*) AS n, string_agg(lpad(acquisition_id::VARCHAR, 8, '0') || ':' || lpad(window_order::VARCHAR, 6, '0'), ',' ORDER BY lpad(acquisition_id::VARCHAR, 8, '0') || ':' || lpad(window_order::VARCHAR, 6, '0')) AS window_ids FROM view_windows WHERE canonical_class = '{BASELINE}' GROUP BY ALL", views=_VIEWS)
+@query(f"SELECT block, view_id, split_role, count(*) AS n, string_agg(lpad(acquisition_id::VARCHAR, 8, '0') || ':' || lpad(window_order::VARCHAR, 6, '0'), ',' ORDER BY lpad(acquisition_id::VARCHAR, 8, '0') || ':' || lpad(window_order::VARCHAR, 6, '0')) AS window_ids FROM view_windows WHERE canonical_class = '{BASELINE}' GROUP BY ALL", views=_VIEWS)
 def reference_source_catalog(spark, d):
     v = _views(spark, d).join(ad.features(spark, d).select("acquisition_id", "window_order"), "acquisition_id")
     return sp.reference_catalog(v, BASELINE)
@@ -103,7 +103,7 @@ def resume_plan(spark, d):
     return sp.resume_plan(g, done).select("unit_id")
 
 
-@query("SELECT view_id, string_agg(acquisition_id::VARCHAR, '|' ORDER BY acquisition_id) FILTER (split_role = 'train') AS training, string_agg(acquisition_id::VARCHAR, '|' ORDER BY acquisition_id) FILTER (split_role = 'held_out') AS held_out, count(*) FILTER (split_role = 'train') AS training_n, count(*) FILTER (split_role = 'held_out') AS held_out_n FROM views GROUP BY view_id", views=_VIEWS)
+@query("SELECT block, view_id, string_agg(acquisition_id::VARCHAR, '|' ORDER BY acquisition_id) FILTER (split_role = 'train') AS training, string_agg(acquisition_id::VARCHAR, '|' ORDER BY acquisition_id) FILTER (split_role = 'held_out') AS held_out, count(*) FILTER (split_role = 'train') AS training_n, count(*) FILTER (split_role = 'held_out') AS held_out_n FROM views GROUP BY block, view_id", views=_VIEWS)
 def assignment_summary(spark, d):
     return sp.assignment_summary(_views(spark, d))
 
