@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,10 +15,17 @@ SLICES = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, without which no intermediate table can be written."""
+    """The folder that driver and executors share, `spark.checkpoint.dir`.
+
+    Where it is unset, a session of one machine (tests) gets a new local folder; on a cluster that is an error, since
+    executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

@@ -321,10 +321,19 @@ def test_near_duplicates_keep_rows_without_an_id(spark):
     assert kept == sorted([texts[0], texts[1], texts[3], texts[4], texts[5]], key=str)
 
 
-def test_a_folder_that_all_share_is_asked_for():
+@pytest.mark.parametrize(("master", "fails"), [("local[4]", False), ("local", False), ("local-cluster[3,2,1000]", True), ("spark://host:7077", True)])
+def test_a_folder_that_all_share_is_asked_for_on_clusters(master, fails):
     class Bare:
         class conf:  # noqa: N801
             get = staticmethod(lambda key, default=None: default)
+            set = staticmethod(lambda key, value: None)
 
-    with pytest.raises(ValueError, match="checkpoint"):
-        _common.shared_folder(Bare)
+        class sparkContext:  # noqa: N801
+            pass
+
+    Bare.sparkContext.master = master
+    if fails:
+        with pytest.raises(ValueError, match="checkpoint"):
+            _common.shared_folder(Bare)
+    else:
+        assert _common.shared_folder(Bare).startswith("file://")
