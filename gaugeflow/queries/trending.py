@@ -19,8 +19,8 @@ def _series(spark, d):
     return ad.features(spark, d).select("acquisition_id", "window_order", F.col("ch_a_mean").alias("y"))
 
 
-def _matrix(penalty: float) -> str:
-    rows = ", ".join(f"({n}, {i}, {j}, {h!r}, {h1!r}, {h2!r}, {edf!r})" for n, i, j, h, h1, h2, edf in smoother_rows(SIZES, penalty))
+def _matrix(penalty: float, sizes=SIZES) -> str:
+    rows = ", ".join(f"({n}, {i}, {j}, {h!r}, {h1!r}, {h2!r}, {edf!r})" for n, i, j, h, h1, h2, edf in smoother_rows(sizes, penalty))
     return f"SELECT n, i, j, h::DOUBLE AS h, h1::DOUBLE AS h1, h2::DOUBLE AS h2, edf::DOUBLE AS edf FROM (VALUES {rows}) t(n, i, j, h, h1, h2, edf)"
 
 
@@ -105,15 +105,16 @@ def fit_quality(spark, d):
 
 
 _VEC = {
-    "ys": "SELECT vec_id AS acquisition_id, v[i] AS y, (i - 1) AS i, 16 AS n FROM vectors, range(1, 17) t(i)",
+    "ys": "SELECT vec_id AS acquisition_id, v[i] AS y, (i - 1) AS i, 64 AS n FROM vectors, range(1, 65) t(i)",
     **{k: v for k, v in _views(tr.PENALTY).items() if k != "ys"},
+    "hat": _matrix(tr.PENALTY, [64]),
 }
 
 
 @query("SELECT e.acquisition_id AS vec_id, trend_value, first_derivative, maximum_curvature, crossing, quality FROM evidence e JOIN (SELECT acquisition_id, (min(i) FILTER (y >= 0.15))::INTEGER AS crossing, greatest(0, 1 - var_pop(y - fitted) / var_pop(y)) AS quality FROM fit GROUP BY ALL) q USING (acquisition_id)", "trend_value first_derivative maximum_curvature quality", _VEC)
 def series_features(spark, d):
-    """A vector's first sixteen values as a series: smoothed value, slope, curvature, crossing and quality of the fit."""
-    s = ad.vectors(spark, d).select("vec_id", F.posexplode(F.slice("v", 1, 16)).alias("window_order", "y"))
+    """A vector's values as a series: smoothed value, slope, curvature, crossing and quality of the fit."""
+    s = ad.vectors(spark, d).select("vec_id", F.posexplode("v").alias("window_order", "y"))
     fit = tr.linear_fit(s, tr.PENALTY, ["vec_id"])
     cross = rf.first_crossing(s.select("vec_id", F.col("window_order").alias("position"), F.col("y").alias("v")), "vec_id", 0.15)
     e = tr.descriptors(fit, ["vec_id"]).join(cross, "vec_id").join(tr.fit_quality(fit, ["vec_id"]), "vec_id")
