@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ STATIC_MATRIX = {
 TERMINAL = ("RECOMMENDATION", "ESCALATION", "NO_DECISION")
 
 # Thresholds of the guard and the precedence of its actions.
-THRESHOLDS = {"min_data_quality": 0.75, "max_missing_ratio": 0.10, "max_risk": 0.60, "max_ood": 0.50, "min_explanation": 0.70, "min_confidence": 0.70, "max_disagreement": 0.35, "min_consistency": 0.60}
+THRESHOLDS = {"min_data_quality": 0.75, "max_missing_ratio": 0.10, "max_risk_for_auto_recommendation": 0.60, "max_ood_score": 0.50, "min_explanation_score": 0.70, "min_confidence_for_recommendation": 0.70, "max_representation_disagreement": 0.35, "max_classifier_disagreement": 0.35, "min_domain_consistency_score": 0.60}
 PRECEDENCE = {"ALLOW": 0, "BLOCK": 10, "FORCE_ESCALATION": 20, "FORCE_NO_DECISION": 30, "FAIL_CLOSED": 40}
 
 _REC = "proposed_state = 'RECOMMENDATION'"
@@ -49,16 +50,16 @@ GUARD_RULES = (
     ("R6_POOR_DATA_NO_DECISION", "FORCE_NO_DECISION", _ND, f"(coalesce(data_quality < {{min_data_quality}}, false) OR coalesce(missing_ratio > {{max_missing_ratio}}, false)) AND ({_REC} OR {_CAN.format(_ND)})"),
     ("R7_STATE_PATH_REQUIRED", "FAIL_CLOSED", _ND, "coalesce(path_end, '') <> current_state"),
     ("R8_JUSTIFICATION_REQUIRED", "FORCE_NO_DECISION", _ND, f"{_REC} AND reason IS NULL"),
-    ("R9_HIGH_RISK_BLOCK_UNSUPPORTED_AUTO_ACTION", "FORCE_ESCALATION", _ES, f"{_REC} AND risk_score > {{max_risk}} AND (action_code IS NULL OR action_code IN ('CONTINUE_MONITORING', 'INCREASE_MONITORING_FREQUENCY', 'SCHEDULE_MECHANICAL_INSPECTION', 'INSPECT_ELECTRICAL_CONDITION', 'PLAN_INSPECTION', 'IMMEDIATE_EXPERT_REVIEW'))"),
-    ("R10_OOD_ESCALATE_OR_REJECT", "FORCE_ESCALATION", _ES, f"ood_score > {{max_ood}} AND {_CAN.format(_ES)}"),
-    ("R11_EXPLANATION_REQUIRED", "FORCE_ESCALATION", _ES, f"coalesce(explanation_required, true) AND {_REC} AND (NOT coalesce(explanation_available, false) OR explanation_score IS NULL OR explanation_score < {{min_explanation}})"),
+    ("R9_HIGH_RISK_BLOCK_UNSUPPORTED_AUTO_ACTION", "FORCE_ESCALATION", _ES, f"{_REC} AND risk_score > {{max_risk_for_auto_recommendation}} AND (action_code IS NULL OR action_code IN ('CONTINUE_MONITORING', 'INCREASE_MONITORING_FREQUENCY', 'SCHEDULE_MECHANICAL_INSPECTION', 'INSPECT_ELECTRICAL_CONDITION', 'PLAN_INSPECTION', 'IMMEDIATE_EXPERT_REVIEW'))"),
+    ("R10_OOD_ESCALATE_OR_REJECT", "FORCE_ESCALATION", _ES, f"ood_score > {{max_ood_score}} AND {_CAN.format(_ES)}"),
+    ("R11_EXPLANATION_REQUIRED", "FORCE_ESCALATION", _ES, f"coalesce(explanation_required, true) AND {_REC} AND (NOT coalesce(explanation_available, false) OR explanation_score IS NULL OR explanation_score < {{min_explanation_score}})"),
     ("R12_INVALID_TRANSITION_REJECT", "BLOCK", None, "NOT array_contains(allowed, proposed_state)"),
     ("R13_INVALID_SPLINE_FIT", "FORCE_NO_DECISION", _ND, f"NOT spline_fit_valid AND {_CAN.format(_ND)}"),
     ("R14_MODEL_ARTIFACT_INVALID", "FORCE_NO_DECISION", _ND, f"NOT model_artifact_valid AND {_CAN.format(_ND)}"),
-    ("R15_LOW_CONFIDENCE_ESCALATE", "FORCE_ESCALATION", _ES, f"{_REC} AND confidence < {{min_confidence}}"),
-    ("R16_REPRESENTATION_DISAGREEMENT_ESCALATE", "FORCE_ESCALATION", _ES, f"representation_disagreement > {{max_disagreement}} AND {_CAN.format(_ES)}"),
-    ("R17_CLASSIFIER_DISAGREEMENT_ESCALATE", "FORCE_ESCALATION", _ES, f"classifier_disagreement > {{max_disagreement}} AND {_CAN.format(_ES)}"),
-    ("R18_LOW_DOMAIN_CONSISTENCY", "FORCE_ESCALATION", _ES, f"{_REC} AND domain_consistency_score < {{min_consistency}}"),
+    ("R15_LOW_CONFIDENCE_ESCALATE", "FORCE_ESCALATION", _ES, f"{_REC} AND confidence < {{min_confidence_for_recommendation}}"),
+    ("R16_REPRESENTATION_DISAGREEMENT_ESCALATE", "FORCE_ESCALATION", _ES, f"representation_disagreement > {{max_representation_disagreement}} AND {_CAN.format(_ES)}"),
+    ("R17_CLASSIFIER_DISAGREEMENT_ESCALATE", "FORCE_ESCALATION", _ES, f"classifier_disagreement > {{max_classifier_disagreement}} AND {_CAN.format(_ES)}"),
+    ("R18_LOW_DOMAIN_CONSISTENCY", "FORCE_ESCALATION", _ES, f"{_REC} AND domain_consistency_score < {{min_domain_consistency_score}}"),
     ("R19_COMBINED_FAULT_EXPERT_REVIEW", "FORCE_ESCALATION", _ES, f"{_REC} AND diagnosis = 'Mech_Elec_Damage'"),
     ("R20_AUDIT_CHAIN_FAILURE", "FAIL_CLOSED", _ND, f"NOT audit_chain_valid AND {_CAN.format(_ND)}"),
 )
@@ -69,15 +70,15 @@ PROFILE_RULES = (
     ("R2_POOR_DATA_QUALITY", 20, "NO_DECISION,REQUEST_NEW_DATA", "data_quality < {min_data_quality} OR missing_ratio > {max_missing_ratio}"),
     ("R3_INVALID_SPLINE_FIT", 30, "NO_DECISION,ESCALATION", "NOT spline_fit_valid"),
     ("R4_MODEL_ARTIFACT_INVALID", 40, "NO_DECISION", "NOT model_artifact_valid"),
-    ("R5_LOW_CONFIDENCE", 50, "ESCALATION,NO_DECISION", "confidence < {min_confidence}"),
+    ("R5_LOW_CONFIDENCE", 50, "ESCALATION,NO_DECISION", "confidence < {min_confidence_for_recommendation}"),
     ("R6_SPLINE_CLASSIFIER_CONFLICT", 60, "ESCALATION", "conflict"),
-    ("R7_REPRESENTATION_DISAGREEMENT", 70, "ESCALATION", "representation_disagreement > {max_disagreement}"),
-    ("R8_CLASSIFIER_DISAGREEMENT", 80, "ESCALATION", "classifier_disagreement > {max_disagreement}"),
-    ("R9_MISSING_EXPLANATION", 90, "ESCALATION,NO_DECISION", "coalesce(explanation_required, true) AND (NOT explanation_available OR explanation_score < {min_explanation})"),
-    ("R10_LOW_DOMAIN_CONSISTENCY", 100, "ESCALATION,NO_DECISION", "domain_consistency_score < {min_consistency}"),
-    ("R11_HIGH_RISK", 110, "ESCALATION", "risk_score > {max_risk}"),
+    ("R7_REPRESENTATION_DISAGREEMENT", 70, "ESCALATION", "representation_disagreement > {max_representation_disagreement}"),
+    ("R8_CLASSIFIER_DISAGREEMENT", 80, "ESCALATION", "classifier_disagreement > {max_classifier_disagreement}"),
+    ("R9_MISSING_EXPLANATION", 90, "ESCALATION,NO_DECISION", "coalesce(explanation_required, true) AND (NOT explanation_available OR explanation_score < {min_explanation_score})"),
+    ("R10_LOW_DOMAIN_CONSISTENCY", 100, "ESCALATION,NO_DECISION", "domain_consistency_score < {min_domain_consistency_score}"),
+    ("R11_HIGH_RISK", 110, "ESCALATION", "risk_score > {max_risk_for_auto_recommendation}"),
     ("R12_COMBINED_FAULT_EXPERT_REVIEW", 120, "ESCALATION", "diagnosis = 'Mech_Elec_Damage'"),
-    ("R13_OOD", 130, "ESCALATION,NO_DECISION", "ood_score > {max_ood}"),
+    ("R13_OOD", 130, "ESCALATION,NO_DECISION", "ood_score > {max_ood_score}"),
     ("R14_AUDIT_WRITE_FAILURE", 140, "NO_DECISION", "NOT audit_available"),
     ("R15_AUDIT_CHAIN_FAILURE", 150, "NO_DECISION", "NOT audit_chain_valid"),
     ("R16_INVALID_TRANSITION", 160, "NO_DECISION", "NOT array_contains(allowed, proposed_state)"),
@@ -91,8 +92,14 @@ FACTS = {
 
 
 def with_facts(cases: DataFrame) -> DataFrame:
-    """The cases with a null column for every fact that they lack."""
-    return cases.withColumns({f: F.lit(None).cast(t) for f, t in FACTS.items() if f not in cases.columns})
+    """The cases with every fact as a column of its type: null where they lack it, or where it is a text that doesn't parse."""
+    lacking = {f: F.lit(None).cast(t) for f, t in FACTS.items() if f not in cases.columns}
+    texts = {f: F.col(f).try_cast(t) for f, t in FACTS.items() if _is_text(cases, f) and t != "string"}
+    return cases.withColumns(lacking | texts)
+
+
+def _is_text(cases: DataFrame, fact: str) -> bool:
+    return fact in cases.columns and cases.schema[fact].dataType.simpleString() == "string"
 
 
 def _condition(text: str, thresholds: dict[str, float]) -> str:
@@ -100,12 +107,22 @@ def _condition(text: str, thresholds: dict[str, float]) -> str:
 
 
 def guard_results(cases: DataFrame, rules=GUARD_RULES, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
-    """The cases with `triggered`, an array of (precedence, priority, rule_id, action, forced) of the rules that hold."""
+    """The cases with `triggered`, an array of (precedence, priority, rule_id, action, forced) of the rules that hold.
+
+    A rule fails closed, as `<rule>_ERROR`, where a fact that it reads is given as a text that doesn't parse.
+    """
+    parse = {f: F.col(f).isNotNull() & F.col(f).try_cast(t).isNull() for f, t in FACTS.items() if _is_text(cases, f) and t != "string"}
+    broken = cases.withColumns({f"_broken_{f}": c for f, c in parse.items()})
+
+    def result(k: int, rule: str, action: str, forced: str | None) -> Column:
+        return F.struct(F.lit(PRECEDENCE[action]).alias("precedence"), F.lit(k).alias("priority"), F.lit(rule).alias("rule_id"), F.lit(action).alias("action"), F.lit(forced).cast("string").alias("forced"))
+
     results = []
     for k, (rule, action, forced, text) in enumerate(rules, 1):
-        hit = F.struct(F.lit(PRECEDENCE[action]).alias("precedence"), F.lit(k).alias("priority"), F.lit(rule).alias("rule_id"), F.lit(action).alias("action"), F.lit(forced).cast("string").alias("forced"))
-        results.append(F.when(F.expr(_condition(text, thresholds)), hit))
-    return with_facts(cases).withColumn("triggered", F.array_compact(F.array(*results)))
+        hit = F.when(F.expr(_condition(text, thresholds)), result(k, rule, action, forced))
+        unread = [F.col(f"_broken_{f}") for f in parse if re.search(rf"\b{f}\b", text.format(**dict.fromkeys(thresholds, 0)))]
+        results.append(F.when(reduce(lambda a, b: a | b, unread), result(k, f"{rule}_ERROR", "FAIL_CLOSED", _ND)).otherwise(hit) if unread else hit)
+    return with_facts(broken).withColumn("triggered", F.array_compact(F.array(*results))).drop(*[f"_broken_{f}" for f in parse])
 
 
 def guard_outcome(results: DataFrame) -> DataFrame:
@@ -166,13 +183,17 @@ COVARIATES = {
     "data_quality": "coalesce(data_quality, 1.0D)",
     "missing_ratio": "coalesce(missing_ratio, 0.0D)",
     "confidence": "coalesce(confidence, 0.0D)",
+    "model_agreement": "coalesce(model_agreement, 0.0D)",
     "risk_score": "coalesce(risk_score, 0.0D)",
     "representation_agreement": "1 - coalesce(representation_disagreement, 0.0D)",
     "classifier_agreement": "1 - coalesce(classifier_disagreement, 0.0D)",
     "ood_score": "coalesce(ood_score, 0.0D)",
     "explanation_score": "coalesce(explanation_score, 0.0D)",
+    "domain_consistency_score": "coalesce(domain_consistency_score, 0.0D)",
     "domain_consistency": "coalesce(domain_consistency_score, 0.0D)",
     "distance_from_healthy": "coalesce(distance_from_healthy, 0.0D)",
+    "slope": "coalesce(slope, 0.0D)",
+    "curvature": "coalesce(curvature, 0.0D)",
     "spline_curvature": "coalesce(spline_curvature, 0.0D)",
 }
 
@@ -189,7 +210,7 @@ MISSING_LOGIT = -20.0
 def policy_covariates(cases: DataFrame, key: str = "case_id") -> DataFrame:
     """(key, covariates): every covariate clamped to 0 .. 1, defaults for what isn't known."""
     c = with_facts(cases)
-    c = c.withColumns({x: F.lit(None).cast("double") for x in ("distance_from_healthy", "spline_curvature") if x not in c.columns})
+    c = c.withColumns({x: F.lit(None).cast("double") for x in ("distance_from_healthy", "spline_curvature", "model_agreement", "slope", "curvature") if x not in c.columns})
     return c.select(key, *[clamp(F.expr(e)).alias(n) for n, e in COVARIATES.items()])
 
 

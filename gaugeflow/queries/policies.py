@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import policy as po
@@ -58,9 +60,11 @@ def dominant_action(spark, d):
     return po.guard_outcome(po.guard_results(_decisions(spark, d))).select("case_id", "dominant_rule", "dominant_action")
 
 
-@query("SELECT case_id, CASE WHEN top IS NULL THEN proposed_state ELSE coalesce(top.forced, current_state) END AS final_state, top IS NOT NULL AS overridden FROM tops_t", views=_GUARD)
+@query("SELECT case_id, CASE WHEN case_id % 29 = 0 THEN 'R15_LOW_CONFIDENCE_ESCALATE_ERROR' ELSE top.rule_id END AS dominant_rule, CASE WHEN case_id % 29 = 0 THEN 'NO_DECISION' WHEN top IS NULL THEN proposed_state ELSE coalesce(top.forced, current_state) END AS final_state, case_id % 29 = 0 OR top IS NOT NULL AS overridden FROM tops_t", views=_GUARD)
 def guard_outcome(spark, d):
-    return po.guard_outcome(po.guard_results(_decisions(spark, d))).select("case_id", "final_state", "overridden")
+    """Every 29th case has a confidence that is no number: the rules that read it fail closed."""
+    c = _decisions(spark, d).withColumn("confidence", F.when(F.col("case_id") % 29 == 0, "unknown").otherwise(F.col("confidence").cast("string")))
+    return po.guard_outcome(po.guard_results(c)).select("case_id", "dominant_rule", "final_state", "overridden")
 
 
 _PROFILE = {"fired_t": "SELECT case_id, list_filter([" + ", ".join(f"CASE WHEN {po._condition(text, po.THRESHOLDS)} THEN struct_pack(rule_id := '{rule}', outcomes := '{out}') END" for rule, _, out, text in po.PROFILE_RULES) + "], lambda x: x IS NOT NULL) AS h FROM decision_cases"}
@@ -118,7 +122,8 @@ def sample_state(spark, d):
 
 
 _COV = {
-    "covs": "SELECT case_id, " + ", ".join(f"greatest(0, least(1, {e.replace('0.0D', '0').replace('1.0D', '1').replace('distance_from_healthy', 'NULL').replace('spline_curvature', 'NULL')})) AS {n}" for n, e in po.COVARIATES.items()) + " FROM case_facts",
+    "agreed_facts": "SELECT *, 1 - representation_disagreement / 2 AS model_agreement FROM case_facts",
+    "covs": "SELECT case_id, " + ", ".join(f"greatest(0, least(1, {re.sub(r'(distance_from_healthy|spline_curvature|slope|(?<!_)curvature)', 'NULL', e.replace('0.0D', '0').replace('1.0D', '1'))})) AS {n}" for n, e in po.COVARIATES.items()) + " FROM agreed_facts",
     "draw_t": "SELECT i, (i - 31.5) / 2560 AS jitter FROM range(0, 64) t(i)",
     "coef_t": "SELECT i AS sample_id, state, feature, (base::DOUBLE + jitter * (1 + k / 20))::DOUBLE AS coef FROM draw_t, (VALUES " + ", ".join(f"('{s}', '{f}', {k}, {c})" for s, row in po.BASE_COEFFICIENTS.items() for k, (f, c) in enumerate(row.items())) + ") t(state, feature, k, base)",
     "long_t": "SELECT case_id, 'intercept' AS feature, 1.0::DOUBLE AS x FROM covs UNION ALL SELECT case_id, unnest([" + ", ".join(f"'{n}'" for n in po.COVARIATES) + "]), unnest([" + ", ".join(f"{n}::DOUBLE" for n in po.COVARIATES) + "]) FROM covs",
@@ -129,13 +134,17 @@ _COV = {
 }
 
 
+def _agreed(spark, d) -> DataFrame:
+    return ad.case_facts(spark, d).withColumn("model_agreement", 1 - F.col("representation_disagreement") / 2)
+
+
 def _spread(spark, d) -> DataFrame:
-    return po.posterior_spread(po.policy_covariates(ad.case_facts(spark, d)), po.surrogate_samples(spark))
+    return po.posterior_spread(po.policy_covariates(_agreed(spark, d)), po.surrogate_samples(spark))
 
 
 @query("SELECT * FROM covs", " ".join(po.COVARIATES), _COV)
 def policy_covariates(spark, d):
-    return po.policy_covariates(ad.case_facts(spark, d))
+    return po.policy_covariates(_agreed(spark, d))
 
 
 @query("SELECT case_id, state, mean, variance, low, high FROM spread_t", "mean variance low high", _COV)
@@ -180,7 +189,7 @@ def posterior_to_long(spark, d):
 
 @query("SELECT case_id, CASE WHEN missing_ratio > 0.20 OR data_quality < 0.70 THEN 'NO_DECISION' WHEN risk_score >= 0.75 OR ood_score >= 0.78 OR representation_agreement < 0.50 THEN 'ESCALATION' ELSE 'RECOMMENDATION' END AS target FROM covs", views=_COV)
 def rule_targets(spark, d):
-    return po.rule_targets(po.policy_covariates(ad.case_facts(spark, d))).select("case_id", "target")
+    return po.rule_targets(po.policy_covariates(_agreed(spark, d))).select("case_id", "target")
 
 
 _TC = ["data_quality", "missing_ratio", "confidence", "model_agreement", "representation_agreement", "explanation_score", "domain_consistency_score", "risk_score", "slope", "curvature", "distance_from_healthy", "ood_score"]
