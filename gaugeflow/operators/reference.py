@@ -25,17 +25,28 @@ def reference_distance(df: DataFrame, reference: DataFrame, view: Sequence[str],
     return j.withColumn(out, d).drop("mean", "scale")
 
 
-def validate_reference(reference: DataFrame, width: int) -> DataFrame:
-    """The table with `status`: REFERENCE_OK, or the first thing that is wrong."""
-    return reference.withColumn(
-        "status",
-        first_reason(
-            (F.col("mean").isNull() | (F.size("mean") != width) | (F.size("scale") != width), "REFERENCE_WIDTH"),
-            (F.exists("mean", lambda v: ~finite(v)) | F.exists("scale", lambda v: ~finite(v)), "REFERENCE_NOT_FINITE"),
-            (F.exists("scale", lambda v: v <= 0), "REFERENCE_SCALE"),
-            ok="REFERENCE_OK",
-        ),
-    )
+def validate_reference(reference: DataFrame, width: int, assignment: str | None = None) -> DataFrame:
+    """The table with `status`: REFERENCE_OK, or the code of the first thing that is wrong.
+
+    Needs mean and scale; looks at source_partitions, at assignment_id against the column `assignment`, and at
+    source_window_hashes where the table has them.
+    """
+    have = set(reference.columns)
+    no = lambda c: F.coalesce(c, F.lit(True))
+    hashes = "source_window_hashes" in have
+    checks = []
+    if "source_partitions" in have:
+        checks.append((no(F.col("source_partitions") != F.array(F.lit("train"))), "HEALTHY_REFERENCE_MUST_BE_TRAINING_ONLY"))
+    if assignment:
+        checks.append((no((F.col("assignment_id") == "") | (F.col("assignment_id") != F.col(assignment))), "HEALTHY_REFERENCE_ASSIGNMENT_MISMATCH"))
+    shape = no(F.size("mean") != width) | no(F.size("scale") != width)
+    if hashes:
+        shape = shape | no(F.size("source_window_hashes") < 1)
+    checks.append((F.col("mean").isNull() | F.col("scale").isNull() | shape, "HEALTHY_REFERENCE_PROVENANCE_OR_SHAPE_INVALID"))
+    checks.append((F.exists("mean", lambda v: ~finite(v)) | F.exists("scale", lambda v: ~finite(v) | (v <= 0)), "HEALTHY_REFERENCE_VALUES_INVALID"))
+    if hashes:
+        checks.append((no(F.exists("source_window_hashes", lambda h: no(~h.rlike("^[0-9a-f]{64}$")))), "HEALTHY_REFERENCE_SOURCE_HASH_INVALID"))
+    return reference.withColumn("status", first_reason(*checks, ok="REFERENCE_OK"))
 
 
 def fit_series_reference(series: DataFrame) -> DataFrame:

@@ -13,22 +13,74 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import finite, first_reason
-from ..plans.smoothers import pieces, reinsch, solver
+from ..plans.smoothers import basis, derivative_map, knots, pieces, smoothest, smoothing_grid, solver
 
 LEAST = 4
 PENALTY = 10.0
 
 
+# The codes of window order checks, in the order in which they are looked at, with the status of each.
+ORDER_CODES = {
+    "MIXED_ASSIGNMENTS": "INVALID_CONFIGURATION",
+    "UNKNOWN_WINDOW_PARTITION": "INVALID_CONFIGURATION",
+    "MIXED_WINDOW_PARTITIONS": "INVALID_CONFIGURATION",
+    "DUPLICATE_WINDOW_ID": "UNORDERED_WINDOWS",
+    "DUPLICATE_WINDOW_ORDER": "UNORDERED_WINDOWS",
+    "UNORDERED_WINDOWS": "UNORDERED_WINDOWS",
+    "INCONSISTENT_FEATURE_VECTOR_SHAPE": "INVALID_CONFIGURATION",
+    "NONFINITE_INPUT": "NONFINITE_INPUT",
+    "CONSISTENT_TIMESTAMP_OR_ORDINAL_POSITION_REQUIRED": "INVALID_CONFIGURATION",
+    "UNORDERED_ORDINAL_POSITIONS": "UNORDERED_WINDOWS",
+    "INVALID_OR_UNORDERED_TIMESTAMPS": "UNORDERED_WINDOWS",
+    "FUTURE_WINDOW_FORBIDDEN": "UNORDERED_WINDOWS",
+    "INSUFFICIENT_HISTORY": "INSUFFICIENT_HISTORY",
+}
+#: Partitions that windows may come from.
+PARTITIONS = ("train", "validation", "test", "production")
+
+
 def validate_order(windows: DataFrame, key: str = "acquisition_id", arrival: str = "arrival", boundary: str | None = None) -> DataFrame:
-    """(key, status): the first fault of an acquisition's windows in the order they arrived.
+    """(key, status, reason): the first fault of an acquisition's windows in the order they arrived, ORDER_OK and null without.
 
-    Repeated orders, then orders that go back, then windows beyond the observation boundary, then values that aren't finite.
+    Looked at where the table has them: assignment_id, partition, window_id, features (an array), ordinal_position and
+    timestamp. Positions count where all windows have one, else timestamps where all have one; a table with neither column
+    is ordered by window_order alone.
     """
+    have = set(windows.columns)
     w = W.partitionBy(key).orderBy(arrival)
-    r = windows.withColumn("_back", F.col("window_order") < F.lag("window_order").over(w))
-    future = F.col("window_order") > F.col(boundary) if boundary else F.lit(False)
-    g = r.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct("window_order").alias("k"), F.bool_or(F.coalesce("_back", F.lit(False))).alias("back"), F.bool_or(future).alias("future"), F.bool_or(~finite("y")).alias("bad"))
-    return g.select(key, first_reason((F.col("future"), "FUTURE_WINDOW_FORBIDDEN"), ((F.col("n") != F.col("k")) | F.col("back"), "UNORDERED_WINDOWS"), (F.col("bad"), "NON_FINITE_SIGNAL"), (F.col("n") < LEAST, "INSUFFICIENT_HISTORY"), ok="ORDER_OK").alias("status"))
+    steps = {"_back": F.col("window_order") <= F.lag("window_order").over(w)}
+    faults: dict[str, Column] = {"UNORDERED_WINDOWS": F.bool_or("_back"), "DUPLICATE_WINDOW_ORDER": F.count("*") != F.count_distinct("window_order")}
+    mixed = lambda c: ~F.min(c).eqNullSafe(F.max(c)) | (F.count(c) != F.count("*")) & (F.count(c) > 0)
+    if "assignment_id" in have:
+        faults["MIXED_ASSIGNMENTS"] = mixed("assignment_id")
+    if "partition" in have:
+        faults["UNKNOWN_WINDOW_PARTITION"] = F.bool_or(~F.coalesce(F.col("partition").isin(*PARTITIONS), F.lit(False)))
+        faults["MIXED_WINDOW_PARTITIONS"] = mixed("partition")
+    if "window_id" in have:
+        faults["DUPLICATE_WINDOW_ID"] = F.count("*") != F.count_distinct("window_id")
+    if "features" in have:
+        width = F.coalesce(F.size("features"), F.lit(0))
+        faults["INCONSISTENT_FEATURE_VECTOR_SHAPE"] = (F.max(width) <= 0) | (F.min(width) != F.max(width))
+        faults["NONFINITE_INPUT"] = F.bool_or(F.exists("features", lambda v: ~finite(v)))
+    else:
+        faults["NONFINITE_INPUT"] = F.bool_or(~finite("y"))
+    if have & {"ordinal_position", "timestamp"}:
+        whole = {c: F.count(c) == F.count("*") if c in have else F.lit(False) for c in ("ordinal_position", "timestamp")}
+        faults["CONSISTENT_TIMESTAMP_OR_ORDINAL_POSITION_REQUIRED"] = ~whole["ordinal_position"] & ~whole["timestamp"]
+        if "ordinal_position" in have:
+            place = F.col("ordinal_position").cast("double")
+            steps["_place"] = ~finite(place) | (place <= F.lag(place).over(w))
+            faults["UNORDERED_ORDINAL_POSITIONS"] = whole["ordinal_position"] & F.bool_or("_place")
+        if "timestamp" in have:
+            time = F.try_to_timestamp(F.col("timestamp").cast("string"))
+            steps["_time"] = time.isNull() | (time <= F.lag(time).over(w))
+            faults["INVALID_OR_UNORDERED_TIMESTAMPS"] = ~whole["ordinal_position"] & whole["timestamp"] & F.bool_or("_time")
+    if boundary:
+        faults["FUTURE_WINDOW_FORBIDDEN"] = F.bool_or(F.col("window_order") > F.col(boundary))
+    faults["INSUFFICIENT_HISTORY"] = F.count("*") < LEAST
+    g = windows.withColumns(steps).groupBy(key).agg(*[faults[c].alias(c) for c in ORDER_CODES if c in faults])
+    g = g.select(key, first_reason(*[(F.col(c), c) for c in ORDER_CODES if c in faults]).alias("reason"))
+    return g.select(key, first_reason(*[(F.col("reason") == c, s) for c, s in ORDER_CODES.items()], ok="ORDER_OK").alias("status"), "reason")
 
 
 def _indexed(windows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -75,24 +127,61 @@ def linear_fit(windows: DataFrame, penalty: float = 0.0, key: Sequence[str] = ("
     return j.select(*key, "n", "i", "y", dot(value, F.col("_c")).alias("fitted"), dot(d1, F.col("_c")).alias("d1"), dot(d2, F.col("_c")).alias("d2"), "edf")
 
 
-def smoothing_fit(windows: DataFrame, budget: float = 0.25, key: Sequence[str] = ("acquisition_id",)) -> DataFrame:
-    """(key, n, i, y, fitted, d1, d2, edf) of the smoothing spline whose squared residuals sum to `budget` times n.
+#: Basis functions of a smoothing spline at most: a knot at every window of shorter series.
+SMOOTHING_BASES = 16
+
 
-    A natural cubic spline by Reinsch's method, a series at a time; it places a knot at every window, where other
-    implementations choose knots one by one.
+def smoothing_fit(windows: DataFrame, budget: float = 0.25, key: Sequence[str] = ("acquisition_id",), most: int = SMOOTHING_BASES) -> DataFrame:
+    """(key, n, i, y, fitted, d1, d2, edf) of the smoothest cubic spline whose squared residuals sum to `budget` times n.
+
+    min(most, n) basis functions on uniform knots, roughness being the integral of the squared second derivative. A series
+    whose least squares fit on these knots leaves more residuals gets that fit. Whatever its length, a series is `most`
+    sums and y'y, which combine before their shuffle, and the fit is evaluated row by row.
     """
-    names = [*key, "n", "i", "y", "fitted", "d1", "d2", "edf"]
+    s = _indexed(windows, key)
 
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("window_order")["y"].to_numpy(float)
-        n = len(y)
-        if n < LEAST or not np.isfinite(y).all():
-            return pd.DataFrame(columns=names)
-        g, d1, d2, edf, _ = reinsch(y, budget * n)
-        return pd.DataFrame({**dict(zip(key, k, strict=True)), "n": n, "i": range(n), "y": y, "fitted": g, "d1": d1, "d2": d2, "edf": edf})[names]
+    def products(batches):
+        for b in batches:
+            out = np.zeros((len(b), most))
+            n, i, y = (b[c].to_numpy() for c in ("n", "i", "y"))
+            for k in np.unique(np.minimum(n, most)):
+                at = np.minimum(n, most) == k
+                out[at, :k] = basis(i[at] / (n[at] - 1), knots(k, 3, most), 3) * y[at, None]
+            yield b.assign(_b=list(out))
 
     kinds = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in key)
-    return windows.select(*key, "window_order", "y").groupBy(*key).applyInPandas(run, f"{kinds}, n int, i int, y double, fitted double, d1 double, d2 double, edf double")
+    rows = s.mapInPandas(products, f"{kinds}, n int, i int, y double, _b array<double>")
+    sums = rows.groupBy(*key, "n").agg(F.array(*[F.sum(F.col("_b")[k]) for k in range(most)]).alias("_by"), F.sum(F.col("y") * F.col("y")).alias("_yy"))
+
+    def solve(batches):
+        grids: dict[int, tuple] = {}
+        for b in batches:
+            found = []
+            for n, by, yy in zip(b["n"], b["_by"], b["_yy"], strict=True):
+                if n not in grids:
+                    if len(grids) == 1000:
+                        grids.clear()
+                    grids[n] = smoothing_grid(int(n), most)
+                found.append(smoothest(*grids[n], np.asarray(by)[: min(n, most)], yy, budget * n))
+            yield b.drop(columns=["_by", "_yy"]).assign(_c=[c for c, _ in found], edf=[e for _, e in found])
+
+    solved = sums.mapInPandas(solve, f"{kinds}, n int, _c array<double>, edf double").drop("n")
+
+    def evaluate(batches):
+        for b in batches:
+            out = np.zeros((3, len(b)))
+            size = b["_c"].map(len).to_numpy()
+            for k in np.unique(size):
+                at = size == k
+                t = knots(k, 3, most)
+                d1, t1 = derivative_map(t, 3)
+                d2, t2 = derivative_map(t1, 2)
+                x, c = b["i"].to_numpy()[at] / (b["n"].to_numpy()[at] - 1), np.stack(b["_c"].to_numpy()[at])
+                for m, part in enumerate((basis(x, t, 3), basis(x, t1, 2) @ d1, basis(x, t2, 1) @ d2 @ d1)):
+                    out[m, at] = (part * c).sum(1)
+            yield b.drop(columns="_c").assign(fitted=out[0], d1=out[1], d2=out[2])[[*key, "n", "i", "y", "fitted", "d1", "d2", "edf"]]
+
+    return s.join(solved, list(key)).mapInPandas(evaluate, f"{kinds}, n int, i int, y double, fitted double, d1 double, d2 double, edf double")
 
 
 def finite_difference_fit(windows: DataFrame, key: Sequence[str] = ("acquisition_id",)) -> DataFrame:

@@ -93,37 +93,48 @@ def solver(n: int, penalty: float = 0.0, most: int = 6) -> tuple[np.ndarray, flo
     return np.pad(m, (0, most - k)), edf
 
 
-def reinsch(y: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """Natural cubic smoothing spline (Reinsch 1967) at 0 .. 1 whose squared residuals sum to `budget` at most.
-
-    (fitted, first and second derivative, effective degrees of freedom, squared residuals). The smoothest fit within the
-    budget is found by bisection of the penalty; a straight line within it is taken.
+def smoothing_grid(n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(B'B, R) of min(most, n) basis functions for n values at 0 .. 1, R being the integrals of products of their second
+    derivatives; summed a block of values at a time, so that memory is that of the basis alone."""
+    t = knots(n, 3, most)
+    k = len(t) - 4
+    gram = np.zeros((k, k))
+    for start in range(0, n, 65536):
+        b = basis(np.arange(start, min(n, start + 65536)) / (n - 1), t, 3)
+        gram += b.T @ b
+    d1, t1 = derivative_map(t, 3)
+    d2, t2 = derivative_map(t1, 2)
+    cuts = np.unique(t)
+    rough = np.zeros((k, k))
+    for at, weight in ((0.0, 1 / 6), (0.5, 4 / 6), (1.0, 1 / 6)):  # second derivatives are linear between knots: exact
+        x = cuts[:-1] + np.diff(cuts) * np.clip(at, 1e-12, 1 - 1e-12)
+        v = basis(x, t2, 1) @ d2 @ d1
+        rough += (v * (weight * np.diff(cuts))[:, None]).T @ v
+    return gram, rough
+
+
+def smoothest(gram: np.ndarray, rough: np.ndarray, by: np.ndarray, yy: float, budget: float) -> tuple[np.ndarray, float]:
+    """(coefficients, effective degrees of freedom) of the smoothest fit whose squared residuals are `budget` at most.
+
+    A straight line within the budget is taken; where the budget is out of reach, the least squares fit. In the common
+    eigenvectors of the two matrices each penalty is a vector of factors, so that the bisection costs no solving.
     """
-    n = len(y)
-    x = np.linspace(0, 1, n)
-    h = 1 / (n - 1)
-    q = np.zeros((n, n - 2))
-    for k in range(n - 2):
-        q[k, k], q[k + 1, k], q[k + 2, k] = 1 / h, -2 / h, 1 / h
-    r = np.diag([2 * h / 3] * (n - 2)) + np.diag([h / 6] * (n - 3), 1) + np.diag([h / 6] * (n - 3), -1)
-    line = np.polyval(np.polyfit(x, y, 1), x)
-    if ((y - line) ** 2).sum() <= budget:
-        slope = (line[-1] - line[0]) / 1.0
-        return line, np.full(n, slope), np.zeros(n), 2.0, float(((y - line) ** 2).sum())
-
-    def fit(lam: float):
-        gamma = np.linalg.solve(r + lam * q.T @ q, q.T @ y)
-        return y - lam * q @ gamma, gamma
-
-    low, high = 1e-14, 1e6
-    for _ in range(200):
-        mid = np.sqrt(low * high)
-        g, _ = fit(mid)
-        low, high = (low, mid) if ((y - g) ** 2).sum() > budget else (mid, high)
-    g, gamma = fit(low)
-    second = np.concatenate([[0.0], gamma, [0.0]])
-    first = np.empty(n)
-    first[:-1] = np.diff(g) / h - h / 6 * (2 * second[:-1] + second[1:])
-    first[-1] = (g[-1] - g[-2]) / h + h / 6 * (second[-2] + 2 * second[-1])
-    edf = float(np.trace(np.eye(n) - low * q @ np.linalg.solve(r + low * q.T @ q, q.T)))
-    return g, first, second, edf, float(((y - g) ** 2).sum())
+    low = np.linalg.cholesky(gram)
+    inner = np.linalg.solve(low, np.linalg.solve(low, rough).T)
+    s, u = np.linalg.eigh((inner + inner.T) / 2)
+    s = np.where(np.arange(len(s)) < 2, 0.0, np.maximum(s, 0.0))  # straight lines have no roughness
+    z = u.T @ np.linalg.solve(low, by)
+    rest = max(0.0, yy - float(z @ z))
+    spent = lambda keep: rest + float((z * (1 - keep)) @ (z * (1 - keep)))
+    keep = (s == 0).astype(float)
+    if spent(keep) > budget:
+        few, many = -40.0, 40.0
+        keep = 1 / (1 + 10.0**few * s)
+        for _ in range(200):
+            mid = (few + many) / 2
+            tried = 1 / (1 + 10.0**mid * s)
+            if spent(tried) > budget:
+                many = mid
+            else:
+                few, keep = mid, tried
+    return np.linalg.solve(low.T, u @ (keep * z)), float(keep.sum())

@@ -156,10 +156,15 @@ def reference_distance(spark, d):
     return rf.reference_distance(r, rf.fit_reference(r, ["view_id"], BASELINE), ["view_id"]).select("view_id", "acquisition_id", "window_order", "healthy_distance")
 
 
-@query("SELECT view_id, CASE WHEN view_id = 1 THEN 'REFERENCE_SCALE' ELSE 'REFERENCE_OK' END AS status FROM refs", views=_REF)
+@query("SELECT view_id, k AS variant, ['REFERENCE_OK', 'HEALTHY_REFERENCE_MUST_BE_TRAINING_ONLY', 'HEALTHY_REFERENCE_ASSIGNMENT_MISMATCH', 'HEALTHY_REFERENCE_PROVENANCE_OR_SHAPE_INVALID', 'HEALTHY_REFERENCE_VALUES_INVALID', 'HEALTHY_REFERENCE_SOURCE_HASH_INVALID'][k + 1] AS status FROM refs, (SELECT unnest(range(0, 6))::INTEGER AS k)", views=_REF)
 def validate_reference(spark, d):
-    r = rf.fit_reference(_rows(spark, d), ["view_id"], BASELINE).withColumn("scale", F.when(F.col("view_id") == 1, F.transform("scale", lambda x: -x)).otherwise(F.col("scale")))
-    return rf.validate_reference(r, 2).select("view_id", "status")
+    """Each reference as it is and with one thing altered, a variant a check."""
+    r = rf.fit_reference(_rows(spark, d), ["view_id"], BASELINE).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("variant"))
+    k = lambda n: F.col("variant") == n
+    name = F.concat(F.lit("view-"), F.col("view_id").cast("string"))
+    r = r.withColumn("expected", name).withColumn("assignment_id", F.when(k(2), "another").otherwise(name)).withColumn("source_partitions", F.when(k(1), F.array(F.lit("train"), F.lit("test"))).otherwise(F.array(F.lit("train"))))
+    r = r.withColumn("source_window_hashes", F.array(F.when(k(5), "ABC").otherwise(F.sha2(name, 256)))).withColumn("mean", F.when(k(3), F.slice("mean", 1, 1)).otherwise(F.col("mean"))).withColumn("scale", F.when(k(4), F.transform("scale", lambda x: -x)).otherwise(F.col("scale")))
+    return rf.validate_reference(r, 2, "expected").select("view_id", "variant", "status")
 
 
 @query("SELECT * FROM sref", "m s", _REF)

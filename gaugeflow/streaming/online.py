@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.trends import LEAST
-from ..plans.smoothers import smoother
+from ..plans.smoothers import basis, derivative_map, knots, solver
 from ..plans.storage import shared_folder
 
 
@@ -57,6 +57,17 @@ def stream_windows(samples: DataFrame, width: int, key: str = "acquisition_id")
     return samples.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, window_order long, n int, mean double", "window_order long, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _last_fit(y: np.ndarray, penalty: float) -> tuple[float, float, float]:
+    """(value, slope) at the last window and the error of the fit: a basis of six columns and a matrix of six rows at most."""
+    n = len(y)
+    t = knots(n)
+    b = basis(np.arange(n) / (n - 1), t, 3)
+    m, _ = solver(n, penalty)
+    c = m[: b.shape[1], : b.shape[1]] @ (b.T @ y)
+    d1, t1 = derivative_map(t, 3)
+    return float(b[-1] @ c), float((basis(np.ones(1), t1, 2) @ d1 @ c)[0]), float(np.sqrt(np.mean((y - b @ c) ** 2)))
+
+
 def online_trend(windows: DataFrame, key: str = "acquisition_id", penalty: float = 0.0) -> DataFrame:
     """(key, boundary, status, trend_value, first_derivative, fit_rmse) after every window of (key, window_order, y, boundary).
 
@@ -79,9 +90,7 @@ def online_trend(windows: DataFrame, key: str = "acquisition_id", penalty: float
                 if len(ys) < LEAST:
                     status = "INSUFFICIENT_HISTORY"
                 else:
-                    h, h1, _, _ = smoother(len(ys), penalty)
-                    y = np.array(ys)
-                    fit = (float(h[-1] @ y), float(h1[-1] @ y), float(np.sqrt(np.mean((y - h @ y) ** 2))))
+                    fit = _last_fit(np.array(ys), penalty)
             out.append((k[0], int(r.window_order), status, *fit))
         state.update((orders, ys))
         yield pd.DataFrame(out, columns=[key, "window_order", "status", "trend_value", "first_derivative", "fit_rmse"])

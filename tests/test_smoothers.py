@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from gaugeflow.plans.smoothers import basis, knots, reinsch, smoother
+from gaugeflow.plans.smoothers import basis, knots, smoother, smoothest, smoothing_grid
 
 
 @pytest.mark.parametrize("n", [4, 5, 8, 12, 25])
@@ -31,11 +31,35 @@ def test_penalty_goes_to_least_squares():
     assert round(smoother(25, 10.0)[3], 4) == 2.4358
 
 
-def test_smoothing_spline():
-    x = np.linspace(0, 1, 12)
-    line = 2 * x + 1
-    g, d1, d2, edf, ssr = reinsch(line, 0.1)
-    assert np.allclose(g, line) and np.allclose(d1, 2) and np.allclose(d2, 0) and edf == 2 and ssr < 1e-20
-    y = np.sin(6 * x)
-    g, *_, ssr = reinsch(y, 0.01)
-    assert ssr <= 0.01 and ssr > 0.009
+def _smoothed(y, budget, most=16):
+    n = len(y)
+    x, t = np.linspace(0, 1, n), knots(n, 3, most)
+    b = basis(x, t, 3)
+    c, edf = smoothest(*smoothing_grid(n, most), b.T @ y, float(y @ y), budget)
+    return b @ c, edf, t, c
+
+
+def test_smoothing_spline_takes_a_line_within_its_budget():
+    line = 2 * np.linspace(0, 1, 12) + 1
+    g, edf, *_ = _smoothed(line, 0.1)
+    assert np.allclose(g, line) and edf == 2
+
+
+@pytest.mark.parametrize("n", [5, 12, 16, 200])
+def test_smoothing_spline_is_the_smoothest_within_its_budget(n):
+    y = np.sin(6 * np.linspace(0, 1, n)) + np.cos(np.arange(n)) / 10
+    budget = 0.02 * n
+    g, edf, t, c = _smoothed(y, budget)
+    assert np.isclose(((y - g) ** 2).sum(), budget, rtol=1e-6) and 2 < edf < min(n, 16)
+    # the optimality condition: the gradients of roughness and residuals are opposite
+    gram, rough = smoothing_grid(n, 16)
+    b = basis(np.linspace(0, 1, n), t, 3)
+    up, down = rough @ c, b.T @ (y - g)
+    assert np.allclose(up / np.linalg.norm(up), down / np.linalg.norm(down), atol=1e-5)
+
+
+def test_roughness_is_the_integral_of_the_squared_second_derivative():
+    n = 9
+    t = knots(n, 3, 16)
+    c = np.linalg.lstsq(basis(np.linspace(0, 1, n), t, 3), np.linspace(0, 1, n) ** 3, rcond=None)[0]
+    assert np.isclose(c @ smoothing_grid(n, 16)[1] @ c, 12)  # of x^3: the integral of 36 x^2
