@@ -6,45 +6,65 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import content_hash, first_reason
+from ..functions.columns import content_hash, first_reason, fixed, normalized_entropy
 
 GENESIS = ""
 
 
-def audit_events(rows: DataFrame, run: str = "run_id", order: Sequence[str] = ("event_index",)) -> DataFrame:
-    """The rows with event_index from 1 in each run, and event_id `run:000001`."""
-    n = F.row_number().over(W.partitionBy(run).orderBy(*order)).cast("long")
-    return rows.withColumn("event_index", n).withColumn("event_id", F.format_string("%s:%06d", F.col(run).cast("string"), F.col("event_index")))
+# The fields of an audit event, in order.
+EVENT_FIELDS = (
+    "schema_version", "event_type", "event_id", "event_index", "run_id", "experiment_fingerprint", "case_id", "window_id", "timestamp", "state_from", "state_to", "transition_policy",
+    "transition_policy_version", "candidate_states", "raw_transition_scores", "normalized_probabilities", "selected_state", "selection_mode", "rng_seed_or_stream_id", "active_state_strategy",
+    "strategy_version", "strategy_params_hash", "safety_rules_evaluated", "safety_rules_triggered", "safety_override", "diagnosis", "class_probabilities", "confidence", "spline_summary",
+    "explanation_score", "top_explanatory_features", "risk_score", "ood_score", "decision_reason", "final_action", "input_hash", "config_hash", "model_hash", "git_commit", "previous_event_hash", "event_hash",
+)
+
+
+def audit_events(rows: DataFrame, order: Sequence[str] = ("event_index",), schema_version: str = "1.0") -> DataFrame:
+    """Audit events with all fields, as texts but for event_index: numbered from 1 in each run_id and chained by hashes.
+
+    A field that the rows lack, or that is null, is an empty text. An event's payload, which its hash covers, is all its
+    fields but the hashes and the index, joined by `|`.
+    """
+    n = F.row_number().over(W.partitionBy("run_id").orderBy(*order)).cast("long")
+    have = set(rows.columns)
+    made = {"event_index": n, "schema_version": F.lit(schema_version)} | {f: F.coalesce(F.col(f).cast("string"), F.lit("")) if f in have else F.lit("") for f in EVENT_FIELDS if f not in ("event_index", "event_id", "schema_version", "run_id")}
+    e = rows.select("run_id", *[c.alias(f) for f, c in made.items()]).withColumn("event_id", F.format_string("%s:%06d", F.col("run_id").cast("string"), F.col("event_index")))
+    told = [f for f in EVENT_FIELDS if f not in ("event_index", "previous_event_hash", "event_hash")]
+    e = e.withColumn("payload", F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in told]))
+    chained = build_chain(e, [f for f in EVENT_FIELDS if f not in ("run_id", "event_index", "previous_event_hash", "event_hash")])
+    return chained.select(*EVENT_FIELDS)
 
 
 def _hash(index: Column, payload: Column, previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", previous, index.cast("string"), payload), 256)
 
 
-def build_chain(events: DataFrame) -> DataFrame:
-    """(run_id, event_index, payload, previous_event_hash, event_hash): each hash covers the one before.
+def build_chain(events: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(run_id, event_index, payload, the columns `carry`, previous_event_hash, event_hash): each hash covers the one before.
 
     A chain is a fold in order, so a run's events meet in one row; runs are independent of each other.
     """
-    g = events.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("event_index", F.coalesce("payload", F.lit("")).alias("payload")))).alias("e"))
+    kept = [F.coalesce("payload", F.lit("")).alias("payload"), *carry]
+    g = events.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("event_index", *kept))).alias("e"))
     zero = F.array(F.lit(GENESIS))
     fold = F.aggregate("e", zero, lambda acc, x: F.concat(acc, F.array(_hash(x["event_index"], x["payload"], F.element_at(acc, -1)))))
     g = g.withColumn("h", fold)
     r = g.select("run_id", F.posexplode("e").alias("k", "x"), "h")
-    return r.select("run_id", "x.event_index", "x.payload", F.get("h", F.col("k")).alias("previous_event_hash"), F.get("h", F.col("k") + 1).alias("event_hash"))
+    return r.select("run_id", "x.event_index", "x.payload", *[f"x.{c}" for c in carry], F.get("h", F.col("k")).alias("previous_event_hash"), F.get("h", F.col("k") + 1).alias("event_hash"))
 
 
 def verify_chain(chain: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, valid, events, first_bad, reason) of every run listed: the first failing event in order, or EMPTY_LOG.
+    """(run_id, valid, events, first_bad, reason) of every run listed: the first failing event in order, or EMPTY_AUDIT_LOG.
 
     An event fails by its index, then by its link to the event before, then by its own hash.
     """
     w = W.partitionBy("run_id").orderBy("event_index")
     c = chain.withColumn("_n", F.row_number().over(w)).withColumn("_p", F.lag("event_hash", 1, GENESIS).over(w))
-    code = first_reason((F.col("event_index") != F.col("_n"), "INDEX_NOT_SEQUENTIAL"), (~F.col("previous_event_hash").eqNullSafe(F.col("_p")), "PREVIOUS_HASH_MISMATCH"), (F.col("event_hash") != _hash(F.col("event_index"), F.col("payload"), F.col("previous_event_hash")), "EVENT_HASH_MISMATCH"))
+    code = first_reason((F.col("event_index") != F.col("_n"), "MISSING_OR_NONSEQUENTIAL_EVENT"), (~F.col("previous_event_hash").eqNullSafe(F.col("_p")), "PREVIOUS_HASH_MISMATCH"), (F.col("event_hash") != _hash(F.col("event_index"), F.col("payload"), F.col("previous_event_hash")), "EVENT_HASH_MISMATCH"))
     g = c.withColumn("_c", code).groupBy("run_id").agg(F.count("*").alias("events"), F.min(F.when(F.col("_c").isNotNull(), F.struct("event_index", "_c"))).alias("bad"))
     j = runs.select("run_id").distinct().join(g, "run_id", "left")
-    return j.select("run_id", (F.col("events").isNotNull() & F.col("bad").isNull()).alias("valid"), F.coalesce("events", F.lit(0)).alias("events"), F.col("bad.event_index").alias("first_bad"), F.when(F.col("events").isNull(), "EMPTY_LOG").otherwise(F.col("bad._c")).alias("reason"))
+    return j.select("run_id", (F.col("events").isNotNull() & F.col("bad").isNull()).alias("valid"), F.coalesce("events", F.lit(0)).alias("events"), F.col("bad.event_index").alias("first_bad"), F.when(F.col("events").isNull(), "EMPTY_AUDIT_LOG").otherwise(F.col("bad._c")).alias("reason"))
 
 
 def chain_linkage(chain: DataFrame) -> DataFrame:
@@ -60,18 +80,39 @@ def replay_signature(first: DataFrame, second: DataFrame, fields: Sequence[str])
     return j.groupBy("run_id").agg(F.bool_and(F.col("x").eqNullSafe(F.col("y"))).alias("same"))
 
 
-def case_reports(steps: DataFrame, key: str = "case_id") -> DataFrame:
-    """(key, path, rules, outcome, overrides, length) of each case's steps."""
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "final_state"))), lambda s: s["final_state"]), " > ")
+def step_hash(key: str = "case_id") -> Column:
+    """The hash of a step's own fields."""
+    return content_hash(key, "step", "current_state", "final_state")
+
+
+def case_reports(steps: DataFrame, key: str = "case_id", carry: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """(key, carry, more, path, rules, decisions, outcome, overrides, length, first_hash, last_hash) of each case's steps.
+
+    `carry` are columns that a case's steps share, `more` aggregates with names of their own; a decision is the dominant rule of a step, or ACCEPT. A case has few steps.
+    """
+    item = F.struct("step", "final_state", F.coalesce("dominant_rule", F.lit("ACCEPT")).alias("decision"), step_hash(key).alias("hash"))
     rules = F.array_join(F.array_sort(F.collect_set("dominant_rule")), ";")
-    return steps.groupBy(key).agg(path.alias("path"), rules.alias("rules"), F.max_by("final_state", "step").alias("outcome"), F.count("dominant_rule").alias("overrides"), F.count("*").alias("length"))
+    g = steps.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("s"), rules.alias("rules"), F.count("dominant_rule").alias("overrides"), F.count("*").alias("length"), *more)
+    return g.select(
+        key,
+        *carry,
+        *[c for c in g.columns[len(carry) + 5 :]],
+        F.array_join(F.transform("s", lambda x: x["final_state"]), " > ").alias("path"),
+        "rules",
+        F.array_join(F.transform("s", lambda x: x["decision"]), ";").alias("decisions"),
+        F.element_at("s", -1)["final_state"].alias("outcome"),
+        "overrides",
+        "length",
+        F.element_at("s", 1)["hash"].alias("first_hash"),
+        F.element_at("s", -1)["hash"].alias("last_hash"),
+    )
 
 
 def transition_edges(steps: DataFrame, by: Sequence[str], probabilities: DataFrame) -> DataFrame:
     """(by, source, target, n, rate, probability, overrides, override_rate): rate is within the source."""
     g = steps.groupBy(*by, F.col("current_state").alias("source"), F.col("final_state").alias("target")).agg(F.count("*").alias("n"), F.count("dominant_rule").alias("overrides"))
     rate = F.col("n") / F.sum("n").over(W.partitionBy(*by, "source"))
-    g = g.withColumn("rate", rate).join(F.broadcast(probabilities.select("source", "target", "probability")), ["source", "target"], "left")
+    g = g.withColumn("rate", rate).join(probabilities.select("source", "target", "probability"), ["source", "target"], "left")
     return g.select(*by, "source", "target", "n", "rate", F.coalesce("probability", F.lit(0.0)).alias("probability"), "overrides", (F.col("overrides") / F.col("n")).alias("override_rate"))
 
 
@@ -80,8 +121,23 @@ def _share(outcome: str) -> Column:
 
 
 def policy_metrics(reports: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, cases, outcome rates, overrides, mean and upper median path length, conflict rate)."""
+    """(by, cases, outcome rates, overrides, mean and upper median path length, conflict rate) of case reports.
+
+    Where the reports have them: the mean transition and posterior entropy of the steps (sums `transition_entropy` over
+    `length`, `posterior_entropy` over `posterior_steps`), the share of steps whose explanation is available among those that
+    tell (`explained` over `explanation_known`, 0 if none tells), and the share of complete audit chains (`chain_complete`).
+    """
+    have = set(reports.columns)
     n = F.count("*")
+    more = []
+    if "transition_entropy" in have:
+        more.append((F.sum("transition_entropy") / F.sum("length")).alias("transition_entropy"))
+    if "posterior_entropy" in have:
+        more.append(F.try_divide(F.sum("posterior_entropy"), F.sum("posterior_steps")).alias("posterior_entropy"))
+    if "explained" in have:
+        more.append(F.coalesce(F.try_divide(F.sum("explained"), F.sum("explanation_known")), F.lit(0.0)).alias("explanation_availability"))
+    if "chain_complete" in have:
+        more.append(F.avg(F.col("chain_complete").cast("double")).alias("audit_completeness"))
     return reports.groupBy(*by).agg(
         n.alias("cases"),
         _share("RECOMMENDATION").alias("recommendation_rate"),
@@ -92,6 +148,7 @@ def policy_metrics(reports: DataFrame, by: Sequence[str]) -> DataFrame:
         # percentile_disc takes the lower of two middle values; from the top it is the upper one
         (-F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -length)")).cast("long").alias("median_length"),
         F.avg(F.contains("rules", F.lit("CONFLICT")).cast("double")).alias("conflict_rate"),
+        *more,
     )
 
 
@@ -124,8 +181,10 @@ def distinct_paths(reports: DataFrame) -> DataFrame:
 
 
 def outcome_matrix(reports: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
-    """A row a scenario, a column a policy: the share of escalations; null where there is no case."""
-    return reports.groupBy(rows).pivot(columns, list(values)).agg(_share("ESCALATION"))
+    """A row a scenario; a policy has the columns `<policy>_escalation`, `_length` and `_overrides`: the share of escalations,
+    the mean path length and the overrides; null where there is no case."""
+    figures = (_share("ESCALATION").alias("escalation"), F.avg("length").alias("length"), F.sum("overrides").alias("overrides"))
+    return reports.groupBy(rows).pivot(columns, list(values)).agg(*figures)
 
 
 def hash_tags(df: DataFrame, column: str, prefix: str = "EB") -> DataFrame:
@@ -154,18 +213,38 @@ def expected_action_check(actions: DataFrame, expected: DataFrame, key: str) ->
     return j.agg(F.count("*").alias("cases"), F.avg((F.col("terminal_action") == F.col("expected_action")).cast("double")).alias("met"))
 
 
-def flatten_transitions(steps: DataFrame, key: str, matrix: DataFrame) -> DataFrame:
-    """Wide rows of steps: allowed states joined by `;`, the selected probability, and the hash of the step before."""
-    m = matrix.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]), ";").alias("allowed_next_states"), F.map_from_entries(F.collect_list(F.struct("target", "probability"))).alias("_p"))
-    j = steps.join(F.broadcast(m), F.col("current_state") == F.col("source"), "left")
-    j = j.withColumn("selected_probability", F.coalesce(F.try_element_at("_p", F.col("proposed_state")), F.lit(0.0))).withColumn("event_hash", content_hash(key, "step", "current_state", "final_state"))
-    w = W.partitionBy(key).orderBy("step")
-    return j.select(key, "step", "current_state", "allowed_next_states", "proposed_state", "selected_probability", "final_state", F.coalesce("dominant_rule", F.lit("")).alias("safety_override"), F.lag("event_hash", 1, GENESIS).over(w).alias("previous_event_hash"), "event_hash")
+def flatten_transitions(steps: DataFrame, key: str, matrix: DataFrame, posterior: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Wide rows of steps: allowed states joined by `;`, scores and probabilities as JSON in the declared order, the selected
+    probability, the entropy of the choice scaled to 0 .. 1, the guard's override, the hash of the step before and the own one.
 
-
-def edge_graph(steps: DataFrame, ordinals: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """(nodes (state, ordinal, visits), edges (source, target, n))."""
+    `posterior` (key, source, entropy) gives `posterior_entropy` where a posterior had a say, null elsewhere.
+    """
+    order = F.array_sort(F.collect_list(F.struct("pos", "target", "probability")))
+    m = matrix.groupBy("source").agg(order.alias("_row"), F.sum("probability").alias("_total"))  # a row a state
+    probability = F.transform("_row", lambda x: x["probability"] / F.col("_total"))
+    json = lambda v: F.concat(F.lit("{"), F.array_join(F.zip_with("_row", v, lambda x, p: F.concat(F.lit('"'), x["target"], F.lit('":'), fixed(p))), ","), F.lit("}"))
+    m = m.select(
+        F.col("source").alias("_source"),
+        F.array_join(F.transform("_row", lambda x: x["target"]), ";").alias("allowed_next_states"),
+        json(F.transform("_row", lambda x: x["probability"])).alias("raw_scores"),
+        json(probability).alias("normalized_probabilities"),
+        F.map_from_entries(F.transform("_row", lambda x: F.struct(x["target"], x["probability"] / F.col("_total")))).alias("_p"),
+        normalized_entropy(probability).alias("transition_entropy"),
+    )
+    j = steps.join(m, F.col("current_state") == F.col("_source"), "left").withColumn("event_hash", step_hash(key))
+    if posterior is None:
+        j = j.withColumn("posterior_entropy", F.lit(None).cast("double"))
+    else:
+        j = j.join(posterior.select(key, F.col("source").alias("current_state"), F.col("entropy").alias("posterior_entropy")), [key, "current_state"], "left")
+    selected = F.coalesce(F.try_element_at("_p", F.col("proposed_state")), F.lit(0.0)).alias("selected_probability")
+    before = F.lag("event_hash", 1, GENESIS).over(W.partitionBy(key).orderBy("step")).alias("previous_event_hash")
+    return j.select(key, *carry, "step", "current_state", "allowed_next_states", "raw_scores", "normalized_probabilities", "proposed_state", selected, "transition_entropy", "posterior_entropy", "final_state", F.coalesce("dominant_rule", F.lit("")).alias("safety_override"), before, "event_hash")
+
+
+def edge_graph(steps: DataFrame, ordinals: dict[str, int], by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(nodes (by, state, ordinal, visits), edges (by, source, target, n, share of the source's steps))."""
     o = F.create_map(*[F.lit(x) for kv in ordinals.items() for x in kv])
-    edges = steps.groupBy(F.col("current_state").alias("source"), F.col("final_state").alias("target")).agg(F.count("*").alias("n"))
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("state"), "n").groupBy("state").agg(F.sum("n").alias("visits"))
-    return nodes.select("state", F.coalesce(F.try_element_at(o, F.col("state")), F.lit(-1)).alias("ordinal"), "visits"), edges
+    edges = steps.groupBy(*by, F.col("current_state").alias("source"), F.col("final_state").alias("target")).agg(F.count("*").alias("n"))
+    nodes = edges.select(*by, F.explode(F.array("source", "target")).alias("state"), "n").groupBy(*by, "state").agg(F.sum("n").alias("visits"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy(*by, "source"))
+    return nodes.select(*by, "state", F.coalesce(F.try_element_at(o, F.col("state")), F.lit(-1)).alias("ordinal"), "visits"), edges.withColumn("share", share)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import audit as au, policy as po
 from ..plans import adapters as ad
 from ._registry import query
-from .policies import ROUTE, routed
+from .policies import _COV, _spread, ROUTE, routed
 
 _CHAIN = {
     "chained": "SELECT run_id, event_index, payload, list_reduce(list_prepend('', list(event_index || '|' || payload) OVER w), lambda a, x: sha256(a || '|' || x)) AS event_hash FROM audit_log WINDOW w AS (PARTITION BY run_id ORDER BY event_index ROWS UNBOUNDED PRECEDING)",
@@ -27,9 +29,17 @@ def _damaged(spark, d) -> DataFrame:
     return c.withColumn("payload", F.when((F.col("run_id") % 7 == 0) & (F.col("event_index") == 3), "x").otherwise(F.col("payload")))
 
 
-@query("SELECT run_id, event_index, run_id || ':' || lpad(event_index::VARCHAR, 6, '0') AS event_id FROM audit_log")
+_FIELD = {"schema_version": "'1.0'", "event_type": "'TURN'", "event_id": "run_id || ':' || lpad(event_index::VARCHAR, 6, '0')", "run_id": "run_id::VARCHAR", "decision_reason": "payload"}
+_TOLD = [f for f in au.EVENT_FIELDS if f not in ("event_index", "previous_event_hash", "event_hash")]
+_EVENTS = {
+    "told_t": "SELECT run_id, event_index, payload AS text, " + " || '|' || ".join(_FIELD.get(f, "''") for f in _TOLD) + " AS payload FROM audit_log",
+    "hashed_t": "SELECT *, list_reduce(list_prepend('', list(event_index || '|' || payload) OVER w), lambda a, x: sha256(a || '|' || x)) AS event_hash FROM told_t WINDOW w AS (PARTITION BY run_id ORDER BY event_index ROWS UNBOUNDED PRECEDING)",
+}
+
+
+@query("SELECT " + ", ".join(f"{_FIELD.get(f, repr('')).replace('payload', 'text') if f not in ('event_index', 'run_id', 'previous_event_hash', 'event_hash') else f} AS {f}" for f in au.EVENT_FIELDS if f != "previous_event_hash") + ", coalesce(lag(event_hash) OVER (PARTITION BY run_id ORDER BY event_index), '') AS previous_event_hash FROM hashed_t", views=_EVENTS)
 def audit_events(spark, d):
-    return au.audit_events(ad.audit_log(spark, d)).select("run_id", "event_index", "event_id")
+    return au.audit_events(ad.audit_log(spark, d).select("run_id", "event_index", F.lit("TURN").alias("event_type"), F.col("payload").alias("decision_reason")))
 
 
 @query("SELECT run_id, event_index, payload, previous_event_hash, event_hash FROM linked", views=_CHAIN)
@@ -37,7 +47,7 @@ def build_chain(spark, d):
     return _chain(spark, d)
 
 
-@query("SELECT run_id, first_bad IS NULL AS valid, n AS events, first_bad, CASE WHEN first_bad IS NOT NULL THEN CASE WHEN run_id % 11 = 0 THEN 'INDEX_NOT_SEQUENTIAL' ELSE 'EVENT_HASH_MISMATCH' END END AS reason FROM (SELECT run_id, n, CASE WHEN run_id % 11 = 0 AND m > 2 THEN 3 WHEN run_id % 7 = 0 AND run_id % 11 <> 0 AND m >= 3 THEN 3 END::BIGINT AS first_bad FROM (SELECT run_id, n, m FROM lengths JOIN (SELECT run_id, max(event_index) AS m FROM damaged GROUP BY run_id) USING (run_id))) UNION ALL SELECT -1, false, 0, NULL, 'EMPTY_LOG'", views=_CHAIN)
+@query("SELECT run_id, first_bad IS NULL AS valid, n AS events, first_bad, CASE WHEN first_bad IS NOT NULL THEN CASE WHEN run_id % 11 = 0 THEN 'MISSING_OR_NONSEQUENTIAL_EVENT' ELSE 'EVENT_HASH_MISMATCH' END END AS reason FROM (SELECT run_id, n, CASE WHEN run_id % 11 = 0 AND m > 2 THEN 3 WHEN run_id % 7 = 0 AND run_id % 11 <> 0 AND m >= 3 THEN 3 END::BIGINT AS first_bad FROM (SELECT run_id, n, m FROM lengths JOIN (SELECT run_id, max(event_index) AS m FROM damaged GROUP BY run_id) USING (run_id))) UNION ALL SELECT -1, false, 0, NULL, 'EMPTY_AUDIT_LOG'", views=_CHAIN)
 def verify_chain(spark, d):
     runs = ad.audit_log(spark, d).select("run_id")
     return au.verify_chain(_damaged(spark, d), runs.union(runs.limit(1).select(F.lit(-1).cast("long"))))
@@ -54,8 +64,8 @@ def replay_signature(spark, d):
 
 
 _STEPS = ROUTE | {
-    "steps_t": "SELECT r.*, o_orderpriority AS scenario, CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS policy FROM routed r JOIN orders ON o_orderkey = case_id",
-    "reports_t": "SELECT case_id, any_value(scenario) AS scenario, any_value(policy) AS policy, string_agg(final_state, ' > ' ORDER BY step) AS path, coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT DISTINCT unnest(list(dominant_rule)) AS x) WHERE x IS NOT NULL), '') AS rules, arg_max(final_state, step) AS outcome, count(dominant_rule) AS overrides, count(*) AS length FROM steps_t GROUP BY case_id".replace("coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT DISTINCT unnest(list(dominant_rule)) AS x) WHERE x IS NOT NULL), '')", "array_to_string(list_sort(list_distinct(list(dominant_rule) FILTER (dominant_rule IS NOT NULL))), ';')"),
+    "steps_t": "SELECT r.*, sha256(case_id || '|' || step || '|' || current_state || '|' || final_state) AS step_hash, o_orderpriority AS scenario, CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS policy FROM routed r JOIN orders ON o_orderkey = case_id",
+    "reports_t": "SELECT case_id, any_value(scenario) AS scenario, any_value(policy) AS policy, string_agg(final_state, ' > ' ORDER BY step) AS path, array_to_string(list_sort(list_distinct(list(dominant_rule) FILTER (dominant_rule IS NOT NULL))), ';') AS rules, string_agg(coalesce(dominant_rule, 'ACCEPT'), ';' ORDER BY step) AS decisions, arg_min(step_hash, step) AS first_hash, arg_max(step_hash, step) AS last_hash, arg_max(final_state, step) AS outcome, count(dominant_rule) AS overrides, count(*) AS length FROM steps_t GROUP BY case_id",
     "clean_t": "SELECT * REPLACE (coalesce(rules, '') AS rules) FROM reports_t",
 }
 
@@ -66,11 +76,10 @@ def _steps(spark, d) -> DataFrame:
 
 
 def _reports(spark, d) -> DataFrame:
-    s = _steps(spark, d)
-    return au.case_reports(s).join(s.select("case_id", "scenario", "policy").distinct(), "case_id")
+    return au.case_reports(_steps(spark, d), carry=["scenario", "policy"])
 
 
-@query("SELECT case_id, path, rules, outcome, overrides, length FROM clean_t", views=_STEPS)
+@query("SELECT case_id, path, rules, decisions, outcome, overrides, length, first_hash, last_hash FROM clean_t", views=_STEPS)
 def case_reports(spark, d):
     return au.case_reports(_steps(spark, d))
 
@@ -86,9 +95,20 @@ def transition_edges(spark, d):
 _SHARE = "avg((outcome = '{}')::INTEGER)"
 
 
-@query(f"SELECT policy, count(*) AS cases, {_SHARE.format('RECOMMENDATION')} AS recommendation_rate, {_SHARE.format('ESCALATION')} AS escalation_rate, {_SHARE.format('NO_DECISION')} AS no_decision_rate, sum(overrides)::BIGINT AS overrides, avg(length) AS mean_length, list_sort(list(length))[count(*) // 2 + 1] AS median_length, avg(contains(rules, 'CONFLICT')::INTEGER) AS conflict_rate FROM clean_t GROUP BY policy", "recommendation_rate escalation_rate no_decision_rate mean_length conflict_rate", _STEPS)
+_ENTROPY = "(VALUES " + ", ".join(f"('{x}', {-sum(p * math.log(p) for p in row.values()) / math.log(len(row)) if len(row) > 1 else 0.0!r})" for x, row in po.STATIC_MATRIX.items()) + ") h(source, entropy)"
+_METRICS = _STEPS | {
+    "told_steps": f"SELECT case_id, sum(entropy::DOUBLE) AS transition_entropy, count(*) FILTER (current_state IN ('EXPLANATION_GENERATION', 'DECISION_CHECK')) AS explanation_known, count(*) FILTER (current_state IN ('EXPLANATION_GENERATION', 'DECISION_CHECK') AND case_id % 7 <> 0) AS explained FROM steps_t LEFT JOIN {_ENTROPY} ON source = current_state GROUP BY case_id",
+}
+
+
+@query(f"SELECT policy, count(*) AS cases, {_SHARE.format('RECOMMENDATION')} AS recommendation_rate, {_SHARE.format('ESCALATION')} AS escalation_rate, {_SHARE.format('NO_DECISION')} AS no_decision_rate, sum(overrides)::BIGINT AS overrides, avg(length) AS mean_length, list_sort(list(length))[count(*) // 2 + 1] AS median_length, avg(contains(rules, 'CONFLICT')::INTEGER) AS conflict_rate, sum(transition_entropy) / sum(length) AS transition_entropy, coalesce(sum(explained)::DOUBLE / nullif(sum(explanation_known), 0), 0) AS explanation_availability, 1.0::DOUBLE AS audit_completeness FROM clean_t JOIN told_steps USING (case_id) GROUP BY policy", "recommendation_rate escalation_rate no_decision_rate mean_length conflict_rate transition_entropy explanation_availability audit_completeness", _METRICS)
 def policy_metrics(spark, d):
-    return au.policy_metrics(_reports(spark, d), ["policy"])
+    """Explanations are known from their own state on; a chain is complete where every step names the hash before it."""
+    told = F.col("current_state").isin("EXPLANATION_GENERATION", "DECISION_CHECK")
+    linked = F.col("previous_event_hash") == F.lag("event_hash", 1, au.GENESIS).over(Window.partitionBy("case_id").orderBy("step"))
+    flat = au.flatten_transitions(_steps(spark, d), "case_id", po.matrix_table(spark), carry=["scenario", "policy", "dominant_rule"]).withColumn("linked", linked)
+    more = [F.sum("transition_entropy").alias("transition_entropy"), F.count_if(told).alias("explanation_known"), F.count_if(told & (F.col("case_id") % 7 != 0)).alias("explained"), F.bool_and("linked").alias("chain_complete")]
+    return au.policy_metrics(au.case_reports(flat, carry=["scenario", "policy"], more=more), ["policy"])
 
 
 _COMPARE = f"SELECT policy, scenario, count(*) AS cases, count(*) FILTER (outcome = 'RECOMMENDATION') AS recommendations, count(*) FILTER (outcome = 'ESCALATION') AS escalations, count(*) FILTER (outcome = 'NO_DECISION') AS no_decisions, {_SHARE.format('ESCALATION')} AS escalation_rate FROM clean_t GROUP BY GROUPING SETS ((policy), (policy, scenario))"
@@ -120,7 +140,10 @@ def distinct_paths(spark, d):
     return au.distinct_paths(_reports(spark, d))
 
 
-@query(f"SELECT scenario, {_SHARE.format('ESCALATION')} FILTER (policy = 'even') AS even, {_SHARE.format('ESCALATION')} FILTER (policy = 'odd') AS odd FROM clean_t GROUP BY scenario", "even odd", _STEPS)
+_CELLS = [f"{_SHARE.format('ESCALATION')} FILTER (policy = '{p}') AS {p}_escalation, avg(length) FILTER (policy = '{p}') AS {p}_length, (sum(overrides) FILTER (policy = '{p}'))::BIGINT AS {p}_overrides" for p in ("even", "odd")]
+
+
+@query(f"SELECT scenario, {', '.join(_CELLS)} FROM clean_t GROUP BY scenario", "even_escalation even_length odd_escalation odd_length", _STEPS)
 def outcome_matrix(spark, d):
     return au.outcome_matrix(_reports(spark, d), "scenario", "policy", ["even", "odd"])
 
@@ -148,18 +171,24 @@ def expected_action_check(spark, d):
     return au.expected_action_check(r, expected, "case_id")
 
 
-_ALLOWED = "(VALUES " + ", ".join(f"('{s}', '{';'.join(row)}')" for s, row in po.STATIC_MATRIX.items()) + ") a(source, allowed_next_states)"
-_FLAT = _STEPS | {"flat_t": f"SELECT case_id, step, current_state, allowed_next_states, proposed_state, coalesce(probability, 0)::DOUBLE AS selected_probability, final_state, coalesce(dominant_rule, '') AS safety_override, sha256(case_id || '|' || step || '|' || current_state || '|' || final_state) AS event_hash FROM routed LEFT JOIN {_ALLOWED} ON a.source = current_state LEFT JOIN {_PROBS} ON m.source = current_state AND m.target = proposed_state"}
+_ROWS = "(VALUES " + ", ".join(f"""('{s}', '{';'.join(row)}', '{{{{{','.join(f'"{t}":{p:.6f}' for t, p in row.items())}}}}}')""" for s, row in po.STATIC_MATRIX.items()).replace("{{", "{").replace("}}", "}") + ") a(source, allowed_next_states, scores)"
+_FLAT = _STEPS | _COV | {
+    "flat_t": f"SELECT case_id, step, current_state, allowed_next_states, scores AS raw_scores, scores AS normalized_probabilities, proposed_state, coalesce(probability, 0)::DOUBLE AS selected_probability, h.entropy::DOUBLE AS transition_entropy, CASE WHEN current_state = 'DECISION_CHECK' THEN post_t.entropy END AS posterior_entropy, final_state, coalesce(dominant_rule, '') AS safety_override, sha256(case_id || '|' || step || '|' || current_state || '|' || final_state) AS event_hash FROM routed LEFT JOIN {_ROWS} ON a.source = current_state LEFT JOIN {_PROBS} ON m.source = current_state AND m.target = proposed_state LEFT JOIN {_ENTROPY} ON h.source = current_state LEFT JOIN post_t USING (case_id)"
+}
 
 
-@query("SELECT *, coalesce(lag(event_hash) OVER (PARTITION BY case_id ORDER BY step), '') AS previous_event_hash FROM flat_t", "selected_probability", _FLAT)
+@query("SELECT *, coalesce(lag(event_hash) OVER (PARTITION BY case_id ORDER BY step), '') AS previous_event_hash FROM flat_t", "selected_probability transition_entropy posterior_entropy", _FLAT)
 def flatten_transition_events(spark, d):
-    return au.flatten_transitions(routed(spark, d), "case_id", po.matrix_table(spark))
+    posterior = po.posterior_scores(_spread(spark, d)).select("case_id", F.lit("DECISION_CHECK").alias("source"), "entropy")
+    return au.flatten_transitions(routed(spark, d), "case_id", po.matrix_table(spark), posterior)
 
 
 _ORD = "CASE state " + " ".join(f"WHEN '{s}' THEN {k}" for k, s in enumerate(po.STATES)) + " ELSE -1 END"
 
 
-@query(f"SELECT state, {_ORD} AS ordinal, sum(n)::BIGINT AS visits FROM (SELECT unnest([current_state, final_state]) AS state, count(*) AS n FROM routed GROUP BY current_state, final_state) GROUP BY state", views=ROUTE)
+@query(f"SELECT policy, 'node' AS kind, state, NULL AS target, {_ORD} AS ordinal, sum(n)::BIGINT AS n, NULL::DOUBLE AS share FROM (SELECT policy, unnest([current_state, final_state]) AS state, count(*) AS n FROM steps_t GROUP BY policy, current_state, final_state) GROUP BY policy, state UNION ALL SELECT policy, 'edge', current_state, final_state, NULL, count(*), count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY policy, current_state) FROM steps_t GROUP BY policy, current_state, final_state", "share", _STEPS)
 def policy_edge_graph(spark, d):
-    return au.edge_graph(routed(spark, d), {s: k for k, s in enumerate(po.STATES)})[0]
+    """The nodes and the edges of each policy in one table."""
+    nodes, edges = au.edge_graph(_steps(spark, d), {s: k for k, s in enumerate(po.STATES)}, ["policy"])
+    n = nodes.select("policy", F.lit("node").alias("kind"), "state", F.lit(None).cast("string").alias("target"), "ordinal", F.col("visits").alias("n"), F.lit(None).cast("double").alias("share"))
+    return n.unionByName(edges.select("policy", F.lit("edge").alias("kind"), F.col("source").alias("state"), "target", F.lit(None).cast("int").alias("ordinal"), "n", "share"))
