@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import content_hash, fixed, saturate
+from ..functions.columns import content_hash, first_reason, fixed, saturate
 
 # The weights of the combined risk, which sum to 1, and the saturation scales.
 WEIGHTS = {"classifier_uncertainty": 0.25, "trend_uncertainty": 0.20, "ood_contribution": 0.20, "healthy_deviation": 0.20, "instability": 0.15}
@@ -49,41 +49,104 @@ def combined_risk(components: DataFrame, weights: dict[str, float] = WEIGHTS) ->
 
 
 def join_guard(acquisitions: DataFrame, trends: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, code) of acquisitions that don't join: no trend at all, or none that was fitted."""
-    ok = trends.groupBy(*keys).agg(F.bool_or(F.col("fit_status") == "FIT_OK").alias("ok"))
-    j = acquisitions.select(*keys).join(ok, list(keys), "left")
-    return j.where("ok IS NULL OR NOT ok").select(*keys, F.when(F.col("ok").isNull(), "TREND_MISSING").otherwise("TREND_NOT_FITTED").alias("code"))
+    """(keys, code) of each pair of an acquisition and a trend of its that doesn't join, the first reason of it; acquisitions
+    without any trend are EVIDENCE_TREND_MISSING.
+
+    Both tables have assignment_id, partition and model_hash; trends have fit_status, healthy_distance and
+    healthy_reference_hash. A null agrees with a null alone.
+    """
+    same = ("assignment_id", "partition", "model_hash")
+    left = acquisitions.select(*keys, *[F.col(c).alias(f"_{c}") for c in same])
+    right = trends.select(*keys, *same, "fit_status", "healthy_distance", "healthy_reference_hash", F.lit(True).alias("_found"))
+    j = left.join(right, list(keys), "left")
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    code = first_reason(
+        (F.col("_found").isNull(), "EVIDENCE_TREND_MISSING"),
+        (~F.col("fit_status").eqNullSafe(F.lit("FIT_OK")), "EVIDENCE_TREND_NOT_USABLE"),
+        (differs("assignment_id"), "EVIDENCE_ASSIGNMENT_MISMATCH"),
+        (differs("partition"), "EVIDENCE_PARTITION_MISMATCH"),
+        (differs("model_hash"), "EVIDENCE_MODEL_HASH_MISMATCH"),
+        (F.col("healthy_distance").isNotNull() & F.col("healthy_reference_hash").isNull(), "EVIDENCE_UNKNOWN_HEALTHY_REFERENCE"),
+    )
+    return j.select(*keys, code.alias("code")).where("code IS NOT NULL")
 
 
 def safety_projection(risk: DataFrame, keys: Sequence[str]) -> DataFrame:
     return risk.select(*keys, F.col("combined_risk").alias("risk_score"), "confidence", F.col("ood_contribution").alias("ood_score"), F.col("conflict").alias("spline_classifier_conflict"))
 
 
-def build_bundles(windows: DataFrame, risk: DataFrame, keys: Sequence[str], trend_keys: Sequence[str] = ("trend_model",)) -> DataFrame:
-    """(keys, trend_keys, windows, risk): an acquisition's windows in order as an array of structs, and its risk evidence.
+#: The version of the bundles' layout, and the parts besides the windows, in the order of their hashes.
+BUNDLE_VERSION = "1.0"
+PARTS = ("acquisition", "trend", "risk", "safety")
+
 
-    An acquisition has a bounded number of windows; they are gathered once and joined to its bundles.
+def build_bundles(windows: DataFrame, acquisitions: DataFrame, trends: DataFrame, risk: DataFrame, keys: Sequence[str], trend_keys: Sequence[str] = ("trend_model",), metadata: Sequence[str] = ()) -> DataFrame:
+    """(keys, trend_keys, metadata, windows, acquisition, trend, risk, safety): the evidence of an acquisition and one trend.
+
+    `metadata` are columns of the acquisitions that the metadata hold beside version and keys. Windows are an array in order:
+    an acquisition has a bounded number of them; they are gathered once and joined to its bundles.
     """
+    at = [*keys, *trend_keys]
     item = F.struct("window_order", "predicted_class", F.round("confidence", 6).alias("confidence"))
     w = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("windows"))
-    r = risk.select(*keys, *trend_keys, F.struct("combined_risk", "classifier_uncertainty", "trend_uncertainty", "ood_contribution", "healthy_deviation", "conflict", "unstable").alias("risk"))
-    return r.join(w, list(keys))
+    a = acquisitions.select(*keys, *[F.col(c).alias(f"_{c}") for c in metadata], F.struct("predicted_class", "confidence", "entropy").alias("acquisition"))
+    own = [k for k in at if k in trends.columns]
+    t = trends.select(*own, F.struct("fit_status", "uncertainty").alias("trend"))
+    r = risk.select(*at, F.struct("combined_risk", "classifier_uncertainty", "trend_uncertainty", "ood_contribution", "healthy_deviation", "conflict", "unstable").alias("risk"))
+    safety = safety_projection(risk, at).select(*at, F.struct("risk_score", "confidence", "ood_score", "spline_classifier_conflict").alias("safety"))
+    j = r.join(safety, at).join(t, own).join(a, list(keys)).join(w, list(keys))
+    about = F.struct(F.lit(BUNDLE_VERSION).alias("schema_version"), *at, *[F.col(f"_{c}").alias(c) for c in metadata])
+    return j.select(*at, about.alias("metadata"), "windows", *PARTS)
+
+
+def _digest(bundles: DataFrame, part: str):
+    """The hash of a struct's fields, doubles with six places."""
+    return content_hash(*[fixed(f"{part}.{f.name}") if f.dataType.simpleString() == "double" else F.col(f"{part}.{f.name}") for f in bundles.schema[part].dataType.fields])
 
 
-def bundle_hash(bundles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bundles with windows_hash, risk_hash and bundle_hash, the hash of the keys and the two."""
-    text = F.transform("windows", lambda x: F.concat_ws(":", x["window_order"].cast("string"), x["predicted_class"], fixed(x["confidence"])))
-    b = bundles.withColumn("windows_hash", F.sha2(F.array_join(text, ";"), 256))
-    b = b.withColumn("risk_hash", content_hash(fixed("risk.combined_risk"), F.col("risk.conflict").cast("string"), F.col("risk.unstable").cast("string")))
-    return b.withColumn("bundle_hash", content_hash(*keys, "windows_hash", "risk_hash"))
+def _hashes(bundles: DataFrame) -> tuple:
+    """(input hashes: each window's, then those of the parts; bundle hash: of the metadata and them)."""
+    window = F.transform("windows", lambda x: content_hash(x["window_order"], x["predicted_class"], fixed(x["confidence"])))
+    inputs = F.concat(window, F.array(*[_digest(bundles, p) for p in PARTS]))
+    return inputs, content_hash(_digest(bundles, "metadata"), F.array_join(inputs, ";"))
+
+
+def bundle_hash(bundles: DataFrame) -> DataFrame:
+    """Bundles with input_hashes, an array, and bundle_hash."""
+    inputs, whole = _hashes(bundles)
+    return bundles.withColumn("input_hashes", inputs).withColumn("bundle_hash", whole)
 
 
 def verify_bundles(bundles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, code): VALID, or what differs when the hashes are made again."""
-    again = bundle_hash(bundles.drop("windows_hash", "risk_hash", "bundle_hash"), keys).select(*keys, F.struct("windows_hash", "risk_hash", "bundle_hash").alias("a"))
-    j = bundles.join(again, list(keys))
-    code = F.when(F.col("windows_hash") != F.col("a.windows_hash"), "WINDOWS_CHANGED").when(F.col("risk_hash") != F.col("a.risk_hash"), "RISK_CHANGED").when(F.col("bundle_hash") != F.col("a.bundle_hash"), "HASH_CHANGED").otherwise("VALID")
-    return j.select(*keys, code.alias("code"))
+    """(keys, code): VALID, or the first fault of a stored bundle, all within its row.
+
+    A part that is absent, another version, input hashes and a bundle hash that are others when made again, and keys beside
+    the bundle that differ from its metadata.
+    """
+    inputs, whole = _hashes(bundles)
+    absent = F.coalesce(F.size("windows"), F.lit(0)) < 1
+    for c in ("metadata", *[p for p in PARTS if p != "trend"], "input_hashes", "bundle_hash"):
+        absent = absent | F.col(c).isNull()
+    apart = F.lit(False)
+    for k in keys:
+        apart = apart | ~F.col(k).eqNullSafe(F.col(f"metadata.{k}"))
+    code = first_reason(
+        (F.col("trend").isNull(), "EVIDENCE_TREND_MISSING"),
+        (absent, "EVIDENCE_MISSING_FIELD"),
+        (~F.col("metadata.schema_version").eqNullSafe(F.lit(BUNDLE_VERSION)), "EVIDENCE_SCHEMA_VERSION_MISMATCH"),
+        (F.col("input_hashes") != inputs, "EVIDENCE_INPUT_HASH_MISMATCH"),
+        (F.col("bundle_hash") != whole, "EVIDENCE_BUNDLE_HASH_MISMATCH"),
+        (apart, "EVIDENCE_PARQUET_METADATA_MISMATCH"),
+        ok="VALID",
+    )
+    return bundles.select(*keys, code.alias("code"))
+
+
+def expand_evidence(bundles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, position, kind, evidence_hash): a row for each piece of evidence in a bundle, the windows first."""
+    b = bundles.select(*keys, F.size("windows").alias("_n"), F.posexplode("input_hashes").alias("position", "evidence_hash"))
+    part = F.element_at(F.array(*[F.lit(p) for p in PARTS]), F.greatest(F.col("position") - F.col("_n"), F.lit(0)) + 1)
+    return b.select(*keys, (F.col("position") + 1).alias("position"), F.when(F.col("position") < F.col("_n"), "window").otherwise(part).alias("kind"), "evidence_hash")
 
 
 def safe_name(*parts):

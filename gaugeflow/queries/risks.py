@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import saturate as saturated
+from ..functions.columns import content_hash, fixed, saturate as saturated
 from ..operators import aggregate as ag, reference as rf, risk as rk, trends as tr
 from ..plans import adapters as ad
 from ..plans.storage import stored
@@ -17,6 +17,12 @@ KEYS = ["view_id", "acquisition_id"]
 BUNDLE = [*KEYS, "trend_model"]
 
 _W = rk.WEIGHTS
+
+
+def _fx(c: str) -> str:
+    return f"round({c}, 6)::DECIMAL(38,6)::VARCHAR"
+
+
 _K = (
     _EVIDENCE
     | _DEV
@@ -30,8 +36,11 @@ _K = (
         "comps": f"""SELECT view_id, acquisition_id, trend_model, predicted_class, confidence, entropy AS classifier_uncertainty, least(1.0, uncertainty) AS trend_uncertainty, ood_contribution, least(1.0, healthy_distance / 3) AS healthy_deviation,
 (least(1.0, healthy_distance / 3) >= 0.5) <> (predicted_class <> '{BASELINE}') AS conflict, k > 1 AS unstable FROM acq JOIN dist USING (view_id, acquisition_id) JOIN (SELECT view_id, acquisition_id, max(deviation) AS ood_contribution, count(DISTINCT predicted_class) AS k FROM wins GROUP BY ALL) USING (view_id, acquisition_id) JOIN trend USING (acquisition_id)""",
         "risks": f"SELECT *, {_W['classifier_uncertainty']}::DOUBLE * classifier_uncertainty + {_W['trend_uncertainty']}::DOUBLE * trend_uncertainty + {_W['ood_contribution']}::DOUBLE * ood_contribution + {_W['healthy_deviation']}::DOUBLE * healthy_deviation + CASE WHEN conflict OR unstable THEN {_W['instability']}::DOUBLE ELSE 0 END AS combined_risk FROM comps",
-        "wtext": "SELECT view_id, acquisition_id, string_agg(window_order || ':' || predicted_class || ':' || round(round(confidence, 6), 6)::DECIMAL(38,6)::VARCHAR, ';' ORDER BY window_order) AS t, count(*) AS n FROM wins GROUP BY ALL",
-        "bundles": "SELECT view_id, acquisition_id, trend_model, n, sha256(t) AS windows_hash, sha256(round(combined_risk, 6)::DECIMAL(38,6)::VARCHAR || '|' || conflict || '|' || unstable) AS risk_hash FROM risks JOIN wtext USING (view_id, acquisition_id)",
+        "wtext": f"SELECT view_id, acquisition_id, string_agg(sha256(window_order || '|' || predicted_class || '|' || {_fx('round(confidence, 6)')}), ';' ORDER BY window_order) AS t, count(*) AS n FROM wins GROUP BY ALL",
+        "refhash": f"SELECT view_id, sha256({_fx('m1')} || '|' || {_fx('s1')} || '|' || {_fx('m2')} || '|' || {_fx('s2')}) AS healthy_reference_hash FROM refs",
+        "bundles": f"""SELECT view_id, acquisition_id, trend_model, n, predicted_class, combined_risk, healthy_reference_hash, sha256('1.0|' || view_id || '|' || acquisition_id || '|' || trend_model || '|time_features|centroid|' || healthy_reference_hash) AS metadata_hash,
+t || ';' || sha256(predicted_class || '|' || {_fx('confidence')} || '|' || {_fx('classifier_uncertainty')}) || ';' || sha256('FIT_OK|' || {_fx('uncertainty')}) || ';' || sha256({_fx('combined_risk')} || '|' || {_fx('classifier_uncertainty')} || '|' || {_fx('trend_uncertainty')} || '|' || {_fx('ood_contribution')} || '|' || {_fx('healthy_deviation')} || '|' || conflict || '|' || unstable) || ';' || sha256({_fx('combined_risk')} || '|' || {_fx('confidence')} || '|' || {_fx('ood_contribution')} || '|' || conflict) AS input_hashes
+FROM risks JOIN wtext USING (view_id, acquisition_id) JOIN refhash USING (view_id) JOIN trend USING (acquisition_id, trend_model)""",
         "cases": "SELECT *, view_id || '-' || acquisition_id || '-' || trend_model AS case_id, round(combined_risk, 9) AS r FROM risks",
     }
 )
@@ -42,7 +51,9 @@ def _evidence(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = stored(ad.predictions(spark, d), "predictions")
     windows = stored(p.join(_scored(spark, d).select("view_id", "acquisition_id", "window_order", "deviation"), ["view_id", "acquisition_id", "window_order"]), "windows")
     r = _rows(spark, d)
-    dist = rf.reference_distance(r, rf.fit_reference(r, ["view_id"], BASELINE), ["view_id"]).groupBy(*KEYS).agg(F.avg("healthy_distance").alias("healthy_distance"))
+    reference = rf.fit_reference(r, ["view_id"], BASELINE)
+    told = reference.select("view_id", content_hash(*[fixed(F.col(c)[k]) for k in (0, 1) for c in ("mean", "scale")]).alias("healthy_reference_hash"))
+    dist = rf.reference_distance(r, reference, ["view_id"]).groupBy(*KEYS).agg(F.avg("healthy_distance").alias("healthy_distance")).join(told, "view_id", "left")
     acq = stored(ag.aggregate_evidence(p, KEYS, CLASSES).join(dist, KEYS), "acquisitions")
     s = ad.features(spark, d).select("acquisition_id", "window_order", F.col("ch_a_mean").alias("y"))
     trends = tr.with_status(s, tr.descriptors(tr.linear_fit(s)))
@@ -57,8 +68,10 @@ def _risk(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _bundles(spark, d) -> DataFrame:
-    risk, windows = _risk(spark, d)
-    return rk.bundle_hash(rk.build_bundles(windows, risk, KEYS), BUNDLE)
+    acq, trends, windows = _evidence(spark, d)
+    risk = rk.combined_risk(rk.risk_components(acq, trends, windows, KEYS, BASELINE))
+    acq = acq.withColumn("representation_id", F.lit("time_features")).withColumn("classifier_id", F.lit("centroid"))
+    return rk.bundle_hash(rk.build_bundles(windows, acq, trends.where("fit_status = 'FIT_OK'"), risk, KEYS, metadata=["representation_id", "classifier_id", "healthy_reference_hash"]))
 
 
 def _cases(spark, d) -> DataFrame:
@@ -82,11 +95,17 @@ def combined_risk(spark, d):
     return _risk(spark, d)[0].select(*BUNDLE, "combined_risk")
 
 
-@query("SELECT view_id, acquisition_id, CASE WHEN acquisition_id % 4 = 0 THEN 'TREND_MISSING' ELSE 'TREND_NOT_FITTED' END AS code FROM acq WHERE acquisition_id % 4 < 2", views=_K)
+_GUARDS = ("TREND_MISSING", "TREND_NOT_USABLE", "ASSIGNMENT_MISMATCH", "PARTITION_MISMATCH", "MODEL_HASH_MISMATCH", "UNKNOWN_HEALTHY_REFERENCE")
+
+
+@query(f"SELECT view_id, acquisition_id, 'EVIDENCE_' || {list(_GUARDS)}[acquisition_id % 8 + 1] AS code FROM acq WHERE acquisition_id % 8 < 6", views=_K)
 def join_guards(spark, d):
-    p = ad.predictions(spark, d).select(*KEYS).distinct()
-    trends = p.where("acquisition_id % 4 <> 0").withColumn("fit_status", F.when(F.col("acquisition_id") % 4 == 1, "INSUFFICIENT_HISTORY").otherwise("FIT_OK"))
-    return rk.join_guard(p, trends, KEYS)
+    """Six of eight acquisitions have a trend that doesn't fit them."""
+    k = F.col("acquisition_id") % 8
+    p = ad.predictions(spark, d).select(*KEYS, "split_role").distinct().select(*KEYS, F.col("view_id").cast("string").alias("assignment_id"), F.col("split_role").alias("partition"), F.sha2(F.col("view_id").cast("string"), 256).alias("model_hash"))
+    t = p.where(k != 0).withColumn("fit_status", F.when(k == 1, "FIT_FAILED").otherwise("FIT_OK")).withColumn("healthy_distance", F.lit(1.0)).withColumn("healthy_reference_hash", F.when(k != 5, F.sha2("assignment_id", 256)))
+    changed = {c: F.when(k == n, F.concat(c, F.lit("x"))).otherwise(F.col(c)) for n, c in ((2, "assignment_id"), (3, "partition"), (4, "model_hash"))}
+    return rk.join_guard(p, t.withColumns(changed), KEYS)
 
 
 @query("SELECT view_id, acquisition_id, trend_model, combined_risk AS risk_score, confidence, ood_contribution AS ood_score, conflict AS spline_classifier_conflict FROM risks", "risk_score confidence ood_score", _K)
@@ -94,22 +113,30 @@ def safety_projection(spark, d):
     return rk.safety_projection(_risk(spark, d)[0], BUNDLE)
 
 
-@query("SELECT view_id, acquisition_id, trend_model, n::INTEGER AS windows FROM bundles", views=_K)
+@query("SELECT view_id, acquisition_id, trend_model, n::INTEGER AS windows, predicted_class, 'FIT_OK' AS fit_status, combined_risk AS risk_score, healthy_reference_hash FROM bundles", "risk_score", _K)
 def build_bundles(spark, d):
-    risk, windows = _risk(spark, d)
-    return rk.build_bundles(windows, risk, KEYS).select(*BUNDLE, F.size("windows").alias("windows"))
+    return _bundles(spark, d).select(*BUNDLE, F.size("windows").alias("windows"), "acquisition.predicted_class", "trend.fit_status", "safety.risk_score", "metadata.healthy_reference_hash")
 
 
-@query("SELECT view_id, acquisition_id, trend_model, windows_hash, risk_hash, sha256(view_id || '|' || acquisition_id || '|' || trend_model || '|' || windows_hash || '|' || risk_hash) AS bundle_hash FROM bundles", views=_K)
+@query("SELECT view_id, acquisition_id, trend_model, input_hashes, sha256(metadata_hash || '|' || input_hashes) AS bundle_hash FROM bundles", views=_K)
 def bundle_hash(spark, d):
-    return _bundles(spark, d).select(*BUNDLE, "windows_hash", "risk_hash", "bundle_hash")
+    return _bundles(spark, d).select(*BUNDLE, F.array_join("input_hashes", ";").alias("input_hashes"), "bundle_hash")
 
 
-@query("SELECT view_id, acquisition_id, trend_model, CASE acquisition_id % 4 WHEN 0 THEN 'RISK_CHANGED' WHEN 1 THEN 'HASH_CHANGED' ELSE 'VALID' END AS code FROM bundles", views=_K)
+@query("SELECT view_id, acquisition_id, CASE WHEN acquisition_id % 8 = 5 THEN 'other' ELSE trend_model END AS trend_model, CASE acquisition_id % 8 WHEN 0 THEN 'EVIDENCE_INPUT_HASH_MISMATCH' WHEN 1 THEN 'EVIDENCE_BUNDLE_HASH_MISMATCH' WHEN 2 THEN 'EVIDENCE_TREND_MISSING' WHEN 3 THEN 'EVIDENCE_MISSING_FIELD' WHEN 4 THEN 'EVIDENCE_SCHEMA_VERSION_MISMATCH' WHEN 5 THEN 'EVIDENCE_PARQUET_METADATA_MISMATCH' WHEN 6 THEN 'EVIDENCE_INPUT_HASH_MISMATCH' ELSE 'VALID' END AS code FROM bundles", views=_K)
 def verify_bundles(spark, d):
-    k = F.col("acquisition_id") % 4
-    b = _bundles(spark, d).withColumn("risk_hash", F.when(k == 0, "x").otherwise(F.col("risk_hash"))).withColumn("bundle_hash", F.when(k == 1, "y").otherwise(F.col("bundle_hash")))
-    return rk.verify_bundles(b, BUNDLE)
+    """Seven of eight acquisitions have bundles with something altered."""
+    k = F.col("acquisition_id") % 8
+    changed = {
+        "risk": F.when(k == 0, F.col("risk").withField("combined_risk", F.lit(9.0))).otherwise(F.col("risk")),
+        "bundle_hash": F.when(k == 1, "y").otherwise(F.col("bundle_hash")),
+        "trend": F.when(k != 2, F.col("trend")),
+        "safety": F.when(k != 3, F.col("safety")),
+        "metadata": F.when(k == 4, F.col("metadata").withField("schema_version", F.lit("0"))).otherwise(F.col("metadata")),
+        "trend_model": F.when(k == 5, "other").otherwise(F.col("trend_model")),
+        "windows": F.when(k == 6, F.slice("windows", 2, 1000)).otherwise(F.col("windows")),
+    }
+    return rk.verify_bundles(_bundles(spark, d).withColumns(changed), BUNDLE)
 
 
 @query("SELECT p_partkey, trim(regexp_replace('.' || p_name || '!', '[^A-Za-z0-9_.-]+', '-', 'g'), '-.') || '__' || trim(regexp_replace(p_brand, '[^A-Za-z0-9_.-]+', '-', 'g'), '-.') AS name FROM part")
@@ -117,9 +144,9 @@ def bundle_name(spark, d):
     return ad.table(spark, d, "part").select("p_partkey", rk.safe_name(F.concat(F.lit("."), "p_name", F.lit("!")), F.col("p_brand")).alias("name"))
 
 
-@query("SELECT count(*) AS bundles, count(DISTINCT acquisition_id) AS acquisitions, count(DISTINCT trend_model) AS trend_models FROM risks", views=_K)
+@query("SELECT view_id, acquisition_id, trend_model, i::INTEGER AS position, CASE WHEN i <= n THEN 'window' ELSE ['acquisition', 'trend', 'risk', 'safety'][i - n] END AS kind, string_split(input_hashes, ';')[i] AS evidence_hash FROM (SELECT *, unnest(range(1, n + 5)) AS i FROM bundles)", views=_K)
 def expand_evidence(spark, d):
-    return _risk(spark, d)[0].agg(F.count("*").alias("bundles"), F.count_distinct("acquisition_id").alias("acquisitions"), F.count_distinct("trend_model").alias("trend_models"))
+    return rk.expand_evidence(_bundles(spark, d), BUNDLE)
 
 
 _SEL = f"SELECT rule, case_id, r AS combined_risk, CASE WHEN case_id IS NULL THEN 'EMPTY' ELSE 'SELECTED' END AS status FROM (VALUES ('baseline'), ('high_risk'), ('conflict')) t(rule) LEFT JOIN (FROM (SELECT 'baseline' AS rule, case_id, r FROM cases WHERE predicted_class = '{BASELINE}' ORDER BY r, case_id LIMIT 1) UNION ALL FROM (SELECT 'high_risk', case_id, r FROM cases WHERE predicted_class <> '{BASELINE}' ORDER BY r DESC, case_id LIMIT 1) UNION ALL FROM (SELECT 'conflict', case_id, r FROM cases WHERE conflict ORDER BY NOT unstable, r DESC, case_id LIMIT 1)) USING (rule)"
