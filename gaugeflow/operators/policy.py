@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import clamp, normalized_entropy
+from ..schemas import CLASSES
 
 # States in order, the forward edges of each in the declared order, and the static probabilities.
 STATES = ("DATA_ACQUISITION", "DATA_VALIDATION", "FEATURE_EXTRACTION", "SPLINE_MODELLING", "DIAGNOSTIC_INFERENCE", "EXPLANATION_GENERATION", "DECISION_CHECK", "RECOMMENDATION", "ESCALATION", "NO_DECISION", "AUDIT")
@@ -434,14 +435,30 @@ def frozen_routing(cases: DataFrame, routing: DataFrame) -> DataFrame:
     return j.select("case_id", "policy", "current_state", F.col("b.target").alias("selected"), F.col("b.p").alias("probability"), F.when(F.col("b").isNull(), "ROUTE_MISSING").otherwise("ROUTED").alias("status"))
 
 
-def bundle_facts(bundles: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, state, facts): what each bundle lets each state know, as a map of texts; explanations are absent."""
+def posterior_predictive(scores: DataFrame, targets: DataFrame, states: Sequence[str] = TERMINAL, key: str = "case_id") -> DataFrame:
+    """(key, split_role, observed_target, entropy, a column a state): the scores of `posterior_scores` beside what was observed."""
+    j = targets.select(key, "split_role", F.col("target").alias("observed_target")).join(scores.select(key, "p", "entropy"), key)
+    return j.select(key, "split_role", "observed_target", "entropy", *[F.get("p", F.lit(k)).alias(s) for k, s in enumerate(states)])
+
+
+def bundle_facts(bundles: DataFrame, key: Sequence[str], classes: Sequence[str] = CLASSES) -> DataFrame:
+    """(key, state, facts): what each bundle lets each state know, as a map of texts; explanations are absent.
+
+    Where the bundles have them, the trend's slope, curvature and distance from the reference and the class probabilities
+    `p`, as JSON, are facts too.
+    """
+    text = lambda c: F.round(c, 6).cast("decimal(18,6)").cast("string")
+    have = set(bundles.columns)
+    trend = {f: text(f) for f in ("slope", "curvature", "distance_from_healthy") if f in have}
+    named = [F.concat(F.lit(f'"{c}":'), text(F.get("p", F.lit(k)))) for k, c in enumerate(classes)] if "p" in have else []
+    likely = {"class_probabilities": F.concat(F.lit("{"), F.concat_ws(",", *named), F.lit("}"))} if named else {}
+    risk = {"ood_score": text("ood_score")} if "ood_score" in have else {}
     facts = {
         "DATA_VALIDATION": {"validation_passed": F.lit("true")},
-        "SPLINE_MODELLING": {"spline_fit_valid": F.lit("true")},
-        "DIAGNOSTIC_INFERENCE": {"diagnosis": F.col("predicted_class"), "confidence": F.round("confidence", 6).cast("decimal(18,6)").cast("string")},
+        "SPLINE_MODELLING": {"spline_fit_valid": F.lit("true"), **trend},
+        "DIAGNOSTIC_INFERENCE": {"diagnosis": F.col("predicted_class"), "confidence": text("confidence"), **likely},
         "EXPLANATION_GENERATION": {"explanation_required": F.lit("true"), "explanation_available": F.lit("false")},
-        "DECISION_CHECK": {"risk_score": F.round("combined_risk", 6).cast("decimal(18,6)").cast("string"), "conflict": F.col("conflict").cast("string")},
+        "DECISION_CHECK": {"risk_score": text("combined_risk"), "conflict": F.col("conflict").cast("string"), **risk},
     }
     rows = F.array(*[F.struct(F.lit(s).alias("state"), F.create_map(*[x for n, v in f.items() for x in (F.lit(n), v)]).alias("facts")) for s, f in facts.items()])
     return bundles.select(*key, F.explode(rows).alias("r")).select(*key, "r.*")

@@ -107,27 +107,38 @@ def validate_signal_index(samples: DataFrame, expected: int | None = None) -> Da
     return g.select("acquisition_id", "n", contiguous.alias("contiguous"), (F.col("bad") == 0).alias("all_finite"), ok.alias("ok"))
 
 
+def equal_classes(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(k, n, columns) of the rows with equal values: the least key and how many they are. NaN and null are in none."""
+    rows = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(c) for c in columns]).where(reduce(lambda a, b: a & b, [finite(c) for c in columns]))
+    return rows.groupBy(*columns).agg(F.min("k").alias("k"), F.count("*").alias("n"))
+
+
 def near_duplicate_pairs(df: DataFrame, key: str, columns: Sequence[str], tolerance: float, cell: float, banded: int = 2) -> DataFrame:
-    """(a, b) of rows a < b whose every column differs by `tolerance` at most: a banded join over cells of `cell` >= tolerance.
+    """(a, b, pairs) of classes of equal rows whose every column differs by `tolerance` at most: a banded join over cells of
+    `cell` >= tolerance.
 
-    The first `banded` columns give the cells; one side looks into the neighbouring cells too. NaN and null never match.
+    a <= b are the least keys of the classes, `pairs` how many pairs of rows that is; a class of several rows is a pair with
+    itself. Equal rows are never expanded into pairs. The first `banded` columns give the cells; one side looks into the
+    neighbouring cells too.
     """
     if cell < tolerance:
         raise ValueError("cells must be as wide as the tolerance")
     names = list(columns)[:banded]
-    rows = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(c) for c in columns]).where(reduce(lambda a, b: a & b, [finite(c) for c in columns]))
+    rows = equal_classes(df, key, columns)
     at = [F.floor(F.col(c) / cell).cast("long") for c in names]
-    left = rows.select(F.struct("k", *columns).alias("l"), F.struct(*[a.alias(f"c{i}") for i, a in enumerate(at)]).alias("cell"))
+    left = rows.select(F.struct("k", "n", *columns).alias("l"), F.struct(*[a.alias(f"c{i}") for i, a in enumerate(at)]).alias("cell"))
     steps = F.array(*[F.struct(*[(a + s).cast("long").alias(f"c{i}") for i, (a, s) in enumerate(zip(at, step, strict=True))]) for step in product((-1, 0, 1), repeat=len(names))])
-    right = rows.select(F.struct("k", *columns).alias("r"), F.explode(steps).alias("cell"))
+    right = rows.select(F.struct("k", "n", *columns).alias("r"), F.explode(steps).alias("cell"))
     close = reduce(lambda a, b: a & b, [F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= tolerance for c in columns])
-    return left.join(right, "cell").where((F.col("l.k") < F.col("r.k")) & close).select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
+    apart = left.join(right, "cell").where((F.col("l.k") < F.col("r.k")) & close).select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), (F.col("l.n") * F.col("r.n")).alias("pairs"))
+    within = rows.where("n > 1").select(F.col("k").alias("a"), F.col("k").alias("b"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    return apart.unionAll(within)
 
 
 def duplicate_analysis(df: DataFrame, key: str, columns: Sequence[str], tolerance: float, cell: float) -> DataFrame:
     """(exact_duplicates, near_pairs): surplus rows with equal values, and pairs within the tolerance (equal ones included)."""
     exact = duplicate_rows(df, columns).withColumnRenamed("duplicate_rows", "exact_duplicates")
-    near = near_duplicate_pairs(df, key, columns, tolerance, cell).agg(F.count("*").alias("near_pairs"))
+    near = near_duplicate_pairs(df, key, columns, tolerance, cell).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("near_pairs"))
     return exact.crossJoin(near)  # one row each
 
 
@@ -147,9 +158,15 @@ LABEL_FIELDS = ("label", "true_label", "ground_truth", "target", "y_true")
 
 
 def label_leaks(df: DataFrame, payload: str, names: Sequence[str] = LABEL_FIELDS) -> DataFrame:
-    """Rows with a flag whether the JSON payload names a label field at any depth; null payloads don't."""
-    pattern = '"(' + "|".join(names) + r')"\s*:'
-    return df.withColumn("leaks", F.coalesce(F.col(payload).rlike(pattern), F.lit(False)))
+    """Rows with a flag whether a key of the JSON payload, at any depth, is a label field; null payloads don't have any.
+
+    The payload's strings are read from left to right: a key is one that a colon follows, so that the text of a value is
+    none. Keys are compared with their escapes resolved.
+    """
+    strings = F.regexp_extract_all(F.col(payload), F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+")(\s*:)?'), F.lit(0))
+    keys = F.filter(strings, lambda t: t.endswith(":"))
+    name = lambda t: F.get_json_object(F.concat(F.lit('{"k":'), F.regexp_replace(t, r"\s*:$", ""), F.lit("}")), "$.k")
+    return df.withColumn("leaks", F.coalesce(F.exists(keys, lambda t: F.coalesce(name(t).isin(*names), F.lit(False))), F.lit(False)))
 
 
 def reject_label_columns(df: DataFrame, names: Sequence[str] = LABEL_FIELDS) -> DataFrame:

@@ -98,12 +98,16 @@ def write_csv_json(spark, d):
     return wr.union_of_keys([a, spark.read.schema("r_name string").json(f"{path}/r")])
 
 
-@query("SELECT o_orderkey, 'append' AS outcome FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'conflict' FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'append' ELSE 'stored' END AS outcome FROM orders UNION ALL SELECT o_orderkey, 'conflict' FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 = 0")
 def idempotent_append(spark, d):
-    o = ad.table(spark, d, "orders").select("o_orderkey", F.sha2(F.col("o_orderstatus"), 256).alias("h"))
-    stored = o.where("o_orderkey % 3 <> 0").withColumn("h", F.when((F.col("o_orderkey") % 3 == 1) & (F.col("o_orderkey") % 5 == 0), "x").otherwise(F.col("h")))
-    fresh, conflicts = wr.idempotent_append(stored, o, ["o_orderkey"], "h")
-    return fresh.select("o_orderkey", F.lit("append").alias("outcome")).union(conflicts.select("o_orderkey", F.lit("conflict")))
+    """Two thirds of the orders are stored, some with another content; all are then appended, twice."""
+    k = F.col("o_orderkey")
+    o = ad.table(spark, d, "orders").select("o_orderkey", F.sha2(F.col("o_orderstatus"), 256).alias("h"), F.lit("append").alias("outcome"))
+    old = o.where(k % 3 != 0).withColumn("h", F.when((k % 3 == 1) & (k % 5 == 0), "x").otherwise(F.col("h"))).withColumn("outcome", F.lit("stored"))
+    path = shared_folder(spark, "append")
+    for rows in (old, o, o):
+        conflicts = wr.append_rows(rows, path, ["o_orderkey"], "h")
+    return spark.read.parquet(path).select("o_orderkey", "outcome").union(conflicts.select("o_orderkey", F.lit("conflict")))
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import policy as po
 from ..plans import adapters as ad
+from ..schemas import CLASSES
 from ._registry import query
 
 TERMINAL = po.TERMINAL
@@ -204,10 +205,10 @@ def transition_covariates(spark, d):
     return po.transition_covariates(c, ["case_id"])
 
 
-@query("SELECT diagnosis, avg(p[1]) AS p_rec, avg(p[2]) AS p_esc, avg(p[3]) AS p_no FROM post_t JOIN case_facts USING (case_id) GROUP BY diagnosis", "p_rec p_esc p_no", _COV)
+@query("SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'test' ELSE 'train' END AS split_role, CASE WHEN missing_ratio > 0.20 OR data_quality < 0.70 THEN 'NO_DECISION' WHEN risk_score >= 0.75 OR ood_score >= 0.78 OR representation_agreement < 0.50 THEN 'ESCALATION' ELSE 'RECOMMENDATION' END AS observed_target, entropy, " + ", ".join(f'p[{k + 1}] AS "{s}"' for k, s in enumerate(TERMINAL)) + " FROM post_t JOIN covs USING (case_id)", "entropy " + " ".join(TERMINAL), _COV)
 def posterior_predictive(spark, d):
-    s = po.posterior_scores(_spread(spark, d)).join(ad.case_facts(spark, d).select("case_id", "diagnosis"), "case_id")
-    return s.groupBy("diagnosis").agg(*[F.avg(F.col("p")[k]).alias(n) for k, n in enumerate(("p_rec", "p_esc", "p_no"))])
+    targets = po.rule_targets(po.policy_covariates(_agreed(spark, d))).withColumn("split_role", F.when(F.col("case_id") % 3 == 0, "test").otherwise("train"))
+    return po.posterior_predictive(po.posterior_scores(_spread(spark, d)), targets)
 
 
 def route_views(steps: int = 8) -> dict[str, str]:
@@ -255,12 +256,22 @@ def frozen_routing(spark, d):
     return po.frozen_routing(cases, routing)
 
 
-@query("SELECT case_id, s AS state, CASE s WHEN 'DIAGNOSTIC_INFERENCE' THEN diagnosis WHEN 'DECISION_CHECK' THEN risk_score::DECIMAL(18,6)::VARCHAR ELSE 'true' END AS fact, CASE s WHEN 'DATA_VALIDATION' THEN 1 WHEN 'SPLINE_MODELLING' THEN 1 ELSE 2 END::INTEGER AS facts FROM (SELECT case_id, diagnosis, round(risk_score, 6) AS risk_score FROM case_facts), (VALUES ('DATA_VALIDATION'), ('SPLINE_MODELLING'), ('DIAGNOSTIC_INFERENCE'), ('EXPLANATION_GENERATION'), ('DECISION_CHECK')) t(s)")
+def _text(c: str) -> str:
+    return f"coalesce(round({c}, 6)::DECIMAL(18,6)::VARCHAR, '')"
+
+
+_SHARES = ("1 - risk_score", "risk_score / 4", "risk_score / 2", "risk_score / 4")
+_LIKELY = " || ',' || ".join(f"""'"{c}":' || {_text(p)}""" for c, p in zip(CLASSES, _SHARES, strict=True))
+
+
+@query(f"""SELECT case_id, s AS state, CASE s WHEN 'DATA_VALIDATION' THEN 'validation_passed=true' WHEN 'SPLINE_MODELLING' THEN 'curvature=' || {_text('classifier_disagreement')} || ';slope=' || {_text('missing_ratio')} || ';spline_fit_valid=true'
+WHEN 'DIAGNOSTIC_INFERENCE' THEN 'class_probabilities={{' || {_LIKELY} || '}};confidence=' || {_text('confidence')} || ';diagnosis=' || diagnosis WHEN 'EXPLANATION_GENERATION' THEN 'explanation_available=false;explanation_required=true' ELSE 'conflict=' || conflict || ';ood_score=' || {_text('ood_score')} || ';risk_score=' || {_text('risk_score')} END AS facts
+FROM case_facts, (VALUES ('DATA_VALIDATION'), ('SPLINE_MODELLING'), ('DIAGNOSTIC_INFERENCE'), ('EXPLANATION_GENERATION'), ('DECISION_CHECK')) t(s)""")
 def bundle_facts(spark, d):
-    b = ad.case_facts(spark, d).select("case_id", F.col("diagnosis").alias("predicted_class"), "confidence", F.col("risk_score").alias("combined_risk"), "conflict")
-    f = po.bundle_facts(b, ["case_id"])
-    first = F.coalesce(*[F.try_element_at("facts", F.lit(k)) for k in ("diagnosis", "risk_score", "validation_passed", "spline_fit_valid", "explanation_required")])
-    return f.select("case_id", "state", first.alias("fact"), F.size("facts").alias("facts"))
+    shares = F.array(*[F.expr(p) for p in _SHARES])
+    b = ad.case_facts(spark, d).select("case_id", F.col("diagnosis").alias("predicted_class"), "confidence", F.col("risk_score").alias("combined_risk"), "conflict", "ood_score", F.col("missing_ratio").alias("slope"), F.col("classifier_disagreement").alias("curvature"), shares.alias("p"))
+    told = F.transform(F.array_sort(F.map_entries("facts")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return po.bundle_facts(b, ["case_id"]).select("case_id", "state", F.array_join(told, ";").alias("facts"))
 
 
 @query("SELECT (i)::BIGINT AS sample_id, c_custkey, (coef * c_acctbal / 10000)::DOUBLE AS effect FROM (SELECT sample_id AS i, coef FROM coef_t WHERE state = 'ESCALATION' AND feature = 'risk_score') JOIN customer ON c_custkey % 64 = i", "effect", _COV)

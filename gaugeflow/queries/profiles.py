@@ -84,7 +84,10 @@ def duplicate_analysis(spark, d):
     return q.duplicate_analysis(ad.table(spark, d, "customer"), "c_custkey", ["c_acctbal"], 0.05, 0.5)
 
 
-@query("SELECT x.k AS a, y.k AS b FROM (SELECT p_partkey AS k, p_retailprice AS p, p_size AS s FROM part) x JOIN (SELECT p_partkey AS k, p_retailprice AS p, p_size AS s FROM part) y ON x.k < y.k AND abs(x.p - y.p) <= 0.5 AND abs(x.s - y.s) <= 0.5")
+_PART = "(SELECT min(p_partkey) AS k, count(*) AS n, p_retailprice AS p, p_size AS s FROM part GROUP BY ALL)"
+
+
+@query(f"SELECT x.k AS a, y.k AS b, CASE WHEN x.k = y.k THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END::BIGINT AS pairs FROM {_PART} x JOIN {_PART} y ON (x.k < y.k OR x.k = y.k AND x.n > 1) AND abs(x.p - y.p) <= 0.5 AND abs(x.s - y.s) <= 0.5")
 def near_duplicate_pairs(spark, d):
     return q.near_duplicate_pairs(ad.table(spark, d, "part"), "p_partkey", ["p_retailprice", "p_size"], 0.5, 1.0)
 
@@ -102,7 +105,10 @@ def unique_key_check(spark, d):
 
 @query(r"""SELECT event_id, event_id % 3 = 0 AS leaks FROM events""")
 def label_leak_guard(spark, d):
-    e = ad.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": {"true_label" : '), "props", F.lit("}}"))).otherwise(F.col("props")).alias("payload"))
+    """A third of the events has a nested label; another third a text that looks like one."""
+    k = F.col("event_id") % 3
+    nested = F.concat(F.lit('[1, {"a": {"true\\u005flabel" : '), "props", F.lit("}}]"))
+    e = ad.table(spark, d, "events").select("event_id", F.when(k == 0, nested).when(k == 1, r'{"note": "\"label\": 1", "x": "label"}').otherwise(F.col("props")).alias("payload"))
     return q.label_leaks(q.reject_label_columns(e), "payload").select("event_id", "leaks")
 
 

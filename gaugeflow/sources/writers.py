@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.columns import content_hash
@@ -41,6 +42,26 @@ def idempotent_append(stored: DataFrame, new: DataFrame, key: Sequence[str], con
     return fresh, conflicts
 
 
+def append_rows(new: DataFrame, path: str, key: Sequence[str], content: str) -> DataFrame:
+    """Append to the Parquet table at `path` the rows whose key it doesn't hold yet; gives the conflicts, which stay out.
+
+    A second append of the same rows adds nothing. Repeated rows are appended once; the rows of a key that the new ones give
+    several contents are conflicts. A path without a table is an empty one. One writer at a time is assumed.
+    """
+    spark = new.sparkSession
+    try:
+        held = spark.read.parquet(path).select(*key, content)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = new.select(*key, content).limit(0)
+    clear = new.groupBy(*key).agg((~F.min(content).eqNullSafe(F.max(content)) | (F.count(content) != F.count("*")) & (F.count(content) > 0)).alias("_several"))
+    marked = new.join(clear, list(key))
+    fresh, conflicts = idempotent_append(held, marked.where("NOT _several").drop("_several"), key, content)
+    fresh.dropDuplicates([*key, content]).write.mode("append").parquet(path)
+    return conflicts.unionByName(marked.where("_several").drop("_several"))
+
+
 def table_registry(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, records, digest): the digest doesn't depend on the order of rows.
 
