@@ -53,10 +53,14 @@ def group_split(df: DataFrame, group: str, seed: str, train: float = 0.6, valida
     """The table with split_role: whole groups go to train, validation or test, in the order of a seeded hash.
 
     With g groups the cuts are max(1, round(g * train)) and max(first + 1, round(g * (train + validation))), at most g - 1,
-    rounded half to even; an empty test role takes the last group. Ranks are taken over the distinct groups, not the rows.
+    rounded half to even; an empty test role takes the last group. Ranks are taken over the distinct groups, not the rows:
+    within 4096 ranges of the hash, after the counts of the ranges before.
     """
-    groups = df.select(group).distinct()
-    ranked = groups.withColumn("_r", F.row_number().over(W.orderBy(_shuffled(group, seed), group)))
+    groups = df.select(group).distinct().withColumn("_o", _shuffled(group, seed)).withColumn("_range", F.substring("_o", 1, 3))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = groups.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))  # 4096 rows at most
+    within = F.row_number().over(W.partitionBy("_range").orderBy("_o", group))
+    ranked = groups.withColumn("_k", within).join(ranges, "_range").withColumn("_r", F.col("_k") + F.col("_before"))
     total = groups.agg(F.count("*").alias("g"))
     a = F.greatest(F.lit(1), F.bround(F.col("g") * F.lit(train)).cast("int"))
     b = F.greatest(F.col("_a") + 1, F.bround(F.col("g") * F.lit(train + validation)).cast("int"))

@@ -120,9 +120,9 @@ def _registry_sql(name: str, columns: str) -> str:
     return f"SELECT '{name}' AS \"table\", count(*) AS records, sha256(count(*) || '|' || sum(('0x' || substr(sha256({row}), 1, 13))::BIGINT)) AS digest FROM {name}"
 
 
-@query(_registry_sql("nation", "n_nationkey n_name n_regionkey") + " UNION ALL " + _registry_sql("part", "p_partkey p_name p_brand p_type p_size"))
+@query(_registry_sql("nation", "n_nationkey n_name n_regionkey") + " UNION ALL " + _registry_sql("part", "p_partkey p_name p_brand p_type p_size round(p_retailprice,2)::DECIMAL(18,2)"))
 def attach_table_registry(spark, d):
-    return wr.table_registry({"nation": ad.table(spark, d, "nation"), "part": ad.table(spark, d, "part").drop("p_retailprice")})
+    return wr.table_registry({"nation": ad.table(spark, d, "nation"), "part": ad.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.round("p_retailprice", 2).cast("decimal(18,2)").alias("p_retailprice"))})
 
 
 @query("SELECT p_name || p_partkey AS path, CASE p_partkey % 4 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'NEW' ELSE 'CHANGED' END AS status FROM part WHERE p_partkey % 4 < 3")
