@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import reference as rf, trends as tr
 from ..plans import adapters as ad
@@ -34,10 +34,15 @@ def _views(penalty: float, y: str = "ch_a_mean", source: str = "features") -> di
     }
 
 
-_FIT_SQL = "SELECT acquisition_id, n::INTEGER AS n, i::INTEGER AS i, y, fitted, d1, d2, edf FROM fit"
+#: Nine digits first: fits of round inputs lie on halves of the last digit kept, which sums in another order miss on either side.
+_FIT_SQL = "SELECT acquisition_id, n::INTEGER AS n, i::INTEGER AS i, y, round(fitted, 9) AS fitted, round(d1, 9) AS d1, round(d2, 9) AS d2, edf FROM fit"
 _FIT = "y fitted d1 d2 edf"
 
 
+def _fit(df: DataFrame) -> DataFrame:
+    return df.select("acquisition_id", "n", "i", "y", *[F.round(c, 9).alias(c) for c in ("fitted", "d1", "d2")], "edf")
+
+
 @query("""SELECT acquisition_id, CASE WHEN k IN (3, 4, 5, 6) THEN 'INVALID_CONFIGURATION' WHEN k = 7 THEN 'NONFINITE_INPUT' WHEN k < 10 THEN 'UNORDERED_WINDOWS' ELSE 'ORDER_OK' END AS status,
 CASE k WHEN 0 THEN 'FUTURE_WINDOW_FORBIDDEN' WHEN 1 THEN 'UNORDERED_WINDOWS' WHEN 2 THEN 'DUPLICATE_WINDOW_ID' WHEN 3 THEN 'MIXED_ASSIGNMENTS' WHEN 4 THEN 'UNKNOWN_WINDOW_PARTITION' WHEN 5 THEN 'MIXED_WINDOW_PARTITIONS' WHEN 6 THEN 'INCONSISTENT_FEATURE_VECTOR_SHAPE' WHEN 7 THEN 'NONFINITE_INPUT' WHEN 8 THEN 'UNORDERED_ORDINAL_POSITIONS' WHEN 9 THEN 'DUPLICATE_WINDOW_ORDER' END AS reason
 FROM (SELECT DISTINCT acquisition_id, acquisition_id % 11 AS k FROM features)""")
@@ -54,12 +59,12 @@ def validate_order(spark, d):
 
 @query(_FIT_SQL, _FIT, _views(0.0))
 def trend_bspline(spark, d):
-    return tr.linear_fit(_series(spark, d)).select("acquisition_id", "n", "i", "y", "fitted", "d1", "d2", "edf")
+    return _fit(tr.linear_fit(_series(spark, d)))
 
 
 @query(_FIT_SQL, _FIT, _views(tr.PENALTY))
 def trend_pspline(spark, d):
-    return tr.linear_fit(_series(spark, d), tr.PENALTY).select("acquisition_id", "n", "i", "y", "fitted", "d1", "d2", "edf")
+    return _fit(tr.linear_fit(_series(spark, d), tr.PENALTY))
 
 
 @query()
