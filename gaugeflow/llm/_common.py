@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -37,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(text: bytes, gap: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
+    """`text` in parts of about `size` bytes, cut where `gap` matches, so that no match of what isn't a gap is cut."""
+    start = 0
+    while len(text) - start > size:
+        cut = gap.search(text, start + size)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:] if start else text
+
+
 def row_name() -> Column:
     """(doc_id, MD5 of the text): what tells rows apart, so that texts without an id or with a repeated one aren't taken for each other."""
     return F.struct("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("hash"))

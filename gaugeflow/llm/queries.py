@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, mixing, preference, quality, secrets, simhash, toxicity, url_filter, warc
+from . import decontaminate, divergence, exact_dedup, mixing, preference, quality, secrets, sharding, simhash, spelling, toxicity, url_filter, warc
 from ._common import held_out
 
 #: The rules of op2 (host/path and verdict).
@@ -71,8 +73,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), FETCHED))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shards(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
-    found = [op1_quality, op2_url_filter, op3_exact_dedup, op4_mix, op5_simhash, op6_preference, op7_secrets, op8_toxicity, op9_decontaminate, op10_warc]
+    found = [op1_quality, op2_url_filter, op3_exact_dedup, op4_mix, op5_simhash, op6_preference, op7_secrets, op8_toxicity, op9_decontaminate, op10_warc, op11_divergence, op12_spelling, op13_shards]
     return {f.__name__: f for f in found}
 
 
@@ -207,6 +222,59 @@ b AS (SELECT *, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(blo
 SELECT page_id, type, record_id, refers_to, target_uri, content_length, block_digest, source_digest, {header} AS header, block FROM b"""
 
 
+def _op11_sql() -> str:
+    d = divergence
+    price = lambda n, total: f"1 + ({d.UNIT}::HUGEINT * ({n} + {d.SMOOTHING})) // ({total} + {d.SMOOTHING} * v)"
+    term = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+    return rf"""WITH r AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}') AS found FROM documents),
+o AS (SELECT id, lang, source, unnest(found) AS term FROM r),
+k AS (SELECT lang, term, count(*) AS whole FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= {d.LEAST_DOCS}),
+l AS (SELECT lang, count(*) AS v, sum(whole) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM r),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, s.source, term, coalesce(n, 0) AS n, {price("coalesce(n, 0)", "total")} AS p, {price("whole", "lang_total")} AS q FROM s JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+w AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM w WHERE part = 'pair' OR rank <= {d.TOP}"""
+
+
+def _crc(text: str) -> str:
+    """DuckDB has no CRC-32: the bytes of a text are folded, the table's entry of a byte being those of its bits."""
+    entries = [1 << j for j in range(8)]
+    for _ in range(8):
+        entries = [k >> 1 ^ (3988292384 if k & 1 else 0) for k in entries]
+    entry = reduce(lambda a, b: f"xor({a}, {b})", [f"(xor(c, x) >> {j} & 1) * {k}" for j, k in enumerate(entries)])
+    octets = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda y: ('0x' || y)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, {entry}), 4294967295::BIGINT), 4294967295)"
+
+
+def _op12_sql() -> str:
+    s = spelling
+    return rf"""WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+d AS (SELECT run, count(*) AS n, {_crc("id || ':' || run")} AS h FROM r WHERE length(run) >= {s.LEAST_LENGTH} GROUP BY id, run),
+c AS (SELECT CASE WHEN h % {s.MODULUS} = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM d),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= {s.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {s.LEAST_COUNT}),
+k AS (SELECT word, n, i, left(word, i) || substring(word, i + 2) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+e AS (SELECT a.word, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.less = w.word UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.less = w.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM e GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {s.RATIO} * w.n THEN other END AS form, CASE WHEN other_n >= {s.RATIO} * w.n THEN other_n END AS form_n FROM w LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON t.next = f.word)
+SELECT word, form, t.at AS root, n, n_near, form_n FROM f JOIN t USING (word) WHERE t.next IS NULL"""
+
+
+def _op13_sql() -> str:
+    s = sharding
+    return f"""WITH r AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, coalesce({_crc("text")}, 0) AS text_crc32, md5('{s.SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size, text_crc32) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS share FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY share, source NULLS LAST, key) - 1 AS place, count(*) OVER () AS total FROM f),
+h AS (SELECT *, place * {s.SHARDS} // total AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, (place - (shard * total + {s.SHARDS} - 1) // {s.SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op1 and op8 learn, and op5 needs XXH64: they are tested in tests/llm against brute force or held-out labels."""
-    return {"op2_url_filter": _op2_sql(), "op3_exact_dedup": _OP3_SQL, "op4_mix": _OP4_SQL, "op6_preference": _op6_sql(), "op7_secrets": _op7_sql(), "op9_decontaminate": _OP9_SQL, "op10_warc": _op10_sql()}
+    return {"op2_url_filter": _op2_sql(), "op3_exact_dedup": _OP3_SQL, "op4_mix": _OP4_SQL, "op6_preference": _op6_sql(), "op7_secrets": _op7_sql(), "op9_decontaminate": _OP9_SQL, "op10_warc": _op10_sql(), "op11_divergence": _op11_sql(), "op12_spelling": _op12_sql(), "op13_shards": _op13_sql()}
