@@ -55,8 +55,9 @@ def fixed(c: Column | str, places: int = 6) -> Column:
 
 
 def content_hash(*parts: Column | str) -> Column:
-    """SHA-256 of the parts' texts joined by `|`, nulls as empty."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(col(p).cast("string"), F.lit("")) for p in parts]), 256)
+    """SHA-256 of the parts' texts joined by `|`; bars and backslashes in a text are escaped and a null isn't an empty text, so other parts have another text."""
+    plain = lambda p: F.replace(F.replace(col(p).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.sha2(F.concat_ws("|", *[F.coalesce(plain(p), F.lit("\\0")) for p in parts]), 256)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -67,13 +68,18 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(dot(v, v))
 
 
+# Spellings of missing and of infinite values.
+MISSING = ("", "na", "nan", "null", "none")
+INFINITE = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+
+
 def is_missing(text: Column | str) -> Column:
     """Missing spellings of a text value, case and outer blanks aside; null is missing."""
-    return F.coalesce(F.lower(F.btrim(col(text))).isin("", "na", "nan", "null", "none"), F.lit(True))
+    return F.coalesce(F.lower(F.btrim(col(text))).isin(*MISSING), F.lit(True))
 
 
 def is_infinity(text: Column | str) -> Column:
-    return F.coalesce(F.lower(F.btrim(col(text))).isin("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"), F.lit(False))
+    return F.coalesce(F.lower(F.btrim(col(text))).isin(*INFINITE), F.lit(False))
 
 
 def first_reason(*checks: tuple[Column, str], ok: str | None = None) -> Column:

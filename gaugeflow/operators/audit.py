@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..functions.canonical import canonical_json, canonical_parts
 from ..functions.columns import content_hash, first_reason, fixed, normalized_entropy
 
 GENESIS = ""
@@ -20,20 +23,72 @@ EVENT_FIELDS = (
 )
 
 
+def _fold(events: DataFrame, order: Sequence[str], opened: str, closed: str, none: str) -> DataFrame:
+    """Events with previous_event_hash and event_hash, the SHA-256 of `before`, the hash of the run's event before, and `after`.
+
+    A chain is a fold in order: a run's events stand sorted in one partition and pass through batch by batch, with one hash
+    carried on, so a run may be of any length. `opened` and `closed` stand around a hash, `none` instead of the first one.
+    """
+    kept = [f for f in events.schema.fields if f.name not in ("before", "after")]
+    first, left, right = none.encode(), opened.encode(), closed.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, current, last = False, None, None
+        for b in batches:
+            previous, hashes = [], []
+            for run_id, before, after in zip(*(b.column(c).to_pylist() for c in ("run_id", "before", "after")), strict=True):
+                if not begun or run_id != current:
+                    begun, current, last = True, run_id, None
+                previous.append(last)
+                last = hashlib.sha256(before + (first if last is None else left + last.encode() + right) + after).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(previous, pa.string()), pa.array(hashes, pa.string())], [*(f.name for f in kept), "previous_event_hash", "event_hash"])
+
+    schema = T.StructType([*kept, T.StructField("previous_event_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
+    rows = events.withColumns({c: F.col(c).cast("binary") for c in ("before", "after")})
+    return rows.repartition("run_id").sortWithinPartitions("run_id", *order).mapInArrow(run, schema)
+
+
+def _event_parts(events: DataFrame) -> tuple[Column, Column]:
+    """An event's canonical JSON without its own hash, before and after the value of previous_event_hash."""
+    return canonical_parts({f.name: f.dataType for f in events.schema.fields if f.name in EVENT_FIELDS and f.name not in ("previous_event_hash", "event_hash")}, "previous_event_hash")
+
+
 def audit_events(rows: DataFrame, order: Sequence[str] = ("event_index",), schema_version: str = "1.0") -> DataFrame:
-    """Audit events with all fields, as texts but for event_index: numbered from 1 in each run_id and chained by hashes.
+    """Audit events with all fields: numbered from 1 in each run_id and chained by hashes, the first one's previous hash being null.
 
-    A field that the rows lack, or that is null, is an empty text. An event's payload, which its hash covers, is all its
-    fields but the hashes and the index, joined by `|`.
+    A field that the rows have keeps its type, one that they lack is a null text. An event's hash covers the canonical JSON of
+    all its fields but itself.
     """
     n = F.row_number().over(W.partitionBy("run_id").orderBy(*order)).cast("long")
     have = set(rows.columns)
-    made = {"event_index": n, "schema_version": F.lit(schema_version)} | {f: F.coalesce(F.col(f).cast("string"), F.lit("")) if f in have else F.lit("") for f in EVENT_FIELDS if f not in ("event_index", "event_id", "schema_version", "run_id")}
+    made = {"event_index": n, "schema_version": F.lit(schema_version)} | {f: F.col(f) if f in have else F.lit(None).cast("string") for f in EVENT_FIELDS if f not in ("event_index", "event_id", "schema_version", "run_id", "previous_event_hash", "event_hash")}
     e = rows.select("run_id", *[c.alias(f) for f, c in made.items()]).withColumn("event_id", F.format_string("%s:%06d", F.col("run_id").cast("string"), F.col("event_index")))
-    told = [f for f in EVENT_FIELDS if f not in ("event_index", "previous_event_hash", "event_hash")]
-    e = e.withColumn("payload", F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in told]))
-    chained = build_chain(e, [f for f in EVENT_FIELDS if f not in ("run_id", "event_index", "previous_event_hash", "event_hash")])
-    return chained.select(*EVENT_FIELDS)
+    before, after = _event_parts(e)
+    return _fold(e.withColumns({"before": before, "after": after}), ["event_index"], '"', '"', "null").select(*EVENT_FIELDS)
+
+
+def event_hash(events: DataFrame) -> Column:
+    """The hash that a full event has to have, made from its own fields."""
+    before, after = _event_parts(events)
+    return F.sha2(F.concat(before, F.coalesce(F.concat(F.lit('"'), F.replace("previous_event_hash", F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("null")), after), 256)
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """(value): each full event as a line of canonical JSON, its hash among the fields."""
+    return events.select(canonical_json(F.struct(*EVENT_FIELDS), T.StructType([events.schema[f] for f in EVENT_FIELDS])).alias("value"))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """(run_id, event_index, previous_event_hash, event_hash, made_hash) of a log's lines of canonical JSON, blank ones aside.
+
+    made_hash is the hash of the line without its own hash, whatever other fields it has and however its numbers are written.
+    A line that isn't JSON, or isn't canonical, has a hash that its event doesn't name.
+    """
+    kind = "run_id string, event_index long, previous_event_hash string, event_hash string"
+    told = F.from_json("value", kind)
+    rest = F.regexp_replace("value", '"event_hash":"[^"]*",("event_id":)', "$1")
+    return lines.where(F.btrim("value") != "").select(*[told[c].alias(c) for c in ("run_id", "event_index", "previous_event_hash", "event_hash")], F.sha2(rest, 256).alias("made_hash"))
 
 
 def _hash(index: Column, payload: Column, previous: Column) -> Column:
@@ -41,29 +96,37 @@ def _hash(index: Column, payload: Column, previous: Column) -> Column:
 
 
 def build_chain(events: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(run_id, event_index, payload, the columns `carry`, previous_event_hash, event_hash): each hash covers the one before.
+    """(run_id, event_index, payload, the columns `carry`, previous_event_hash, event_hash): each hash covers the one before, the index and the payload."""
+    e = events.select("run_id", "event_index", F.coalesce("payload", F.lit("")).alias("payload"), *carry)
+    parts = {"before": F.lit(""), "after": F.concat(F.lit("|"), F.col("event_index").cast("string"), F.lit("|"), F.col("payload"))}
+    return _fold(e.withColumns(parts), ["event_index", "payload", *carry], "", "", "").withColumn("previous_event_hash", F.coalesce("previous_event_hash", F.lit(GENESIS)))
 
-    A chain is a fold in order, so a run's events meet in one row; runs are independent of each other.
-    """
-    kept = [F.coalesce("payload", F.lit("")).alias("payload"), *carry]
-    g = events.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("event_index", *kept))).alias("e"))
-    zero = F.array(F.lit(GENESIS))
-    fold = F.aggregate("e", zero, lambda acc, x: F.concat(acc, F.array(_hash(x["event_index"], x["payload"], F.element_at(acc, -1)))))
-    g = g.withColumn("h", fold)
-    r = g.select("run_id", F.posexplode("e").alias("k", "x"), "h")
-    return r.select("run_id", "x.event_index", "x.payload", *[f"x.{c}" for c in carry], F.get("h", F.col("k")).alias("previous_event_hash"), F.get("h", F.col("k") + 1).alias("event_hash"))
+
+def made_hash(chain: DataFrame) -> Column:
+    """The hash that each event of a chain has to have: of its payload, of its line, or of all its fields."""
+    if "made_hash" in chain.columns:
+        return F.col("made_hash")
+    return _hash(F.col("event_index"), F.col("payload"), F.col("previous_event_hash")) if "payload" in chain.columns else event_hash(chain)
 
 
 def verify_chain(chain: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, valid, events, first_bad, reason) of every run listed: the first failing event in order, or EMPTY_AUDIT_LOG.
 
-    An event fails by its index, then by its link to the event before, then by its own hash.
+    `chain` is of build_chain, audit_events or parse_lines. An event fails by its index (the one before is absent, or there
+    are several), then by its link to the event before, then by its own hash, made again from what the event holds. Events
+    meet the one before by a join on run and index, so that a long run is dealt over all tasks.
     """
-    w = W.partitionBy("run_id").orderBy("event_index")
-    c = chain.withColumn("_n", F.row_number().over(w)).withColumn("_p", F.lag("event_hash", 1, GENESIS).over(w))
-    code = first_reason((F.col("event_index") != F.col("_n"), "MISSING_OR_NONSEQUENTIAL_EVENT"), (~F.col("previous_event_hash").eqNullSafe(F.col("_p")), "PREVIOUS_HASH_MISMATCH"), (F.col("event_hash") != _hash(F.col("event_index"), F.col("payload"), F.col("previous_event_hash")), "EVENT_HASH_MISMATCH"))
-    g = c.withColumn("_c", code).groupBy("run_id").agg(F.count("*").alias("events"), F.min(F.when(F.col("_c").isNotNull(), F.struct("event_index", "_c"))).alias("bad"))
-    j = runs.select("run_id").distinct().join(g, "run_id", "left")
+    own = F.coalesce(F.col("event_hash") != made_hash(chain), F.lit(True))
+    link = F.coalesce("previous_event_hash", F.lit(GENESIS))
+    at = chain.select("run_id", "event_index", "event_hash", link.alias("link"), own.alias("other"))
+    at = at.groupBy("run_id", "event_index").agg(F.count("*").alias("copies"), F.min("event_hash").alias("hash"), F.min("link").alias("link"), F.bool_or("other").alias("other"))
+    before = at.select(F.col("run_id").alias("of"), (F.col("event_index") + 1).alias("next"), F.col("hash").alias("named"))
+    c = at.join(before, at.run_id.eqNullSafe(before.of) & (F.col("event_index") == F.col("next")), "left")
+    lost = (F.col("copies") > 1) | F.col("event_index").isNull() | (F.col("event_index") < 1) | ((F.col("event_index") > 1) & F.col("next").isNull())
+    code = first_reason((lost, "MISSING_OR_NONSEQUENTIAL_EVENT"), (F.col("link") != F.coalesce("named", F.lit(GENESIS)), "PREVIOUS_HASH_MISMATCH"), (F.col("other"), "EVENT_HASH_MISMATCH"))
+    g = c.withColumn("_c", code).groupBy("run_id").agg(F.sum("copies").alias("events"), F.min(F.when(F.col("_c").isNotNull(), F.struct("event_index", "_c"))).alias("bad"))
+    listed = runs.select(F.col("run_id").alias("of")).distinct()
+    j = listed.join(g, listed.of.eqNullSafe(g.run_id), "left").drop("run_id").withColumnRenamed("of", "run_id")
     return j.select("run_id", (F.col("events").isNotNull() & F.col("bad").isNull()).alias("valid"), F.coalesce("events", F.lit(0)).alias("events"), F.col("bad.event_index").alias("first_bad"), F.when(F.col("events").isNull(), "EMPTY_AUDIT_LOG").otherwise(F.col("bad._c")).alias("reason"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import audit as au, policy as po
 from ..plans import adapters as ad
+from ..plans.storage import shared_folder
 from ._registry import query
 from .policies import _COV, _spread, ROUTE, routed
 
@@ -16,7 +17,6 @@ _CHAIN = {
     "linked": "SELECT *, coalesce(lag(event_hash) OVER (PARTITION BY run_id ORDER BY event_index), '') AS previous_event_hash FROM chained",
     # every seventh conversation's third event altered, every eleventh one's second lost
     "damaged": "SELECT run_id, event_index, CASE WHEN run_id % 7 = 0 AND event_index = 3 THEN 'x' ELSE payload END AS payload, previous_event_hash, event_hash FROM linked WHERE NOT (run_id % 11 = 0 AND event_index = 2)",
-    "lengths": "SELECT run_id, count(*) AS n FROM damaged GROUP BY run_id",
 }
 
 
@@ -29,25 +29,70 @@ def _damaged(spark, d) -> DataFrame:
     return c.withColumn("payload", F.when((F.col("run_id") % 7 == 0) & (F.col("event_index") == 3), "x").otherwise(F.col("payload")))
 
 
-_FIELD = {"schema_version": "'1.0'", "event_type": "'TURN'", "event_id": "run_id || ':' || lpad(event_index::VARCHAR, 6, '0')", "run_id": "run_id::VARCHAR", "decision_reason": "payload"}
-_TOLD = [f for f in au.EVENT_FIELDS if f not in ("event_index", "previous_event_hash", "event_hash")]
+#: SQL of the fields that the events below have, and of their JSON; all others are null.
+_FIELD = {"schema_version": "'1.0'", "event_type": "'TURN'", "event_id": "run_id || ':' || lpad(event_index::VARCHAR, 6, '0')", "run_id": "run_id", "event_index": "event_index", "decision_reason": "payload"}
+_QUOTED = "array_to_string(list_transform(string_split(to_json({})::VARCHAR, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE printf('\\u%04x', unicode(c)) END), '')"
+
+
+def _event_json(fields: dict[str, str], hole: str, numbers: tuple[str, ...] = ("run_id", "event_index")) -> str:
+    value = lambda f: f"coalesce({fields[f] if f in numbers else _QUOTED.format(fields[f])}::VARCHAR, 'null')" if f in fields else "'null'"
+    return "'{' || " + " || ',' || ".join(f"'\"{f}\":' || {hole if f == 'previous_event_hash' else value(f)}" for f in sorted(au.EVENT_FIELDS) if f != "event_hash") + " || '}'"
+
+
 _EVENTS = {
-    "told_t": "SELECT run_id, event_index, payload AS text, " + " || '|' || ".join(_FIELD.get(f, "''") for f in _TOLD) + " AS payload FROM audit_log",
-    "hashed_t": "SELECT *, list_reduce(list_prepend('', list(event_index || '|' || payload) OVER w), lambda a, x: sha256(a || '|' || x)) AS event_hash FROM told_t WINDOW w AS (PARTITION BY run_id ORDER BY event_index ROWS UNBOUNDED PRECEDING)",
+    "told_t": f"SELECT *, {_event_json(_FIELD, 'chr(1)')} AS told FROM audit_log",
+    "hashed_t": "SELECT *, list_reduce(list_prepend('', list(told) OVER w), lambda a, x: sha256(replace(x, chr(1), CASE WHEN a = '' THEN 'null' ELSE '\"' || a || '\"' END))) AS event_hash FROM told_t WINDOW w AS (PARTITION BY run_id ORDER BY event_index ROWS UNBOUNDED PRECEDING)",
+    "events_t": "SELECT " + ", ".join(f"{_FIELD.get(f, 'NULL::VARCHAR')} AS {f}" for f in au.EVENT_FIELDS if f not in ("previous_event_hash", "event_hash")) + ", lag(event_hash) OVER (PARTITION BY run_id ORDER BY event_index) AS previous_event_hash, event_hash FROM hashed_t",
+    # fields changed, a link changed, an event lost, in some runs
+    "spoilt_t": "SELECT * REPLACE (CASE WHEN run_id % 7 = 0 AND event_index = 3 THEN 'x|' ELSE decision_reason END AS decision_reason, CASE WHEN run_id % 5 = 1 AND event_index = 2 THEN NULL ELSE event_type END AS event_type, CASE WHEN run_id % 13 = 2 AND event_index = 2 THEN 'y' ELSE previous_event_hash END AS previous_event_hash) FROM events_t WHERE NOT (run_id % 11 = 0 AND event_index = 2)",
+    "made_t": "SELECT *, sha256(" + _event_json({f: f for f in _FIELD}, "coalesce('\"' || previous_event_hash || '\"', 'null')") + ") AS made FROM spoilt_t",
 }
+#: The same events with texts for their runs.
+_EVENT_COLUMNS = ", ".join(au.EVENT_FIELDS)
+_TEXT_EVENTS = _EVENTS | {
+    "told_t": f"SELECT run_id::VARCHAR AS run_id, event_index, payload, {_event_json(_FIELD, 'chr(1)', ('event_index',))} AS told FROM audit_log",
+}
+#: What the chain's table `{}` says of each run, its events' own hashes being `made`.
+_VERIFY = """SELECT run_id, count(code) = 0 AS valid, count(*) AS events, min(event_index) FILTER (code IS NOT NULL) AS first_bad, arg_min(code, event_index) FILTER (code IS NOT NULL) AS reason
+FROM (SELECT *, CASE WHEN event_index <> n THEN 'MISSING_OR_NONSEQUENTIAL_EVENT' WHEN coalesce(previous_event_hash, '') <> coalesce(p, '') THEN 'PREVIOUS_HASH_MISMATCH' WHEN event_hash <> made THEN 'EVENT_HASH_MISMATCH' END AS code
+  FROM (SELECT *, row_number() OVER w AS n, lag(event_hash) OVER w AS p FROM {} WINDOW w AS (PARTITION BY run_id ORDER BY event_index))) GROUP BY run_id"""
 
 
-@query("SELECT " + ", ".join(f"{_FIELD.get(f, repr('')).replace('payload', 'text') if f not in ('event_index', 'run_id', 'previous_event_hash', 'event_hash') else f} AS {f}" for f in au.EVENT_FIELDS if f != "previous_event_hash") + ", coalesce(lag(event_hash) OVER (PARTITION BY run_id ORDER BY event_index), '') AS previous_event_hash FROM hashed_t", views=_EVENTS)
-def audit_events(spark, d):
+def _events(spark, d) -> DataFrame:
     return au.audit_events(ad.audit_log(spark, d).select("run_id", "event_index", F.lit("TURN").alias("event_type"), F.col("payload").alias("decision_reason")))
 
 
+@query("SELECT * FROM events_t", views=_EVENTS)
+def audit_events(spark, d):
+    return _events(spark, d)
+
+
+@query(_VERIFY.format("made_t"), views=_EVENTS)
+def verify_events(spark, d):
+    """Full events, some of them spoilt, verified from their own fields."""
+    e = _events(spark, d).where("NOT (run_id % 11 = 0 AND event_index = 2)")
+    put = lambda f, k, r, n, v: F.when((F.col("run_id") % k == r) & (F.col("event_index") == n), F.lit(v)).otherwise(F.col(f))
+    e = e.withColumns({"decision_reason": put("decision_reason", 7, 0, 3, "x|"), "event_type": put("event_type", 5, 1, 2, None), "previous_event_hash": put("previous_event_hash", 13, 2, 2, "y")})
+    return au.verify_chain(e, ad.audit_log(spark, d).select("run_id"))
+
+
+@query("SELECT run_id::VARCHAR AS run_id, run_id % 3 <> 0 OR m < 2 AS valid, n AS events, CASE WHEN run_id % 3 = 0 AND m >= 2 THEN 2 END::BIGINT AS first_bad, CASE WHEN run_id % 3 = 0 AND m >= 2 THEN 'EVENT_HASH_MISMATCH' END AS reason FROM (SELECT run_id, count(*) AS n, max(event_index) AS m FROM audit_log GROUP BY run_id)")
+def verify_log(spark, d):
+    """Events written as lines of canonical JSON, a third of the runs with a changed line, read and verified from the lines."""
+    path = shared_folder(spark, "audit-lines")
+    lines = au.event_lines(_events(spark, d))
+    changed = F.regexp_replace("value", '"decision_reason":"', '"decision_reason":"not ')
+    hit = (F.get_json_object("value", "$.run_id").cast("long") % 3 == 0) & (F.get_json_object("value", "$.event_index") == "2")
+    lines.select(F.when(hit, changed).otherwise(F.col("value")).alias("value")).write.text(path)
+    return au.verify_chain(au.parse_lines(spark.read.text(path)), ad.audit_log(spark, d).select(F.col("run_id").cast("string").alias("run_id")))
+
+
 @query("SELECT run_id, event_index, payload, previous_event_hash, event_hash FROM linked", views=_CHAIN)
 def build_chain(spark, d):
     return _chain(spark, d)
 
 
-@query("SELECT run_id, first_bad IS NULL AS valid, n AS events, first_bad, CASE WHEN first_bad IS NOT NULL THEN CASE WHEN run_id % 11 = 0 THEN 'MISSING_OR_NONSEQUENTIAL_EVENT' ELSE 'EVENT_HASH_MISMATCH' END END AS reason FROM (SELECT run_id, n, CASE WHEN run_id % 11 = 0 AND m > 2 THEN 3 WHEN run_id % 7 = 0 AND run_id % 11 <> 0 AND m >= 3 THEN 3 END::BIGINT AS first_bad FROM (SELECT run_id, n, m FROM lengths JOIN (SELECT run_id, max(event_index) AS m FROM damaged GROUP BY run_id) USING (run_id))) UNION ALL SELECT -1, false, 0, NULL, 'EMPTY_AUDIT_LOG'", views=_CHAIN)
+@query("(" + _VERIFY.format("(SELECT *, sha256(previous_event_hash || '|' || event_index || '|' || payload) AS made FROM damaged)") + ") UNION ALL SELECT -1, false, 0, NULL, 'EMPTY_AUDIT_LOG'", views=_CHAIN)
 def verify_chain(spark, d):
     runs = ad.audit_log(spark, d).select("run_id")
     return au.verify_chain(_damaged(spark, d), runs.union(runs.limit(1).select(F.lit(-1).cast("long"))))

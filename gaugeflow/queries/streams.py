@@ -8,7 +8,7 @@ from ..plans import adapters as ad
 from ..plans.storage import shared_folder
 from ..streaming import online as on
 from ._registry import query
-from .audits import _CHAIN
+from .audits import _CHAIN, _EVENT_COLUMNS, _TEXT_EVENTS
 from .trending import _EXP
 
 
@@ -49,3 +49,11 @@ def append_audit(spark, d):
     s = on.read_stream(spark, c, d, "conversations.parquet")
     e = s.select(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("event_index"), F.concat_ws(":", "role", "text").alias("payload"))
     return on.run_available(on.append_audit(e), "append-audit")
+
+
+@query(f"SELECT {_EVENT_COLUMNS} FROM events_t", views=_TEXT_EVENTS)
+def append_events(spark, d):
+    """Full events from a stream; their runs are texts."""
+    s = on.read_stream(spark, ad.table(spark, d, "conversations"), d, "conversations.parquet")
+    e = s.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("event_index"), F.lit("TURN").alias("event_type"), F.concat_ws(":", "role", "text").alias("decision_reason"))
+    return on.run_available(on.append_events(e), "append-events")

@@ -7,13 +7,15 @@ come out. Run twice over the same input with the same checkpoint, they give noth
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.audit import EVENT_FIELDS
 from ..operators.trends import LEAST
 from ..plans.smoothers import basis, derivative_map, knots, solver
 from ..plans.storage import shared_folder
@@ -115,3 +117,30 @@ def append_audit(events: DataFrame, run_id: str = "run_id") -> DataFrame:
 
     kind = events.schema[run_id].dataType.simpleString()
     return events.groupBy(run_id).applyInPandasWithState(run, f"{run_id} {kind}, event_index long, payload string, previous_event_hash string, event_hash string", "event_index long, last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def append_events(rows: DataFrame, schema_version: str = "1.0") -> DataFrame:
+    """Full audit events of a stream: each batch's rows go on from the run's last index and hash, in the order of event_index.
+
+    The twin of `audit_events` for fields that are texts: those that the rows have are taken as texts, others are null. The
+    state of a run is one number and one hash, so it stays small however long the run is. What comes out is verified by
+    `verify_chain` as it stands.
+    """
+    told = [f for f in EVENT_FIELDS if f in rows.columns and f not in ("run_id", "event_id", "event_index", "schema_version", "previous_event_hash", "event_hash")]
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        index, last = state.get if state.exists else (0, None)
+        out = []
+        for row in pd.concat(list(batches)).sort_values(["event_index", *told])[told].itertuples(index=False):
+            index += 1
+            event: dict = dict.fromkeys(EVENT_FIELDS) | {f: None if pd.isna(v) else v for f, v in zip(told, row, strict=True)}
+            event |= {"schema_version": schema_version, "run_id": k[0], "event_index": index, "event_id": f"{k[0]}:{index:06d}", "previous_event_hash": last}
+            del event["event_hash"]
+            last = hashlib.sha256(json.dumps(event, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+            out.append([last if f == "event_hash" else event[f] for f in EVENT_FIELDS])
+        state.update((index, last))
+        yield pd.DataFrame(out, columns=list(EVENT_FIELDS))
+
+    e = rows.select(F.col("run_id").cast("string").alias("run_id"), F.col("event_index").cast("long").alias("event_index"), *[F.col(f).cast("string").alias(f) for f in told])
+    kinds = ", ".join(f"{f} {'long' if f == 'event_index' else 'string'}" for f in EVENT_FIELDS)
+    return e.groupBy("run_id").applyInPandasWithState(run, kinds, "event_index long, last string", "append", GroupStateTimeout.NoTimeout)
