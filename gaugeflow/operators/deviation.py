@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import content_hash, fixed
+from ..plans.storage import stored
+from .ranks import cumulative
 
 
 def fit_covariance(df: DataFrame, view: Sequence[str], x: str = "x") -> DataFrame:
     """(view, i, j, mean_i, mean_j, scale_i, scale_j, cov): Ledoit-Wolf covariance of the standardised training rows.
 
-    Everything is sums over rows: products z_i z_j give the sample covariance S, sums of squared norms the fourth moment.
+    Everything is sums over rows: each batch gives one product Z'Z, which add up to the sample covariance S, and its sum of
+    fourth powers of norms.
     With m = tr(S) / p, d2 = |S - m I|^2, b2 = min((mean |z|^4 - |S|^2) / n, d2), the result is b2/d2 m I + (1 - b2/d2) S.
     """
     train = df.where(F.col("split_role") == "train")
@@ -22,10 +25,21 @@ def fit_covariance(df: DataFrame, view: Sequence[str], x: str = "x") -> DataFram
     stats = cells.groupBy(*view, "i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     stats = stats.groupBy(*view).agg(F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("t"))
     z = train.join(stats, list(view)).select(*view, F.zip_with(x, "t", lambda v, t: (v - t["m"]) / t["s"]).alias("z"))
-    sq = F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)
-    norms = z.groupBy(*view).agg(F.count("*").alias("n"), F.avg(sq * sq).alias("fourth"), F.first(F.size("z")).alias("p"))
-    prods = z.select(*view, F.posexplode("z").alias("i", "a"), "z").select(*view, "i", "a", F.posexplode("z").alias("j", "b"))
-    s = prods.groupBy(*view, "i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("s"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, part in b.groupby(list(view), dropna=False, sort=False):
+                m = np.stack(part["z"].to_numpy())
+                squares = (m * m).sum(1)
+                out.append([*key, len(m), m.shape[1], float(squares @ squares), (m.T @ m).ravel()])
+            yield pd.DataFrame(out, columns=[*view, "n", "p", "fourth", "products"])
+
+    kinds = ", ".join(f"{v} {df.schema[v].dataType.simpleString()}" for v in view)
+    sums = stored(z.mapInPandas(run, f"{kinds}, n long, p int, fourth double, products array<double>"), "products")
+    norms = sums.groupBy(*view).agg(F.sum("n").alias("n"), (F.sum("fourth") / F.sum("n")).alias("fourth"), F.first("p").alias("p"))
+    cell = sums.select(*view, "n", "p", F.posexplode("products").alias("at", "s"))
+    s = cell.groupBy(*view, F.floor(F.col("at") / F.col("p")).cast("int").alias("i"), (F.col("at") % F.col("p")).alias("j")).agg((F.sum("s") / F.sum("n")).alias("s"))
     shape = s.groupBy(*view).agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(0.0)).alias("trace"), F.sum(F.col("s") * F.col("s")).alias("square"))
     k = shape.join(norms, list(view))
     m = F.col("trace") / F.col("p")
@@ -65,11 +79,10 @@ def mahalanobis(df: DataFrame, scorer: DataFrame, view: Sequence[str], x: str =
 def deviation_score(df: DataFrame, view: Sequence[str], distance: str = "d2") -> DataFrame:
     """Rows with deviation = (1 + number of training rows at most as far) / (training rows + 1) in their view.
 
-    A RANGE frame counts ties in. It runs over the different distances of a view, with counts, and joins back.
+    Training rows are counted by distance, so ties count in, and ranked by ranges of it, however large a view is.
     """
     n = df.groupBy(*view, distance).agg(F.count_if(F.col("split_role") == "train").alias("n"))
-    w = W.partitionBy(*view)
-    ranked = n.select(*view, distance, F.sum("n").over(w.orderBy(distance).rangeBetween(W.unboundedPreceding, 0)).alias("_le"), F.sum("n").over(w).alias("_n"))
+    ranked = cumulative(n, view, distance).select(*view, distance, F.col("upto").alias("_le"), F.col("total").alias("_n"))
     j = df.join(ranked, [*view, distance])
     return j.withColumn("deviation", (1 + F.col("_le")) / (F.col("_n") + 1)).drop("_le", "_n")
 

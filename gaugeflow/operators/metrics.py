@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import ratio
+from .ranks import cumulative
 
 
 def join_labels(predictions: DataFrame, labels: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -110,12 +111,10 @@ def prediction_spread(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
 def component_ecdf(long: DataFrame, component: str = "component", value: str = "value") -> DataFrame:
     """(component, value, cumulative): the step function at each different value.
 
-    Counts by value come first, so a component is ranked over its different values, not its rows.
+    Counts by value come first, and are summed up by ranges of the value, so that no task has a whole component.
     """
     n = long.groupBy(component, value).agg(F.count("*").alias("n"))
-    w = W.partitionBy(component)
-    run = F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    return n.select(component, value, (run / F.sum("n").over(w)).alias("cumulative"))
+    return cumulative(n, [component], value).select(component, value, (F.col("upto") / F.col("total")).alias("cumulative"))
 
 
 def saturation(long: DataFrame, component: str = "component", value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import argmax_name, content_hash, fixed, normalized_entropy, or_null
+from .ranks import medians
 
 TRAIN = "train"
 
@@ -19,8 +20,11 @@ def _train(df: DataFrame, role: str) -> DataFrame:
 
 def impute_train(df: DataFrame, columns: Sequence[str], how: str = "mean", role: str = TRAIN) -> DataFrame:
     """Every value that isn't finite is replaced by the training rows' mean or exact median of the finite ones, or 0."""
-    fit = {"mean": F.avg, "median": F.median}[how]
-    stats = _train(df, role).agg(*[F.coalesce(fit(or_null(c)), F.lit(0.0)).alias(f"_{c}") for c in columns])
+    if how == "median":
+        found = medians(_train(df, role), {c: or_null(c) for c in columns})
+        stats = found.agg(*[F.coalesce(F.max(F.when(F.col("name") == c, F.col("median"))), F.lit(0.0)).alias(f"_{c}") for c in columns])
+    else:
+        stats = _train(df, role).agg(*[F.coalesce(F.avg(or_null(c)), F.lit(0.0)).alias(f"_{c}") for c in columns])
     out = df.crossJoin(F.broadcast(stats))  # one row
     return out.withColumns({c: F.coalesce(or_null(c), F.col(f"_{c}")) for c in columns}).drop(*[f"_{c}" for c in columns])
 
@@ -80,8 +84,8 @@ def prediction_hash(df: DataFrame, keys: Sequence[str], p: str = "p") -> DataFra
 def linear_scores(rows: DataFrame, coefficients: DataFrame, row_key: Sequence[str]) -> DataFrame:
     """(row_key, class, logit, probability) for long rows (row_key, feature, x) and (class, feature, coef), `intercept` being a feature."""
     base = coefficients.where("feature = 'intercept'").select("class", F.col("coef").alias("intercept"))
-    s = rows.join(F.broadcast(coefficients.where("feature <> 'intercept'")), "feature").groupBy(*row_key, "class").agg(F.sum(F.col("x") * F.col("coef")).alias("s"))
-    s = s.join(F.broadcast(base), "class", "left").select(*row_key, "class", (F.col("s") + F.coalesce("intercept", F.lit(0.0))).alias("logit"))
+    s = rows.join(coefficients.where("feature <> 'intercept'"), "feature").groupBy(*row_key, "class").agg(F.sum(F.col("x") * F.col("coef")).alias("s"))
+    s = s.join(base, "class", "left").select(*row_key, "class", (F.col("s") + F.coalesce("intercept", F.lit(0.0))).alias("logit"))
     w = W.partitionBy(*row_key)
     e = F.exp(F.col("logit") - F.max("logit").over(w))
     return s.withColumn("_e", e).withColumn("probability", F.col("_e") / F.sum("_e").over(w)).drop("_e")
@@ -90,9 +94,9 @@ def linear_scores(rows: DataFrame, coefficients: DataFrame, row_key: Sequence[st
 def local_contributions(rows: DataFrame, coefficients: DataFrame, row_key: Sequence[str], scored: DataFrame) -> DataFrame:
     """(row_key, class, feature, contribution, residual) of each row's most probable class; residual is the sum's error."""
     best = scored.groupBy(*row_key).agg(F.max_by("class", F.struct(F.round("logit", 9), "class")).alias("class"), F.max("logit").alias("logit"))
-    c = rows.join(best, list(row_key)).join(F.broadcast(coefficients), ["class", "feature"])
+    c = rows.join(best, list(row_key)).join(coefficients, ["class", "feature"])
     base = coefficients.where("feature = 'intercept'").select("class", F.col("coef").alias("intercept"))
-    c = c.join(F.broadcast(base), "class", "left").withColumn("contribution", F.col("x") * F.col("coef"))
+    c = c.join(base, "class", "left").withColumn("contribution", F.col("x") * F.col("coef"))
     total = F.sum("contribution").over(W.partitionBy(*row_key)) + F.coalesce("intercept", F.lit(0.0))
     return c.select(*row_key, "class", "feature", "contribution", (total - F.col("logit")).alias("residual"))
 
@@ -129,12 +133,19 @@ def feature_frequency(top: DataFrame, group: str = "view_id") -> DataFrame:
     return top.groupBy("feature").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("feature", (F.col("n") / F.col("groups")).alias("frequency"))  # one row
 
 
-def pairwise_jaccard(top: DataFrame, group: str = "view_id") -> DataFrame:
-    """(a, b, jaccard) of the feature sets of all ordered pairs of groups, each with itself too."""
-    sets = top.groupBy(group).agg(F.collect_set("feature").alias("s"))
-    a, b = sets.select(F.col(group).alias("a"), F.col("s").alias("sa")), sets.select(F.col(group).alias("b"), F.col("s").alias("sb"))
-    j = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return a.crossJoin(b).select("a", "b", j.alias("jaccard"))  # the groups are views, a small dimension
+def pairwise_jaccard(top: DataFrame, group: str = "view_id", blocks: int = 16) -> DataFrame:
+    """(a, b, jaccard) of the feature sets of all ordered pairs of groups, each with itself too.
+
+    What two groups share is counted by a join on the feature, groups by feature combining first; pairs that share nothing
+    come from the groups' sizes. Every ordered pair is a row of the result; pairs meet by blocks of groups.
+    """
+    member = top.select(group, "feature").distinct()
+    sizes = member.groupBy(group).agg(F.count("*").alias("n"))
+    side = lambda g, n, own, other: sizes.select(F.col(group).alias(g), F.col("n").alias(n), F.pmod(F.xxhash64(group), F.lit(blocks).cast("long")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(other))
+    pairs = side("a", "n_a", "i", "j").join(side("b", "n_b", "j", "i"), ["i", "j"]).drop("i", "j")
+    shared = member.withColumnRenamed(group, "a").join(member.withColumnRenamed(group, "b"), "feature").groupBy("a", "b").agg(F.count("*").alias("both"))
+    both = F.coalesce("both", F.lit(0))
+    return pairs.join(shared, ["a", "b"], "left").select("a", "b", (both / (F.col("n_a") + F.col("n_b") - both)).alias("jaccard"))
 
 
 def replay_compare(first: DataFrame, second: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -222,13 +222,21 @@ def surrogate_samples(spark: SparkSession, base: dict[str, dict[str, float]] = B
     return spark.range(count).crossJoin(F.broadcast(rows)).select(F.col("id").alias("sample_id"), "state", "feature", (F.col("base") + jitter * (1 + F.col("k") / 20)).alias("coef"))  # a table of fixed size
 
 
+#: Sets of coefficients that a task holds, at most.
+MOST_SETS = 20_000
+
+
 def coefficient_sets(samples: DataFrame, states: Sequence[str] = TERMINAL, features: Sequence[str] = tuple(COVARIATES)) -> np.ndarray:
-    """Coefficients by sample, state and feature, the intercept first, of a table (sample_id, state, feature, coef) of fixed size.
+    """Coefficients by sample, state and feature, the intercept first, of a table (sample_id, state, feature, coef).
 
-    A feature that a sample lacks has coefficient 0; a state that a sample lacks has the logit MISSING_LOGIT.
+    A feature that a sample lacks has coefficient 0; a state that a sample lacks has the logit MISSING_LOGIT. The sets are sent
+    to every task, so more than MOST_SETS of them are an error.
     """
     names = ["intercept", *features]
-    rows = samples.where(F.col("state").isin(*states) & F.col("feature").isin(*names)).toPandas()  # sets times states times features
+    found = samples.where(F.col("state").isin(*states) & F.col("feature").isin(*names))
+    if (n := found.agg(F.count_distinct("sample_id").alias("n")).first()["n"]) > MOST_SETS:
+        raise ValueError(f"{n} sets of coefficients, at most {MOST_SETS}")
+    rows = found.toPandas()
     sets = {k: n for n, k in enumerate(sorted(rows["sample_id"].unique()))}
     out = np.zeros((max(1, len(sets)), len(states), len(names)))
     out[:, :, 0] = MISSING_LOGIT
@@ -431,7 +439,7 @@ def frozen_routing(cases: DataFrame, routing: DataFrame) -> DataFrame:
     """
     total = F.sum("probability").over(W.partitionBy("policy", "source"))
     best = routing.withColumn("p", F.col("probability") / total).groupBy("policy", "source").agg(F.max(F.struct("p", -F.col("pos"), "target")).alias("b"))
-    j = cases.join(F.broadcast(best), (cases.policy == best.policy) & (cases.current_state == best.source), "left").drop(best.policy)
+    j = cases.join(best, (cases.policy == best.policy) & (cases.current_state == best.source), "left").drop(best.policy)
     return j.select("case_id", "policy", "current_state", F.col("b.target").alias("selected"), F.col("b.p").alias("probability"), F.when(F.col("b").isNull(), "ROUTE_MISSING").otherwise("ROUTED").alias("status"))
 
 

@@ -279,4 +279,4 @@ def surrogate_samples(spark, d):
     """The surrogate's risk coefficient for escalation, a sample for each customer, times the balance."""
     s = po.surrogate_samples(spark).where("state = 'ESCALATION' AND feature = 'risk_score'")
     c = ad.table(spark, d, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 64).alias("sample_id"))
-    return c.join(F.broadcast(s), "sample_id").select("sample_id", "c_custkey", (F.col("coef") * F.col("c_acctbal") / 10000).alias("effect"))
+    return c.join(s, "sample_id").select("sample_id", "c_custkey", (F.col("coef") * F.col("c_acctbal") / 10000).alias("effect"))
