@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import finite, first_reason
+from ..plans.moments import last_fits
 from ..plans.smoothers import basis, derivative_map, knots, pieces, smoothest, smoothing_grid, solver
+from ..plans.storage import stored
 
 LEAST = 4
 PENALTY = 10.0
@@ -228,6 +230,37 @@ def expanding(windows: DataFrame, key: str = "acquisition_id") -> DataFrame:
     return later.join(ends, [key, "_j"]).select(key, "boundary", "window_order", "y")
 
 
+def prefix_fits(windows: DataFrame, penalty: float = 0.0, key: str = "acquisition_id") -> DataFrame:
+    """(key, boundary, n, trend_value, first_derivative, fit_rmse): the fit of each prefix of 4 windows or more, at its last window.
+
+    The same numbers as `linear_fit` of `expanding`, but a row a prefix: prefix sums of the values' moments are looked up at the
+    ends of the prefix's knot intervals. Prefixes that hold a value that isn't finite have no row.
+    """
+    w = W.partitionBy(key).orderBy("window_order")
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    i = (F.row_number().over(w) - 1).cast("double")
+    s = windows.select(key, "window_order", "y", i.alias("_i"), F.count_if(~finite("y")).over(run).alias("_bad"), F.first("y").over(w).alias("level")).where("_bad = 0")
+    z = F.col("y") - F.col("level")
+    sums = [F.sum(F.pow("_i", F.lit(float(r))) * z).over(run) if r else F.sum(z).over(run) for r in range(4)]
+    s = stored(s.select(key, F.col("window_order").alias("boundary"), "level", (F.col("_i") + 1).cast("int").alias("n"), F.array(*sums, F.sum(z * z).over(run)).alias("sums")), "prefixes")
+    m = F.least("n", F.lit(BASES)) - 3
+    at = lambda p: F.when(F.lit(p) < m, F.ceil(p * (F.col("n") - 1) / m)).otherwise(F.col("n")).cast("int")
+    asked = s.where(F.col("n") >= LEAST).select(key, F.col("n").alias("of"), F.explode(F.array(at(1), at(2))).alias("n"))
+    told = asked.distinct().join(s.select(key, "n", "sums"), [key, "n"]).groupBy(key, "of").agg(F.map_from_entries(F.collect_list(F.struct("n", "sums"))).alias("before"))
+    rows = s.where(F.col("n") >= LEAST).join(told.withColumnRenamed("of", "n"), [key, "n"])
+    rows = rows.select(key, "boundary", "level", "n", F.array(F.element_at("before", at(1)), F.element_at("before", at(2)), "sums").alias("sums"))
+
+    def fit(batches):
+        for b in batches:
+            if len(b):
+                prefix = np.concatenate([np.zeros((len(b), 1, 5)), np.array([[list(x) for x in row] for row in b["sums"]])], 1)
+                value, slope, error = last_fits(b["n"].to_numpy(), prefix, penalty)
+                yield b.assign(trend_value=b["level"] + value, first_derivative=slope, fit_rmse=error)[[key, "boundary", "n", "trend_value", "first_derivative", "fit_rmse"]]
+
+    kind = lambda c: windows.schema[c].dataType.simpleString()
+    return rows.mapInPandas(fit, f"{key} {kind(key)}, boundary {kind('window_order')}, n int, trend_value double, first_derivative double, fit_rmse double")
+
+
 def status_counts(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("fit_status").agg(F.count("*").alias("n"))
 

@@ -158,5 +158,5 @@ _EXP = {
 @query("SELECT acquisition_id AS unit, trend_value, first_derivative, fit_rmse FROM evidence", "trend_value first_derivative fit_rmse", _EXP)
 def expanding_trend(spark, d):
     """What an online model says after each window: the fit of every prefix."""
-    e = tr.expanding(_series(spark, d)).withColumn("unit", F.concat_ws("@", F.col("acquisition_id").cast("string"), F.col("boundary").cast("string")))
-    return tr.descriptors(tr.linear_fit(e, 0.0, ["unit"]), ["unit"]).select("unit", "trend_value", "first_derivative", "fit_rmse")
+    e = tr.prefix_fits(_series(spark, d))
+    return e.select(F.concat_ws("@", F.col("acquisition_id").cast("string"), F.col("boundary").cast("string")).alias("unit"), "trend_value", "first_derivative", "fit_rmse")

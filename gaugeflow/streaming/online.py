@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import EVENT_FIELDS
 from ..operators.trends import LEAST
-from ..plans.smoothers import basis, derivative_map, knots, solver
+from ..plans.moments import BASES, last_fits, starts
 from ..plans.storage import shared_folder
 
 
@@ -59,46 +59,77 @@ def stream_windows(samples: DataFrame, width: int, key: str = "acquisition_id")
     return samples.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, window_order long, n int, mean double", "window_order long, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def _last_fit(y: np.ndarray, penalty: float) -> tuple[float, float, float]:
-    """(value, slope) at the last window and the error of the fit: a basis of six columns and a matrix of six rows at most."""
-    n = len(y)
-    t = knots(n)
-    b = basis(np.arange(n) / (n - 1), t, 3)
-    m, _ = solver(n, penalty)
-    c = m[: b.shape[1], : b.shape[1]] @ (b.T @ y)
-    d1, t1 = derivative_map(t, 3)
-    return float(b[-1] @ c), float((basis(np.ones(1), t1, 2) @ d1 @ c)[0]), float(np.sqrt(np.mean((y - b @ c) ** 2)))
+class Prefixes:
+    """The prefix sums of a series that later fits can ask for: those from the start of the second knot interval on.
+
+    `sums` has the rows after `first`, ..., n values: sums of i^0 z .. i^3 z and z^2, z being the value less the first one.
+    """
+
+    def __init__(self, n: int, first: int, level: float, sums: np.ndarray) -> None:
+        self.n, self.first, self.level, self.sums = n, first, level, list(sums)
+
+    def add(self, y: float) -> None:
+        if self.n == 0:
+            self.level, self.sums = y, [np.zeros(5)]
+        i, z = float(self.n), y - self.level
+        self.sums.append(self.sums[-1] + np.array([z, i * z, i * i * z, i * i * i * z, z * z]))
+        self.n += 1
+
+    def fit(self, penalty: float) -> tuple[float, float, float]:
+        """(value, slope, root mean square error) at the last value, from four prefix sums whatever the length."""
+        n = np.array([self.n])
+        places = starts(n)[0]
+        prefix = np.stack([np.zeros(5), *(self.sums[p - self.first] for p in places[1:])])
+        value, slope, error = last_fits(n, prefix[None], penalty)
+        return self.level + float(value[0]), float(slope[0]), float(error[0])
+
+    def kept(self) -> tuple[int, np.ndarray]:
+        """What later fits need: their second knot interval never starts before this length's."""
+        first = int(starts(np.array([self.n]))[0][1]) if self.n > BASES else 0
+        first = max(first, self.first)
+        return first, np.array(self.sums[first - self.first :])
 
 
-def online_trend(windows: DataFrame, key: str = "acquisition_id", penalty: float = 0.0) -> DataFrame:
+def online_trend(windows: DataFrame, key: str = "acquisition_id", penalty: float = 0.0, idle_ms: int | None = None) -> DataFrame:
     """(key, boundary, status, trend_value, first_derivative, fit_rmse) after every window of (key, window_order, y, boundary).
 
     A window beyond its observation boundary, and one that repeats or goes back, is rejected with its status and leaves the
-    state alone; fits start with the fourth window. The state holds a series' accepted windows.
+    state alone; fits start with the fourth window, and a value that isn't finite ends them. The fit is that of all windows
+    seen, from prefix sums: a window costs the same however long the series is. The state holds the sums of the last two
+    thirds, which later knots can fall on. With `idle_ms` it goes when a series is idle for so many milliseconds; a stream that
+    stops once its input is read then needs spark.sql.streaming.noDataMicroBatches.enabled to be false.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        orders, ys = state.get if state.exists else ([], [])
-        orders, ys, out = list(orders), list(ys), []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, first, last, level, flat = state.get if state.exists else (0, 0, None, 0.0, [])
+        held, out = Prefixes(n, first, level, np.reshape(flat, (-1, 5))), []
         for r in pd.concat(list(batches)).sort_values("arrival").itertuples():
             status, fit = "FIT_OK", (None, None, None)
             if r.window_order > r.boundary:
                 status = "FUTURE_WINDOW_FORBIDDEN"
-            elif orders and r.window_order <= orders[-1]:
+            elif last is not None and r.window_order <= last:
                 status = "UNORDERED_WINDOWS"
             else:
-                orders.append(int(r.window_order))
-                ys.append(float(r.y))
-                if len(ys) < LEAST:
+                last = int(r.window_order)
+                held.add(float(r.y))
+                if held.n < LEAST:
                     status = "INSUFFICIENT_HISTORY"
+                elif not np.isfinite(held.sums[-1]).all():
+                    status = "NON_FINITE_SIGNAL"
                 else:
-                    fit = _last_fit(np.array(ys), penalty)
+                    fit = held.fit(penalty)
             out.append((k[0], int(r.window_order), status, *fit))
-        state.update((orders, ys))
+        first, sums = held.kept()
+        state.update((held.n, first, last, held.level, sums.ravel().tolist()))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, "window_order", "status", "trend_value", "first_derivative", "fit_rmse"])
 
     kind = windows.schema[key].dataType.simpleString()
-    return windows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, window_order long, status string, trend_value double, first_derivative double, fit_rmse double", "orders array<long>, ys array<double>", "append", GroupStateTimeout.NoTimeout)
+    return windows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, window_order long, status string, trend_value double, first_derivative double, fit_rmse double", "n long, first long, last long, level double, sums array<double>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def append_audit(events: DataFrame, run_id: str = "run_id") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from gaugeflow.operators import trends as tr
 from gaugeflow.plans.smoothers import basis, knots, smoother
-from gaugeflow.streaming.online import _last_fit
+from gaugeflow.streaming.online import Prefixes
 
 
 @pytest.mark.parametrize("penalty", [0.0, tr.PENALTY])
@@ -50,4 +50,7 @@ def test_last_fit_is_the_fit_of_the_whole_prefix():
     for n, penalty in ((4, 0.0), (5, 10.0), (70, 0.0), (70, 10.0)):
         y = np.sin(np.arange(n) / 5)
         h, h1, _, _ = smoother(n, penalty)
-        assert np.allclose(_last_fit(y, penalty), (h[-1] @ y, h1[-1] @ y, np.sqrt(np.mean((y - h @ y) ** 2))))
+        held = Prefixes(0, 0, 0.0, np.zeros((0, 5)))
+        for v in y:
+            held.add(float(v))
+        assert np.allclose(held.fit(penalty), (h[-1] @ y, h1[-1] @ y, np.sqrt(np.mean((y - h @ y) ** 2))))
