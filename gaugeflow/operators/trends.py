@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import finite, first_reason
+from ..plans.adaptive import evaluate, smoothing_spline
 from ..plans.moments import last_fits
 from ..plans.smoothers import basis, derivative_map, knots, pieces, smoothest, smoothing_grid, solver
 from ..plans.storage import stored
@@ -129,18 +130,37 @@ def linear_fit(windows: DataFrame, penalty: float = 0.0, key: Sequence[str] = ("
     return j.select(*key, "n", "i", "y", dot(value, F.col("_c")).alias("fitted"), dot(d1, F.col("_c")).alias("d1"), dot(d2, F.col("_c")).alias("d2"), "edf")
 
 
-#: Basis functions of a smoothing spline at most: a knot at every window of shorter series.
-SMOOTHING_BASES = 16
+#: Windows of a series that one task fits with knots of its own; longer ones have SMOOTHING_BASES functions on uniform knots.
+ADAPTIVE_MOST, SMOOTHING_BASES = 1 << 18, 16
 
 
-def smoothing_fit(windows: DataFrame, budget: float = 0.25, key: Sequence[str] = ("acquisition_id",), most: int = SMOOTHING_BASES) -> DataFrame:
-    """(key, n, i, y, fitted, d1, d2, edf) of the smoothest cubic spline whose squared residuals sum to `budget` times n.
+def smoothing_fit(windows: DataFrame, budget: float = 0.25, key: Sequence[str] = ("acquisition_id",), adaptive: int = ADAPTIVE_MOST) -> DataFrame:
+    """(key, n, i, y, fitted, d1, d2, edf) of a cubic smoothing spline whose squared residuals sum to `budget` times n at most.
+
+    Knots are inserted where the residuals are largest until the budget can be kept, and the fit is the smoothest one on them;
+    edf is the number of coefficients. A series of up to `adaptive` windows is a few arrays of its length in one task.
+    """
+    s = stored(_indexed(windows, key), "series")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        t, c = smoothing_spline(rows["y"].to_numpy(float), budget * len(rows))
+        fitted, d1, d2 = evaluate(t, c, np.linspace(0, 1, len(rows)))
+        return rows.assign(fitted=fitted, d1=d1, d2=d2, edf=float(len(c)))
+
+    kinds = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in key)
+    own = s.where(F.col("n") <= adaptive).groupBy(*key).applyInPandas(fit, f"{kinds}, n int, i int, y double, fitted double, d1 double, d2 double, edf double")
+    long = s.where(F.col("n") > adaptive)
+    return own if long.isEmpty() else own.unionByName(uniform_smoothing(long, budget, key))
+
+
+def uniform_smoothing(s: DataFrame, budget: float, key: Sequence[str], most: int = SMOOTHING_BASES) -> DataFrame:
+    """(key, n, i, y, fitted, d1, d2, edf) of the smoothest cubic spline on uniform knots, for rows (key, n, i, y).
 
     min(most, n) basis functions on uniform knots, roughness being the integral of the squared second derivative. A series
     whose least squares fit on these knots leaves more residuals gets that fit. Whatever its length, a series is `most`
     sums and y'y, which combine before their shuffle, and the fit is evaluated row by row.
     """
-    s = _indexed(windows, key)
 
     def products(batches):
         for b in batches:
@@ -151,7 +171,7 @@ def smoothing_fit(windows: DataFrame, budget: float = 0.25, key: Sequence[str] =
                 out[at, :k] = basis(i[at] / (n[at] - 1), knots(k, 3, most), 3) * y[at, None]
             yield b.assign(_b=list(out))
 
-    kinds = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in key)
+    kinds = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in key)
     rows = s.mapInPandas(products, f"{kinds}, n int, i int, y double, _b array<double>")
     sums = rows.groupBy(*key, "n").agg(F.array(*[F.sum(F.col("_b")[k]) for k in range(most)]).alias("_by"), F.sum(F.col("y") * F.col("y")).alias("_yy"))
 

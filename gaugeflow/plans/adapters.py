@@ -45,15 +45,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("label") % 4 + 1).cast("int")).alias("canonical_class"), (F.col("vec_id") % 10).cast("int").alias("group_id"))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
     """(view_id, acquisition_id, window_order, p, predicted_class, confidence, entropy) for every window and view.
 
-    The scorer is the softmax of minus half the squared distances to the class means of the even (view 0) or odd (view 1)
+    `labelled` are the labelled features where they are at hand. The scorer is the softmax of minus half the squared distances to the class means of the even (view 0) or odd (view 1)
     runs, over two standardised features.
     """
     from ..operators import ml
 
-    f = labelled_features(spark, sf_dir).select("acquisition_id", "window_order", "canonical_class", (F.col("run_rank") % 2).alias("parity"), F.array("ch_a_mean", "ch_b_mean").alias("x"))
+    f = (labelled or labelled_features(spark, sf_dir)).select("acquisition_id", "window_order", "canonical_class", (F.col("run_rank") % 2).alias("parity"), F.array("ch_a_mean", "ch_b_mean").alias("x"))
     views = f.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("view_id")).withColumn("split_role", F.when(F.col("parity") == F.col("view_id"), "train").otherwise("held_out"))
     scored = ml.centroid_probabilities(views, ["view_id"], "x", CLASSES)
     return ml.predict_records(scored, CLASSES).select("view_id", "split_role", "acquisition_id", "window_order", "p", "predicted_class", "confidence", "entropy")

@@ -77,9 +77,9 @@ def aggregation_equivalence(spark, d):
     return ag.aggregation_equivalence(a, b, KEYS, 1e-12).select(*KEYS, "equivalent")
 
 
-def _rows(spark, d):
+def _rows(spark, d, labelled=None):
     """Windows of the two views with two features as a vector."""
-    f = ad.labelled_features(spark, d).select("acquisition_id", "window_order", "canonical_class", (F.col("run_rank") % 2).alias("parity"), F.array("ch_a_mean", "ch_b_mean").alias("x"))
+    f = (labelled or ad.labelled_features(spark, d)).select("acquisition_id", "window_order", "canonical_class", (F.col("run_rank") % 2).alias("parity"), F.array("ch_a_mean", "ch_b_mean").alias("x"))
     return f.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("view_id")).withColumn("split_role", F.when(F.col("parity") == F.col("view_id"), "train").otherwise("held_out")).drop("parity")
 
 
@@ -93,8 +93,8 @@ _DEV = {
 }
 
 
-def _scored(spark, d):
-    r = stored(_rows(spark, d), "rows")
+def _scored(spark, d, rows=None):
+    r = rows or stored(_rows(spark, d), "rows")
     scorer = de.invert_precision(de.fit_covariance(r, ["view_id"]), ["view_id"])
     m = de.mahalanobis(r, scorer, ["view_id"]).withColumn("d2", F.round("d2", 9))
     return de.deviation_score(m, ["view_id"])

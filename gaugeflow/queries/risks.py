@@ -48,14 +48,15 @@ FROM risks JOIN wtext USING (view_id, acquisition_id) JOIN refhash USING (view_i
 
 def _evidence(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(acquisitions with their distance, trends, windows with deviation)."""
-    p = stored(ad.predictions(spark, d), "predictions")
-    windows = stored(p.join(_scored(spark, d).select("view_id", "acquisition_id", "window_order", "deviation"), ["view_id", "acquisition_id", "window_order"]), "windows")
-    r = _rows(spark, d)
+    f = stored(ad.labelled_features(spark, d).select("acquisition_id", "window_order", "canonical_class", "run_rank", "ch_a_mean", "ch_b_mean"), "features")
+    p = stored(ad.predictions(spark, d, f), "predictions")
+    r = _rows(spark, d, f)
+    windows = stored(p.join(_scored(spark, d, r).select("view_id", "acquisition_id", "window_order", "deviation"), ["view_id", "acquisition_id", "window_order"]), "windows")
     reference = rf.fit_reference(r, ["view_id"], BASELINE)
     told = reference.select("view_id", content_hash(*[fixed(F.col(c)[k]) for k in (0, 1) for c in ("mean", "scale")]).alias("healthy_reference_hash"))
     dist = rf.reference_distance(r, reference, ["view_id"]).groupBy(*KEYS).agg(F.avg("healthy_distance").alias("healthy_distance")).join(told, "view_id", "left")
     acq = stored(ag.aggregate_evidence(p, KEYS, CLASSES).join(dist, KEYS), "acquisitions")
-    s = ad.features(spark, d).select("acquisition_id", "window_order", F.col("ch_a_mean").alias("y"))
+    s = f.select("acquisition_id", "window_order", F.col("ch_a_mean").alias("y"))
     trends = tr.with_status(s, tr.descriptors(tr.linear_fit(s)))
     model = F.explode(F.array(F.struct(F.lit("bspline").alias("trend_model"), F.lit(0.02).alias("f")), F.struct(F.lit("half").alias("trend_model"), F.lit(0.01).alias("f"))))
     trends = trends.select("acquisition_id", "fit_status", "uncertainty", model.alias("m")).select("acquisition_id", "fit_status", "m.trend_model", (F.col("uncertainty") * F.col("m.f")).alias("uncertainty"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The header line of a signal file.
@@ -76,7 +79,32 @@ def explode_json_payload(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn("_j", F.from_json(column, schema)).select(*[c for c in df.columns if c != column], "_j.*")
 
 
-def checksum_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, size, md5, sha256) of files; a file is hashed in one row, so it must be under 2 GB."""
-    b = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return b.select(F.regexp_extract("path", r"([^/]+/?[^/]+)$", 1).alias("path"), F.col("length").alias("size"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+#: Files up to this size are hashed in a row, larger ones as a stream of chunks of CHUNK bytes.
+WHOLE, CHUNK = 1 << 28, 1 << 23
+
+
+def checksum_manifest(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """(path, size, md5, sha256) of files of any size, each hashed in one task.
+
+    Files over `whole` bytes are read in chunks, never held as a whole, through the file systems that Arrow knows (local and
+    shared folders, HDFS, object stores). Spark's reader doesn't list files without content.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    short = F.regexp_extract("path", r"([^/]+/?[^/]+)$", 1).alias("path")
+    small = files.where(F.col("length") <= whole).select(short, F.col("length").alias("size"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for uri in b["uri"]:
+                store, name = (fs.LocalFileSystem(), uri.removeprefix("file:")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+                md5, sha = hashlib.md5(), hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while chunk := f.read(CHUNK):
+                        md5.update(chunk)
+                        sha.update(chunk)
+                out.append((md5.hexdigest(), sha.hexdigest()))
+            yield b.assign(md5=[x for x, _ in out], sha256=[x for _, x in out])[["path", "size", "md5", "sha256"]]
+
+    large = files.where(F.col("length") > whole).select(short, F.col("length").alias("size"), F.col("path").alias("uri"))
+    return small.unionByName(large.mapInPandas(run, "path string, size long, md5 string, sha256 string"))
