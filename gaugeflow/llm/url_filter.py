@@ -46,23 +46,46 @@ def segment_type(segment: Column) -> Column:
     return F.regexp_replace(s, r"^[0-9a-f]{8,}(\.[a-z]+)?$", r"{h}$1")
 
 
+def _segments_alike(a: Column, b: Column) -> Column:
+    """How many segments two lists have in common at their start."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
+
+
+def _jumped(at: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that have their template, rows with the `child` that their node branches into), after runs without a branch.
+
+    As far as all paths of a node go on alike, or end, there is nothing to decide: the node takes over these segments at
+    once. A node's longest path tells how far that is: up to the first segment in which another path goes another way.
+    """
+    rest = F.slice("shape", F.col("depth") + 1, F.size("shape"))
+    longest = at.groupBy("host", "template").agg(F.max(F.struct(F.size("shape").alias("size"), rest.alias("rest")))["rest"].alias("longest"))
+    at = at.join(longest, ["host", "template"]).withColumn("alike", _segments_alike(rest, F.col("longest")))
+    leaves = F.col("alike") < F.size("shape") - F.col("depth")
+    nearest = at.groupBy("host", "template").agg(F.min(F.when(leaves, F.col("alike"))).alias("run"))
+    at = at.join(nearest, ["host", "template"]).withColumn("run", F.least(F.coalesce("run", F.size("longest")), F.size("shape") - F.col("depth")))
+    run = F.array_join(F.slice("shape", F.col("depth") + 1, F.col("run")), "/")
+    at = at.withColumn("template", F.when(F.col("run") > 0, F.concat("template", F.lit("/"), run)).otherwise(F.col("template")))
+    at = written(at.withColumn("depth", F.col("depth") + F.col("run")).select(*names, "depth"), "runs")
+    ended = F.size("shape") <= F.col("depth")
+    return at.where(ended), at.where(~ended).withColumn("child", F.get("shape", F.col("depth")))
+
+
 def templates(urls: DataFrame, min_children: int = MIN_CHILDREN, z: float = Z) -> DataFrame:
     """(host, shape, n, good, bad, template) for a table (host, shape, n, good, bad), shape being the list of typed segments.
 
-    One pass a level, root first, down to the last segment of the longest path; a pass reads only the paths that reach so
-    deep. A node is wide if it has at least `min_children` different children and they are over a fifth of its pages. Under
-    a wide node every child is generalised; else a child with labels is merged into the wildcard when its share of rejected
-    pages is within `z` standard errors of all its siblings', and one without labels stays. A path without segments has an
-    empty template.
+    One pass for each branch on the way to a path, root first: a path that leaves all others has its template at once,
+    however long it is. A node is wide if it has at least `min_children` (two or more) different children and they are over a
+    fifth of its pages. Under a wide node every child is generalised; else a child with labels is merged into the wildcard
+    when its share of rejected pages is within `z` standard errors of all its siblings', and one without labels stays. A path
+    without segments has an empty template; repeated rows are told apart by the caller; an empty table gives an empty result.
     """
     names = ["host", "shape", "n", "good", "bad", "template"]
-    at = written(urls.select("host", "shape", "n", "good", "bad", F.lit("").alias("template")), "places")
-    done, k = [], 0
-    while True:
-        done.append(at.where(F.size("shape") <= k))
-        at = at.where(F.size("shape") > k).withColumn("child", F.get("shape", F.lit(k)))
-        if at.isEmpty():
-            break
+    at = written(urls.select("host", "shape", "n", "good", "bad", F.lit("").alias("template"), F.lit(0).alias("depth")), "places")
+    done = []
+    while not at.isEmpty():
+        ended, at = _jumped(at, names)
+        done.append(ended.select(names))
         kids = at.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
         tops = kids.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
         kids = kids.join(tops, ["host", "template"])
@@ -70,12 +93,12 @@ def templates(urls: DataFrame, min_children: int = MIN_CHILDREN, z: float = Z) -
         mean, own = F.col("all_bad") / F.when(every > 0, every), F.col("bad") / F.when(labelled > 0, labelled)
         # Within z standard errors: squared, so that no root is taken.
         alike = (own - mean) * (own - mean) * labelled <= z * z * mean * (1 - mean)
-        wide = (F.col("kinds") >= min_children) & (F.col("kinds") * 5 >= F.col("all_n"))
+        wide = (F.col("kinds") >= max(2, min_children)) & (F.col("kinds") * 5 >= F.col("all_n"))
         merged = wide | ((F.col("kinds") > 1) & F.coalesce(alike & (mean > 0) & (mean < 1), F.lit(False)))
         kids = kids.select("host", "template", "child", F.concat("template", F.lit("/"), F.when(merged, F.lit("*")).otherwise(F.col("child"))).alias("next"))
-        at = written(at.join(kids, ["host", "template", "child"]).drop("template").withColumnRenamed("next", "template").select(names), f"level{k}")
-        k += 1
-    return reduce(DataFrame.unionByName, done)
+        at = at.join(kids, ["host", "template", "child"]).drop("template").withColumnRenamed("next", "template")
+        at = written(at.withColumn("depth", F.col("depth") + 1).select(*names, "depth"), "branches")
+    return reduce(DataFrame.unionByName, done) if done else at.select(names)
 
 
 def judge(pages: DataFrame, rules: dict[str, str], min_children: int = MIN_CHILDREN, z: float = Z, prior: float = PRIOR, strength: float = STRENGTH) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import divergence, sharding, spelling
+from gaugeflow.llm import divergence, sharding, spelling, url_filter
 from gaugeflow.llm._common import pieces
 
 LONG = "lorem ipsum dolor sit amet " * 60_000
@@ -167,3 +167,57 @@ def test_shards_have_the_mixture(spark, docs):
     assert sharding.shards(docs.where("false")).count() == 0
     a, b = ({tuple(r) for r in sharding.shards(x).collect()} for x in (df, df.repartition(9)))
     assert a == b and a != {tuple(r) for r in sharding.shards(df, seed=1).collect()}
+
+
+def plain_templates(urls, least: int, z: float) -> dict:
+    """Level by level, one level a step, as the method is told."""
+    at = {(h, s): ("", n, g, b) for h, s, n, g, b in urls}
+    for k in range(max(len(s) for _, s in at)):
+        nodes: dict = {}
+        for (h, s), (t, n, g, b) in at.items():
+            if len(s) > k:
+                kid = nodes.setdefault((h, t), {}).setdefault(s[k], [0, 0, 0])
+                for i, x in enumerate((n, g, b)):
+                    kid[i] += x
+        for (h, s), (t, n, g, b) in list(at.items()):
+            if len(s) > k:
+                kids = nodes[h, t]
+                every = [sum(c[i] for c in kids.values()) for i in range(3)]
+                own, mean = kids[s[k]], every[2] / max(1, every[1] + every[2])
+                alike = own[1] + own[2] > 0 and 0 < mean < 1 and (own[2] / (own[1] + own[2]) - mean) ** 2 * (own[1] + own[2]) <= z * z * mean * (1 - mean)
+                wild = len(kids) >= least and len(kids) * 5 >= every[0] or len(kids) > 1 and alike
+                at[h, s] = (t + "/" + ("*" if wild else s[k]), n, g, b)
+    return {key: v[0] for key, v in at.items()}
+
+
+def test_templates_of_a_compressed_tree(spark):
+    """Runs without a branch are taken at once: the same templates as level by level, for chains, forks and wide nodes."""
+    rng = np.random.default_rng(6)
+    urls = {}
+    for _ in range(400):
+        h = f"h{rng.integers(0, 3)}"
+        path = tuple("abcdefghijklmnop"[x] for x in rng.integers(0, (2, 16)[int(rng.integers(0, 2))], rng.integers(0, 7)))
+        urls[h, path] = (int(rng.integers(1, 4)), int(rng.integers(0, 3)), int(rng.integers(0, 3)))
+    for k in range(30):  # a trap: each page leads one level deeper
+        urls["trap", ("x", "y") * k] = (1, k % 2, 0)
+    rows = [(h, list(s), *v) for (h, s), v in urls.items()]
+    df = spark.createDataFrame(rows, "host string, shape array<string>, n long, good long, bad long").repartition(4)
+    got = {(r["host"], tuple(r["shape"])): r["template"] for r in url_filter.templates(df, 5, 2.0).collect()}
+    assert got == plain_templates([(h, tuple(s), *v) for h, s, *v in rows], 5, 2.0) and any("*" in t for t in got.values())
+
+
+def test_a_path_of_thousands_of_segments_takes_no_pass_of_its_own(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(url_filter, "written", lambda df, name, w=url_filter.written: (passes.append(name), w(df, name))[1])
+    df = spark.createDataFrame([(1, "http://a.com/x/" + "s/" * 2000 + "end"), (2, "http://a.com/x/y/z"), (3, "http://b.com/q")], "page_id long, url string")
+    got = {r["page_id"]: r["template"] for r in url_filter.judge(df, {"com/": "allow"}).collect()}
+    assert got == {1: "/x/" + "s/" * 2000 + "end", 2: "/x/y/z", 3: "/q"} and len(passes) <= 5
+
+
+def test_the_tree_changes_verdicts(spark):
+    """Pages without a rule, under a template whose labelled pages are rejected, are rejected; their siblings are not."""
+    urls = [f"http://site.org/ads/{k}/offer" for k in range(20)] + [f"http://site.org/news/{k}/story" for k in range(20)]
+    rules = {f"site.org/ads/{k}/": "block" for k in range(0, 20, 2)} | {f"site.org/news/{k}/": "allow" for k in range(0, 20, 2)}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
+    assert all(got[k] == (None, "block") for k in range(1, 20, 2)) and all(got[k] == (None, "allow") for k in range(21, 40, 2))
