@@ -68,29 +68,39 @@ def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the rows that no model learns labels from: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """True for the rows that no model learns labels from: crc32 of the id as text (a null one: empty), modulo 5, is 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, shards: int) -> DataFrame:
     """(shard, y, text) of labelled rows outside the held-out fifth, at most about `max_rows` of them and `max_bytes` of text.
 
     Ids are picked from the labels by their hash, so the result doesn't depend on order or partitioning; an id with several
-    labels counts as 1 if any is. The ids are cut into slices by hash, and as many whole slices are taken as hold the bytes,
-    one at least. What is picked is bounded, so its ids are broadcast; of the documents only the picked texts are shuffled.
+    labels counts as 1 if any is. The ids are cut into slices by hash, and as many whole slices are taken as hold the bytes.
+    Where not even the first one fits (a labelled id in very many rows, giant texts), it is cut by the hash of its different
+    texts, and one text, the shortest, is taken where none fits. What is picked is bounded, so its ids are broadcast; of the
+    documents only the picked texts are shuffled.
     """
     marks = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
     most = sample_limit(marks.count(), max_rows)
     picked = marks.where(place < most).withColumn("slice", F.floor(place / (most / SLICES)).cast("int"))
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    held, taken = 0, 0
+    held, taken, first = 0, 0, None
     for r in found.groupBy("slice").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("slice").collect():
         held += r["bytes"] or 0
-        if taken and held > max_bytes:
+        if held > max_bytes:
+            first = r["slice"] if not taken else None
             break
         taken = r["slice"] + 1
     rows = found.where(F.col("slice") < taken)
+    if first is not None:
+        texts = written(found.where(F.col("slice") == first).select("y", "text").distinct(), "slice")
+        size = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"]
+        part = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * max_bytes / max(1, size))
+        rows = texts.where(part & (F.octet_length("text") <= max_bytes))
+        if rows.isEmpty():
+            rows = texts.orderBy(F.octet_length("text"), "text", "y").limit(1)
     return rows.select(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), "y", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 

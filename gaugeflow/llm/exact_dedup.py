@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import written
 
+#: Copies of a row that come out of one.
+COPIES = 1 << 16
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -29,8 +31,8 @@ def exact_classes(docs: DataFrame, digest: Callable[[Column], Column] = content_
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row.
 
     Of equal texts, the row with the most code points in the original text stays, of these the one with the smallest
-    doc_id. A null text equals an empty one; a null doc_id is the smallest; of repeated rows with the id that stays, all are
-    marked kept (drop_copies leaves one); an empty table gives an empty result. Other columns aren't read.
+    doc_id. A null text equals an empty one; a null doc_id is the smallest; of repeated rows with the id that stays, one is
+    marked kept; an empty table gives an empty result. Other columns aren't read.
     """
     rows = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), normalised(F.col("text")).alias("norm"))
     rows = rows.withColumn("hash", digest(F.col("norm")))
@@ -39,18 +41,26 @@ def exact_classes(docs: DataFrame, digest: Callable[[Column], Column] = content_
         best = F.min(F.struct((-F.col("size")).alias("size"), "doc_id"))
         return rows.groupBy("hash", "norm").agg(F.count("*").alias("group_size"), best.alias("best"))
 
+    def units(rows: DataFrame, *key: str) -> DataFrame:
+        """Rows that agree in id, size and text, as one with their number."""
+        return rows.groupBy("doc_id", "size", *key).agg(F.count("*").alias("copies"))
+
     def judged(rows: DataFrame) -> DataFrame:
         kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("size") == -F.col("best.size"))
-        return rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+        # Copies come out again in parts, so that no row holds them all; the first of them may stay.
+        rows = rows.withColumn("kept", kept).withColumn("last", F.col("copies") - 1)
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - F.col("last") % COPIES, F.lit(COPIES).cast("long"))))
+        rows = rows.withColumn("copy", F.explode(F.sequence("part", F.least("last", F.col("part") + COPIES - 1))))
+        return rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("kept") & (F.col("copy") == 0)).alias("kept"), "text_sha256")
 
     classes = written(grouped(rows).select("hash", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best"), "classes")
     # A hash that stands for one text only joins by itself; texts of colliding hashes join by their bytes.
     collided = classes.groupBy("hash").agg(F.count("*").alias("texts")).where("texts > 1").select("hash")
     if collided.isEmpty():
-        return judged(rows.select("doc_id", "size", "hash").join(classes, "hash"))
+        return judged(units(rows, "hash").join(classes, "hash"))
     apart = rows.join(collided, "hash", "left_semi")
-    exact = apart.join(grouped(apart), ["hash", "norm"]).withColumn("text_sha256", F.sha2("norm", 256))
-    single = rows.select("doc_id", "size", "hash").join(classes.join(collided, "hash", "left_anti"), "hash")
+    exact = units(apart, "hash", "norm").join(grouped(apart), ["hash", "norm"]).withColumn("text_sha256", F.sha2("norm", 256))
+    single = units(rows, "hash").join(classes.join(collided, "hash", "left_anti"), "hash")
     return judged(single).unionByName(judged(exact))
 
 

@@ -128,7 +128,7 @@ FROM p JOIN t ON p.host = t.host AND p.shape = t.shape JOIN u ON t.host = u.host
 
 _OP3_SQL = r"""WITH r AS (SELECT doc_id, coalesce(length(text), 0) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, max(size) OVER w AS most, count(*) OVER (PARTITION BY norm) AS group_size FROM r WINDOW w AS (PARTITION BY norm ORDER BY size DESC, doc_id NULLS FIRST))
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND size = most AS kept, sha256(norm) AS text_sha256 FROM k"""
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND size = most AND row_number() OVER (PARTITION BY norm, doc_id, size) = 1 AS kept, sha256(norm) AS text_sha256 FROM k"""
 
 _OP4_SQL = r"""WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM r GROUP BY source),

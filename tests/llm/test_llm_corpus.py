@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import divergence, sharding, spelling, url_filter
-from gaugeflow.llm._common import pieces
+from gaugeflow.llm import divergence, exact_dedup, sharding, spelling, url_filter
+from gaugeflow.llm._common import held_out, labelled_sample, pieces
 
 LONG = "lorem ipsum dolor sit amet " * 60_000
 EXTRA = "term binary, n long, d long, word string, form string, bucket string, copies long, place long, total long, key string, range int, at int"
@@ -221,3 +221,24 @@ def test_the_tree_changes_verdicts(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
     assert all(got[k] == (None, "block") for k in range(1, 20, 2)) and all(got[k] == (None, "allow") for k in range(21, 40, 2))
+
+
+def test_one_of_repeated_rows_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES", 2)
+    rows = [(7, "a b")] * 5 + [(8, "ab")] * 3 + [(None, "x")] * 4 + [(1, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for digest in (exact_dedup.content_hash, lambda c: F.substring(c, 1, 0)):
+        got = exact_dedup.exact_classes(df, digest).collect()
+        assert sorted((str(r["doc_id"]), r["kept"]) for r in got if r["kept"]) == [("1", True), ("7", True), ("None", True)]
+        assert len(got) == len(rows) and all(r["group_size"] == {7: 8, 8: 8, None: 4, 1: 2}[r["doc_id"]] for r in got)
+
+
+def test_a_labelled_id_in_very_many_rows_stays_within_the_bound(spark):
+    text = F.concat(F.lit("word "), (F.col("id") % 400).cast("string"), F.lit(" " + "x" * 1000))
+    docs = spark.range(4000).select(F.lit(3).cast("long").alias("doc_id"), text.alias("text"))
+    labels = spark.createDataFrame([(3, 1)], "doc_id long, y int")
+    part = labelled_sample(docs, labels, "y", 1000, 50_000, 1)
+    size = part.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
+    assert 20_000 < size <= 80_000 and part.count() == part.distinct().count()
+    assert labelled_sample(docs, labels, "y", 1000, 10, 1).count() == 1
+    assert spark.createDataFrame([(None,)], "doc_id long").select(held_out(F.col("doc_id")).alias("h")).first()["h"] is True
