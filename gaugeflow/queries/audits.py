@@ -50,7 +50,7 @@ _EVENTS = {
 #: The same events with texts for their runs.
 _EVENT_COLUMNS = ", ".join(au.EVENT_FIELDS)
 _TEXT_EVENTS = _EVENTS | {
-    "told_t": f"SELECT run_id::VARCHAR AS run_id, event_index, payload, {_event_json(_FIELD, 'chr(1)', ('event_index',))} AS told FROM audit_log",
+    "told_t": f"SELECT *, {_event_json(_FIELD, 'chr(1)', ('event_index',))} AS told FROM (SELECT run_id::VARCHAR AS run_id, event_index, payload FROM audit_log)",
 }
 #: What the chain's table `{}` says of each run, its events' own hashes being `made`.
 _VERIFY = """SELECT run_id, count(code) = 0 AS valid, count(*) AS events, min(event_index) FILTER (code IS NOT NULL) AS first_bad, arg_min(code, event_index) FILTER (code IS NOT NULL) AS reason
