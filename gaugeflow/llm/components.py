@@ -12,6 +12,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps (Kiveris et al. 2014) in turn, each one aggregation and one join, until the edges
     form stars. Hubs are split by the skew join of adaptive execution. Tables of each round go to the shared folder.
+    Repeated edges count once; a node that has no edge but to itself has no row; no edges give an empty result.
     """
     e = written(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "edges")
     for _ in range(rounds):

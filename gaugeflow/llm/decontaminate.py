@@ -79,7 +79,10 @@ def _bitmap(hashes: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def rarity(docs: DataFrame, listed: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(token, n): number of occurrences in `docs` of the shingles that `listed` picks, counted in each batch and added up in Spark."""
+    """(token, n): number of occurrences in `docs` of the shingles that `listed` picks, counted in each batch and added up in Spark.
+
+    Null texts have none; repeated rows count each; a shingle that isn't in `docs` has no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -58,7 +58,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """(doc_id, score) of every row's whole text; null counts as empty. No shuffle; the weights have a fixed size."""
+    """(doc_id, score) of every row's whole text; null counts as empty. No shuffle; the weights have a fixed size.
+
+    Repeated rows are scored each, ids may be null, an empty table gives an empty result; other columns aren't read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

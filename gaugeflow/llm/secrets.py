@@ -54,7 +54,8 @@ def window_entropy(match: Column, limit: Column, window: int = WINDOW) -> Column
     """(first, last): start of the first and end of the last window of `match` that has `limit` bits a character; nulls if none.
 
     The counts of the alphabet's characters lose the character that leaves and gain the one that enters; the sum of
-    count * log2(count), of which the entropy follows, moves with them.
+    count * log2(count), of which the entropy follows, moves with them. An empty candidate, and one shorter than the window,
+    has nulls.
     """
     import math
 

@@ -92,7 +92,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
     """(doc_id, score, worst_start, worst_end, worst_score) of every row's whole text; null counts as empty.
 
-    The worst sentence is given in code points, the first of equals. No shuffle; the weights have a fixed size.
+    The worst sentence is given in code points, the first of equals. No shuffle; the weights have a fixed size. Repeated rows
+    are scored each, ids may be null, an empty table gives an empty result; other columns aren't read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -116,7 +117,10 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 
 
 def locate(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, bits: int = BITS) -> DataFrame:
-    """(doc_id, start, end, sentence, score) of the sentences that score at least `threshold` themselves, in code points."""
+    """(doc_id, start, end, sentence, score) of the sentences that score at least `threshold` themselves, in code points.
+
+    Null and empty texts have no sentences; repeated rows give theirs each; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,13 +121,19 @@ def derivatives(source: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write records (header, block) as WARC files: each record is followed by two line ends, which are Spark's row ends here."""
+    """Write records (header, block) as WARC files: each record is followed by two line ends, which are Spark's row ends here.
+
+    Header and block must not be null; repeated records are written each; an empty table gives a folder without records.
+    """
     text = records.select(F.concat("header", F.lit("\r\n"), "block").alias("value"))
     text.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(header, block) of the records of WARC files whose blocks are UTF-8 text; blocks may hold the record end themselves."""
+    """(header, block) of the records of WARC files whose blocks are UTF-8 text; blocks may hold the record end themselves.
+
+    A block that holds a record end and the mark of a record after it is cut there. Files without records give no rows.
+    """
     raw = spark.read.option("lineSep", f"\r\n\r\n{WARC_VERSION}\r\n").text(path)
     whole = F.regexp_replace(F.regexp_replace("value", rf"^{WARC_VERSION}\r\n", ""), r"\r\n\r\n\z", "")
     cut = F.instr("value", "\r\n\r\n")
