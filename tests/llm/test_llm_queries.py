@@ -135,6 +135,25 @@ def test_similar_documents_finds_every_short_copy(spark):
     assert sum(i != c for i, c in exact.items()) == 20 * 23 and got == exact
 
 
+def test_a_passage_that_no_batch_counts_makes_no_pairs(spark, monkeypatch):
+    """Documents that share 70 of 100 words and aren't similar: without any known counts the crowd has no more than linear pairs."""
+    made, real = [], sm._crowd_pairs
+
+    def crowd(*parts):
+        pairs = real(*parts)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(sm, "_crowd_pairs", crowd)
+    monkeypatch.setattr(sm, "COMMON", 1)
+    for n in (60, 240):
+        text = lambda i: " ".join([f"a{i}x{k}" for k in range(15)] + [f"p{k}" for k in range(70)] + [f"b{i}x{k}" for k in range(15)])
+        docs = [(i, text(i)) for i in range(n)] + [(n + i, text(i) + " more") for i in range(5)]
+        got = {r["doc_id"]: r["component_id"] for r in sm.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == {i: i if i < n else i - n for i in range(n + 5)}
+        assert made.pop() <= n
+
+
 def test_similar_documents_around_a_shared_passage(spark):
     """A passage in every document, a large group of near copies and short chains: the crowded cells lose and add nothing."""
     rng = np.random.default_rng(3)
