@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import argmax_name, content_hash, fixed, normalized_entropy, or_null
+from .boosting import boosted_probabilities, fit_boosted
 from .ranks import medians
 
 TRAIN = "train"
@@ -169,30 +170,26 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return n.crossJoin(F.broadcast(every)).select(label, (F.col("rows") / (F.col("k") * F.col("n"))).alias("weight"))  # one row
 
 
-def fit_predict(df: DataFrame, columns: Sequence[str], classes: Sequence[str], kind: str, keys: Sequence[str], seed: int = 7, trees: int = 20, iterations: int = 50, depth: int = 8) -> DataFrame:
-    """(keys, p, predicted_class, confidence, entropy) of the held-out rows by an MLlib classifier of the training rows.
+def fit_predict(df: DataFrame, columns: Sequence[str], classes: Sequence[str], kind: str, keys: Sequence[str], seed: int = 7, trees: int = 20, iterations: int = 50, depth: int = 8, leaves: int = 31) -> DataFrame:
+    """(keys, p, predicted_class, confidence, entropy) of the held-out rows by a classifier of the training rows.
 
-    kind is `logistic` (multinomial, L2 with C = 1), `forest` or `boosted` (one boosted ensemble a class, sigmoid and
-    normalised). Classes weigh n / (k * n_c). Columns must be finite: impute first.
+    kind is `logistic` (multinomial, L2 with C = 1) or `forest`, both of MLlib and with classes that weigh n / (k * n_c), or
+    `boosted` (histograms, trees grown leaf by leaf, unweighted). Columns must be finite: impute first.
     """
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("canonical_class")).cast("double") - 1
     rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df.withColumn("label", index))
     train = rows.where(F.col("split_role") == TRAIN)
-    train = train.join(F.broadcast(class_weights(train, "label")), "label")
-    test = rows.where(F.col("split_role") != TRAIN).select(*keys, "features")
+    test = rows.where(F.col("split_role") != TRAIN).select(*keys, *columns, "features")
     if kind == "boosted":
-        out = test
-        for k in range(len(classes)):
-            one = train.withColumn("label", (F.col("label") == k).cast("double"))
-            model = GBTClassifier(maxIter=iterations, maxDepth=min(depth, 5), stepSize=0.1, weightCol="weight", seed=seed).fit(one)
-            raw = vector_to_array(F.col("rawPrediction"))[1]
-            out = model.transform(out).withColumn(f"_p{k}", 1 / (1 + F.exp(-2 * raw))).drop("rawPrediction", "probability", "prediction")
-        scores = F.array(*[F.col(f"_p{k}") for k in range(len(classes))])
+        model = fit_boosted(train.withColumn("label", F.col("label").cast("int")), columns, "label", len(classes), iterations, leaves)
+        out = boosted_probabilities(test, model, keys).withColumnRenamed("p", "_s")
+        scores = F.col("_s")
     else:
+        train = train.join(F.broadcast(class_weights(train, "label")), "label")
         make = {"logistic": lambda: LogisticRegression(family="multinomial", maxIter=iterations, regParam=1.0 / max(1, train.count()), standardization=False, weightCol="weight"), "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)}
         out = make[kind]().fit(train).transform(test)
         scores = vector_to_array(F.col("probability"))

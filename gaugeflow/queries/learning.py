@@ -188,7 +188,7 @@ def fit_forest(spark, d):
 
 @query()
 def fit_boosted(spark, d):
-    return _fit(spark, d, "boosted", iterations=3, depth=3)
+    return _fit(spark, d, "boosted", iterations=3)
 
 
 @query()
