@@ -31,11 +31,12 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, table: DataFrame, path: str, glob: str | None = None) -> DataFrame:
-    """A stream of Parquet files with the table's schema."""
-    r = spark.readStream.schema(table.schema)
+    """A stream of Parquet files with the table's schema: those of a folder or, with `glob`, what it names there, files or folders of part files."""
     if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.parquet(path)
+        # A pattern of the path takes both: a filter of file names would leave out the parts of a folder. A pattern it must
+        # be, since a stream's plain path has to be a folder.
+        path = f"{path}/{glob if set(glob) & set('*?[{') else f'{glob[:-1]}[{glob[-1]}]'}"
+    return spark.readStream.schema(table.schema).parquet(path)
 
 
 def stream_windows(samples: DataFrame, width: int, key: str = "acquisition_id") -> DataFrame:
