@@ -79,8 +79,11 @@ def mahalanobis(df: DataFrame, scorer: DataFrame, view: Sequence[str], x: str =
 def deviation_score(df: DataFrame, view: Sequence[str], distance: str = "d2") -> DataFrame:
     """Rows with deviation = (1 + number of training rows at most as far) / (training rows + 1) in their view.
 
-    Training rows are counted by distance, so ties count in, and ranked by ranges of it, however large a view is.
+    Training rows are counted by distance, so ties count in, and ranked by ranges of it, however large a view is. Rows meet
+    their counts by the distance itself, so it is worked out once and stored: made again from sums in another order, it may
+    differ in its last place, and the row would be lost.
     """
+    df = stored(df, "distances")
     n = df.groupBy(*view, distance).agg(F.count_if(F.col("split_role") == "train").alias("n"))
     ranked = cumulative(n, view, distance).select(*view, distance, F.col("upto").alias("_le"), F.col("total").alias("_n"))
     j = df.join(ranked, [*view, distance])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import gaugeflow.queries as library
 import pytest
 from conftest import DATA
+from gaugeflow.operators import deviation as de
 from oracle import TABLES, both
 from pyspark.sql import functions as F
 
@@ -34,3 +37,10 @@ def test_acquisitions_of_few_windows(spark, tmp_path, name):
     made = {"event_id": F.col("user_id") * 100 + F.col("k"), "ts": F.timestamp_seconds(F.col("k")), "value": F.col("k") % 7 + 0.5, "props": F.lit('{"k": 3}'), "event_type": F.lit("view"), "user_id": F.col("user_id")}
     rows.select(*[made[f.name].cast(f.dataType).alias(f.name) for f in e.schema]).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     _against_sql(spark, tmp_path, name)
+
+
+def test_deviation_keeps_rows_whose_distance_changes(spark):
+    draw = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    rows = spark.range(500).select(F.lit(0).alias("view_id"), F.when(F.col("id") % 2 == 0, "train").otherwise("held_out").alias("split_role"), draw().alias("d2"))
+    got = de.score_distribution(de.deviation_score(rows, ["view_id"]), ["view_id"]).first()
+    assert got["n"] == 500
