@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import argmax_name, content_hash, fixed, normalized_entropy, or_null
+from ..plans.dealing import dealt
 from .boosting import boosted_probabilities, fit_boosted
 from .ranks import medians
 
@@ -83,21 +84,30 @@ def prediction_hash(df: DataFrame, keys: Sequence[str], p: str = "p") -> DataFra
 
 
 def linear_scores(rows: DataFrame, coefficients: DataFrame, row_key: Sequence[str]) -> DataFrame:
-    """(row_key, class, logit, probability) for long rows (row_key, feature, x) and (class, feature, coef), `intercept` being a feature."""
-    base = coefficients.where("feature = 'intercept'").select("class", F.col("coef").alias("intercept"))
-    s = rows.join(coefficients.where("feature <> 'intercept'"), "feature").groupBy(*row_key, "class").agg(F.sum(F.col("x") * F.col("coef")).alias("s"))
-    s = s.join(base, "class", "left").select(*row_key, "class", (F.col("s") + F.coalesce("intercept", F.lit(0.0))).alias("logit"))
-    w = W.partitionBy(*row_key)
-    e = F.exp(F.col("logit") - F.max("logit").over(w))
-    return s.withColumn("_e", e).withColumn("probability", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    """(row_key, class, logit, probability) for long rows (row_key, feature, x) and (class, feature, coef), `intercept` being a feature.
+
+    A model is small: its classes become columns, a feature's coefficients meet its rows by a broadcast join, and a row's sums
+    are one group, with a column a class. A class none of whose features a row has is no row of the result.
+    """
+    classes = [r["class"] for r in coefficients.where("feature <> 'intercept'").select("class").distinct().orderBy("class").collect()]
+    base = {r["class"]: r["coef"] for r in coefficients.where("feature = 'intercept'").collect()}
+    wide = coefficients.where("feature <> 'intercept'").groupBy("feature").agg(*[F.sum(F.when(F.col("class").eqNullSafe(F.lit(c)), F.col("coef"))).alias(f"_c{k}") for k, c in enumerate(classes)])
+    sums = [s for k in range(len(classes)) for s in (F.sum(F.col("x") * F.col(f"_c{k}")).alias(f"_s{k}"), F.count(f"_c{k}").alias(f"_n{k}"))]
+    s = dealt(rows, *row_key).join(F.broadcast(wide), "feature").groupBy(*row_key).agg(*sums)
+    told = [F.when(F.col(f"_n{k}") > 0, F.struct(F.lit(c).alias("class"), (F.col(f"_s{k}") + F.lit(base.get(c) or 0.0)).alias("logit"))) for k, c in enumerate(classes)]
+    s = s.select(*row_key, F.array_compact(F.array(*told)).alias("_l"))
+    s = s.withColumn("_m", F.array_max(F.transform("_l", lambda v: v["logit"])))
+    s = s.withColumn("_t", F.aggregate("_l", F.lit(0.0), lambda t, v: t + F.coalesce(F.exp(v["logit"] - F.col("_m")), F.lit(0.0))))
+    out = s.select(*row_key, "_m", "_t", F.explode("_l").alias("_v"))
+    return out.select(*row_key, "_v.class", "_v.logit", (F.exp(F.col("_v.logit") - F.col("_m")) / F.col("_t")).alias("probability"))
 
 
 def local_contributions(rows: DataFrame, coefficients: DataFrame, row_key: Sequence[str], scored: DataFrame) -> DataFrame:
     """(row_key, class, feature, contribution, residual) of each row's most probable class; residual is the sum's error."""
     best = scored.groupBy(*row_key).agg(F.max_by("class", F.struct(F.round("logit", 9), "class")).alias("class"), F.max("logit").alias("logit"))
-    c = rows.join(best, list(row_key)).join(coefficients, ["class", "feature"])
+    c = dealt(rows, *row_key).join(best, list(row_key)).join(F.broadcast(coefficients), ["class", "feature"])  # a model is small
     base = coefficients.where("feature = 'intercept'").select("class", F.col("coef").alias("intercept"))
-    c = c.join(base, "class", "left").withColumn("contribution", F.col("x") * F.col("coef"))
+    c = c.join(F.broadcast(base), "class", "left").withColumn("contribution", F.col("x") * F.col("coef"))
     total = F.sum("contribution").over(W.partitionBy(*row_key)) + F.coalesce("intercept", F.lit(0.0))
     return c.select(*row_key, "class", "feature", "contribution", (total - F.col("logit")).alias("residual"))
 

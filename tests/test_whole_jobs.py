@@ -8,7 +8,8 @@ import duckdb
 import gaugeflow.queries as library
 import pytest
 from conftest import DATA
-from gaugeflow.operators import deviation as de
+from gaugeflow.operators import deviation as de, ml
+from gaugeflow.queries import learning
 from oracle import TABLES, both
 from pyspark.sql import functions as F
 
@@ -44,3 +45,16 @@ def test_deviation_keeps_rows_whose_distance_changes(spark):
     rows = spark.range(500).select(F.lit(0).alias("view_id"), F.when(F.col("id") % 2 == 0, "train").otherwise("held_out").alias("split_role"), draw().alias("d2"))
     got = de.score_distribution(de.deviation_score(rows, ["view_id"]), ["view_id"]).first()
     assert got["n"] == 500
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_deal_no_rows_by_feature(spark):
+    """Two features: a join that deals rows by feature has two tasks, however many rows there are."""
+    x, c = learning._xs(spark, f"{DATA}/sf0.001"), learning._coefs(spark)
+    scored = ml.linear_scores(x, c, ["case_id"])
+    assert "SortMergeJoin [feature" not in _plan(scored)
+    plan = _plan(ml.local_contributions(x, c, ["case_id"], scored))
+    assert "SortMergeJoin [class" not in plan and "SortMergeJoin [feature" not in plan
