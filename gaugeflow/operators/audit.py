@@ -294,14 +294,17 @@ def flatten_transitions(steps: DataFrame, key: str, matrix: DataFrame, posterior
         F.map_from_entries(F.transform("_row", lambda x: F.struct(x["target"], x["probability"] / F.col("_total")))).alias("_p"),
         normalized_entropy(probability).alias("transition_entropy"),
     )
-    j = steps.join(m, F.col("current_state") == F.col("_source"), "left").withColumn("event_hash", step_hash(key))
+    # What is sorted is narrow; the wide columns of a state come last, by a broadcast join.
+    before = F.lag("event_hash", 1, GENESIS).over(W.partitionBy(key).orderBy("step"))
+    told = [key, *carry, "step", "current_state", "proposed_state", "final_state", "dominant_rule"]
+    j = steps.select(*dict.fromkeys(told)).withColumn("event_hash", step_hash(key)).withColumn("previous_event_hash", before)
     if posterior is None:
         j = j.withColumn("posterior_entropy", F.lit(None).cast("double"))
     else:
         j = j.join(posterior.select(key, F.col("source").alias("current_state"), F.col("entropy").alias("posterior_entropy")), [key, "current_state"], "left")
+    j = j.join(F.broadcast(m), F.col("current_state") == F.col("_source"), "left")  # a row a state
     selected = F.coalesce(F.try_element_at("_p", F.col("proposed_state")), F.lit(0.0)).alias("selected_probability")
-    before = F.lag("event_hash", 1, GENESIS).over(W.partitionBy(key).orderBy("step")).alias("previous_event_hash")
-    return j.select(key, *carry, "step", "current_state", "allowed_next_states", "raw_scores", "normalized_probabilities", "proposed_state", selected, "transition_entropy", "posterior_entropy", "final_state", F.coalesce("dominant_rule", F.lit("")).alias("safety_override"), before, "event_hash")
+    return j.select(key, *carry, "step", "current_state", "allowed_next_states", "raw_scores", "normalized_probabilities", "proposed_state", selected, "transition_entropy", "posterior_entropy", "final_state", F.coalesce("dominant_rule", F.lit("")).alias("safety_override"), "previous_event_hash", "event_hash")
 
 
 def edge_graph(steps: DataFrame, ordinals: dict[str, int], by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import clamp, normalized_entropy
+from ..plans.dealing import dealt
 from ..schemas import CLASSES
 
 # States in order, the forward edges of each in the declared order, and the static probabilities.
@@ -389,9 +390,10 @@ def route_cases(cases: DataFrame, key: str = "case_id", matrix: dict[str, dict[s
     """(key, step, current_state, proposed_state, final_state, dominant_rule): every case's way from acquisition to an outcome.
 
     A step proposes, is guarded with the facts known at its state, and moves. A case ends at an outcome; one that `steps`
-    steps don't end gets STEP_LIMIT as its last final state. The steps are a fold within the case's own row: no shuffle.
+    steps don't end gets STEP_LIMIT as its last final state. The steps are a fold within the case's own row;
+    cases are dealt anew before it, since one becomes up to `steps` rows.
     """
-    c = with_facts(cases).withColumn("validation_passed", F.coalesce("validation_passed", F.lit(True))).withColumn("input_available", F.coalesce("input_available", F.lit(True))).withColumn("reason", F.coalesce("reason", F.lit("ROUTED")))
+    c = with_facts(dealt(cases, key)).withColumn("validation_passed", F.coalesce("validation_passed", F.lit(True))).withColumn("input_available", F.coalesce("input_available", F.lit(True))).withColumn("reason", F.coalesce("reason", F.lit("ROUTED")))
     order = {s: k for k, s in enumerate(STATES)}
     ends = ", ".join(f"'{t}'" for t in TERMINAL)
     pick = lambda of: "CASE acc.state " + " ".join(f"WHEN '{s}' THEN {of(row)}" for s, row in matrix.items()) + " END"

@@ -8,8 +8,8 @@ import duckdb
 import gaugeflow.queries as library
 import pytest
 from conftest import DATA
-from gaugeflow.operators import deviation as de, ml
-from gaugeflow.queries import learning
+from gaugeflow.operators import audit as au, deviation as de, ml, policy as po
+from gaugeflow.queries import audits, learning
 from oracle import TABLES, both
 from pyspark.sql import functions as F
 
@@ -58,3 +58,10 @@ def test_scores_deal_no_rows_by_feature(spark):
     assert "SortMergeJoin [feature" not in _plan(scored)
     plan = _plan(ml.local_contributions(x, c, ["case_id"], scored))
     assert "SortMergeJoin [class" not in plan and "SortMergeJoin [feature" not in plan
+
+
+def test_flat_transitions_deal_no_rows_by_state(spark):
+    """Ten states; the wide columns of one come after the sorts."""
+    plan = _plan(au.flatten_transitions(audits._steps(spark, f"{DATA}/sf0.001"), "case_id", po.matrix_table(spark)))
+    assert "SortMergeJoin [current_state" not in plan
+    assert plan.index("BroadcastHashJoin [current_state") < plan.index("Window [")
