@@ -78,11 +78,14 @@ class Prefixes:
 
     def fit(self, penalty: float) -> tuple[float, float, float]:
         """(value, slope, root mean square error) at the last value, from four prefix sums whatever the length."""
-        n = np.array([self.n])
-        places = starts(n)[0]
-        prefix = np.stack([np.zeros(5), *(self.sums[p - self.first] for p in places[1:])])
-        value, slope, error = last_fits(n, prefix[None], penalty)
-        return self.level + float(value[0]), float(slope[0]), float(error[0])
+        return self.fits([self.n], penalty)[0]
+
+    def fits(self, lengths: list[int], penalty: float) -> list[tuple[float, float, float]]:
+        """The same after each of the lengths, rising from the one that the prefix sums were kept for: all in one go."""
+        n = np.array(lengths)
+        prefix = np.array([[np.zeros(5), *(self.sums[p - self.first] for p in places[1:])] for places in starts(n)])
+        value, slope, error = last_fits(n, prefix, penalty)
+        return list(zip((self.level + value).tolist(), slope.tolist(), error.tolist(), strict=True))
 
     def kept(self) -> tuple[int, np.ndarray]:
         """What later fits need: their second knot interval never starts before this length's."""
@@ -106,9 +109,9 @@ def online_trend(windows: DataFrame, key: str = "acquisition_id", penalty: float
             state.remove()
             return
         n, first, last, level, flat = state.get if state.exists else (0, 0, None, 0.0, [])
-        held, out = Prefixes(n, first, level, np.reshape(flat, (-1, 5))), []
+        held, out, fitted = Prefixes(n, first, level, np.reshape(flat, (-1, 5))), [], {}
         for r in pd.concat(list(batches)).sort_values("arrival").itertuples():
-            status, fit = "FIT_OK", (None, None, None)
+            status = "FIT_OK"
             if r.window_order > r.boundary:
                 status = "FUTURE_WINDOW_FORBIDDEN"
             elif last is not None and r.window_order <= last:
@@ -121,8 +124,11 @@ def online_trend(windows: DataFrame, key: str = "acquisition_id", penalty: float
                 elif not np.isfinite(held.sums[-1]).all():
                     status = "NON_FINITE_SIGNAL"
                 else:
-                    fit = held.fit(penalty)
-            out.append((k[0], int(r.window_order), status, *fit))
+                    fitted[len(out)] = held.n
+            out.append((k[0], int(r.window_order), status, None, None, None))
+        if fitted:
+            for at, fit in zip(fitted, held.fits(list(fitted.values()), penalty), strict=True):
+                out[at] = (*out[at][:3], *fit)
         first, sums = held.kept()
         state.update((held.n, first, last, held.level, sums.ravel().tolist()))
         if idle_ms is not None:

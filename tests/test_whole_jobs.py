@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import duckdb
+import numpy as np
 import gaugeflow.queries as library
 import pytest
 from conftest import DATA
 from gaugeflow.operators import audit as au, deviation as de, ml, policy as po
 from gaugeflow.queries import audits, learning
+from gaugeflow.streaming.online import Prefixes
 from oracle import TABLES, both
 from pyspark.sql import functions as F
 
@@ -65,3 +67,13 @@ def test_flat_transitions_deal_no_rows_by_state(spark):
     plan = _plan(au.flatten_transitions(audits._steps(spark, f"{DATA}/sf0.001"), "case_id", po.matrix_table(spark)))
     assert "SortMergeJoin [current_state" not in plan
     assert plan.index("BroadcastHashJoin [current_state") < plan.index("Window [")
+
+
+def test_fits_of_several_lengths_at_once():
+    """A batch of windows is fitted in one go, each length as if it were alone."""
+    rng, held, alone = np.random.default_rng(3), Prefixes(0, 0, 0.0, np.zeros((0, 5))), []
+    for k in range(40):
+        held.add(float(rng.normal()))
+        if k >= 3:
+            alone.append(held.fit(0.0))
+    assert np.allclose(held.fits(list(range(4, 41)), 0.0), alone, rtol=1e-12, atol=1e-12)
