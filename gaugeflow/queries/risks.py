@@ -63,20 +63,20 @@ def _evidence(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return acq, stored(trends, "trends"), windows
 
 
-def _risk(spark, d) -> tuple[DataFrame, DataFrame]:
-    acq, trends, windows = _evidence(spark, d)
+def _risk(spark, d, evidence=None) -> tuple[DataFrame, DataFrame]:
+    acq, trends, windows = evidence or _evidence(spark, d)
     return rk.combined_risk(rk.risk_components(acq, trends, windows, KEYS, BASELINE)), windows
 
 
-def _bundles(spark, d) -> DataFrame:
-    acq, trends, windows = _evidence(spark, d)
+def _bundles(spark, d, evidence=None) -> DataFrame:
+    acq, trends, windows = evidence or _evidence(spark, d)
     risk = rk.combined_risk(rk.risk_components(acq, trends, windows, KEYS, BASELINE))
     acq = acq.withColumn("representation_id", F.lit("time_features")).withColumn("classifier_id", F.lit("centroid"))
     return rk.bundle_hash(rk.build_bundles(windows, acq, trends.where("fit_status = 'FIT_OK'"), risk, KEYS, metadata=["representation_id", "classifier_id", "healthy_reference_hash"]))
 
 
-def _cases(spark, d) -> DataFrame:
-    risk, _ = _risk(spark, d)
+def _cases(spark, d, evidence=None) -> DataFrame:
+    risk, _ = _risk(spark, d, evidence)
     return risk.withColumn("case_id", F.concat_ws("-", *[F.col(k).cast("string") for k in BUNDLE])).withColumn("combined_risk", F.round("combined_risk", 9))
 
 
@@ -155,13 +155,15 @@ _SEL = f"SELECT rule, case_id, r AS combined_risk, CASE WHEN case_id IS NULL THE
 
 @query(_SEL, "combined_risk", _K)
 def select_cases(spark, d):
-    return rk.select_cases(_cases(spark, d), BASELINE)
+    return rk.select_cases(stored(_cases(spark, d), "cases"), BASELINE)
 
 
 @query(f"SELECT DISTINCT case_id, 1::BIGINT AS bundles, true AS ok FROM ({_SEL}) WHERE status = 'SELECTED'", views=_K)
 def resolve_cases(spark, d):
-    b = _bundles(spark, d).withColumn("case_id", F.concat_ws("-", *[F.col(k).cast("string") for k in BUNDLE]))
-    return rk.resolve_cases(rk.select_cases(_cases(spark, d), BASELINE), b)
+    evidence = _evidence(spark, d)
+    b = _bundles(spark, d, evidence).withColumn("case_id", F.concat_ws("-", *[F.col(k).cast("string") for k in BUNDLE]))
+    cases = stored(rk.select_cases(stored(_cases(spark, d, evidence), "cases"), BASELINE), "selected")  # three rows
+    return rk.resolve_cases(cases, b)
 
 
 @query("SELECT 'windows' AS \"table\", (SELECT count(*) FROM wins) AS records UNION ALL SELECT 'risk', (SELECT count(*) FROM risks)", views=_K)

@@ -10,7 +10,7 @@ import gaugeflow.queries as library
 import pytest
 from conftest import DATA
 from gaugeflow.operators import audit as au, deviation as de, ml, policy as po
-from gaugeflow.queries import audits, learning
+from gaugeflow.queries import audits, learning, risks
 from gaugeflow.streaming.online import Prefixes
 from oracle import TABLES, both
 from pyspark.sql import functions as F
@@ -77,3 +77,10 @@ def test_fits_of_several_lengths_at_once():
         if k >= 3:
             alone.append(held.fit(0.0))
     assert np.allclose(held.fits(list(range(4, 41)), 0.0), alone, rtol=1e-12, atol=1e-12)
+
+
+def test_cases_and_bundles_share_their_evidence(spark, monkeypatch):
+    calls, made = [], risks._evidence
+    monkeypatch.setattr(risks, "_evidence", lambda *a: calls.append(a) or made(*a))
+    library.queries()["resolve_cases"](spark, f"{DATA}/sf0.001")
+    assert len(calls) == 1
