@@ -8,9 +8,10 @@ Each choice of three runs is one family of grid cells. Candidates that share a c
 verified on the fingerprints themselves.
 
 Cells of a dense group are never expanded into all pairs. Each member is first linked to a few representatives of its cell.
-Where components still differ, members of a small cell are compared, and those of a crowded one are found by the points
-between: fingerprints within distance `d` are both within half of it of some point, so each fingerprint is dealt to all
-points that near, and all that meet at a point are linked. That is a fixed number of rows a fingerprint.
+Where components still differ, those outside the largest component of a cell are compared with all its members. Only where
+they are more than `MEET` are links found by the points between: fingerprints within distance `d` are both within half of it
+of some point, so each fingerprint is dealt to all points that near, and all that meet at a point are linked. That is a fixed
+but large number of rows a fingerprint (2081 at distance 4), and a member that meets `MEET` others costs less than they do.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from ._common import keep_least, row_name, written
 from .components import components
 
 _SEGMENTS = (1 << 63) - 1
-#: Members of a cell that are compared with each other where their components differ.
-SMALL = 8
+#: So many members outside the largest component of a cell are compared with all its members: half the points of a fingerprint.
+MEET = 1024
 
 
 def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -105,13 +106,15 @@ def classes(nodes: DataFrame, distance: int = 4) -> DataFrame:
     stars = members.join(heads.select("cell", F.array_distinct(F.array("a", "b", "c")).alias("heads")), "cell").select("fp", F.explode("heads").alias("head"))
     links = stars.where((F.col("fp") != F.col("head")) & _near(F.col("fp"), F.col("head"), distance)).selectExpr("fp AS u", "head AS v")
     known = written(components(links), "known")
-    # What is left: members of one cell that are in different components.
-    marked = members.join(known, members.fp == known.node, "left").select("cell", "k", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = marked.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("cell")
-    mixed = written(marked.join(mixed, "cell"), "mixed")
-    few, crowd = mixed.where(F.col("k") <= SMALL), written(mixed.where(F.col("k") > SMALL).select("fp", "root").distinct(), "crowd")
-    side = lambda n: few.select("cell", F.col("fp").alias(f"f{n}"), F.col("root").alias(f"r{n}"))
-    more = side(1).join(side(2), "cell").where((F.col("r1") < F.col("r2")) & _near(F.col("f1"), F.col("f2"), distance)).selectExpr("f1 AS u", "f2 AS v")
+    # What is left: members of one cell that are in different components, so that one of two isn't in the cell's largest.
+    marked = members.join(known, members.fp == known.node, "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+    sizes = marked.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("cell").agg(F.count("*").alias("kinds"), (F.sum("n") - F.max("n")).alias("apart"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    mixed = written(marked.join(mixed.where("kinds > 1").drop("kinds"), "cell"), "mixed")
+    few, crowd = mixed.where(F.col("apart") <= MEET), written(mixed.where(F.col("apart") > MEET).select("fp", "root").distinct(), "crowd")
+    side = lambda rows, n: rows.select("cell", F.col("fp").alias(f"f{n}"), F.col("root").alias(f"r{n}"))
+    other = (F.col("r1") != F.col("r2")) & _near(F.col("f1"), F.col("f2"), distance)
+    more = side(few.where("root <> main"), 1).join(side(few, 2), "cell").where(other).selectExpr("f1 AS u", "f2 AS v")
     merged = components(more.union(_between(crowd, distance)).union(known.select("node", "root")))
     return nodes.join(merged, nodes.fp == merged.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 

@@ -80,6 +80,24 @@ def test_links_of_a_dense_group(spark, monkeypatch):
     assert got == plain_components(list(range(len(fps))), fps, 4)
 
 
+@pytest.mark.parametrize("meet", [4, 1024])
+def test_cells_of_many_components(spark, monkeypatch, meet):
+    """Crowded cells whose members are far apart, some of them linked: only cells with more than `MEET` outside the largest component are dealt to points."""
+    rng = np.random.default_rng(6)
+    fps = []
+    for _ in range(120):
+        fps.append((0x5A5A5A5 << 36) ^ int(rng.integers(0, 1 << 36)))
+        fps += [fps[-1] ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False))] * (len(fps) % 3 == 0)
+    table = spark.createDataFrame([(k, x - (1 << 64) if x >> 63 else x) for k, x in enumerate(fps)], "doc_id long, fp long")
+    dealt, real = [], sh._between
+    monkeypatch.setattr(sh, "_between", lambda crowd, d: dealt.append(crowd.count()) or real(crowd, d))
+    monkeypatch.setattr(sh, "MEET", meet, raising=False)
+    monkeypatch.setattr(sh, "fingerprints", lambda docs, *a: docs)
+    got = {r["doc_id"]: r["component_id"] for r in sh.near_duplicates(table).collect()}
+    assert got == plain_components(list(range(len(fps))), fps, 4)
+    assert dealt[0] == 0 if meet == 1024 else dealt[0] > 100
+
+
 def shingle_sets(rows) -> dict[int, frozenset]:
     words = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in rows}
     return {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in words.items()}
