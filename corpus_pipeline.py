@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more of their five-word shingles the one with the smallest id stays."""
-    return similar.drop_similar(docs)
+    """Of documents linked by operator 5's fingerprints, or by a similarity of 0.8 or more of their five-word shingles, the one with the smallest id stays."""
+    return similar.drop_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

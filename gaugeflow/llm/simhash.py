@@ -133,12 +133,17 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+def linked_rows(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(name, least) of every row: classes of rows, named by row_name, whose fingerprints are linked; least is the smallest name of the class."""
+    fps = written(fingerprints(docs.withColumn("name", row_name()), shingle, seed, key="name"), "fingerprints")
+    roots = fps.join(classes(fps.select("fp").distinct(), distance), "fp").select("name", "root")
+    least = roots.groupBy("root").agg(F.min("name").alias("least"))
+    return roots.join(least, "root").select("name", "least")
+
+
 def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """The rows of `docs` that are the smallest of their class by doc_id, a null one being the smallest, then by text; one of equal rows.
 
     Rows with one doc_id, or none, whose texts aren't linked all stay.
     """
-    fps = written(fingerprints(docs.withColumn("name", row_name()), shingle, seed, key="name"), "fingerprints")
-    roots = fps.join(classes(fps.select("fp").distinct(), distance), "fp").select("name", "root")
-    least = roots.groupBy("root").agg(F.min("name").alias("least"))
-    return keep_least(docs, roots.join(least, "root").select("name", "least"))
+    return keep_least(docs, linked_rows(docs, distance, shingle, seed))

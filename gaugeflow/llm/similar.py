@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import simhash
 from ._common import keep_least, row_name, written
 from .components import components
 
@@ -260,3 +261,14 @@ def drop_similar(docs: DataFrame, **params) -> DataFrame:
     Only the names that go are joined with the rows. Rows with one doc_id, or none, and texts that aren't similar all stay.
     """
     return keep_least(docs, similar_rows(docs, **params))
+
+
+def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
+    """The rows of `docs` that are the smallest of their class, as in drop_similar; links are operator 5's between fingerprints, and those of similar_rows beside them.
+
+    Classes follow links of both kinds: a row that both join is in one class with what either links to it.
+    """
+    rows = written(similar_rows(docs, **params), "rows")
+    links = rows.union(simhash.linked_rows(docs)).where("name <> least").selectExpr("name AS u", "least AS v")
+    classes = rows.select("name").join(components(links), F.col("name") == F.col("node"), "left")
+    return keep_least(docs, classes.select("name", F.coalesce("root", "name").alias("least")))

@@ -194,6 +194,22 @@ def test_similar_documents_around_a_shared_passage(spark):
     assert kept == set(got.values())
 
 
+def test_pipeline_near_copies_follow_both_links(spark):
+    """A repeated passage with 30 other words has a near fingerprint at a low similarity; a text with 12 words more has a far one at a high similarity."""
+    import corpus_pipeline as cp
+
+    word = lambda k, n: " ".join(f"{k}w{x}" for x in range(n))
+    chant = " ".join([word("p", 11)] * 100)
+    texts = {5: f"{chant} {word('a', 30)}", 1: f"{chant} {word('b', 30)}", 7: word("c", 60), 4: word("c", 60) + " " + word("d", 12), 9: word("e", 60)}
+    texts[3], texts[None] = texts[5] + " more", word("f", 60)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fps = {r["doc_id"]: r["fp"] % (1 << 64) for r in sh.fingerprints(table).collect()}
+    sets = plain_classes(shingle_sets(table.where("doc_id IS NOT NULL").collect()))
+    assert (fps[5] ^ fps[1]).bit_count() <= 4 < (fps[7] ^ fps[4]).bit_count() and sets[5] != sets[1] and sets[3] == sets[5]
+    kept = [r["doc_id"] for r in cp.drop_near_copies(spark, table, "").collect()]
+    assert set(kept) == {1, 4, 9, None} and len(kept) == 4
+
+
 @pytest.mark.parametrize(("name", "label"), [("op1_quality", "quality"), ("op8_toxicity", "toxic")])
 def test_held_out_labels(spark, name, label):
     folder = str(DATA / "sf0.1")
