@@ -17,7 +17,7 @@ def scan_signal_text(spark: SparkSession, path: str, acquisition: Column | None
     """(acquisition_id, sample, t, ch_a, ch_b) of semicolon files: lines whose first field is a whole number are samples.
 
     Preamble and header lines have none, so line numbers aren't needed; the acquisition is the partition folder's value or
-    the file's name.
+    the file's name, or what `acquisition` makes of the line `value`, for files that hold many.
     """
     lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_name"))
     if acquisition is None:
@@ -61,7 +61,10 @@ def scan_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def scan_json_docs(spark: SparkSession, path: str, schema: T.StructType, nested: str) -> DataFrame:
-    """One JSON document a file: its plain fields and those of the nested one, flat."""
+    """A JSON document, or an array of them, a file: their plain fields and those of the nested one, flat.
+
+    A file is read in one task, so many small documents are best kept as arrays of some thousands.
+    """
     df = spark.read.schema(schema).option("multiLine", True).json(path)
     return df.select(*[c for c in df.columns if c != nested], f"{nested}.*")
 

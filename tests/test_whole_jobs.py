@@ -10,7 +10,7 @@ import gaugeflow.queries as library
 import pytest
 from conftest import DATA
 from gaugeflow.operators import audit as au, deviation as de, ml, policy as po
-from gaugeflow.queries import audits, learning, risks
+from gaugeflow.queries import audits, files, learning, risks
 from gaugeflow.streaming.online import Prefixes
 from oracle import TABLES, both
 from pyspark.sql import functions as F
@@ -84,3 +84,15 @@ def test_cases_and_bundles_share_their_evidence(spark, monkeypatch):
     monkeypatch.setattr(risks, "_evidence", lambda *a: calls.append(a) or made(*a))
     library.queries()["resolve_cases"](spark, f"{DATA}/sf0.001")
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["scan_signal_text", "scan_json_docs"])
+def test_files_are_fewer_than_acquisitions(spark, tmp_path, monkeypatch, name):
+    """150 acquisitions with ids far apart; some samples lack a value."""
+    e = spark.read.parquet(f"{DATA}/sf0.01/events.parquet")
+    lost = (F.col("event_id") % 50 == 0) & F.lit(name == "scan_signal_text")
+    e.withColumns({"user_id": F.col("user_id") * 1_000_003, "value": F.when(~lost, F.col("value"))}).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(files, "DOCS_A_FILE", 40, raising=False)
+    monkeypatch.setattr(files, "shared_folder", lambda spark, part: f"file://{tmp_path}/{part}")
+    _against_sql(spark, tmp_path, name)
+    assert len({p for k in ("signals", "docs") for p in tmp_path.glob(f"{k}/**/part-*")}) <= 8
