@@ -71,8 +71,12 @@ def join_guard(acquisitions: DataFrame, trends: DataFrame, keys: Sequence[str])
     return j.select(*keys, code.alias("code")).where("code IS NOT NULL")
 
 
+def _safety() -> list:
+    return [F.col("combined_risk").alias("risk_score"), F.col("confidence"), F.col("ood_contribution").alias("ood_score"), F.col("conflict").alias("spline_classifier_conflict")]
+
+
 def safety_projection(risk: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return risk.select(*keys, F.col("combined_risk").alias("risk_score"), "confidence", F.col("ood_contribution").alias("ood_score"), F.col("conflict").alias("spline_classifier_conflict"))
+    return risk.select(*keys, *_safety())
 
 
 #: The version of the bundles' layout, and the parts besides the windows, in the order of their hashes.
@@ -92,9 +96,9 @@ def build_bundles(windows: DataFrame, acquisitions: DataFrame, trends: DataFrame
     a = acquisitions.select(*keys, *[F.col(c).alias(f"_{c}") for c in metadata], F.struct("predicted_class", "confidence", "entropy").alias("acquisition"))
     own = [k for k in at if k in trends.columns]
     t = trends.select(*own, F.struct("fit_status", "uncertainty").alias("trend"))
-    r = risk.select(*at, F.struct("combined_risk", "classifier_uncertainty", "trend_uncertainty", "ood_contribution", "healthy_deviation", "conflict", "unstable").alias("risk"))
-    safety = safety_projection(risk, at).select(*at, F.struct("risk_score", "confidence", "ood_score", "spline_classifier_conflict").alias("safety"))
-    j = r.join(safety, at).join(t, own).join(a, list(keys)).join(w, list(keys))
+    parts = F.struct("combined_risk", "classifier_uncertainty", "trend_uncertainty", "ood_contribution", "healthy_deviation", "conflict", "unstable").alias("risk")
+    r = risk.select(*at, parts, F.struct(*_safety()).alias("safety"))
+    j = r.join(t, own).join(a, list(keys)).join(w, list(keys))
     about = F.struct(F.lit(BUNDLE_VERSION).alias("schema_version"), *at, *[F.col(f"_{c}").alias(c) for c in metadata])
     return j.select(*at, about.alias("metadata"), "windows", *PARTS)
 

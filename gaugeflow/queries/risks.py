@@ -137,7 +137,7 @@ def verify_bundles(spark, d):
         "trend_model": F.when(k == 5, "other").otherwise(F.col("trend_model")),
         "windows": F.when(k == 6, F.slice("windows", 2, 1000)).otherwise(F.col("windows")),
     }
-    return rk.verify_bundles(_bundles(spark, d).withColumns(changed), BUNDLE)
+    return rk.verify_bundles(stored(_bundles(spark, d), "bundles").withColumns(changed), BUNDLE)
 
 
 @query("SELECT p_partkey, trim(regexp_replace('.' || p_name || '!', '[^A-Za-z0-9_.-]+', '-', 'g'), '-.') || '__' || trim(regexp_replace(p_brand, '[^A-Za-z0-9_.-]+', '-', 'g'), '-.') AS name FROM part")

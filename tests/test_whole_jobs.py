@@ -96,3 +96,13 @@ def test_files_are_fewer_than_acquisitions(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(files, "shared_folder", lambda spark, part: f"file://{tmp_path}/{part}")
     _against_sql(spark, tmp_path, name)
     assert len({p for k in ("signals", "docs") for p in tmp_path.glob(f"{k}/**/part-*")}) <= 8
+
+
+def test_bundles_compute_their_risk_once(spark):
+    """The safety part is taken of the same rows as the risk, not joined to them."""
+    keys = ["view_id", "acquisition_id"]
+    acq, trends, windows = risks._evidence(spark, f"{DATA}/sf0.001")
+    plan = _plan(risks._bundles(spark, "", (acq, trends, windows)).select("bundle_hash"))
+    alone = _plan(risks.rk.combined_risk(risks.rk.risk_components(acq, trends, windows, keys, risks.BASELINE)))
+    scans = lambda text: text.count("FileScan parquet")
+    assert scans(plan) == scans(alone) + 3  # trends, acquisitions and windows of the bundle itself
