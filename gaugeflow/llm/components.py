@@ -15,6 +15,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Repeated edges count once; a node that has no edge but to itself has no row; no edges give an empty result.
     """
     e = written(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "edges")
+    total = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    held = total(e)
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -22,8 +24,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").selectExpr("u", "v", "m")
         new = written(small.selectExpr("explode(array(struct(v AS a, m AS b), struct(u AS a, m AS b))) AS p").selectExpr("p.a AS u", "p.b AS v").where("u <> v").distinct(), "edges")
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, new)]
-        e = new
-        if sums[0] == sums[1]:
+        e, before, held = new, held, total(new)
+        if held == before:
             return e.selectExpr("u AS node", "v AS root")
     raise RuntimeError("components did not settle")

@@ -34,7 +34,11 @@ MEET = 1024
 
 def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     """64-bit fingerprint of a UTF-8 text: majority of the bits of its word shingles' XXH64, 0 for a text without words."""
-    words = text.lower().split()
+    return fingerprint(text.lower().split(), shingle, seed)
+
+
+def fingerprint(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of a sequence of lower-cased words."""
     n = len(words) - shingle + 1
     if not words:
         return 0
@@ -96,18 +100,20 @@ def _between(crowd: DataFrame, distance: int) -> DataFrame:
     return meet.join(first, "point").where((F.col("fp") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= distance)).selectExpr("fp AS u", "v").distinct()
 
 
-def classes(nodes: DataFrame, distance: int = 4) -> DataFrame:
-    """(fp, root) of every row of `nodes`, a table of different fingerprints: the smallest fingerprint linked to it."""
+def starred(nodes: DataFrame, distance: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(cell, fp, k) of the cells that several fingerprints of `nodes` share, and the links (u, v) of each to a few of its cell."""
     cells = _cells(nodes, distance)
     held = written(cells.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1"), "held")
     members = written(cells.join(held, "cell"), "members")
     # Each member of a cell against a few representatives of the cell: linear in the size of the cell.
     heads = members.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.min_by("fp", F.xxhash64("fp")).alias("c"))
     stars = members.join(heads.select("cell", F.array_distinct(F.array("a", "b", "c")).alias("heads")), "cell").select("fp", F.explode("heads").alias("head"))
-    links = stars.where((F.col("fp") != F.col("head")) & _near(F.col("fp"), F.col("head"), distance)).selectExpr("fp AS u", "head AS v")
-    known = written(components(links), "known")
-    # What is left: members of one cell that are in different components, so that one of two isn't in the cell's largest.
-    marked = members.join(known, members.fp == known.node, "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+    return members, stars.where((F.col("fp") != F.col("head")) & _near(F.col("fp"), F.col("head"), distance)).selectExpr("fp AS u", "head AS v")
+
+
+def links_apart(marked: DataFrame, distance: int = 4) -> DataFrame:
+    """Links (u, v) that join what is apart, by a table (cell, fp, root) of the members of cells and the class that each is in so far."""
+    # Members of one cell that are in different components, so that one of two isn't in the cell's largest.
     sizes = marked.groupBy("cell", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("cell").agg(F.count("*").alias("kinds"), (F.sum("n") - F.max("n")).alias("apart"), F.max_by("root", F.struct("n", "root")).alias("main"))
     mixed = written(marked.join(mixed.where("kinds > 1").drop("kinds"), "cell"), "mixed")
@@ -115,7 +121,15 @@ def classes(nodes: DataFrame, distance: int = 4) -> DataFrame:
     side = lambda rows, n: rows.select("cell", F.col("fp").alias(f"f{n}"), F.col("root").alias(f"r{n}"))
     other = (F.col("r1") != F.col("r2")) & _near(F.col("f1"), F.col("f2"), distance)
     more = side(few.where("root <> main"), 1).join(side(few, 2), "cell").where(other).selectExpr("f1 AS u", "f2 AS v")
-    merged = components(more.union(_between(crowd, distance)).union(known.select("node", "root")))
+    return more.union(_between(crowd, distance))
+
+
+def classes(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, root) of every row of `nodes`, a table of different fingerprints: the smallest fingerprint linked to it."""
+    members, links = starred(nodes, distance)
+    known = written(components(links), "known")
+    marked = members.join(known, members.fp == known.node, "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+    merged = components(links_apart(marked, distance).union(known.select("node", "root")))
     return nodes.join(merged, nodes.fp == merged.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ def rarity_order(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> n
 
 
 def common_shingles(docs: DataFrame, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts), sorted by hash, of the most frequent shingles: repeated lines, passages and licenses.
+    """(hashes, counts), sorted by hash, of about the COMMON most frequent shingles: repeated lines, passages and licenses.
 
     A task counts within its batches and tells what occurs in several texts of one; the order of the cells follows from the
     result, never which links are found.
@@ -81,8 +82,19 @@ def common_shingles(docs: DataFrame, shingle: int = 5) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([pa.array(found[n >= OFTEN]), pa.array(n[n >= OFTEN].astype(np.int64))], ["hash", "n"])
 
     counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    rows = sorted((r["hash"], r["n"]) for r in counts.orderBy(F.desc("n"), "hash").limit(COMMON).collect())
-    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+    counts = written(counts, "common")
+    # The driver gets what it tells the tasks, not the frequent shingles of all partitions to choose from.
+    least, part, room = 0, 0.0, COMMON
+    for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(COMMON).collect():
+        if r["k"] >= room:
+            least, part = r["n"], room / r["k"]
+            break
+        room -= r["k"]
+    # Of those found `least` times, the part of the range of hashes that there is room for.
+    told = counts.where((F.col("n") > least) | ((F.col("n") == least) & (F.col("hash") / 2.0**64 + 0.5 < part))).toArrow()
+    found, n = (told.column(c).to_numpy() for c in ("hash", "n"))
+    order = np.argsort(found)
+    return found[order], n[order]
 
 
 def segment_counts(hashes: np.ndarray) -> np.ndarray:
@@ -91,24 +103,25 @@ def segment_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def _embedded(docs: DataFrame, similarity: float, shingle: int, common) -> DataFrame:
-    """(name, seq, n, counts, prefix) of every row: seq is the MD5 of the word sequence, n the number of different shingles."""
+    """(name, seq, fp, n, counts, prefix) of every row: seq is the MD5 of the word sequence, fp operator 5's fingerprint, n the number of different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq, n, counts, first = [], [], [], []
+            seq, fps, n, counts, first = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 words = words_of(text)
                 h = shingle_hashes(words, shingle)
                 seq.append(hashlib.md5(b" ".join(words)).digest())
+                fps.append(simhash.fingerprint(words))
                 n.append(len(h))
                 counts.append(segment_counts(h))
                 # Links hold at least similarity times the larger set in common, so all but so many shingles of either and one more.
                 first.append(rarity_order(h, common.value)[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1])
-            arrays = [pa.array(seq, pa.binary()), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("name"), *arrays], ["name", "seq", "n", "counts", "prefix"])
+            arrays = [pa.array(seq, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("name"), *arrays], ["name", "seq", "fp", "n", "counts", "prefix"])
 
     rows = docs.select(row_name().alias("name"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, seq binary, n long, counts array<int>, prefix array<long>")
+    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, seq binary, fp long, n long, counts array<int>, prefix array<long>")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -192,9 +205,17 @@ def _crowd_pairs(differences: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def _between_firsts(links: DataFrame, fps: DataFrame) -> DataFrame:
+    """The links (u, v) between fingerprints as links between their first nodes."""
+    side = lambda x: fps.select(F.col("fp").alias(x), F.col("stands").alias(f"{x}1"))
+    return links.join(side("u"), "u").join(side("v"), "v").selectExpr("u1 AS u", "v1 AS v")
+
+
+def similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprints: bool = False) -> DataFrame:
     """(name, least): classes of rows, named by row_name, linked by a Jaccard similarity of `similarity` or more of their word shingles.
 
+    With `fingerprints`, operator 5's links between fingerprints count beside these: the classes follow both kinds, and what one
+    kind has joined is not compared again for the other.
     least is the smallest name of the class, a null doc_id being the smallest. Null and empty texts are one class; texts of
     fewer than `shingle` words are one shingle; repeated rows keep their own output rows; an empty table gives an empty
     result; other columns of `docs` are not read. Rows with the same sequence of words are one node of the search.
@@ -233,10 +254,20 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
 
     differences = written(_difference_cells(around, texts, similarity, shingle, common), "differences")
     links = _verified(met, texts, similarity, shingle).union(differences.where("linked").select("node", "pivot"))
+    if fingerprints:
+        # A fingerprint stands for its first node, to which the others that have it are linked.
+        fps = written(nodes.groupBy("fp").agg(F.min("node").alias("stands")), "fingerprints")
+        members, stars = simhash.starred(fps.select("fp"))
+        links = links.union(nodes.join(fps, "fp").where("node <> stands").select("node", "stands")).union(_between_firsts(stars, fps))
     roots = components(links)
-    more = written(_possible(_crowd_pairs(differences, roots), nodes, similarity), "more")
-    if not more.isEmpty():
-        roots = components(_verified(more, texts, similarity, shingle).union(roots.select("node", "root")))
+    more, apart = written(_possible(_crowd_pairs(differences, roots), nodes, similarity), "more"), None
+    if fingerprints:
+        labels = fps.join(roots, F.col("stands") == F.col("node"), "left").select("fp", F.coalesce("root", "stands").alias("root"))
+        apart = written(_between_firsts(simhash.links_apart(members.join(labels, "fp").select("cell", "fp", "root")), fps), "apart")
+    found = [] if more.isEmpty() else [_verified(more, texts, similarity, shingle)]
+    found += [] if apart is None or apart.isEmpty() else [apart]
+    if found:
+        roots = components(reduce(DataFrame.union, [*found, roots.select("node", "root")]))
 
     placed = written(nodes.select("node", "name").join(roots, "node"), "placed")
     tops = nodes.select(F.col("node").alias("root"), F.col("name").alias("top"))
@@ -268,7 +299,4 @@ def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
 
     Classes follow links of both kinds: a row that both join is in one class with what either links to it.
     """
-    rows = written(similar_rows(docs, **params), "rows")
-    links = rows.union(simhash.linked_rows(docs)).where("name <> least").selectExpr("name AS u", "least AS v")
-    classes = rows.select("name").join(components(links), F.col("name") == F.col("node"), "left")
-    return keep_least(docs, classes.select("name", F.coalesce("root", "name").alias("least")))
+    return keep_least(docs, similar_rows(docs, fingerprints=True, **params))

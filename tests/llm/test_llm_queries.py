@@ -210,6 +210,30 @@ def test_pipeline_near_copies_follow_both_links(spark):
     assert set(kept) == {1, 4, 9, None} and len(kept) == 4
 
 
+def test_pipeline_near_copies_need_few_jobs(spark, monkeypatch):
+    """The driver's memory goes with the jobs: links of both kinds are followed at once, and frequent shingles are chosen before they reach the driver."""
+    import corpus_pipeline as cp
+
+    made, real = [], sm.components
+
+    def counted(edges, *more):
+        made.append("components")
+        return real(edges, *more)
+
+    for module in (sm, sh):
+        monkeypatch.setattr(module, "components", counted)
+    monkeypatch.setattr(sm, "COMMON", 100)
+    word = lambda k, n: " ".join(f"{k}w{x}" for x in range(n))
+    chant = " ".join([word("p", 11)] * 100)
+    # 5 and 1 have near fingerprints, 3 is similar to 5; 7 and 4 are similar only.
+    texts = {5: f"{chant} {word('a', 30)}", 1: f"{chant} {word('b', 30)}", 3: f"{chant} {word('a', 30)} more", 7: word("c", 60), 4: word("c", 60) + " " + word("d", 12), 9: None, 10: "", 11: word("e", 60)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in cp.drop_near_copies(spark, table, "").collect()} == {1, 4, 9, 11}
+    assert len(made) <= 2
+    hashes, n = sm.common_shingles(table.union(table).coalesce(1))
+    assert len(hashes) == len(n) <= 150 and (np.diff(hashes) > 0).all() and n.min() >= sm.OFTEN
+
+
 @pytest.mark.parametrize(("name", "label"), [("op1_quality", "quality"), ("op8_toxicity", "toxic")])
 def test_held_out_labels(spark, name, label):
     folder = str(DATA / "sf0.1")
