@@ -141,6 +141,20 @@ def test_roots_of_a_long_chain(spark):
     assert {r["root"] for r in spelling.roots(df).collect()} == {"w13"}
 
 
+def test_variants_broadcast_no_table(spark, docs, monkeypatch):
+    """Lists of grams are twenty times the words that Spark takes them for: broadcast, they fill the driver."""
+    plans, write = [], spelling.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "written", written)
+    out = spelling.variants(docs, 3, 4, 1, 2)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize(("digits", "ranges", "n"), [(3, 4096, 8), (0, 1, 8), (1, 3, 5), (1, 7, 100)])
 def test_shards_against_a_plain_order(spark, docs, digits, ranges, n, monkeypatch):
     monkeypatch.setattr(sharding, "COPIES", 2)
