@@ -190,7 +190,30 @@ def record_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def attach_scores(predictions: DataFrame, scores: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(joined rows, predictions without a score)."""
-    return predictions.join(scores, list(keys)), predictions.join(scores, list(keys), "left_anti")
+#: What the provenance of every scored window says beside its hashes.
+SCORE_PROVENANCE = {"deviation_method_id": "TRAINING_DISTRIBUTION_DEVIATION_V1", "deviation_scientific_status": "OOD_SURROGATE_NOT_EXTERNALLY_VALIDATED", "r3_partition": "test"}
+
+
+def attach_scores(predictions: DataFrame, scores: DataFrame, keys: Sequence[str], classes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(inputs, predictions without a score); the last of `keys` orders an acquisition's windows.
+
+    Inputs are (other keys, class_order, windows), a row an acquisition: its scored windows in order, each with predicted
+    class, probabilities in the order of `classes`, ood_score, prediction_hash and provenance. Provenance is a map sorted by
+    key: the prediction's own (a map of strings; null is empty) and the hashes of prediction, score and scorer, the partition
+    and SCORE_PROVENANCE, which replace entries of the same name.
+    """
+    *by, order = keys
+    own = F.map_entries(F.coalesce("provenance", F.create_map().cast("map<string,string>")))
+    item = F.struct(order, "predicted_class", F.col("p").alias("probabilities"), F.col("deviation").alias("ood_score"), "prediction_hash", "score_hash", "scorer_hash", "split_role", own.alias("own"))
+
+    def told(w):
+        more = {"prediction_hash": w["prediction_hash"], "deviation_score_hash": w["score_hash"], "deviation_scorer_hash": w["scorer_hash"], "source_partition": w["split_role"]}
+        more |= {k: F.lit(v) for k, v in SCORE_PROVENANCE.items()}
+        entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in more.items()])
+        provenance = F.map_from_entries(F.array_sort(F.concat(F.filter(w["own"], lambda e: ~e["key"].isin(*more)), entries)))
+        return F.struct(*[w[c].alias(c) for c in (order, "predicted_class", "probabilities", "ood_score", "prediction_hash")], provenance.alias("provenance"))
+
+    gathered = predictions.join(scores, list(keys)).groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_w"))
+    inputs = gathered.select(*by, F.array(*[F.lit(c) for c in classes]).alias("class_order"), F.transform("_w", told).alias("windows"))
+    return inputs, predictions.join(scores, list(keys), "left_anti")
 

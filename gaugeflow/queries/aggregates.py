@@ -93,9 +93,9 @@ _DEV = {
 }
 
 
-def _scored(spark, d, rows=None):
+def _scored(spark, d, rows=None, scorer=None):
     r = rows or stored(_rows(spark, d), "rows")
-    scorer = de.invert_precision(de.fit_covariance(r, ["view_id"]), ["view_id"])
+    scorer = scorer or de.invert_precision(de.fit_covariance(r, ["view_id"]), ["view_id"])
     m = de.mahalanobis(r, scorer, ["view_id"]).withColumn("d2", F.round("d2", 9))
     return de.deviation_score(m, ["view_id"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import content_hash, fixed, saturate as saturated
-from ..operators import aggregate as ag, reference as rf, risk as rk, trends as tr
+from ..operators import aggregate as ag, deviation as de, ml, reference as rf, risk as rk, trends as tr
 from ..plans import adapters as ad
 from ..plans.storage import stored
 from ..schemas import BASELINE, CLASSES
@@ -174,8 +174,18 @@ def evidence_summary(spark, d):
 
 @query("SELECT split_role, count(*) AS joined FROM predictions JOIN (SELECT view_id, acquisition_id, window_order FROM scored WHERE split_role <> 'train') USING (view_id, acquisition_id, window_order) GROUP BY split_role UNION ALL SELECT 'unmatched', count(*) FROM predictions WHERE split_role = 'train'", views=_K)
 def attach_scores(spark, d):
-    scores = _scored(spark, d).where("split_role <> 'train'").select("view_id", "acquisition_id", "window_order", "deviation")
-    joined, lost = rk.attach_scores(ad.predictions(spark, d), scores, ["view_id", "acquisition_id", "window_order"])
-    return joined.groupBy("split_role").agg(F.count("*").alias("joined")).union(lost.agg(F.count("*").alias("joined")).select(F.lit("unmatched"), "joined"))
+    """The counts are those of the assembled windows, by the partition in their provenance, and of what has no score."""
+    at = [*KEYS, "window_order"]
+    f = stored(ad.labelled_features(spark, d).select("acquisition_id", "window_order", "canonical_class", "run_rank", "ch_a_mean", "ch_b_mean"), "features")
+    own = {"assignment_id": F.col("view_id").cast("string"), "representation_id": F.lit("time_features"), "classifier_id": F.lit("centroid")}
+    p = ml.prediction_hash(ad.predictions(spark, d, f), at).withColumn("provenance", F.create_map(*[c for k, v in own.items() for c in (F.lit(k), v)]))
+    p, r = stored(p, "predictions"), _rows(spark, d, f)
+    scorer = stored(de.invert_precision(de.fit_covariance(r, ["view_id"]), ["view_id"]), "scorer")
+    text = lambda c: F.array_join(F.transform(c, lambda v: fixed(v)), ",")
+    hashed = scorer.select("view_id", content_hash("view_id", text("mean"), text("scale"), text(F.flatten("precision"))).alias("scorer_hash"))
+    inputs, lost = rk.attach_scores(p, de.score_records(_scored(spark, d, r, scorer), at).join(hashed, "view_id"), at, CLASSES)
+    windows = stored(inputs, "inputs").select(F.explode("windows").alias("w"))
+    joined = windows.groupBy(F.col("w.provenance")["source_partition"].alias("split_role")).agg(F.count("*").alias("joined"))
+    return joined.union(lost.agg(F.count("*").alias("joined")).select(F.lit("unmatched"), "joined"))
 
 

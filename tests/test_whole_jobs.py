@@ -98,6 +98,35 @@ def test_files_are_fewer_than_acquisitions(spark, tmp_path, monkeypatch, name):
     assert len({p for k in ("signals", "docs") for p in tmp_path.glob(f"{k}/**/part-*")}) <= 8
 
 
+def test_scored_windows_are_assembled_in_order(spark):
+    """Each acquisition's windows stand in order with probabilities and a sorted provenance; one has no score, one no provenance of its own."""
+    rows = [(0, a, w, "held_out", [0.25, 0.75], "b", f"h{a}{w}", None if w == 5 else {"z_own": str(w), "prediction_hash": "old"}) for a in (1, 2) for w in (10, 5, 9, 2)]
+    p = spark.createDataFrame(rows, "view_id int, acquisition_id int, window_order int, split_role string, p array<double>, predicted_class string, prediction_hash string, provenance map<string,string>").repartition(4)
+    scores = spark.createDataFrame([(0, a, w, w / 20, f"s{w}", "r0") for *_, a, w in [r[:3] for r in rows] if (a, w) != (2, 9)], "view_id int, acquisition_id int, window_order int, deviation double, score_hash string, scorer_hash string")
+    inputs, lost = risks.rk.attach_scores(p, scores, ["view_id", "acquisition_id", "window_order"], ["a", "b"])
+    got = {r["acquisition_id"]: r for r in inputs.withColumn("names", F.transform("windows", lambda w: F.map_keys(w["provenance"]))).collect()}
+    assert [w["window_order"] for w in got[1]["windows"]] == [2, 5, 9, 10] and [w["window_order"] for w in got[2]["windows"]] == [2, 5, 10]
+    for a, r in got.items():
+        for w, names in zip(r["windows"], r["names"], strict=True):
+            k = w["window_order"]
+            about = {"prediction_hash": f"h{a}{k}", "deviation_score_hash": f"s{k}", "deviation_scorer_hash": "r0", "source_partition": "held_out"} | risks.rk.SCORE_PROVENANCE | ({"z_own": str(k)} if k != 5 else {})
+            assert (r["class_order"], w["probabilities"], w["predicted_class"], w["ood_score"], w["prediction_hash"]) == (["a", "b"], [0.25, 0.75], "b", k / 20, f"h{a}{k}")
+            assert w["provenance"] == about and names == sorted(about)
+    assert [(r["acquisition_id"], r["window_order"]) for r in lost.collect()] == [(2, 9)]
+
+
+def test_attached_scores_are_counted_in_what_is_assembled(spark, monkeypatch):
+    made, kept = [], risks.stored
+    monkeypatch.setattr(risks, "stored", lambda df, name: made.append((name, kept(df, name))) or made[-1][1])
+    counts = {r["split_role"]: r["joined"] for r in library.queries()["attach_scores"](spark, f"{DATA}/sf0.001").collect()}
+    made = dict(made)
+    held = {(r["view_id"], r["acquisition_id"], r["window_order"]): r for r in made["predictions"].where("split_role = 'held_out'").collect()}
+    windows = [((r["view_id"], r["acquisition_id"], w["window_order"]), w) for r in made["inputs"].collect() for w in r["windows"]]
+    assert held and sorted(k for k, _ in windows) == sorted(held) and counts["held_out"] == len(held)
+    assert all(w["probabilities"] == held[k]["p"] and w["provenance"]["prediction_hash"] == held[k]["prediction_hash"] and 0 < w["ood_score"] <= 1 for k, w in windows)
+    assert len({w["provenance"]["deviation_scorer_hash"] for _, w in windows}) == 2 and all(len(w["provenance"]) == 10 for _, w in windows)
+
+
 def test_bundles_compute_their_risk_once(spark):
     """The safety part is taken of the same rows as the risk, not joined to them."""
     keys = ["view_id", "acquisition_id"]
